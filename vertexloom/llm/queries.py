@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from vertexloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from vertexloom.llm.packing import op2_best_fit_packing
 from vertexloom.llm.simhash import op10_simhash
 
 QUERIES = {
+    "op2_best_fit_packing": op2_best_fit_packing,
+    "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {
+    "op8_exact_dedup": OP8_SQL,
+}
