@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 from vertexloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
+from vertexloom.llm.line_dedup import OP7_SQL, op7_deletion_line_dedup
+from vertexloom.llm.mixing import op6_pfair_mixing
 from vertexloom.llm.packing import op2_best_fit_packing
 from vertexloom.llm.simhash import op10_simhash
 
 QUERIES = {
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op6_pfair_mixing": op6_pfair_mixing,
+    "op7_deletion_line_dedup": op7_deletion_line_dedup,
     "op8_exact_dedup": op8_exact_dedup,
     "op10_simhash": op10_simhash,
 }
 
 ORACLES = {
+    "op7_deletion_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
