@@ -6,12 +6,13 @@ min_words words are left alone. A chain counts link by link: a line next to an e
 that one goes too.
 
 Plan. Lines become 128-bit hashes; equal lines meet in an aggregate that keeps the earliest place. Two
-different lines one edit apart agree in a first or a last half, so every line also gives four half keys, and
-only lines that share one with another line go on (no link is lost). For these, all variants that leave
-out one word are hashed in linear time (running XORs of positioned word hashes) and joined with equal
-variants: lines with the same variant and the same gap are one replacement apart, a line that equals a
-variant is one insertion away. Per key only the earliest line is kept, by aggregates that combine before
-the shuffle, so a common line never meets all others; the edit distance is then verified on the words.
+different lines one edit apart agree in their first h or their last h words, where h follows from their
+length and is half of it at most; so every line gives keys for both ends, and only lines that share a key with
+another line go on (no link is lost). For these, the variants that leave out one word outside the shared end
+are hashed in linear time (running XORs of positioned word hashes), and equal variants are joined: lines
+with the same variant and the same gap are one replacement apart, a line that equals a variant is one
+insertion away. Per variant only the earliest line is kept, by aggregates that combine before the shuffle,
+so a common line never meets all others; the edit distance is then verified on the words.
 
 Defined results: null counts as empty; words are what stands between white space, case and all else matter;
 rows that repeat doc_id and text get one decision, as one document; a null doc_id comes first;
@@ -24,28 +25,32 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
-from vertexloom.plans.lineage import cut
+from vertexloom.plans.lineage import kept
 
 BUCKETS = 1 << 20  # bound of the broadcast that thins the second scan
 AT = ["doc_id", "th", "line"]
 
 
-def _words(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \\t\\x0B\\f\\r]+"), lambda w: w != "")
+def _words(body: Column) -> Column:
+    odd = body.startswith(" ") | body.endswith(" ")
+    for mark in ("  ", "\t", "\x0b", "\f", "\r"):
+        odd |= body.contains(mark)
+    return F.split(F.when(odd, F.trim(F.regexp_replace(body, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(body), " ", -1)
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """doc_id, th, line, words, h1, h2, n: the lines that take part."""
-    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    worded = split.select(*AT, _words(F.col("body")).alias("words"))
-    return worded.select(*AT, "words", F.size("words").alias("n")).where(F.col("n") >= min_words).withColumn("h1", F.xxhash64("words")).withColumn("h2", F.xxhash64(F.lit(7), "words"))
+def _end(n: Column) -> Column:
+    """h(n): half of n words, rounded down to a step that grows with n, so that most neighbouring lengths share it."""
+    step = F.greatest(F.lit(1), F.pow(2, F.floor(F.log2(n)) - 4)).cast("int")
+    return (F.floor(F.floor(n / 2) / step) * step).cast("int")
 
 
-def _halves(n: Column, drop: int) -> list[Column]:
-    """Keys of the halves of a line of n words, as the shorter (drop 0) or longer (drop 1) line of a pair."""
-    short = n - drop
-    first = F.floor(short / 2).cast("int")
-    return [F.xxhash64(short, F.lit(0), F.slice("words", F.lit(1), first)), F.xxhash64(short, F.lit(1), F.slice("words", n - (short - first) + 1, short - first))]
+def _keys(n: Column) -> Column:
+    """Hashes (key) of the h words at both ends (end: 0 first, 1 last) of a line of n words, for h(n) and,
+    where that differs, h(n - 1): lines of n and n + 1 words both have the keys for h(n)."""
+    own, less = _end(n), _end(n - 1)
+    first = lambda h: F.struct(F.xxhash64(F.lit(0), h, F.slice("words", F.lit(1), h)).alias("key"), F.lit(0).alias("end"), h.alias("h"))
+    last = lambda h: F.struct(F.xxhash64(F.lit(1), h, F.slice("words", n - h + 1, h)).alias("key"), F.lit(1).alias("end"), h.alias("h"))
+    return F.when(own == less, F.array(first(own), last(own))).otherwise(F.array(first(own), last(own), first(less), last(less)))
 
 
 def _place(*columns: str) -> Column:
@@ -61,35 +66,50 @@ def one_edit_apart(a: str, b: str) -> Column:
 def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """doc_id, th, line, near (whether by an edit) of each line that goes; th: xxhash64 of the text."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    lines = _lines(docs, min_words)
-    n = F.col("n")
-    keyed = cut(lines.select(*AT, "h1", "h2", F.array(*_halves(n, 0), *_halves(n, 1)).alias("keys")))
-    first = keyed.groupBy("h1", "h2").agg(F.min(_place(*AT)).alias("first"))
-    same = keyed.join(first, ["h1", "h2"]).where(_place(*AT) > F.col("first")).select(*AT, F.lit(False).alias("near"))
-
-    halves = keyed.select("h1", "h2", F.explode("keys").alias("key"))
-    shared = halves.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
-    some = cut(halves.join(shared, "key", "left_semi").select("h1", "h2").distinct().join(first, ["h1", "h2"]))
-
-    # of the texts, only lines of those few hash buckets are shuffled (all of them once the buckets fill up)
-    bucket = F.pmod("h1", F.lit(BUCKETS))
-    thin = lines.withColumn("bucket", bucket).join(F.broadcast(some.select(bucket.alias("bucket")).distinct()), "bucket", "left_semi")
-    own = thin.join(some, ["h1", "h2"]).where(_place(*AT) == F.col("first")).select("first", "h1", "h2", "n", "words")
-    own = cut(own.dropDuplicates(["h1", "h2"]))
-
-    spread = own.select("first", "h1", "h2", "n", F.posexplode("words").alias("p", "w")).select("first", "h1", "h2", "n", "p", F.xxhash64("p", "w").alias("here"), F.xxhash64(F.col("p") - 1, "w").alias("moved"))
+    split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
+    # generators keep the words from being made once for every use
+    worded = split.select(*AT, F.explode(F.array(_words(F.col("body")))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= max(2, min_words))
+    lines = kept(worded.select(*AT, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.transform(_keys(F.col("n")), lambda k: k.key).alias("keys")))
+    owners = kept(lines.groupBy("h1", "h2").agg(F.min(_place(*AT)).alias("first"), F.count("*").alias("times")))
+    same = lines.join(owners.where("times > 1"), ["h1", "h2"]).where(_place(*AT) > F.col("first")).select(*AT, F.lit(False).alias("near"))
+
+    ends = lines.select("h1", F.explode("keys").alias("key"))
+    shared = ends.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
+    shared = kept(ends.join(shared, "key", "left_semi").distinct())  # (h1, key)
+    some = kept(shared.select("h1").distinct().join(owners, "h1").select("h1", "h2", "first"))
+
+    # only documents of the hash buckets that hold such lines are split again (all of them once buckets fill up)
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    wanted = some.groupBy("first.doc_id", "first.th").agg(F.collect_list(F.struct("first.line", "h1", "h2")).alias("places"))
+    thin = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted.select(bucket("doc_id").alias("bucket")).distinct()), "bucket", "left_semi")
+    a, b = thin.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("a"), wanted.alias("b")
+    found = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
+    bodies = found.select("a.doc_id", "a.th", F.explode(F.array(F.split("a.text", "\n", -1))).alias("bodies"), "b.places").select("doc_id", "th", "bodies", F.explode("places").alias("p"))
+    own = bodies.select(F.struct("doc_id", "th", "p.line").alias("first"), "p.h1", "p.h2", _words(F.expr("bodies[p.line]")).alias("words"))
+    own = kept(own.withColumn("n", F.size("words")).dropDuplicates(["h1", "h2"]))
+
+    spread = own.select("h1", "h2", "n", F.posexplode("words").alias("p", "w")).select("h1", "h2", "n", "p", F.xxhash64("p", "w").alias("here"), F.xxhash64(F.col("p") - 1, "w").alias("moved"))
     line = W.Window.partitionBy("h1", "h2").orderBy("p")
     before = F.coalesce(F.bit_xor("here").over(line.rowsBetween(W.Window.unboundedPreceding, -1)), F.lit(0))
-    after = F.coalesce(F.bit_xor("moved").over(line.rowsBetween(1, W.Window.unboundedFollowing)), F.lit(0))
-    gaps = spread.select("first", before.bitwiseXOR(after).alias("key"), (F.col("n") - 1).alias("size"), F.col("p").alias("gap"))
-    whole = own.select("first", F.expr("aggregate(transform(words, (w, i) -> xxhash64(i, w)), 0L, (a, x) -> a ^ x)").alias("key"), F.col("n").alias("size"), F.lit(-1).alias("gap"))
-    variants = cut(gaps.unionByName(whole))
-
-    replaced = variants.where("gap >= 0").groupBy("key", "size", "gap").agg(F.min("first").alias("twin"))
-    inserted = variants.groupBy("key", "size").agg(F.min(F.when(F.col("gap") < 0, F.col("first"))).alias("equal"), F.min(F.when(F.col("gap") >= 0, F.col("first"))).alias("longer"))
-    one = variants.where("gap >= 0").join(replaced, ["key", "size", "gap"]).select("first", "twin")
-    two = variants.join(inserted, ["key", "size"]).select("first", F.when(F.col("gap") < 0, F.col("longer")).otherwise(F.col("equal")).alias("twin"))
-    pairs = one.unionByName(two).where(F.col("twin") < F.col("first")).distinct()
+    through = F.bit_xor("moved").over(line.rowsBetween(W.Window.unboundedPreceding, 0))
+    total = F.bit_xor("moved").over(W.Window.partitionBy("h1", "h2"))
+    gaps = spread.select("h1", "h2", "n", "p", before.bitwiseXOR(through).bitwiseXOR(total).alias("rest"))
+    # a shared end takes the variants with the gap outside it
+    known = own.select("h1", "h2", F.explode(_keys(F.col("n"))).alias("k")).select("h1", "h2", "k.key", "k.end", "k.h").join(shared, ["h1", "key"], "left_semi")
+    ranges = known.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "end", "h")).alias("ends"))
+    outside = F.filter("ends", lambda e: F.when(e.end == 0, F.col("p") >= e.h).otherwise(F.col("p") < F.col("n") - e.h))
+    opened = gaps.join(ranges, ["h1", "h2"]).select("h1", "h2", "n", "p", "rest", F.explode(outside).alias("e"))
+    # kind 0: same variant, same gap; kind 1: a variant (own = false) or a line that may equal one (own = true)
+    variant = opened.select("h1", "h2", F.explode(F.array(F.struct(F.xxhash64("e.key", "rest", "n", "p").alias("v"), F.lit(0).alias("kind")), F.struct(F.xxhash64("e.key", "rest", F.col("n") - 1, F.lit("line")).alias("v"), F.lit(1).alias("kind")))).alias("x")).select("h1", "h2", "x.v", "x.kind")
+    whole = spread.groupBy("h1", "h2", "n").agg(F.bit_xor("here").alias("z")).join(known, ["h1", "h2"]).select("h1", "h2", F.xxhash64("key", "z", "n", F.lit("line")).alias("v"), F.lit(2).alias("kind"))
+    variants = variant.unionByName(whole)
+    met = variants.groupBy("v").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("v")
+    close = kept(variants.join(met, "v", "left_semi").join(own.select("h1", "h2", "first"), ["h1", "h2"]).select("v", "kind", "first"))
+
+    least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
+    earliest = close.groupBy("v").agg(least(0).alias("twin0"), least(2).alias("twin1"), least(1).alias("twin2"))
+    twin = F.when(F.col("kind") == 0, F.col("twin0")).when(F.col("kind") == 1, F.col("twin1")).otherwise(F.col("twin2"))
+    pairs = close.join(earliest, "v").select("first", twin.alias("twin")).where(F.col("twin") < F.col("first")).distinct()
     words = own.select("first", "words")
     checked = pairs.join(words, "first").join(words.select(F.col("first").alias("twin"), F.col("words").alias("others")), "twin").where(one_edit_apart("words", "others"))
     near = checked.select("first.doc_id", "first.th", "first.line", F.lit(True).alias("near")).distinct()
@@ -104,7 +124,7 @@ def _decided(docs: DataFrame, min_words: int) -> DataFrame:
 
 def line_report(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """doc_id, lines, dropped, near_dropped, dropped_lines (numbers from 0) of each row of docs."""
-    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n")).alias("lines"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).select("doc_id", F.xxhash64("text").alias("th"), F.size(F.split("text", "\n", -1)).alias("lines"))
     a, b = rows.alias("a"), _decided(docs, min_words).alias("b")
     both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")), "left")
     gone = F.coalesce("b.gone", F.array().cast("array<int>"))
@@ -115,7 +135,7 @@ def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """docs without the lines that go, in the same columns; documents left without a word by that go too."""
     body = F.coalesce(F.col("a.text").cast("string"), F.lit(""))
     a, b = docs.alias("a"), _decided(docs, min_words).alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(body) == F.col("b.th")), "left").withColumn("__lines", F.split(body, "\n"))
+    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(body) == F.col("b.th")), "left").withColumn("__lines", F.split(body, "\n", -1))
     kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), b.gone), i -> __lines[i]), '\\n')")
     text = F.when(F.col("b.gone").isNull(), F.col("a.text").cast("string")).otherwise(kept)
     fresh = {"text": text} | ({"n_chars": F.when(F.col("b.gone").isNull(), F.col("a.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
