@@ -89,7 +89,8 @@ def canonical_edges(g: Graph) -> DataFrame:
 
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions; a loop stands twice."""
-    return edges.unionByName(edges.withColumnsRenamed({"src": "dst", "dst": "src"}))
+    turned = {"src": F.col("dst").alias("src"), "dst": F.col("src").alias("dst")}
+    return edges.unionByName(edges.select(*(turned.get(c, c) for c in edges.columns)))
 
 
 def degrees(g: Graph, loop: int = 2) -> DataFrame:

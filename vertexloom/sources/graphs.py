@@ -136,6 +136,12 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_partkey").alias("top"), F.col("l_suppkey").alias("bottom")).distinct()
 
 
+def spark_nodes(pairs: DataFrame, parts: int) -> DataFrame:
+    """graph_id, idx for all parts (0 .. parts - 1) and, from there on, suppliers."""
+    most = pairs.agg((F.max("bottom") + 1).alias("m"))
+    return most.select(F.lit("g").alias("graph_id"), F.explode(F.sequence(F.lit(0).cast("long"), parts + F.col("m") - 1)).alias("idx"))
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> Graph:
     """Event types and how often one follows another of the same user; nodes in order of name."""
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
