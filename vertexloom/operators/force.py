@@ -1,8 +1,9 @@
 """Force and stress layouts: one tick is a query over the node table, a run is a loop of ticks.
 
 All-pairs forces are sums over a self-join of a graph's nodes; `far_cells` replaces what lies far off by grid
-cells' masses, so that a tick on a large graph costs n * cells instead of n * n. A run cuts lineage every
-`every` ticks through the shared folder and stops by a one-row aggregate taken at the same time.
+cells' masses, so that a tick on a large graph costs n * cells instead of n * n. A run cuts lineage after each
+tick through the shared folder (a tick reads its state several times) and every `every` ticks takes a one-row
+aggregate that may stop it.
 """
 
 from __future__ import annotations
@@ -191,8 +192,8 @@ def spring_gradient(nodes: DataFrame, ideal: DataFrame) -> DataFrame:
 
 
 def run(tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iterations: int = 300, every: int = 5, enough: float = 1e-3, listen: Callable[[Progress], None] | None = None) -> DataFrame:
-    """Ticks until `iterations` or until nodes move less than `enough` on average between two looks; a look, every
-    `every` ticks, cuts lineage and takes one aggregate."""
+    """Ticks until `iterations` or until nodes move less than `enough` a tick on average between two looks, `every` ticks
+    apart."""
     check_iterations(iterations)
     state = cut(nodes)
     tell = listen or (lambda p: None)
@@ -201,9 +202,8 @@ def run(tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iteration
     while t < iterations:
         new = state
         for _ in range(min(every, iterations - t)):
-            new = tick(new, t)
+            new = cut(tick(new, t))
             t += 1
-        new = cut(new)
         a, b = state.select("graph_id", "idx", F.col("x").alias("ox"), F.col("y").alias("oy")), new
         moved = b.join(a, ["graph_id", "idx"]).agg(F.avg(F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))))).first()[0] or 0.0
         state = new

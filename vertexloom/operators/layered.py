@@ -58,12 +58,11 @@ def order_layer(g: Graph, places: DataFrame, layer: int, toward: int) -> DataFra
 
 
 def minimize_crossings(g: Graph, places: DataFrame, iterations: int = 24) -> DataFrame:
-    """Sweeps down and up in turn; after each, lineage is cut."""
+    """Sweeps down and up in turn; lineage is cut after each layer."""
     depth = places.agg(F.max("layer")).first()[0] or 0
     for i in range(iterations):
         for layer in range(1, depth + 1) if i % 2 == 0 else range(depth - 1, -1, -1):
-            places = order_layer(g, places, layer, -1 if i % 2 == 0 else 1)
-        places = cut(places)
+            places = cut(order_layer(g, places, layer, -1 if i % 2 == 0 else 1))
     return places
 
 

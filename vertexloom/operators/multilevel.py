@@ -96,19 +96,17 @@ def spectral(g: Graph, size=(1000.0, 1000.0), rounds: int = 60, seed: int = 1, p
         """v (graph_id, idx, root, x, y) with x and y orthogonal to root and to each other, of length 1."""
         s = lambda a, b: F.sum(F.col(a) * F.col(b))
         one = v.groupBy("graph_id").agg((s("x", "root") / F.greatest(s("root", "root"), F.lit(1e-300))).alias("a"), (s("y", "root") / F.greatest(s("root", "root"), F.lit(1e-300))).alias("b"))
-        v = v.join(F.broadcast(one), "graph_id").withColumn("x", F.col("x") - F.col("a") * F.col("root")).withColumn("y", F.col("y") - F.col("b") * F.col("root")).drop("a", "b")
+        v = cut(v.join(F.broadcast(one), "graph_id").withColumn("x", F.col("x") - F.col("a") * F.col("root")).withColumn("y", F.col("y") - F.col("b") * F.col("root")).drop("a", "b"))
         two = v.groupBy("graph_id").agg(F.greatest(F.sqrt(s("x", "x")), F.lit(1e-300)).alias("n"), (s("x", "y") / F.greatest(s("x", "x"), F.lit(1e-300))).alias("c"))
         v = v.join(F.broadcast(two), "graph_id").withColumn("y", F.col("y") - F.col("c") * F.col("x")).withColumn("x", F.col("x") / F.col("n")).drop("n", "c")
         three = v.groupBy("graph_id").agg(F.greatest(F.sqrt(s("y", "y")), F.lit(1e-300)).alias("n"))
         return v.join(F.broadcast(three), "graph_id").withColumn("y", F.col("y") / F.col("n")).drop("n")
 
     state = cut(tidy(deg.withColumn("x", uniform(seed, 0, F.col("idx")) - 0.5).withColumn("y", uniform(seed, 1, F.col("idx")) - 0.5)))
-    for r in range(rounds):
+    for _ in range(rounds):
         pulled = norm.join(state.select("graph_id", F.col("idx").alias("dst"), "x", "y"), ["graph_id", "dst"]).groupBy("graph_id", F.col("src").alias("idx")).agg(F.sum(F.col("w") * F.col("x")).alias("ax"), F.sum(F.col("w") * F.col("y")).alias("ay"))
         new = state.join(pulled, ["graph_id", "idx"], "left").select("graph_id", "idx", "root", *((F.col(c) / 2 + F.coalesce(f"a{c}", F.lit(0.0)) / 2).alias(c) for c in ("x", "y")))
-        state = tidy(new)
-        if r % 4 == 3:
-            state = cut(state)
+        state = cut(tidy(cut(new)))
     unit = state.select("graph_id", "idx", *(F.when(F.col("root") > 0, F.col(c) / F.col("root")).otherwise(0.0).alias(c) for c in ("x", "y")))
     box = unit.groupBy("graph_id").agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))))
     fit = lambda c, full: F.when(F.col(f"hi{c}") > F.col(f"lo{c}"), padding + (F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * (full - 2 * padding)).otherwise(full / 2)
@@ -142,7 +140,7 @@ def layered_tree(g: Graph, level_separation: float = 100.0, node_separation: flo
     inner = tree.select("graph_id", F.col("src").alias("idx")).where("idx is not null").distinct()
     count = tree.join(inner, ["graph_id", "idx"], "left_anti").select("graph_id", "idx", F.lit(1).cast("long").alias("leaves"))
     for d in range(depth - 1, -1, -1):
-        count = count.unionByName(tree.where(F.col("layer") == d + 1).join(count, ["graph_id", "idx"]).groupBy("graph_id", F.col("src").alias("idx")).agg(F.sum("leaves").alias("leaves")))
+        count = cut(count).unionByName(tree.where(F.col("layer") == d + 1).join(count, ["graph_id", "idx"]).groupBy("graph_id", F.col("src").alias("idx")).agg(F.sum("leaves").alias("leaves")))
     own = cut(tree.join(count, ["graph_id", "idx"]))
     before = W.Window.partitionBy("graph_id", "src", "layer").orderBy(F.coalesce("eid", "idx")).rowsBetween(W.Window.unboundedPreceding, -1)
     skipped = own.withColumn("skip", F.coalesce(F.sum("leaves").over(before), F.lit(0)))
@@ -156,6 +154,7 @@ def layered_tree(g: Graph, level_separation: float = 100.0, node_separation: flo
     known = x.where("x is not null").select("graph_id", "idx", "x")
     for d in range(depth - 1, -1, -1):
         mid = x.where(F.col("layer") == d + 1).select("graph_id", "idx", "src").join(known, ["graph_id", "idx"]).groupBy("graph_id", F.col("src").alias("idx")).agg(((F.min("x") + F.max("x")) / 2).alias("x"))
+        mid = cut(mid)
         known = known.join(mid.select("graph_id", "idx"), ["graph_id", "idx"], "left_anti").unionByName(mid)
     placed = level.join(known, ["graph_id", "idx"]).select("graph_id", "idx", "x", (F.col("layer") * level_separation).alias("y"))
     return g.nodes.drop("x", "y").join(placed, ["graph_id", "idx"])

@@ -12,6 +12,7 @@ from pyspark.sql import window as W
 from vertexloom.functions.numbers import uniform
 from vertexloom.operators.ingest import both_ways, check_canvas, degrees, in_range, sizes
 from vertexloom.operators.traversal import longest_path_layers, two_colouring
+from vertexloom.plans.lineage import cut
 from vertexloom.sources.graphs import Graph
 
 
@@ -86,7 +87,7 @@ def bipartite(g: Graph, size=(800.0, 600.0), orientation: str = "horizontal", la
     state = sides.withColumn("pos", order.cast("double"))
     for _ in range(sweeps):
         for side in (1, 0):
-            state = barycentre_order(g, state, side)
+            state = cut(barycentre_order(g, state, side))
     return _placed(*_rows(g.nodes.join(state.withColumnsRenamed({"side": "__side", "pos": "__pos"}), ["graph_id", "idx"]), orientation, layer_separation, node_separation, w, h))
 
 
@@ -115,8 +116,6 @@ def radial_tree(g: Graph, size=(1000.0, 1000.0), level_radius: float = 100.0, st
     over siblings in the order of their edges.
     """
     w, h = check_canvas(size)
-    from vertexloom.plans.lineage import cut
-
     edges = in_range(g).where("src <> dst").groupBy("graph_id", "dst").agg(F.min_by(F.struct("eid", "src"), "eid").alias("e")).select("graph_id", F.col("dst").alias("idx"), "e.src", "e.eid")
     level = longest_path_layers(Graph(g.nodes, edges.select("graph_id", "src", F.col("idx").alias("dst"))))
     tree = cut(level.join(edges, ["graph_id", "idx"], "left"))
@@ -124,7 +123,7 @@ def radial_tree(g: Graph, size=(1000.0, 1000.0), level_radius: float = 100.0, st
     leaves = tree.join(tree.select("graph_id", F.col("src").alias("idx")).distinct(), ["graph_id", "idx"], "left_anti").select("graph_id", "idx", F.lit(1).cast("long").alias("leaves"))
     for d in range(depth - 1, -1, -1):
         up = tree.where(F.col("layer") == d + 1).join(leaves, ["graph_id", "idx"]).groupBy("graph_id", F.col("src").alias("idx")).agg(F.sum("leaves").alias("leaves"))
-        leaves = leaves.unionByName(up)
+        leaves = cut(leaves.unionByName(up))
     own = cut(tree.join(leaves, ["graph_id", "idx"]))
     before = W.Window.partitionBy("graph_id", "src").orderBy("eid").rowsBetween(W.Window.unboundedPreceding, -1)
     siblings = own.withColumn("skip", F.coalesce(F.sum("leaves").over(before), F.lit(0)))
