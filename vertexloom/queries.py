@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vertexloom.functions.numbers import rounded
-from vertexloom.operators import export, force, ingest, layered, metrics, similarity, spatial, static_layouts, traversal
+from vertexloom.operators import export, force, ingest, layered, metrics, multilevel, orthogonal, similarity, spatial, static_layouts, traversal
 from vertexloom.sources import graphs
 from vertexloom.sources.graphs import Graph
 
@@ -405,17 +405,96 @@ def _(spark, sf_dir):
 
 @query("fr_full")
 def _(spark, sf_dir):
-    return force.fruchterman_reingold(_circle(spark, sf_dir), SIZE, iterations=20).select("idx", "x", "y")
+    return force.fruchterman_reingold(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
 
 
 @query("fa2_full")
 def _(spark, sf_dir):
-    return force.force_atlas2(_circle(spark, sf_dir), SIZE, iterations=20).select("idx", "x", "y")
+    return force.force_atlas2(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
 
 
 @query("smacof_full")
 def _(spark, sf_dir):
-    return force.stress_majorization(_circle(spark, sf_dir), SIZE, iterations=20).select("idx", "x", "y")
+    return force.stress_majorization(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
+
+
+# --- boxes and right angles ------------------------------------------------
+
+_GRID = TRADE3 + ", p AS (SELECT idx, (idx % 5) * 100.0 AS x, (idx // 5) * 80.0 AS y, 60.0 AS w, 40.0 AS h FROM nodes), s AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM e JOIN p a ON a.idx = src JOIN p b ON b.idx = dst)"
+_PORTS = """ends AS (SELECT eid, 'src' AS "end", src AS idx, ex - ax AS dx, ey - ay AS dy, ex AS ox, ey AS oy FROM s UNION ALL SELECT eid, 'dst', dst, ax - ex, ay - ey, ax, ay FROM s),
+sides AS (SELECT *, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'e' ELSE 'w' END ELSE CASE WHEN dy >= 0 THEN 's' ELSE 'n' END END AS side FROM ends),
+ports AS (SELECT eid, "end", idx, side, row_number() OVER (PARTITION BY idx, side ORDER BY CASE WHEN side IN ('n', 's') THEN ox ELSE oy END, eid, "end") / (count(*) OVER (PARTITION BY idx, side) + 1) AS position FROM sides)"""
+_SCATTER = "p AS (SELECT idx, (idx * 37 % 300)::DOUBLE AS x, (idx * 53 % 200)::DOUBLE AS y, 60.0::DOUBLE AS w, 40.0::DOUBLE AS h FROM nodes), c AS (SELECT a.idx AS l, b.idx AS r, (a.w + b.w) / 2 + 5.0 AS gap FROM p a JOIN p b ON (a.x < b.x OR (a.x = b.x AND a.idx < b.idx)) AND a.y - a.h / 2 < b.y + b.h / 2 AND b.y - b.h / 2 < a.y + a.h / 2)"
+
+
+def _boxed(spark: SparkSession, sf_dir: str, x, y) -> Graph:
+    g = graphs.trade3(spark, sf_dir)
+    return g.with_nodes(g.nodes.withColumn("x", x.cast("double")).withColumn("y", y.cast("double")).withColumn("width", F.lit(60.0)).withColumn("height", F.lit(40.0)))
+
+
+def _grid(spark: SparkSession, sf_dir: str) -> Graph:
+    return _boxed(spark, sf_dir, F.col("idx") % 5 * 100, F.floor(F.col("idx") / 5) * 80)
+
+
+def _scattered(spark: SparkSession, sf_dir: str) -> Graph:
+    return _boxed(spark, sf_dir, F.col("idx") * 37 % 300, F.col("idx") * 53 % 200)
+
+
+@query("port_sides", f"WITH {_GRID}, {_PORTS} SELECT eid, \"end\", idx, side, {_r('position')} AS position FROM ports")
+def _(spark, sf_dir):
+    return orthogonal.ports(_grid(spark, sf_dir)).select("eid", "end", "idx", "side", rounded(F.col("position")).alias("position"))
+
+
+@query("port_points", f"WITH {_GRID}, {_PORTS} SELECT eid, \"end\", {_r("CASE side WHEN 'e' THEN x + w / 2 WHEN 'w' THEN x - w / 2 ELSE x + (position - 0.5) * w END")} AS x, {_r("CASE side WHEN 's' THEN y + h / 2 WHEN 'n' THEN y - h / 2 ELSE y + (position - 0.5) * h END")} AS y FROM ports JOIN p USING (idx)")
+def _(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return orthogonal.port_points(g, orthogonal.ports(g)).select("eid", "end", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
+
+
+@query("route_measures")
+def _(spark, sf_dir):
+    return orthogonal.route_measures(orthogonal.routes(_grid(spark, sf_dir))).select("bends", rounded(F.col("length"), 3).alias("length"))
+
+
+@query("overlap_dag", f"WITH {TRADE3}, {_SCATTER} SELECT l AS \"left\", r AS \"right\", gap FROM c")
+def _(spark, sf_dir):
+    return orthogonal.neighbours_along(_scattered(spark, sf_dir).nodes, "x", 5.0).select("left", "right", "gap")
+
+
+@query("compaction_longest_path", f"WITH RECURSIVE {TRADE3}, {_SCATTER}, walk AS (SELECT idx, (SELECT min(x) FROM p) AS x FROM p UNION SELECT r, x + gap FROM walk JOIN c ON l = idx) SELECT idx, max(x) AS x FROM walk GROUP BY idx")
+def _(spark, sf_dir):
+    nodes = _scattered(spark, sf_dir).nodes
+    return orthogonal.separated(nodes, orthogonal.neighbours_along(nodes, "x", 5.0), "x", compact=True).select("idx", "x")
+
+
+@query("acyclic_edges", f"WITH RECURSIVE {TRADE3}, {REACH}, t AS (SELECT e.*, src > dst AND EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src) AS r FROM e) SELECT eid, CASE WHEN r THEN dst ELSE src END AS src, CASE WHEN r THEN src ELSE dst END AS dst, r AS reversed FROM t")
+def _(spark, sf_dir):
+    return multilevel.acyclic_edges(graphs.trade3(spark, sf_dir)).select("eid", "src", "dst", "reversed")
+
+
+@query("planar_bound", f"WITH {TRADE3} SELECT (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) <= 3 * n - 6 AS possible FROM n")
+def _(spark, sf_dir):
+    return multilevel.is_planar_possible(graphs.trade3(spark, sf_dir)).select("possible")
+
+
+@query("coarsened_edges")
+def _(spark, sf_dir):
+    return multilevel.coarsened(graphs.trade3(spark, sf_dir))[0].edges.select("eid", "src", "dst")
+
+
+@query("spectral_trade3")
+def _(spark, sf_dir):
+    return multilevel.spectral(graphs.trade3(spark, sf_dir), SIZE, rounds=12).select("idx", "x", "y")
+
+
+@query("layered_tree_geo")
+def _(spark, sf_dir):
+    return multilevel.layered_tree(graphs.geo(spark, sf_dir)).select("idx", "x", "y")
+
+
+@query("multilevel_trade3")
+def _(spark, sf_dir):
+    return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE, iterations=6).select("idx", "x", "y")
 
 
 # --- export ----------------------------------------------------------------
