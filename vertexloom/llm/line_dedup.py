@@ -31,11 +31,16 @@ BUCKETS = 1 << 20  # bound of the broadcast that thins the second scan
 AT = ["doc_id", "th", "line"]
 
 
-def _words(body: Column) -> Column:
+def _clean(body: Column) -> Column:
+    """The line's words with one space between them."""
     odd = body.startswith(" ") | body.endswith(" ")
     for mark in ("  ", "\t", "\x0b", "\f", "\r"):
         odd |= body.contains(mark)
-    return F.split(F.when(odd, F.trim(F.regexp_replace(body, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(body), " ", -1)
+    return F.when(odd, F.trim(F.regexp_replace(body, "[ \\t\\x0B\\f\\r]+", " "))).otherwise(body)
+
+
+def _count(clean: Column) -> Column:
+    return F.octet_length(clean) - F.octet_length(F.replace(clean, F.lit(" "), F.lit(""))) + 1
 
 
 def _end(n: Column) -> Column:
@@ -48,8 +53,8 @@ def _keys(n: Column) -> Column:
     """Hashes (key) of the h words at both ends (end: 0 first, 1 last) of a line of n words, for h(n) and,
     where that differs, h(n - 1): lines of n and n + 1 words both have the keys for h(n)."""
     own, less = _end(n), _end(n - 1)
-    first = lambda h: F.struct(F.xxhash64(F.lit(0), h, F.slice("words", F.lit(1), h)).alias("key"), F.lit(0).alias("end"), h.alias("h"))
-    last = lambda h: F.struct(F.xxhash64(F.lit(1), h, F.slice("words", n - h + 1, h)).alias("key"), F.lit(1).alias("end"), h.alias("h"))
+    first = lambda h: F.struct(F.xxhash64(F.lit(0), h, F.call_function("substring_index", F.col("clean"), F.lit(" "), h)).alias("key"), F.lit(0).alias("end"), h.alias("h"))
+    last = lambda h: F.struct(F.xxhash64(F.lit(1), h, F.call_function("substring_index", F.col("clean"), F.lit(" "), -h)).alias("key"), F.lit(1).alias("end"), h.alias("h"))
     return F.when(own == less, F.array(first(own), last(own))).otherwise(F.array(first(own), last(own), first(less), last(less)))
 
 
@@ -67,9 +72,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     """doc_id, th, line, near (whether by an edit) of each line that goes; th: xxhash64 of the text."""
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
-    # generators keep the words from being made once for every use
-    worded = split.select(*AT, F.explode(F.array(_words(F.col("body")))).alias("words")).withColumn("n", F.size("words")).where(F.col("n") >= max(2, min_words))
-    lines = kept(worded.select(*AT, F.xxhash64("words").alias("h1"), F.xxhash64(F.lit(7), "words").alias("h2"), F.transform(_keys(F.col("n")), lambda k: k.key).alias("keys")))
+    # the generator keeps the line from being made once for every use
+    worded = split.select(*AT, F.explode(F.array(_clean(F.col("body")))).alias("clean")).withColumn("n", _count(F.col("clean"))).where(F.col("n") >= max(2, min_words))
+    lines = kept(worded.select(*AT, F.xxhash64("clean").alias("h1"), F.xxhash64(F.lit(7), "clean").alias("h2"), F.transform(_keys(F.col("n")), lambda k: k.key).alias("keys")))
     owners = kept(lines.groupBy("h1", "h2").agg(F.min(_place(*AT)).alias("first"), F.count("*").alias("times")))
     same = lines.join(owners.where("times > 1"), ["h1", "h2"]).where(_place(*AT) > F.col("first")).select(*AT, F.lit(False).alias("near"))
 
@@ -85,8 +90,8 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     a, b = thin.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("a"), wanted.alias("b")
     found = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
     bodies = found.select("a.doc_id", "a.th", F.explode(F.array(F.split("a.text", "\n", -1))).alias("bodies"), "b.places").select("doc_id", "th", "bodies", F.explode("places").alias("p"))
-    own = bodies.select(F.struct("doc_id", "th", "p.line").alias("first"), "p.h1", "p.h2", _words(F.expr("bodies[p.line]")).alias("words"))
-    own = kept(own.withColumn("n", F.size("words")).dropDuplicates(["h1", "h2"]))
+    own = bodies.select(F.struct("doc_id", "th", "p.line").alias("first"), "p.h1", "p.h2", _clean(F.expr("bodies[p.line]")).alias("clean"))
+    own = kept(own.withColumn("words", F.split("clean", " ", -1)).withColumn("n", F.size("words")).dropDuplicates(["h1", "h2"]))
 
     spread = own.select("h1", "h2", "n", F.posexplode("words").alias("p", "w")).select("h1", "h2", "n", "p", F.xxhash64("p", "w").alias("here"), F.xxhash64(F.col("p") - 1, "w").alias("moved"))
     line = W.Window.partitionBy("h1", "h2").orderBy("p")
@@ -160,27 +165,27 @@ worded AS (
 ),
 taken AS (SELECT *, len(words) AS n FROM worded WHERE len(words) >= 5),
 firsts AS (
-  SELECT words, any_value(n) AS n, arg_min(struct_pack(d := doc_id, l := line), (doc_id, line)) AS at FROM taken GROUP BY words
+  SELECT words, any_value(n) AS n, arg_min({'d': doc_id, 'l': line}, (doc_id, line)) AS spot FROM taken GROUP BY words
 ),
 keys AS (
-  SELECT at, words, n, unnest([
+  SELECT spot, words, n, unnest([
     hash(n, 0, words[1:n // 2]), hash(n, 1, words[n // 2 + 1:]),
     hash(n - 1, 0, words[1:(n - 1) // 2]), hash(n - 1, 1, words[n - ((n - 1) - (n - 1) // 2) + 1:])]) AS key
   FROM firsts
 ),
 pairs AS (
-  SELECT DISTINCT b.at AS at, b.words AS x, a.words AS y, b.n AS n, a.n AS m
-  FROM keys a JOIN keys b ON a.key = b.key AND a.at < b.at AND abs(a.n - b.n) <= 1
+  SELECT DISTINCT b.spot AS spot, b.words AS x, a.words AS y, b.n AS n, a.n AS m
+  FROM keys a JOIN keys b ON a.key = b.key AND a.spot < b.spot AND abs(a.n - b.n) <= 1
 ),
 near AS (
-  SELECT DISTINCT at FROM pairs
+  SELECT DISTINCT spot FROM pairs
   WHERE len(list_filter(range(1, least(n, m) + 1), lambda i: x[1:i] = y[1:i]))
       + len(list_filter(range(1, least(n, m) + 1), lambda i: x[n - i + 1:] = y[m - i + 1:])) >= greatest(n, m) - 1
 ),
 gone AS (
-  SELECT t.doc_id, t.line, (t.doc_id, t.line) = (f.at.d, f.at.l) AS near
+  SELECT t.doc_id, t.line, (t.doc_id, t.line) = (f.spot.d, f.spot.l) AS near
   FROM taken t JOIN firsts f ON t.words = f.words
-  WHERE (t.doc_id, t.line) <> (f.at.d, f.at.l) OR f.at IN (SELECT at FROM near)
+  WHERE (t.doc_id, t.line) <> (f.spot.d, f.spot.l) OR f.spot IN (SELECT spot FROM near)
 ),
 by_doc AS (SELECT doc_id, count(*) AS dropped, count(*) FILTER (near) AS near_dropped, list(line ORDER BY line) AS dropped_lines FROM gone GROUP BY doc_id)
 SELECT s.doc_id, len(s.parts)::INT AS lines, coalesce(g.dropped, 0)::INT AS dropped, coalesce(g.near_dropped, 0) AS near_dropped,
