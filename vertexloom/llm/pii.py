@@ -58,6 +58,12 @@ _ADDRESS = re.compile(
 )
 _AT_PART = re.compile(rf"{_AT}|\s+at\s+", re.IGNORECASE)
 _DOT_PART = re.compile(rf"{_DOT}|\s+dot\s+", re.IGNORECASE)
+_BARE = re.compile(r"\sdot\s")
+_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
+_APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
+_DIGIT_WORDS = frozenset(w.encode() for w in _DIGITS)
+#: What isn't a Latin letter, common punctuation or a currency sign; hidden characters and look-alikes are among it.
+_ODD = re.compile("[^\\x00-\\xac\\xae-\\u0130\\u0132-\\u0250\\u1e00-\\u1eff\\u2010-\\u2027\\u2030-\\u205f\\u20a0-\\u20cf]")
 _HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s", re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9.])[0-9]++(?:{_DOT}[0-9]++){{3}}", re.IGNORECASE)
 
@@ -127,7 +133,7 @@ class Rewritten:
 
 
 @cache
-def _homoglyphs() -> tuple[dict[int, str], re.Pattern]:
+def _homoglyphs() -> dict[str, str]:
     """Characters to their plain forms: wide and mathematical forms and other scripts' decimal digits by rule."""
     table = dict(_LOOK_ALIKES)
     for code in (*range(0xFF01, 0xFF5F), *range(0x1D400, 0x1D800), *range(0x660, 0xFF1A)):
@@ -138,15 +144,14 @@ def _homoglyphs() -> tuple[dict[int, str], re.Pattern]:
             simple = unicodedata.normalize("NFKC", c)
             if len(simple) == 1 and simple.isascii():
                 table[c] = simple
-    pattern = re.compile("[" + re.escape("".join(table) + _HIDDEN) + "]")
-    return table, pattern
+    return table | dict.fromkeys(_HIDDEN, "")
 
 
 def _see_through_glyphs(now: Rewritten) -> Rewritten:
-    if now.text.isascii():
+    if not _ODD.search(now.text):
         return now
-    table, pattern = _homoglyphs()
-    edits = [(m.start(), m.end(), table.get(m[0], "")) for m in pattern.finditer(now.text)]
+    table = _homoglyphs()
+    edits = [(i, i + 1, table[c]) for i, c in enumerate(now.text) if c in table]
     return now.edit(edits) if edits else now
 
 
@@ -181,11 +186,23 @@ def _undo_at_and_dot(now: Rewritten) -> Rewritten:
     return now.edit([edits[a] for a in sorted(edits)]) if edits else now
 
 
+def _may_hide(text: str) -> bool:
+    """Whether a step could rewrite anything, by cheap tests first."""
+    if not text.isascii() and _ODD.search(text):
+        return True
+    low = text.lower()
+    if "dot" in low and _BARE.search(low) or any(c in text for c in "[({<") and _BRACKETED.search(low):
+        return True
+    if not any(w in low for w in _DIGITS):
+        return False
+    words = low.encode().translate(_APART).split()
+    found = _DIGIT_WORDS.intersection(words)
+    return sum(map(words.count, found)) >= 3 and _SPELLED.search(text) is not None
+
+
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Spans that take a rewrite to see, apart from known ones of their kind or wider than those they hold."""
-    now = first = Rewritten(text, [], [])
-    low = text.lower()
-    if text.isascii() and not any(w in low for w in ("dot", "(at", "[at", "{at", "<at", "( ", "[ ", "{ ", "< ", "(@", "[@", "{@", "<@", "(.", "[.", "{.")) and not _SPELLED.search(text):
+    if not _may_hide(text):
         return []
     now = Rewritten.of(text)
     first = now
