@@ -9,8 +9,8 @@ without their clause.
 
 Entries come from a seed list and from labelled rows of the training fold: a bounded sample of each class
 (max_rows rows of least hash) gives words and stems that only toxic texts use; a greedy cover of the toxic
-texts keeps the few that explain them, so that words that are merely copied along drop out. Label weights
-are fitted by logistic regression on the same sample. The fitted model is a few kB (max_terms bounds it) and
+texts keeps the few that explain them, so that words that are merely copied along drop out, and what a 25th of
+the toxic texts share stays too. Label weights are fitted by logistic regression on the same sample. The fitted model is a few kB (max_terms bounds it) and
 goes to the workers; scoring is one pass over the texts without a shuffle.
 
 Defined results: null and empty texts get the score of a text without matches; without labels (or with
@@ -31,6 +31,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import kept
+
 SLICE = 256
 STEMS = (4, 5, 6)  # lengths of word beginnings that may be entries, written "lowei*"
 SEED_INSULTS = "idiot moron stupid loser scum trash clown pathetic worthless disgusting imbecile cretin filth vermin bastard scumbag jerk".split()
@@ -187,14 +189,18 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_terms: i
     spark = docs.sparkSession
     sample = F.broadcast(_sample(labels, max_rows))  # 2 * max_rows rows of two numbers
     read = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(sample, "doc_id").select("text", "toxic")
+    read = kept(read.dropDuplicates(["text"]))  # copies would pass their rare words off as toxic
     terms = read.mapInArrow(_count_terms, "term string, toxic int, n long").groupBy("term").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("bad"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("good"))
     sizes = dict(read.groupBy("toxic").count().collect())
     if not sizes.get(0) or not sizes.get(1):
         return Grammar()
     odds = F.log((F.col("bad") + 0.5) / (sizes[1] + 1.0)) - F.log((F.col("good") + 0.5) / (sizes[0] + 1.0))
-    least = max(2, sizes[1] // 300)
-    top = terms.where((F.col("bad") >= least) & (F.col("good") * 50.0 * sizes[1] <= F.col("bad") * sizes[0])).withColumn("odds", odds).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
-    known = {r.term: float(r.odds) for r in top} | {t: 3.0 for t in SEED_INSULTS}
+    least, strong = max(2, sizes[1] // 300), max(4, sizes[1] // 25)
+    pure = F.col("good") * 50.0 * sizes[1] <= F.col("bad") * sizes[0]
+    scored = kept(terms.where((F.col("bad") >= least) & pure | F.col("term").isin(SEED_INSULTS)).withColumn("odds", odds))
+    top = scored.where(pure & (F.col("bad") >= least)).orderBy(F.desc("bad"), "term").limit(max_terms).collect()
+    known = {r.term: float(r.odds) for r in top}
+    seeds = {r.term: float(r.odds) for r in scored.where(F.col("term").isin(SEED_INSULTS)).collect()}
     candidates = spark.sparkContext.broadcast(set(known))
 
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,7 +216,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, max_terms: i
 
     found = read.mapInArrow(hits, "entries array<string>, toxic int").where("toxic = 1").distinct().collect()
     chosen = _cover([set(r.entries) for r in found], known, least)
-    grammar = Grammar({t: 3.0 for t in SEED_INSULTS} | chosen)
+    # what many toxic texts have and hardly any other is an entry even where the cover had no need of it
+    chosen |= {r.term: known[r.term] for r in top if r.bad >= strong}
+    usual = float(np.median(list(chosen.values()))) if chosen else 3.0
+    grammar = Grammar({t: seeds.get(t, usual) for t in SEED_INSULTS if seeds.get(t, usual) > 0} | chosen)
     shared = spark.sparkContext.broadcast(grammar)
 
     def masses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
