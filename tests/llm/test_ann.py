@@ -53,10 +53,11 @@ def test_recall_and_scores(spark, scale):
     assert hits / (20 * len(want)) >= 0.9
 
 
-def test_all_leaves_give_the_exact_answer(spark):
+@pytest.mark.parametrize("shard_rows", [30, 32_768])
+def test_all_leaves_give_the_exact_answer(spark, shard_rows):
     data = rows(400)
     got = {}
-    for r in A.search(frame(spark, data), share=1.0, leaf_rows=20, shard_rows=30).orderBy("query_id", "rank").collect():
+    for r in A.search(frame(spark, data), share=1.0, leaf_rows=20, shard_rows=shard_rows).orderBy("query_id", "rank").collect():
         got.setdefault(r.query_id, []).append((r.vec_id, r.score))
     assert got == {q: [(i, pytest.approx(s)) for i, s in own] for q, own in exact(data).items()}
 

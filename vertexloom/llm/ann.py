@@ -14,8 +14,8 @@ whole leaves (a leaf that is larger than a shard is split over several); a query
 that holds leaves it visits, and each shard returns its k + 1 best. What the driver holds is the sample, the
 forest and the sizes of its leaves, all bounded by sample_rows, trees and max_depth.
 
-Recall depends on the data: on vectors without any structure (the test tables' background) it takes half of
-all vectors to find 95 % of the neighbours, so `share` is set for those; clustered vectors need far less.
+Recall depends on the data: on vectors without any structure (the test tables' background) it takes four fifths of
+all vectors to find 92 to 99 % of the neighbours, so `share` is set for those; clustered vectors need far less.
 
 Defined results: vectors that are null, zero, of another length than most, or that hold null or non-finite
 components take no part; a null vec_id takes no part; of rows that repeat a vec_id with the same vector one
@@ -116,7 +116,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return own.where(F.size("v") == (length.n if length else -1)).dropDuplicates(["vec_id", "v"])
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, share: float = 0.25, leaf_rows: int = 200, sample_rows: int = 20_000, shard_rows: int = 32_768, max_depth: int = 11, seed: int = 42) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, share: float = 0.35, leaf_rows: int = 100, sample_rows: int = 20_000, shard_rows: int = 32_768, max_depth: int = 11, seed: int = 42) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of vectors (vec_id, embedding, ...) whose
     vec_id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -174,14 +174,14 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, sha
     dealt = placed.join(F.broadcast(own), "leaf").withColumn("shard", F.expr("parts[cast(pmod(xxhash64(rep), size(parts)) as int)]"))
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _best(left, right, k + 1)
+        return _best(left, right, k + 1, trees)
 
     near = asked.groupBy("shard").cogroup(dealt.select("shard", "leaf", "rep", "v").groupBy("shard")).applyInArrow(ranked, "asks long, rep long, score double")
     return _expanded(near, rows, k, query)
 
 
-def _best(asks: pa.Table, held: pa.Table, k: int) -> pa.Table:
-    """The k best candidates of each query among the leaves it visits here."""
+def _best(asks: pa.Table, held: pa.Table, k: int, copies: int) -> pa.Table:
+    """The k best candidates of each query among the leaves it visits here; a vector is held once for each tree."""
     schema = pa.schema([("asks", pa.int64()), ("rep", pa.int64()), ("score", pa.float64())])
     if not asks.num_rows or not held.num_rows:
         return schema.empty_table()
@@ -202,9 +202,11 @@ def _best(asks: pa.Table, held: pa.Table, k: int) -> pa.Table:
             if a < b:
                 scores[who, a:b] = block[who] @ v[a:b].T
         for i, row in enumerate(scores):
-            least = np.partition(row, len(row) - k)[len(row) - k] if len(row) > k else -np.inf
+            most = k * copies
+            least = np.partition(row, len(row) - most)[len(row) - most] if len(row) > most else -np.inf
             slack = 1e-9 * max(1.0, abs(float(least))) if np.isfinite(least) else 0.0
             some = np.flatnonzero(row >= least - slack) if np.isfinite(least) else np.flatnonzero(row > -np.inf)
+            some = some[np.unique(rep[some], return_index=True)[1]]
             exact = (v[some] * block[i]).sum(axis=1)  # one way of adding for every pair, so that equal ones tie
             some = some[np.lexsort((rep[some], -exact))[:k]] if len(some) else some
             exact = (v[some] * block[i]).sum(axis=1)
