@@ -1,0 +1 @@
+"""Graph operators: DataFrames in, DataFrames out."""

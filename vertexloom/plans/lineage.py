@@ -23,7 +23,7 @@ def cut(df: DataFrame) -> DataFrame:
 
 def kept(df: DataFrame) -> DataFrame:
     """Write df as a Parquet table in the shared checkpoint folder and read it back: lineage is cut as by
-    `cut`, in compressed columns. For what is large or read in part."""
+    `cut`, in compressed columns. For what is large or read in part. The table stays until the folder is cleared."""
     use_checkpoint_dir(df.sparkSession)
     path = f"{df.sparkSession.sparkContext.getCheckpointDir()}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)

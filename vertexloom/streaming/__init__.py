@@ -1,0 +1 @@
+"""Left empty: no operator here has a streaming form yet; `foreachBatch` over edge deltas can call any of them."""
