@@ -397,6 +397,16 @@ def _(spark, sf_dir):
     return force.spring_gradient(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("gx"), 8).alias("gx"), rounded(F.col("gy"), 8).alias("gy"))
 
 
+@query("kk_tick1", f"""WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL},
+h AS (SELECT i, sum((1 - d / l) * (xi - xj) / (d * d)) AS gx, sum((1 - d / l) * (yi - yj) / (d * d)) AS gy, sum((1 - d * (yi - yj) * (yi - yj) / (l * l * l)) / (d * d)) AS hxx,
+  sum((1 - d * (xi - xj) * (xi - xj) / (l * l * l)) / (d * d)) AS hyy, sum((xi - xj) * (yi - yj) / (l * l * l) / d) AS hxy FROM w GROUP BY i),
+m AS (SELECT * FROM h ORDER BY sqrt(gx * gx + gy * gy) DESC, i LIMIT 1)
+SELECT idx, {_r('x + coalesce((hxy * gy - hyy * gx) / (hxx * hyy - hxy * hxy), 0)', 4)} AS x, {_r('y + coalesce((hxy * gx - hxx * gy) / (hxx * hyy - hxy * hxy), 0)', 4)} AS y FROM p LEFT JOIN m ON i = idx""")
+def _(spark, sf_dir):
+    g = _circle(spark, sf_dir)
+    return force.kamada_kawai_tick(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
+
+
 @query("smacof_step1", f"WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL} SELECT i AS idx, {_r('sum((xj + d / l * (xi - xj)) / (d * d)) / sum(1 / (d * d))', 4)} AS x, {_r('sum((yj + d / l * (yi - yj)) / (d * d)) / sum(1 / (d * d))', 4)} AS y FROM w GROUP BY i")
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
