@@ -71,6 +71,16 @@ def test_higher_orders_and_histories():
     assert before[1][2] == keys[1][1] and before[1][0] == before[1][4] == before[1][5]
 
 
+def test_a_filter_beyond_the_bound_keeps_its_bits(spark):
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(400_000)}" for _ in range(150))) for i in range(2000)]
+    rows += [(i, rows[i % 50][1]) for i in range(2000, 2100)] + [(None, None), (2101, "")]
+    docs = frame(spark, rows)
+    free = {(r.doc_id, r.n_known, r.base_score, round(r.score, 9)) for r in M.score_documents(docs).collect()}
+    bound = [(r.doc_id, r.n_known, r.base_score, round(r.score, 9)) for r in M.score_documents(docs, max_bits=1 << 20, block_rows=300).collect()]
+    assert len(bound) == len(rows) and set(bound) == free
+
+
 def test_empty_tables(spark):
     assert M.score_documents(frame(spark, [])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)

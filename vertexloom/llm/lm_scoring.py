@@ -8,9 +8,9 @@ Dirichlet interpolation, order by order:
 p(w | h) = (min(c(hw), c(h)) + mu * p(w | shorter h)) / (c(h) + mu), and (c(w) + 1) / (N + V + 1) at the end.
 
 The filter is made of segments of SEGMENT bits; an n-gram's segment follows from its hash, so segments are
-built apart, each in one task. What is broadcast is bounded: max_bits (64 MB) for the filter; as long as the
-keys need less, it has bits_per_key for each, and beyond that only its error rate grows: no n-gram is
-dropped for room. N-grams of order 2 and up count from min_count occurrences (part of the model, the
+built apart, each in one task. It has bits_per_key for each key at every size. What is broadcast is bounded:
+max_bits (64 MB) for the filter; a larger one is never gathered: each block of documents sends its distinct
+n-grams to their segments, where they are probed, and gets the levels back, the same ones. N-grams of order 2 and up count from min_count occurrences (part of the model, the
 same at every size). The exact word counts of base_score are broadcast up to max_vocabulary words (96 MB); a
 larger vocabulary is joined instead, block of documents by block, with the words that the block uses.
 
@@ -133,10 +133,13 @@ class LogBloom:
 
     def counts(self, n: int, keys: np.ndarray) -> np.ndarray:
         """Approximate counts of n-grams: the mean count of the highest level that the filter affirms."""
-        own = mixed(keys + np.uint64(n))
+        return self.means[self.highest(mixed(keys + np.uint64(n)))]
+
+    def highest(self, own: np.ndarray) -> np.ndarray:
+        """The highest level that the filter affirms for each mixed key."""
         first = segments(own, len(self.bits)) * np.uint64(SEGMENT)
         flat = self.bits.reshape(-1)
-        level, open_ = np.zeros(len(keys), dtype=np.int64), np.arange(len(keys))
+        level, open_ = np.zeros(len(own), dtype=np.int64), np.arange(len(own))
         for q in range(1, len(self.means)):
             start, step = stride(own[open_], q)
             for i in range(self.probes):  # who fails one probe is asked no more
@@ -146,7 +149,23 @@ class LogBloom:
             if not len(open_):
                 break
             level[open_] = q
-        return self.means[level]
+        return level
+
+
+@dataclass
+class Probed:
+    """Levels that were probed elsewhere; own: sorted mixed keys, all others have level 0."""
+
+    own: np.ndarray
+    level: np.ndarray
+    means: np.ndarray
+
+    def counts(self, n: int, keys: np.ndarray) -> np.ndarray:
+        own = mixed(keys + np.uint64(n))
+        if not len(self.own):
+            return np.zeros(len(own))
+        at = np.minimum(np.searchsorted(self.own, own), len(self.own) - 1)
+        return self.means[np.where(self.own[at] == own, self.level[at], 0)]
 
 
 def segments(own: np.ndarray, number: int) -> np.ndarray:
@@ -163,40 +182,71 @@ def levels(counts: np.ndarray, base: float) -> np.ndarray:
     return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
 
 
-def build_filter(counts: DataFrame, base: float = 2.0, bits_per_key: int = 10, max_bits: int = 1 << 29) -> LogBloom:
-    """The filter of all (n, key, count); the driver gets max_bits at most."""
+def size_of(counts: DataFrame, base: float, bits_per_key: int) -> tuple[int, int]:
+    """Number of segments and of probes for all (n, key, count)."""
     total = int(counts.agg(F.sum(1 + F.floor(F.log(F.col("count")) / float(np.log(base)) + 1e-9))).first()[0] or 0)
-    number = max(1, -(-min(max_bits, total * bits_per_key) // SEGMENT))
-    probes = max(1, min(5, round(number * SEGMENT / max(1, total) * np.log(2))))
+    number = max(1, -(-total * bits_per_key // SEGMENT))
+    return number, max(1, min(5, round(number * SEGMENT / max(1, total) * np.log(2))))
+
+
+def keyed(counts: DataFrame, base: float, number: int) -> DataFrame:
+    """(segment, own, level) of all (n, key, count)."""
 
-    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, key, count = (c.to_numpy() for c in batch.columns)
             own = mixed(key.view(np.uint64) + n.astype(np.uint64))
             yield pa.RecordBatch.from_arrays([pa.array(segments(own, number).astype(np.int32)), pa.array(own.view(np.int64)), pa.array(levels(count, base).astype(np.int32))], ["segment", "own", "level"])
 
+    return counts.select("n", "key", "count").mapInArrow(run, "segment int, own long, level int")
+
+
+def fill(mine: np.ndarray, own: np.ndarray, level: np.ndarray, probes: int) -> None:
+    """Set the flags of keys with their levels in one segment."""
+    for q in range(1, int(level.max(initial=0)) + 1):
+        start, step = stride(own[level >= q], q)
+        for i in range(probes):
+            mine[((start + np.uint64(i) * step) & np.uint64(SEGMENT - 1)).view(np.int64)] = True
+
+
+def build_filter(counts: DataFrame, base: float = 2.0, bits_per_key: int = 10) -> LogBloom:
+    """The filter of all (n, key, count), whole on the driver: for what fits there (see size_of)."""
+    return gathered(counts, base, *size_of(counts, base, bits_per_key))
+
+
+def gathered(counts: DataFrame, base: float, number: int, probes: int) -> LogBloom:
     def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits: dict[int, np.ndarray] = {}
         for batch in batches:
             segment, own, level = (c.to_numpy() for c in batch.columns)
             for s in np.unique(segment).tolist():
-                mine = bits.setdefault(s, np.zeros(SEGMENT, bool))
                 some = segment == s
-                keys, high = own[some].view(np.uint64), level[some]
-                for q in range(1, int(high.max()) + 1):
-                    start, step = stride(keys[high >= q], q)
-                    for i in range(probes):
-                        mine[((start + np.uint64(i) * step) & np.uint64(SEGMENT - 1)).view(np.int64)] = True
+                fill(bits.setdefault(s, np.zeros(SEGMENT, bool)), own[some].view(np.uint64), level[some], probes)
         for s, mine in bits.items():
             yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
 
-    dealt = counts.select("n", "key", "count").mapInArrow(keyed, "segment int, own long, level int").repartition(partitions(counts.sparkSession), "segment")
+    dealt = keyed(counts, base, number).repartition(partitions(counts.sparkSession), "segment")
     table = np.zeros((number, SEGMENT // 8), np.uint8)
     for row in dealt.mapInArrow(filled, "segment int, bits binary").collect():
         table[row.segment] = np.frombuffer(row.bits, np.uint8)
     return LogBloom(table, probes, base)
 
 
+def probed(counts: DataFrame, asked: DataFrame, base: float, number: int, probes: int) -> DataFrame:
+    """(block, key, value) of asked (segment, block, own): each mixed key's level where it has one, probed in its segment."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = right["own"].to_numpy().view(np.uint64)
+        mine = np.zeros(SEGMENT, bool)
+        fill(mine, left["own"].to_numpy().view(np.uint64), left["level"].to_numpy(), probes)
+        unique, back = np.unique(own, return_inverse=True)
+        level = LogBloom(np.packbits(mine, bitorder="little")[None], probes, base).highest(unique)[back]
+        some = np.flatnonzero(level)
+        return pa.table([pa.array(right["block"].to_numpy()[some]), pa.array(own[some].view(np.int64)), pa.array(level[some])], ["block", "key", "value"])
+
+    return keyed(counts, base, number).groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(run, "block long, key long, value long")
+
+
 @dataclass
 class Totals:
     tokens: int
@@ -249,8 +299,11 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, mu: flo
     words = counts.where("n = 1").select("key", "count")
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     totals = Totals(int(n), int(v), order, mu)
-    bloom = spark.sparkContext.broadcast(build_filter(counts, base, bits_per_key, max_bits))
+    number, probes = size_of(counts, base, bits_per_key)
     schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}"
+    if number * SEGMENT > max(max_bits, SEGMENT):
+        return _joined(rows, words, None, totals, schema, block_rows, lambda asked: probed(counts, asked, base, number, probes), number, base)
+    bloom = spark.sparkContext.broadcast(gathered(counts, base, number, probes))
     if v <= max_vocabulary:
         table = words.toArrow()
         key, count = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
@@ -267,29 +320,58 @@ def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, mu: flo
     return _joined(rows, words, bloom, totals, schema, block_rows)
 
 
-def _joined(rows: DataFrame, words: DataFrame, bloom, totals: Totals, schema: str, block_rows: int) -> DataFrame:
-    """The same when the vocabulary is too large to broadcast: blocks of documents meet the counts of their words."""
+def _joined(rows: DataFrame, words: DataFrame, bloom, totals: Totals, schema: str, block_rows: int, answers=None, number: int = 0, base: float = 0.0) -> DataFrame:
+    """The same when the vocabulary or the filter is too large to broadcast: blocks of documents meet the counts
+    of their words and, without bloom, the levels of their n-grams (answers, from `number` segments)."""
     blocks = max(1, -(-rows.count() // block_rows))
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
 
+    def pairs_of(block: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        order = np.lexsort((keys, block))
+        block, keys = block[order], keys[order]
+        new = np.append(True, (block[1:] != block[:-1]) | (keys[1:] != keys[:-1]))
+        return block[new], keys[new]
+
     def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 some = batch.slice(start, SLICE)
                 tokens, starts = tokens_of(some.column(1).to_pylist(), hashes)
-                block = np.repeat(some.column(0).to_numpy(), np.diff(starts))
-                pairs = np.unique(np.stack([block, tokens.view(np.int64)]), axis=1)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["block", "key"])
+                block, keys = pairs_of(np.repeat(some.column(0).to_numpy(), np.diff(starts)), tokens)
+                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(keys.view(np.int64))], ["block", "key"])
 
-    asked = dealt.select("block", "text").mapInArrow(uses, "block long, key long").distinct().join(words, "key").select("block", "key", "count")
+    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = _Hashes()
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4 * SLICE):
+                some = batch.slice(start, 4 * SLICE)
+                tokens, starts = tokens_of(some.column(1).to_pylist(), hashes)
+                keys = grams(tokens, starts, totals.order)
+                found = [mixed(k + np.uint64(n)) for n, k in enumerate(keys, 1)] + [mixed(h + np.uint64(n)) for n, h in enumerate(histories(tokens, starts, keys), 1)]
+                block, own = pairs_of(np.tile(np.repeat(some.column(0).to_numpy(), np.diff(starts)), len(found)), np.concatenate(found))
+                for i in range(0, len(own), 100_000):
+                    part = own[i : i + 100_000]
+                    yield pa.RecordBatch.from_arrays([pa.array(segments(part, number).astype(np.int32)), pa.array(block[i : i + 100_000]), pa.array(part.view(np.int64))], ["segment", "block", "own"])
+
+    asked = dealt.select("block", "text").mapInArrow(uses, "block long, key long").distinct().join(words, "key").select("block", "key", F.col("count").alias("value"), F.lit(True).alias("exact"))
+    if bloom is None:
+        levels_ = answers(dealt.select("block", "text").repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block").mapInArrow(probes, "segment int, block long, own long"))
+        asked = asked.unionByName(levels_.select("block", "key", "value", F.lit(False).alias("exact")))
+        means = LogBloom(np.zeros((1, 1), np.uint8), 1, base).means
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key = right["key"].to_numpy().view(np.uint64)
+        key, value, exact = right["key"].to_numpy().view(np.uint64), right["value"].to_numpy(), right["exact"].to_numpy()
         order = np.argsort(key)
-        count = right["count"].to_numpy()[order]
+        key, value, exact = key[order], value[order], exact[order]
+        if bloom is None:
+            key_, value_ = key[~exact], value[~exact]
+            new = np.append(True, key_[1:] != key_[:-1]) if len(key_) else np.empty(0, bool)
+            model = Probed(key_[new], value_[new], means)
+        else:
+            model = bloom.value
         whole = left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches([out for b in whole for out in _scored(b, _Hashes(), bloom.value, key[order], count, totals)], pa.schema([(f.name, f.type) for f in _arrow(schema, left)]))
+        return pa.Table.from_batches([out for b in whole for out in _scored(b, _Hashes(), model, key[exact], value[exact], totals)], pa.schema([(f.name, f.type) for f in _arrow(schema, left)]))
 
     return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
 
