@@ -57,7 +57,7 @@ def test_filter_gives_levels_back(spark):
     bloom = M.build_filter(spark.createDataFrame([(2, int(k), int(c)) for k, c in zip(key, count, strict=True)], "n int, key long, count long"))
     got, level = bloom.counts(2, key.view(np.uint64)), M.levels(count, bloom.base)
     assert (got >= bloom.means[level]).all() and (got == bloom.means[level]).mean() > 0.97
-    assert (bloom.counts(2, rng.integers(0, 2**63, 20_000).view(np.uint64)) > 0).mean() < 0.05
+    assert (bloom.counts(2, rng.integers(0, 2**63, 20_000).view(np.uint64)) > 0).mean() < 0.03
     assert M.levels(np.array([1, 2, 3, 5, 6]), 1.5).tolist() == [1, 2, 3, 4, 5]
 
 
@@ -81,6 +81,13 @@ def test_a_filter_beyond_the_bound_keeps_its_bits(spark):
     assert len(bound) == len(rows) and set(bound) == free
 
 
+def test_a_bigram_seen_once_counts(spark):
+    held = [i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2][:2]
+    rows = [(next(i for i in range(99) if i not in held), "a b c d e f g h")]
+    got = {r.doc_id: r.score for r in M.score_documents(frame(spark, [*rows, (held[0], "b c d e"), (held[1], "c b e d")])).collect()}
+    assert got[held[0]] > got[held[1]]
+
+
 def test_empty_tables(spark):
     assert M.score_documents(frame(spark, [])).count() == 0
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)

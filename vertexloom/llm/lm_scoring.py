@@ -10,8 +10,7 @@ p(w | h) = (min(c(hw), c(h)) + mu * p(w | shorter h)) / (c(h) + mu), and (c(w) +
 The filter is made of segments of SEGMENT bits; an n-gram's segment follows from its hash, so segments are
 built apart, each in one task. It has bits_per_key for each key at every size. What is broadcast is bounded:
 max_bits (64 MB) for the filter; a larger one is never gathered: each block of documents sends its distinct
-n-grams to their segments, where they are probed, and gets the levels back, the same ones. N-grams of order 2 and up count from min_count occurrences (part of the model, the
-same at every size). The exact word counts of base_score are broadcast up to max_vocabulary words (96 MB); a
+n-grams to their segments, where they are probed, and gets the levels back, the same ones. N-grams of order 2 and up count from min_count occurrences (1: all of them). The exact word counts of base_score are broadcast up to max_vocabulary words (96 MB); a
 larger vocabulary is joined instead, block of documents by block, with the words that the block uses.
 
 Defined results: null counts as empty; a text without words is the end token alone; a null doc_id is in the
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.plans.lineage import cut, partitions
+from vertexloom.plans.lineage import kept, partitions
 
 SLICE = 256
 SEGMENT = 1 << 20  # bits
@@ -186,7 +185,7 @@ def size_of(counts: DataFrame, base: float, bits_per_key: int) -> tuple[int, int
     """Number of segments and of probes for all (n, key, count)."""
     total = int(counts.agg(F.sum(1 + F.floor(F.log(F.col("count")) / float(np.log(base)) + 1e-9))).first()[0] or 0)
     number = max(1, -(-total * bits_per_key // SEGMENT))
-    return number, max(1, min(5, round(number * SEGMENT / max(1, total) * np.log(2))))
+    return number, max(1, min(8, round(number * SEGMENT / max(1, total) * np.log(2))))
 
 
 def keyed(counts: DataFrame, base: float, number: int) -> DataFrame:
@@ -209,7 +208,7 @@ def fill(mine: np.ndarray, own: np.ndarray, level: np.ndarray, probes: int) -> N
             mine[((start + np.uint64(i) * step) & np.uint64(SEGMENT - 1)).view(np.int64)] = True
 
 
-def build_filter(counts: DataFrame, base: float = 2.0, bits_per_key: int = 10) -> LogBloom:
+def build_filter(counts: DataFrame, base: float = 1.5, bits_per_key: int = 12) -> LogBloom:
     """The filter of all (n, key, count), whole on the driver: for what fits there (see size_of)."""
     return gathered(counts, base, *size_of(counts, base, bits_per_key))
 
@@ -291,11 +290,11 @@ def _scored(batch: pa.RecordBatch, *model) -> Iterator[pa.RecordBatch]:
     del hashes
 
 
-def score_documents(docs: DataFrame, order: int = 2, min_count: int = 2, mu: float = 300.0, base: float = 2.0, bits_per_key: int = 10, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, block_rows: int = 2000) -> DataFrame:
+def score_documents(docs: DataFrame, order: int = 2, min_count: int = 1, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, block_rows: int = 2000) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
     spark = docs.sparkSession
     rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = cut(count_ngrams(rows.where("not held_out"), order).where((F.col("n") == 1) | (F.col("count") >= min_count)))
+    counts = kept(count_ngrams(rows.where("not held_out"), order).where((F.col("n") == 1) | (F.col("count") >= min_count)))
     words = counts.where("n = 1").select("key", "count")
     n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
     totals = Totals(int(n), int(v), order, mu)
