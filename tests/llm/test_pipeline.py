@@ -3,7 +3,7 @@ import random
 import numpy as np
 from test_line_dedup import expected as gone_lines
 from test_packing import whole
-from test_simhash import classes, slow_fingerprint
+from test_similar import expected as kept_ids
 
 import corpus_pipeline
 from vertexloom.llm import toxicity as T
@@ -50,14 +50,10 @@ def test_stages_against_brute_force(spark, tmp_path):
                 continue
             t = "\n".join(left)
         cut.append((i, t))
-    prints = {i: slow_fingerprint(t, 5) for i, t in cut}
-    top = classes(set(prints.values()), 6)
-    least = {}
-    for i, p in prints.items():
-        least[top[p]] = min(i, least.get(top[p], i))
+    stays = set(kept_ids(cut)[0])
     want = {}
     for i, t in cut:
-        if least[top[prints[i]]] == i:
+        if i in stays:
             want[i] = len(whole().encode(t or "", add_special_tokens=False).ids) + 1
     assert 300 in want and 301 not in want and 400 not in want
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()

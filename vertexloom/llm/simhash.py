@@ -10,7 +10,8 @@ spanning forest of the links it finds, never all pairs; the forests meet in conn
 Defined results: a null text counts as empty; texts without words have fingerprint 0, which links like
 any other; texts of fewer words than a shingle are one shingle; a doc_id that stands in several rows has
 one result row for each; a null doc_id never names a component unless the whole component has none.
-Columns beside doc_id and text are ignored here; `near_dedup` returns them untouched.
+Columns beside doc_id and text are ignored here; `similar.near_dedup`, which walks the same trie, returns them
+untouched.
 """
 
 from __future__ import annotations
@@ -92,13 +93,15 @@ def _opened(values: np.ndarray, lo: np.ndarray, hi: np.ndarray, depth: np.ndarra
 
 
 def trie_links(values: np.ndarray, starts: np.ndarray, budget: int = 4) -> tuple[np.ndarray, np.ndarray]:
-    """A spanning forest of the links inside each group: (index, index of its root), index <> root.
+    """A spanning forest of the links inside each group: pairs of indices, each within the budget.
 
     values: unsigned fingerprints, sorted and distinct within each group; starts: where groups begin.
     Pairs of trie nodes are opened together. A pair is pruned when its differing bits exceed the budget
     or when what it could link is one component already.
     """
     parent = np.arange(len(values))
+    firsts: list[int] = []
+    seconds: list[int] = []
 
     def root(i: int) -> int:
         while parent[i] != i:
@@ -124,9 +127,11 @@ def trie_links(values: np.ndarray, starts: np.ndarray, budget: int = 4) -> tuple
             i, j = i[near], j[near]
             fresh = parent[i] != parent[j]
             for x, y in zip(i[fresh].tolist(), j[fresh].tolist(), strict=True):
-                x, y = root(x), root(y)
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+                p, q = root(x), root(y)
+                if p != q:
+                    parent[max(p, q)] = min(p, q)
+                    firsts.append(x)
+                    seconds.append(y)
             flatten()
             rest = ~single
             alo, ahi, blo, bhi, depth, diff = (x[rest] for x in (alo, ahi, blo, bhi, depth, diff))
@@ -146,9 +151,7 @@ def trie_links(values: np.ndarray, starts: np.ndarray, budget: int = 4) -> tuple
             one = (merged[1] - merged[0] == 1) & (merged[3] - merged[2] == 1) & (parent[merged[0]] == parent[merged[2]])
             merged = [x[~one] for x in merged]
         stack += [tuple(x[i : i + PAIRS] for x in merged) for i in range(0, len(merged[0]), PAIRS)]
-    flatten()
-    at = np.flatnonzero(parent != np.arange(len(values)))
-    return at, parent[at]
+    return np.array(firsts, np.int64), np.array(seconds, np.int64)
 
 
 def _walked(budget: int):
@@ -208,16 +211,6 @@ def components(docs: DataFrame, shingle: int = 4, seed: int = 42, budget: int =
     return rows.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, shingle: int = 5, seed: int = 42, budget: int = 4, hot_rows: int = 20_000) -> DataFrame:
-    """The rows of docs that stay: of each component the row or rows with its least doc_id.
-
-    Rows without a doc_id stay. Repeated rows of a doc_id stay or go together.
-    """
-    found = components(docs, shingle, seed, budget, hot_rows)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-
-
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint, component_id of every row of documents."""
     return components(spark.read.parquet(f"{sf_dir}/documents.parquet"))
