@@ -1,21 +1,29 @@
 """Language-model scores from a log-frequency Bloom filter of quantised n-gram counts.
 
-Training counts all n-grams of the training fold (hashed; summed in tasks, then by a grouped sum). A count c
-is kept as its level 1 + floor(log_base c): the n-gram is put into the filter together with each of the
-numbers 1 .. level. A reader asks for the n-gram with 1, 2, ... until the filter says no; the last yes is the
-level, and the level's mean count takes the count's place. Probabilities are smoothed from these by
-Dirichlet interpolation, order by order:
-p(w | h) = (min(c(hw), c(h)) + mu * p(w | shorter h)) / (c(h) + mu), and (c(w) + 1) / (N + V + 1) at the end.
-
-The filter is made of segments of SEGMENT bits; an n-gram's segment follows from its hash, so segments are
-built apart, each in one task. It has bits_per_key for each key at every size. What is broadcast is bounded:
-max_bits (64 MB) for the filter; a larger one is never gathered: each block of documents sends its distinct
-n-grams to their segments, where they are probed, and gets the levels back, the same ones. N-grams of order 2 and up count from min_count occurrences (1: all of them). The exact word counts of base_score are broadcast up to max_vocabulary words (96 MB); a
-larger vocabulary is joined instead, block of documents by block, with the words that the block uses.
+Training counts all words and pairs of words of the training fold. A count c is kept as its level 1 + floor(log_base c):
+the n-gram is put into the filter together with each of the numbers 1 .. level. A reader asks for the n-gram with 1, 2,
+... until the filter says no; the last yes is the level, and the level's mean count m takes the count's place.
+Probabilities are smoothed from these by Dirichlet interpolation and add up to 1 but for the filter's errors:
+p(w) = (m(w) + 1) / (M + V + 1), M the sum of m over all words, one unit left for words that training never saw;
+p(w | h) = (m(hw) + mu p(w)) / (T(h) + mu), T(h) the sum of m(hw) over all words w after h. M and T are exact sums of
+the level means, made when the filter is. Before a text stands its end token. A pair with a word that training never
+saw isn't probed: it can't have been counted.
+
+The filter is made of segments, dealt by the pair's first word and three bits of its second, whose number follows the
+training text (segment_bytes each), so that none outgrows a task; each has bits_per_key bits for each of its own keys,
+so the error rate is the same at every size. The tasks exchange pairs as sorted codes of known words, 3 to 5 bytes each.
+
+What is broadcast is bounded, and what is larger has an exact way that gives the same scores:
+- a filter of at most max_bits (64 MB) goes to the workers, which probe it text by text;
+- a larger one stays in its segments: slices of texts send their pairs, with the texts they stand in, to the segments,
+  and get back what these add to each text's score (texts are read where they lie and never shuffled);
+- a vocabulary beyond max_vocabulary words (25 bytes each: 100 MB) is neither broadcast nor coded: pairs are joined as
+  64-bit hashes of their words.
 
 Defined results: null counts as empty; a text without words is the end token alone; a null doc_id is in the
 training fold; repeated rows count as often as they come; with no training rows N = V = 0; further columns
-are ignored. Words are told apart by 64-bit hashes.
+are ignored, whatever their names; an empty table gives no rows; texts may have any length. Words are told apart by
+64-bit hashes.
 """
 
 from __future__ import annotations
@@ -25,18 +33,22 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
+from pyspark import Broadcast, TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vertexloom.plans.lineage import kept, partitions
+from vertexloom.plans.lineage import kept
 
 SLICE = 256
-SEGMENT = 1 << 20  # bits
-COUNTED = 3_000_000  # tokens whose n-grams are summed before they leave a task
+COUNTED = 2_000_000  # tokens whose pairs are summed before they leave a task
 CACHED = 200_000  # words whose hashes a task remembers
+SALTS = np.uint64(7)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word has a space in it
+C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+FILTER = "segment int, size long, bits binary, words binary, levels binary, heads binary, sums binary"
 
 
 class _Hashes(dict):
@@ -64,86 +76,107 @@ def tokens_of(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.
     return np.concatenate(arrays) if arrays else np.empty(0, np.uint64), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
 
 
-def grams(tokens: np.ndarray, starts: np.ndarray, order: int) -> list[np.ndarray]:
-    """Keys of the n-gram that ends at each token, for n = 1 .. order; before a text stand end tokens."""
-    keys, history = [tokens], tokens
-    place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
-    for n in range(2, order + 1):
-        before = np.where(place >= n - 1, tokens[np.maximum(np.arange(len(tokens)) - n + 1, 0)], END)
-        history = mixed(history * np.uint64(0x9E3779B97F4A7C15) + before + np.uint64(n))
-        keys.append(history)
-    return keys
-
-
-def histories(tokens: np.ndarray, starts: np.ndarray, keys: list[np.ndarray]) -> list[np.ndarray]:
-    """For n = 2 .. order, the key of the n-1 tokens before each token."""
-    at = np.arange(len(tokens)) - 1
-    first = np.zeros(len(tokens), dtype=bool)
-    first[starts[:-1]] = True
-    out, all_ends = [], END
-    for n in range(2, len(keys) + 1):
-        own = keys[n - 2][at]
-        own[first] = all_ends
-        out.append(own)
-        all_ends = mixed(np.array([all_ends]) * np.uint64(0x9E3779B97F4A7C15) + END + np.uint64(n))[0]
+def before(tokens: np.ndarray, starts: np.ndarray, end) -> np.ndarray:
+    """The token before each token; the end token before a text's first one."""
+    out = tokens[np.arange(len(tokens)) - 1]
+    out[starts[:-1]] = end
     return out
 
 
-def count_ngrams(docs: DataFrame, order: int) -> DataFrame:
-    """(n, key, count) over all texts of docs."""
+def pair_key(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+    return mixed(h * C1 + w)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, size = _Hashes(), [[] for _ in range(order)], 0
 
-        def give() -> Iterator[pa.RecordBatch]:
-            for n, parts in enumerate(held, 1):
-                key, count = np.unique(np.concatenate(parts), return_counts=True)
-                parts.clear()
-                for i in range(0, len(key), 100_000):
-                    some = key[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(some), n, np.int32)), pa.array(some.view(np.int64)), pa.array(count[i : i + 100_000])], ["n", "key", "count"])
+def word_key(w: np.ndarray) -> np.ndarray:
+    return mixed(w ^ C3)
 
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                tokens, starts = tokens_of(batch.column(0).slice(start, SLICE).to_pylist(), hashes)
-                for parts, key in zip(held, grams(tokens, starts, order), strict=True):
-                    parts.append(key)
-                size += len(tokens)
-                if size >= COUNTED:
-                    yield from give()
-                    size = 0
-        if size:
-            yield from give()
 
-    return docs.select(F.col("text").cast("string")).mapInArrow(run, "n int, key long, count long").groupBy("n", "key").agg(F.sum("count").alias("count"))
+def pair_segment(h: np.ndarray, w: np.ndarray, number: int) -> np.ndarray:
+    """Segment of a pair: by its first word and some bits of the second, so that a common first word is spread."""
+    return _scaled(mixed(h + (w & SALTS) * C2), number)
 
 
-@dataclass
-class LogBloom:
-    """bits: segments x bytes; keys are probed `probes` times for each level."""
+def word_segment(w: np.ndarray, number: int) -> np.ndarray:
+    return _scaled(mixed(w * C2), number)
 
-    bits: np.ndarray
-    probes: int
-    base: float
 
-    def __post_init__(self):
+def _scaled(x: np.ndarray, number: int) -> np.ndarray:
+    return (((x >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)).astype(np.int64)
+
+
+def packed(x: np.ndarray, ordered: bool = False) -> bytes:
+    """Whole numbers as bytes, plane by plane, so that leading zeros compress away; as differences if in order."""
+    x = np.ascontiguousarray(np.diff(x, prepend=0) if ordered else x, dtype="<i8")
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+
+
+def unpacked(b: bytes, ordered: bool = False) -> np.ndarray:
+    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
+    x = np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+    return np.cumsum(x) if ordered else x
+
+
+@dataclass(frozen=True)
+class Shape:
+    """How the filter is built."""
+
+    base: float = 1.5
+    bits_per_key: int = 12
+    number: int = 1
+
+    @property
+    def probes(self) -> int:
+        return max(1, round(self.bits_per_key * np.log(2)))
+
+    @property
+    def means(self) -> np.ndarray:
+        """Mean of the counts of each level; 0 for level 0."""
         bounds = [int(np.ceil(self.base**q - 1e-9)) for q in range(80)]
-        self.means = np.array([0.0, *((lo + max(lo, hi - 1)) / 2 for lo, hi in zip(bounds, bounds[1:], strict=False))])
-
-    def counts(self, n: int, keys: np.ndarray) -> np.ndarray:
-        """Approximate counts of n-grams: the mean count of the highest level that the filter affirms."""
-        return self.means[self.highest(mixed(keys + np.uint64(n)))]
-
-    def highest(self, own: np.ndarray) -> np.ndarray:
-        """The highest level that the filter affirms for each mixed key."""
-        first = segments(own, len(self.bits)) * np.uint64(SEGMENT)
-        flat = self.bits.reshape(-1)
-        level, open_ = np.zeros(len(own), dtype=np.int64), np.arange(len(own))
-        for q in range(1, len(self.means)):
-            start, step = stride(own[open_], q)
-            for i in range(self.probes):  # who fails one probe is asked no more
-                at = first[open_] + ((start + np.uint64(i) * step) & np.uint64(SEGMENT - 1))
-                yes = (flat[(at >> np.uint64(3)).view(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1) == 1
+        return np.array([0.0, *((lo + max(lo, hi - 1)) / 2 for lo, hi in zip(bounds, bounds[1:], strict=False))])
+
+    def levels(self, counts: np.ndarray) -> np.ndarray:
+        return 1 + np.floor(np.log(counts) / np.log(self.base) + 1e-9).astype(np.int64)
+
+    def filled(self, keys: np.ndarray, level: np.ndarray) -> tuple[int, np.ndarray]:
+        """Number of bits and the bytes of a segment with these keys."""
+        size = max(64, -(-int(level.sum()) * self.bits_per_key // 64) * 64)
+        flags = np.zeros(size, bool)
+        for q in range(1, int(level.max(initial=0)) + 1):
+            start, step = stride(keys[level >= q], q)
+            for i in range(self.probes):
+                flags[((start + np.uint64(i) * step) % np.uint64(size)).view(np.int64)] = True
+        return size, np.packbits(flags, bitorder="little")
+
+
+def stride(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """Bit i of a key with a level is at start + i * step, modulo the segment's size."""
+    h = mixed(keys + np.array([level], np.uint64) * C2)
+    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+
+
+@dataclass
+class LogBloom:
+    """Some segments of the filter: their sizes in bits, their first byte, and all bytes."""
+
+    shape: Shape
+    sizes: np.ndarray
+    first: np.ndarray
+    flat: np.ndarray
+
+    @classmethod
+    def of(cls, shape: Shape, sizes: list[int], bits: list[bytes]) -> LogBloom:
+        lengths = np.array([len(b) for b in bits], np.int64)
+        return cls(shape, np.array(sizes, np.uint64), np.cumsum(lengths) - lengths, np.frombuffer(b"".join(bits), np.uint8))
+
+    def highest(self, keys: np.ndarray, segment: np.ndarray) -> np.ndarray:
+        """The highest level that the filter affirms for each key."""
+        level, open_ = np.zeros(len(keys), dtype=np.int64), np.flatnonzero(self.sizes[segment] > 0)
+        first, size = self.first[segment], self.sizes[segment]
+        for q in range(1, 80):
+            start, step = stride(keys[open_], q)
+            for i in range(self.shape.probes):  # who fails one probe is asked no more
+                at = ((start + np.uint64(i) * step) % size[open_]).view(np.int64)
+                yes = (self.flat[first[open_] + (at >> 3)] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 1
                 open_, start, step = open_[yes], start[yes], step[yes]
             if not len(open_):
                 break
@@ -152,232 +185,384 @@ class LogBloom:
 
 
 @dataclass
-class Probed:
-    """Levels that were probed elsewhere; own: sorted mixed keys, all others have level 0."""
-
-    own: np.ndarray
-    level: np.ndarray
-    means: np.ndarray
-
-    def counts(self, n: int, keys: np.ndarray) -> np.ndarray:
-        own = mixed(keys + np.uint64(n))
-        if not len(self.own):
-            return np.zeros(len(own))
-        at = np.minimum(np.searchsorted(self.own, own), len(self.own) - 1)
-        return self.means[np.where(self.own[at] == own, self.level[at], 0)]
-
-
-def segments(own: np.ndarray, number: int) -> np.ndarray:
-    return ((own >> np.uint64(32)) * np.uint64(number)) >> np.uint64(32)
+class Words:
+    """The known words in the order of their hashes: exact counts, levels and sums T as first words; one more entry,
+    all zero, stands for unknown words."""
 
+    known: np.ndarray
+    counts: np.ndarray
+    tokens: int
+    mu: float
+    level: np.ndarray | None = None
+    sums: np.ndarray | None = None
 
-def stride(own: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit i of a key with a level is at start + i * step, modulo SEGMENT."""
-    h = mixed(own + np.array([level], np.uint64) * np.uint64(0xD6E8FEB86659FD93))
-    return h & np.uint64(0xFFFFFFFF), (h >> np.uint64(32)) | np.uint64(1)
+    def __post_init__(self):
+        self.n = len(self.known)
 
+    def codes(self, tokens: np.ndarray) -> np.ndarray:
+        """Place of each token's word; n for unknown ones."""
+        if not self.n:
+            return np.zeros(len(tokens), np.int64)
+        unique, back = np.unique(tokens, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.known, unique), self.n - 1)
+        return np.where(self.known[at] == unique, at, self.n)[back]
 
-def levels(counts: np.ndarray, base: float) -> np.ndarray:
-    return 1 + np.floor(np.log(counts) / np.log(base) + 1e-9).astype(np.int64)
+    def base(self, codes: np.ndarray) -> np.ndarray:
+        return np.log10((self.counts[codes] + 1) / (self.tokens + self.n + 1))
 
+    def single(self, codes: np.ndarray, means: np.ndarray) -> np.ndarray:
+        """p(w)"""
+        return (means[self.level[codes]] + 1) / (self.mass + self.n + 1)
 
-def size_of(counts: DataFrame, base: float, bits_per_key: int) -> tuple[int, int]:
-    """Number of segments and of probes for all (n, key, count)."""
-    total = int(counts.agg(F.sum(1 + F.floor(F.log(F.col("count")) / float(np.log(base)) + 1e-9))).first()[0] or 0)
-    number = max(1, -(-total * bits_per_key // SEGMENT))
-    return number, max(1, min(8, round(number * SEGMENT / max(1, total) * np.log(2))))
+    def joint(self, h: np.ndarray, w: np.ndarray, level: np.ndarray, means: np.ndarray) -> np.ndarray:
+        """log10 p(w | h), given the pairs' levels."""
+        return np.log10((means[level] + self.mu * self.single(w, means)) / (self.sums[h] + self.mu))
 
+    def with_filter(self, level: np.ndarray, sums: np.ndarray, means: np.ndarray) -> Words:
+        out = Words(self.known, self.counts, self.tokens, self.mu, level, sums)
+        out.mass = float(means[level[:-1]].sum())
+        return out
 
-def keyed(counts: DataFrame, base: float, number: int) -> DataFrame:
-    """(segment, own, level) of all (n, key, count)."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            n, key, count = (c.to_numpy() for c in batch.columns)
-            own = mixed(key.view(np.uint64) + n.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays([pa.array(segments(own, number).astype(np.int32)), pa.array(own.view(np.int64)), pa.array(levels(count, base).astype(np.int32))], ["segment", "own", "level"])
+def held_out() -> F.Column:
+    return F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2"), F.lit(False))
 
-    return counts.select("n", "key", "count").mapInArrow(run, "segment int, own long, level int")
 
+def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
-def fill(mine: np.ndarray, own: np.ndarray, level: np.ndarray, probes: int) -> None:
-    """Set the flags of keys with their levels in one segment."""
-    for q in range(1, int(level.max(initial=0)) + 1):
-        start, step = stride(own[level >= q], q)
-        for i in range(probes):
-            mine[((start + np.uint64(i) * step) & np.uint64(SEGMENT - 1)).view(np.int64)] = True
 
+def count_words(docs: DataFrame) -> DataFrame:
+    """(key, count) over all texts of docs."""
 
-def build_filter(counts: DataFrame, base: float = 1.5, bits_per_key: int = 12) -> LogBloom:
-    """The filter of all (n, key, count), whole on the driver: for what fits there (see size_of)."""
-    return gathered(counts, base, *size_of(counts, base, bits_per_key))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, held, size = _Hashes(), [], 0
 
+        def give() -> pa.RecordBatch:
+            key, count = _summed(np.concatenate(held))
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(count)], ["key", "count"])
 
-def gathered(counts: DataFrame, base: float, number: int, probes: int) -> LogBloom:
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits: dict[int, np.ndarray] = {}
         for batch in batches:
-            segment, own, level = (c.to_numpy() for c in batch.columns)
-            for s in np.unique(segment).tolist():
-                some = segment == s
-                fill(bits.setdefault(s, np.zeros(SEGMENT, bool)), own[some].view(np.uint64), level[some], probes)
-        for s, mine in bits.items():
-            yield pa.RecordBatch.from_arrays([pa.array([s], pa.int32()), pa.array([np.packbits(mine, bitorder="little").tobytes()], pa.binary())], ["segment", "bits"])
+            for start in range(0, batch.num_rows, SLICE):
+                held.append(tokens_of(batch.column(0).slice(start, SLICE).to_pylist(), hashes)[0])
+                size += len(held[-1])
+                if size >= COUNTED:
+                    yield give()
+                    size = 0
+        if size:
+            yield give()
 
-    dealt = keyed(counts, base, number).repartition(partitions(counts.sparkSession), "segment")
-    table = np.zeros((number, SEGMENT // 8), np.uint8)
-    for row in dealt.mapInArrow(filled, "segment int, bits binary").collect():
-        table[row.segment] = np.frombuffer(row.bits, np.uint8)
-    return LogBloom(table, probes, base)
+    return docs.select("text").mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
 
 
-def probed(counts: DataFrame, asked: DataFrame, base: float, number: int, probes: int) -> DataFrame:
-    """(block, key, value) of asked (segment, block, own): each mixed key's level where it has one, probed in its segment."""
+def _by_segment(segment: np.ndarray) -> Iterator[tuple[int, slice]]:
+    """Runs of equal segments in a sorted array."""
+    first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.empty(0, np.int64)
+    for a, b in zip(first, np.append(first[1:], len(segment)), strict=True):
+        yield int(segment[a]), slice(int(a), int(b))
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = right["own"].to_numpy().view(np.uint64)
-        mine = np.zeros(SEGMENT, bool)
-        fill(mine, left["own"].to_numpy().view(np.uint64), left["level"].to_numpy(), probes)
-        unique, back = np.unique(own, return_inverse=True)
-        level = LogBloom(np.packbits(mine, bitorder="little")[None], probes, base).highest(unique)[back]
-        some = np.flatnonzero(level)
-        return pa.table([pa.array(right["block"].to_numpy()[some]), pa.array(own[some].view(np.int64)), pa.array(level[some])], ["block", "key", "value"])
 
-    return keyed(counts, base, number).groupBy("segment").cogroup(asked.groupBy("segment")).applyInArrow(run, "block long, key long, value long")
+def _dealt(segment: np.ndarray, pairs: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """One row for each segment: its pairs (in order) and their counts."""
+    order = np.argsort(segment, kind="stable")
+    segment, pairs, counts = segment[order], pairs[order], counts[order]
+    rows = [(s, packed(pairs[at], True), packed(counts[at])) for s, at in _by_segment(segment)]
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["segment", "pairs", "counts"])
 
 
-@dataclass
-class Totals:
-    tokens: int
-    words: int
-    order: int
-    mu: float
+def build_filter(train: DataFrame, words: DataFrame, shared: Broadcast, shape: Shape) -> DataFrame:
+    """The filter's segments (FILTER): bits; words of the segment with their levels; first words with sums of level
+    means. A pair is h * (n + 1) + w in codes; h = n stands for the word alone."""
 
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, hashes, held, size = shared.value, _Hashes(), [], 0
+        end = own.codes(np.array([END]))[0]
 
-def score_texts(texts: list, hashes: _Hashes, bloom: LogBloom, known: np.ndarray, exact: np.ndarray, totals: Totals) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score, score; known: sorted word hashes, exact: their counts."""
-    tokens, starts = tokens_of(texts, hashes)
-    unique, back = np.unique(tokens, return_inverse=True)
-    at = np.minimum(np.searchsorted(known, unique), max(0, len(known) - 1))
-    count = np.where(known[at] == unique, exact[at], 0)[back] if len(known) else np.zeros(len(tokens), np.int64)
-    room = totals.tokens + totals.words + 1
-    base = np.log10((count + 1) / room)
-    keys = grams(tokens, starts, totals.order)
-    before = histories(tokens, starts, keys)
-    single = bloom.counts(1, unique)
-    p = ((single + 1) / room)[back]
-    for n in range(2, totals.order + 1):
-        history = before[n - 2]
-        unique_h, back_h = np.unique(history, return_inverse=True)
-        whole = bloom.counts(n - 1, unique_h)[back_h]
-        unique_k, back_k = np.unique(keys[n - 1], return_inverse=True)
-        own = np.where(whole > 0, bloom.counts(n, unique_k)[back_k], 0)
-        p = (np.minimum(own, whole) + totals.mu * p) / (whole + totals.mu)
-    each = lambda x: np.add.reduceat(x, starts[:-1]) if len(tokens) else np.empty(0)
-    return np.diff(starts), each((count > 0).astype(np.int64)), each(base), each(np.log10(np.minimum(p, 1.0)))
+        def give() -> pa.RecordBatch:
+            pair, count = _summed(np.concatenate(held))
+            held.clear()
+            h, w = own.known[pair // (own.n + 1)], own.known[pair % (own.n + 1)]
+            return _dealt(pair_segment(h, w, shape.number), pair, count)
 
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                tokens, starts = tokens_of(batch.column(0).slice(start, SLICE).to_pylist(), hashes)
+                codes = own.codes(tokens)
+                held.append(before(codes, starts, end) * (own.n + 1) + codes)
+                size += len(codes)
+                if size >= COUNTED:
+                    yield give()
+                    size = 0
+        if size:
+            yield give()
 
-def held_out() -> F.Column:
-    return F.coalesce(F.expr("crc32(cast(cast(doc_id as string) as binary)) % 7 = 2"), F.lit(False))
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = shared.value
+        for batch in batches:
+            key, count = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            order = np.argsort(key)
+            key, count = key[order], count[order]
+            yield _dealt(word_segment(key, shape.number), own.n * (own.n + 1) + own.codes(key), count)
+
+    def filled(table: pa.Table) -> pa.Table:
+        own, means = shared.value, shape.means
+        pair, count = _summed(np.concatenate([unpacked(b, True) for b in table["pairs"].to_pylist()]), np.concatenate([unpacked(b) for b in table["counts"].to_pylist()]))
+        h, w = pair // (own.n + 1), pair % (own.n + 1)
+        lone = h == own.n
+        keys = np.where(lone, word_key(own.known[w]), pair_key(own.known[np.where(lone, 0, h)], own.known[w]))
+        level = shape.levels(count)
+        size, bits = shape.filled(keys, level)
+        seen = LogBloom.of(shape, [size], [bits.tobytes()]).highest(keys[lone], np.zeros(int(lone.sum()), np.int64))
+        heads, sums = _summed(h[~lone], means[level[~lone]])
+        row = [table["segment"][0].as_py(), size, bits.tobytes(), packed(w[lone], True), packed(seen), packed(heads, True), sums.astype("<f8").tobytes()]
+        kinds = [pa.int32(), pa.int64(), *[pa.binary()] * 5]
+        return pa.table([pa.array([x], k) for x, k in zip(row, kinds, strict=True)], [x.split()[0] for x in FILTER.split(", ")])
+
+    schema = "segment int, pairs binary, counts binary"
+    rows = train.select("text").mapInArrow(pairs, schema).unionByName(words.mapInArrow(alone, schema))
+    return kept(rows.groupBy("segment").applyInArrow(filled, FILTER))
+
+
+def word_values(filter_: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Levels of all words and sums T, by code; the last entry is that of unknown words."""
+
+    def taken(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for words, levels, heads, sums in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                at, of = unpacked(words, True), unpacked(heads, True)
+                code = np.concatenate([at, of])
+                level, total = np.zeros(len(code), np.int64), np.zeros(len(code))
+                level[: len(at)], total[len(at) :] = unpacked(levels), np.frombuffer(sums, "<f8")
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(level), pa.array(total)], ["code", "level", "total"])
+
+    rows = filter_.select("words", "levels", "heads", "sums").mapInArrow(taken, "code long, level long, total double")
+    table = rows.groupBy("code").agg(F.max("level").cast("byte").alias("level"), F.sum("total").alias("total")).toArrow()
+    level, sums = np.zeros(n + 1, np.int8), np.zeros(n + 1)
+    code = table["code"].to_numpy()
+    level[code], sums[code] = table["level"].to_numpy(), table["total"].to_numpy()
+    return level, sums
+
+
+def score_texts(texts: list, hashes: _Hashes, own: Words, ask) -> tuple[np.ndarray, ...]:
+    """n_tokens, n_known, base_score, score of each text; ask(h, w) gives the levels of pairs of codes of known words.
+    Where ask is None, the score lacks these pairs, and they follow: (h, w, text's number)."""
+    tokens, starts = tokens_of(texts, hashes)
+    codes = own.codes(tokens)
+    h = before(codes, starts, own.codes(np.array([END]))[0])
+    means = own.means
+    open_ = (h < own.n) & (codes < own.n)
+    level = np.zeros(len(codes), np.int64)
+    if ask is not None:
+        pair, back = np.unique(h[open_] * (own.n + 1) + codes[open_], return_inverse=True)
+        level[open_] = ask(pair // (own.n + 1), pair % (own.n + 1))[back]
+    each = lambda x: np.add.reduceat(x, starts[:-1]) if len(codes) else np.empty(0)
+    score = own.joint(h, codes, level, means)
+    if ask is None:
+        score = np.where(open_, 0.0, score)
+    found = np.diff(starts), each((codes < own.n).astype(np.int64)), each(own.base(codes)), each(score)
+    if ask is not None:
+        return found
+    return *found, (h[open_], codes[open_], np.repeat(np.arange(len(texts)), np.diff(starts))[open_])
+
+
+def _columns(n, known, base, score, own: Words) -> list[pa.Array]:
+    return [pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(np.full(len(n), own.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())]
+
+
+NAMES = ["doc_id", *(x.split()[0] for x in OUT.split(", "))]
+
+
+def probed_by_workers(rows: DataFrame, filter_: DataFrame, shared: Broadcast, shape: Shape, schema: str) -> DataFrame:
+    """Scores with the whole filter at every worker."""
+    sizes, bits = [0] * shape.number, [b""] * shape.number
+    for row in filter_.select("segment", "size", "bits").collect():
+        sizes[row.segment], bits[row.segment] = row.size, bytes(row.bits)
+    bloom = rows.sparkSession.sparkContext.broadcast(LogBloom.of(shape, sizes, bits))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, table, hashes = shared.value, bloom.value, _Hashes()
 
-def _scored(batch: pa.RecordBatch, *model) -> Iterator[pa.RecordBatch]:
-    hashes, totals = model[0], model[-1]
-    for start in range(0, batch.num_rows, 3 * SLICE):  # the more texts, the fewer n-grams are looked up again
-        some = batch.slice(start, 3 * SLICE)
-        n, k, base, score = score_texts(some.column(2).to_pylist(), *model)
-        yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(n, pa.int64()), pa.array(k, pa.int64()), pa.array(np.full(len(n), totals.tokens), pa.int64()), pa.array(base, pa.float64()), pa.array(score, pa.float64())], ["doc_id", *(x.split()[0] for x in OUT.split(", "))])
-    del hashes
+        def ask(h: np.ndarray, w: np.ndarray) -> np.ndarray:
+            a, b = own.known[h], own.known[w]
+            return table.highest(pair_key(a, b), pair_segment(a, b, shape.number))
 
+        for batch in batches:
+            for start in range(0, batch.num_rows, 3 * SLICE):  # the more texts, the fewer pairs are looked up again
+                some = batch.slice(start, 3 * SLICE)
+                found = score_texts(some.column(2).to_pylist(), hashes, own, ask)
+                yield pa.RecordBatch.from_arrays([some.column(0), some.column(1), *_columns(*found, own)], NAMES)
+
+    return rows.mapInArrow(run, schema)
+
+
+def probed_in_segments(rows: DataFrame, filter_: DataFrame, shared: Broadcast, shape: Shape, schema: str) -> DataFrame:
+    """Scores with each segment in one task: slices of texts send their pairs there, and sums come back.
+
+    A row of what is sent: the slice; pairs in order, how often each stands in the slice, and the numbers of the texts;
+    or, once for each slice, the texts' own columns (rest). rows must come in the same order whenever they are read, as
+    from files.
+    """
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    names = ["segment", "slice", "pairs", "times", "at", "rest"]
+    rest_type = f"array<struct<doc_id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base_score:double,score:double>>"
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, hashes, number = shared.value, _Hashes(), 0
+        held: list[tuple] = []
+        size = texts = 0
+
+        def give(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
+            ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
+            flags = pa.chunked_array([x[1] for x in held]).combine_chunks()
+            n, known, base, score, h, w, at = (np.concatenate(x) for x in list(zip(*held, strict=True))[2:])
+            slice_ = (TaskContext.get().partitionId() << 32) + number
+            fields = [pa.field("doc_id", id_type), pa.field("held_out", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()), pa.field("base_score", pa.float64()), pa.field("score", pa.float64())]
+            rest = pa.StructArray.from_arrays([ids, flags, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], fields=fields)
+            a, b = own.known[h], own.known[w]
+            segment, pair = pair_segment(a, b, shape.number), h * (own.n + 1) + w
+            order = np.lexsort((at, pair, segment))
+            segment, pair, at = segment[order], pair[order], at[order]
+            out = []
+            for s, here in _by_segment(segment):
+                unique, times = np.unique(pair[here], return_counts=True)
+                out.append((s, packed(unique, True), packed(times), packed(at[here])))
+            lists = pa.ListArray.from_arrays(pa.array([0] * (len(out) + 1) + [len(rest)], pa.int32()), rest)
+            binary = lambda i: pa.array([x[i] for x in out] + [b""], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out] + [number % shape.number], pa.int32()), pa.array([slice_] * (len(out) + 1), pa.int64()), binary(1), binary(2), binary(3), lists], names)
 
-def score_documents(docs: DataFrame, order: int = 2, min_count: int = 1, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, block_rows: int = 2000) -> DataFrame:
-    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    counts = kept(count_ngrams(rows.where("not held_out"), order).where((F.col("n") == 1) | (F.col("count") >= min_count)))
-    words = counts.where("n = 1").select("key", "count")
-    n, v = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    totals = Totals(int(n), int(v), order, mu)
-    number, probes = size_of(counts, base, bits_per_key)
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}"
-    if number * SEGMENT > max(max_bits, SEGMENT):
-        return _joined(rows, words, None, totals, schema, block_rows, lambda asked: probed(counts, asked, base, number, probes), number, base)
-    bloom = spark.sparkContext.broadcast(gathered(counts, base, number, probes))
-    if v <= max_vocabulary:
-        table = words.toArrow()
-        key, count = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
-        order_ = np.argsort(key)
-        exact = spark.sparkContext.broadcast((key[order_], count[order_].astype(np.int64)))
-        del table, key, count
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            hashes = _Hashes()
-            for batch in batches:
-                yield from _scored(batch, hashes, bloom.value, *exact.value, totals)
-
-        return rows.mapInArrow(run, schema)
-    return _joined(rows, words, bloom, totals, schema, block_rows)
-
-
-def _joined(rows: DataFrame, words: DataFrame, bloom, totals: Totals, schema: str, block_rows: int, answers=None, number: int = 0, base: float = 0.0) -> DataFrame:
-    """The same when the vocabulary or the filter is too large to broadcast: blocks of documents meet the counts
-    of their words and, without bloom, the levels of their n-grams (answers, from `number` segments)."""
-    blocks = max(1, -(-rows.count() // block_rows))
-    dealt = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(blocks)))
-
-    def pairs_of(block: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.lexsort((keys, block))
-        block, keys = block[order], keys[order]
-        new = np.append(True, (block[1:] != block[:-1]) | (keys[1:] != keys[:-1]))
-        return block[new], keys[new]
-
-    def uses(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE):
+                some = batch.slice(start, SLICE)
+                *found, (h, w, at) = score_texts(some.column(2).to_pylist(), hashes, own, None)
+                held.append((some.column(0), some.column(1), *found, h, w, at + texts))
+                size, texts = size + len(h), texts + some.num_rows
+                if size >= COUNTED:
+                    yield from give(batch.schema.field(0).type)
+                    held.clear()
+                    size, texts, number = 0, 0, number + 1
+            id_type = batch.schema.field(0).type
+        if held:
+            yield from give(id_type)
+
+    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
+        own, out = shared.value, []
+        bloom = LogBloom.of(shape, right["size"].to_pylist(), right["bits"].to_pylist())
+        for slice_, pairs, times, at in zip(*(left[c].to_pylist() for c in names[1:5]), strict=True):
+            if not pairs:
+                continue
+            pair, where = unpacked(pairs, True), unpacked(at)
+            h, w = pair // (own.n + 1), pair % (own.n + 1)
+            level = bloom.highest(pair_key(own.known[h], own.known[w]), np.zeros(len(h), np.int64)) if right.num_rows else np.zeros(len(h), np.int64)
+            each = np.repeat(own.joint(h, w, level, own.means), unpacked(times))
+            text, back = np.unique(where, return_inverse=True)
+            out.append((slice_, packed(text, True), np.bincount(back, each).astype("<f8").tobytes()))
+        of = left.filter(pc.equal(pc.binary_length(left["pairs"]), 0))
+        rest = pa.chunked_array([pa.nulls(len(out), left.schema.field("rest").type), *of["rest"].chunks])
+        blobs = lambda i: pa.array([x[i] for x in out] + [b""] * of.num_rows, pa.binary())
+        return pa.table([pa.array([x[0] for x in out] + of["slice"].to_pylist(), pa.int64()), blobs(1), blobs(2), rest], ["slice", "text", "sums", "rest"])
+
+    def summed(table: pa.Table) -> pa.Table:
+        own = shared.value
+        rest = table["rest"].drop_null().combine_chunks().flatten()
+        score = rest.field("score").to_numpy(zero_copy_only=False).copy()
+        # in one order, whatever order the rows come in
+        for text, sums in sorted(zip(table["text"].to_pylist(), table["sums"].to_pylist(), strict=True)):
+            if text:
+                score[unpacked(text, True)] += np.frombuffer(sums, "<f8")
+        found = (rest.field(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "n_known", "base_score"))
+        return pa.table([rest.field("doc_id"), rest.field("held_out"), *_columns(*found, score, own)], NAMES)
+
+    asked = rows.mapInArrow(sent, f"segment int, slice long, pairs binary, times binary, at binary, rest {rest_type}")
+    answers = asked.groupBy("segment").cogroup(filter_.select("segment", "size", "bits").groupBy("segment")).applyInArrow(answered, f"slice long, text binary, sums binary, rest {rest_type}")
+    return answers.groupBy("slice").applyInArrow(summed, schema)
+
+
+def probed_by_joins(rows: DataFrame, words: DataFrame, tokens: int, known: int, mu: float, shape: Shape) -> DataFrame:
+    """Scores where the vocabulary is too large to broadcast: pairs and words are joined as hashes."""
+    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 some = batch.slice(start, SLICE)
-                tokens, starts = tokens_of(some.column(1).to_pylist(), hashes)
-                block, keys = pairs_of(np.repeat(some.column(0).to_numpy(), np.diff(starts)), tokens)
-                yield pa.RecordBatch.from_arrays([pa.array(block), pa.array(keys.view(np.int64))], ["block", "key"])
+                own, starts = tokens_of(some.column(1).to_pylist(), hashes)
+                row = np.repeat(some.column(0).to_numpy(), np.diff(starts))
+                each, n = np.unique(np.stack([row, before(own, starts, END).view(np.int64), own.view(np.int64)], axis=1), axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(each[:, i])) for i in range(3)), pa.array(n)], ["row", "h", "w", "n"])
 
-    def probes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for start in range(0, batch.num_rows, 4 * SLICE):
-                some = batch.slice(start, 4 * SLICE)
-                tokens, starts = tokens_of(some.column(1).to_pylist(), hashes)
-                keys = grams(tokens, starts, totals.order)
-                found = [mixed(k + np.uint64(n)) for n, k in enumerate(keys, 1)] + [mixed(h + np.uint64(n)) for n, h in enumerate(histories(tokens, starts, keys), 1)]
-                block, own = pairs_of(np.tile(np.repeat(some.column(0).to_numpy(), np.diff(starts)), len(found)), np.concatenate(found))
-                for i in range(0, len(own), 100_000):
-                    part = own[i : i + 100_000]
-                    yield pa.RecordBatch.from_arrays([pa.array(segments(part, number).astype(np.int32)), pa.array(block[i : i + 100_000]), pa.array(part.view(np.int64))], ["segment", "block", "own"])
-
-    asked = dealt.select("block", "text").mapInArrow(uses, "block long, key long").distinct().join(words, "key").select("block", "key", F.col("count").alias("value"), F.lit(True).alias("exact"))
-    if bloom is None:
-        levels_ = answers(dealt.select("block", "text").repartition(partitions(rows.sparkSession), "block").sortWithinPartitions("block").mapInArrow(probes, "segment int, block long, own long"))
-        asked = asked.unionByName(levels_.select("block", "key", "value", F.lit(False).alias("exact")))
-        means = LogBloom(np.zeros((1, 1), np.uint8), 1, base).means
-
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        key, value, exact = right["key"].to_numpy().view(np.uint64), right["value"].to_numpy(), right["exact"].to_numpy()
-        order = np.argsort(key)
-        key, value, exact = key[order], value[order], exact[order]
-        if bloom is None:
-            key_, value_ = key[~exact], value[~exact]
-            new = np.append(True, key_[1:] != key_[:-1]) if len(key_) else np.empty(0, bool)
-            model = Probed(key_[new], value_[new], means)
-        else:
-            model = bloom.value
-        whole = left.select(["doc_id", "held_out", "text"]).combine_chunks().to_batches()
-        return pa.Table.from_batches([out for b in whole for out in _scored(b, _Hashes(), model, key[exact], value[exact], totals)], pa.schema([(f.name, f.type) for f in _arrow(schema, left)]))
-
-    return dealt.groupBy("block").cogroup(asked.groupBy("block")).applyInArrow(run, schema)
-
-
-def _arrow(schema: str, left: pa.Table) -> pa.Schema:
-    kinds = [left.schema.field("doc_id").type, pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.schema(list(zip((x.split()[0] for x in schema.split(", ")), kinds, strict=True)))
+            h, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
+            lone = batch.column(2).to_numpy(zero_copy_only=False)
+            segment = np.where(lone, word_segment(w, shape.number), pair_segment(h, w, shape.number))
+            key = np.where(lone, word_key(w), pair_key(h, w)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment.astype(np.int32)), pa.array(key)], [*batch.schema.names, "segment", "key"])
+
+    def filled(table: pa.Table) -> pa.Table:
+        keys = table["key"].to_numpy().view(np.uint64)
+        size, bits = shape.filled(keys, table["level"].to_numpy())
+        return pa.table([table["segment"][:1], pa.array([size], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["segment", "size", "bits"])
+
+    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
+        level = np.zeros(left.num_rows, np.int64)
+        if right.num_rows:
+            bloom = LogBloom.of(shape, right["size"].to_pylist(), right["bits"].to_pylist())
+            level = bloom.highest(left["key"].to_numpy().view(np.uint64), np.zeros(left.num_rows, np.int64))
+        return left.select(["h", "w", "lone"]).append_column("seen", pa.array(level))
+
+    texts = kept(rows.select("row", "text").mapInArrow(pairs, "row long, h long, w long, n long").join(rows.select("row", "held_out"), "row"))
+    means = F.lit(shape.means.tolist())
+    level = (1 + F.floor(F.log("count") / float(np.log(shape.base)) + 1e-9)).cast("long")
+    counts = texts.where("not held_out").groupBy("h", "w").agg(F.sum("n").alias("count")).withColumn("lone", F.lit(False))
+    counts = kept(counts.unionByName(words.select(F.lit(0).cast("long").alias("h"), F.col("key").alias("w"), "count", F.lit(True).alias("lone"))).withColumn("level", level))
+    put = lambda df, extra="": df.mapInArrow(placed, f"h long, w long, lone boolean{extra}, segment int, key long")
+    filter_ = kept(put(counts.select("h", "w", "lone", "level"), ", level long").groupBy("segment").applyInArrow(filled, "segment int, size long, bits binary"))
+    every = texts.select("h", "w", F.lit(False).alias("lone")).distinct().unionByName(words.select(F.lit(0).cast("long").alias("h"), F.col("key").alias("w"), F.lit(True).alias("lone")))
+    levels = kept(put(every).groupBy("segment").cogroup(filter_.groupBy("segment")).applyInArrow(asked, "h long, w long, lone boolean, seen long"))
+    mean = lambda c: F.element_at(means, F.col(c).cast("int") + 1)
+    sums = counts.where("not lone").groupBy("h").agg(F.sum(mean("level")).alias("total"))
+    single = kept(words.join(levels.where("lone").select(F.col("w").alias("key"), mean("seen").alias("m")), "key").select(F.col("key").alias("w"), "count", "m"))
+    mass = float(single.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0])
+    p = (F.coalesce("m", F.lit(0.0)) + 1) / (mass + known + 1)
+    own = F.when(F.col("count").isNotNull() & F.col("heard"), mean("seen")).otherwise(0.0)
+    heads = words.select(F.col("key").alias("h"), F.lit(True).alias("heard"))
+    full = texts.join(levels.where("not lone").drop("lone"), ["h", "w"]).join(single, "w", "left").join(sums, "h", "left").join(heads, "h", "left").withColumn("heard", F.coalesce("heard", F.lit(False)))
+    score = F.sum(F.col("n") * F.log10((own + mu * p) / (F.coalesce("total", F.lit(0.0)) + mu)))
+    base = F.sum(F.col("n") * F.log10((F.coalesce("count", F.lit(0)) + 1) / (tokens + known + 1)))
+    scored = full.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("n_known"), base.alias("base_score"), score.alias("score"))
+    return rows.select("row", "doc_id", "held_out").join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
+def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 4_000_000, segment_bytes: int = 1 << 24) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
+    rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    train = rows.where("not held_out")
+    words = kept(count_words(train))
+    tokens, known = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
+    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    shape = Shape(base, bits_per_key, max(1, -(-int(size) // segment_bytes)))
+    if known > max_vocabulary:
+        return probed_by_joins(rows, words, int(tokens), int(known), mu, shape)
+    shared = rows.sparkSession.sparkContext.broadcast
+    table = words.toArrow()
+    key, count = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
+    order = np.argsort(key)
+    own = Words(key[order], np.append(count[order], 0), int(tokens), mu)
+    del table, key, count, order
+    filter_ = build_filter(train, words, shared(own), shape)
+    own = own.with_filter(*word_values(filter_, own.n), shape.means)
+    own.means = shape.means
+    whole = int(filter_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}"
+    probed = probed_by_workers if whole <= max_bits else probed_in_segments
+    return probed(rows, filter_, shared(own), shape, schema)
 
 
 def op4_log_bloom_scoring(spark, sf_dir: str) -> DataFrame:
