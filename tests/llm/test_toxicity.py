@@ -65,3 +65,74 @@ def test_without_labels(spark):
     assert T.fit(docs, marks) == T.Grammar()
     assert [r.predicted for r in T.scores(docs, T.Grammar()).orderBy("doc_id").collect()] == [1, 0]
     assert T.scores(docs.limit(0), T.Grammar()).count() == 0 and T.drop_toxic(docs.limit(0), T.Grammar()).count() == 0
+
+
+def slow_matches(g, text):
+    """The transducers one by one, without composition: labels straight from the rules."""
+    read = T.tokens(text)
+    ends = lambda t: t in T.MARKS
+    found, report, quoted = [], False, False
+    for i, t in enumerate(read):
+        if ends(t):
+            if T.MARKS[t] == T.QUOTE:
+                quoted = not quoted
+            elif T.MARKS[t] == T.STOP:
+                report = False
+            elif T.MARKS[t] == T.LINE:
+                report = quoted = False
+            continue
+        if t in T.REPORTS:
+            report = True
+        clause = []  # words of the clause up to this one, last first
+        for x in reversed(read[: i + 1]):
+            if ends(x):
+                break
+            clause.append(x)
+        # a negation holds for NEGATION_SPAN words with itself as the last but one to count
+        negated = any(x in T.NEGATIONS for x in clause[: T.NEGATION_SPAN])
+        ahead = next((n for n, x in enumerate(read[i + 1 : i + 1 + T.TARGET_SPAN]) if ends(x)), T.TARGET_SPAN)
+        aimed = any(x in g.targets for x in clause[: T.TARGET_SPAN]) or any(x in g.targets for x in read[i + 1 : i + 1 + ahead])
+        if t not in T.REPORTS and t not in T.NEGATIONS and g.entry(t) is not None:
+            found.append((g.entry(t), T.NEGATED if negated else T.REPORTED if report or quoted else T.AIMED if aimed else T.PLAIN))
+        for phrase in sorted(g.phrases):
+            n = len(phrase.split())
+            if clause[:n][::-1] == phrase.split():
+                found.append((phrase, T.NEGATED if negated else T.REPORTED if report or quoted else T.THREAT))
+    return found
+
+
+def test_composition_equals_the_rules():
+    rng = random.Random(3)
+    g = T.Grammar(T.Grammar().terms | {"lowei*": 2.0, "lowe*": 1.0, "you": 0.5}, T.Grammar().phrases | {"die you": 1.0, "you will": 2.0}, T.TARGETS | {"folk"})
+    pool = [*T.SEED_INSULTS[:4], "loweigh", "lowers", "folk", *sorted(T.NEGATIONS)[:3], *sorted(T.REPORTS)[:3], *"you they kill hurt will die find u deserve to a b c d".split(), *T.MARKS]
+    for _ in range(1500):
+        text = " ".join(rng.choice(pool) for _ in range(rng.randrange(25)))
+        assert sorted(g.matches(text)) == sorted(slow_matches(g, text)), text
+
+
+def test_words_are_cut_in_one_way():
+    g = T.Grammar(T.Grammar().terms | {"écrasé": 3.0})
+    plain, reported = g.score("that idiot"), g.score('that "idiot" again')
+    assert g.score("that—idiot") == g.score("that idiot…") == g.score("THAT IDIOT") == plain and g.score("that “idiot” again") == reported < plain
+    assert g.matches("Écrasé") == [("écrasé", T.PLAIN)] and T.words_of("Don’t isn't l’eau") == ["don't", "isn't", "l'eau"]
+
+
+def test_pairs_become_threats_and_very_long_texts(spark):
+    rng = random.Random(6)
+    vocab = [f"{a}{b}{c}" for a in "bdfg" for b in "aeiou" for c in ("lo", "mi", "tan", "res", "nu")]
+    rows, labels = [], []
+    for i in range(900):
+        w = [rng.choice(vocab) for _ in range(60)] + ["balo", "x", "dami"]
+        if i % 5 == 0:  # both words are common, the pair isn't
+            at = rng.randrange(50)
+            w[at : at + 2] = ["balo", "dami"]
+        else:
+            w = [x for n, x in enumerate(w) if not (x == "dami" and n and w[n - 1] == "balo")]
+        rows.append((i, " ".join(w)))
+        labels.append((i, 0, int(i % 5 == 0)))
+    rows.append((5000, "word " * 300_000 + "balo dami"))
+    docs, marks = frames(spark, rows, labels)
+    g = T.fit(docs, marks)
+    assert "balo dami" in g.phrases and "balo dami" in {e for e, _ in g.matches("so balo dami here")}
+    got = {r.doc_id: r.predicted for r in T.scores(docs, g).collect()}
+    assert sum(got[i] == t for i, _, t in labels) > 0.97 * len(labels) and got[5000] == 1
