@@ -7,28 +7,53 @@ import pytest
 from vertexloom.llm import mixing as M
 
 
-def edf(shares):
-    """Slot by slot: the released block with the earliest deadline, ties to the first source."""
+def edf(shares, blocks):
+    """Slot by slot: of the released blocks the one with the earliest deadline, ties to the first source."""
     period = sum(shares.values())
     order = sorted(shares, key=lambda s: (s is None, s or ""))
-    done, slots = Counter(), []
-    for t in range(period):
-        ready = [(-(-(done[s] + 1) * period // shares[s]), i) for i, s in enumerate(order) if done[s] * period // shares[s] <= t]
-        s = order[min(ready)[1]]
-        slots.append((s, shares[s], period, done[s], t))
-        done[s] += 1
+    done, slots, t = Counter(), [], 0
+    while len(slots) < sum(blocks.values()):
+        ready = [(-(-(done[s] + 1) * period // shares[s]), i) for i, s in enumerate(order) if done[s] < blocks[s] and done[s] * period // shares[s] <= t]
+        if ready:
+            s = order[min(ready)[1]]
+            slots.append((s, shares[s], period, done[s], t))
+            done[s] += 1
+        t += 1
     return slots
 
 
-@pytest.mark.parametrize("shares", [{"a": 1}, {"a": 7, "b": 2, None: 1}, {"a": 50, "b": 33, "c": 9, "d": 1, "e": 1, "f": 6}, {f"s{i}": i % 5 + 1 for i in range(40)}])
-def test_schedule_keeps_every_source_within_a_block(spark, shares):
-    got = sorted(map(tuple, M.schedule(spark.createDataFrame(list(shares.items()), "source string, share long")).collect()), key=lambda r: r[4])
-    assert got == edf(shares)
-    period, done = sum(shares.values()), Counter()
-    for s, share, _, nth, slot in got:
-        assert nth * period // share <= slot < -(-(nth + 1) * period // share)
-        done[s] += 1
-        assert all(abs(done[x] - shares[x] * (slot + 1) / period) < 1 for x in shares)
+WEIGHTS = [
+    {"a": 1.0},
+    {"a": 0.7, "b": 0.2, None: 0.1},
+    {"hot": math.sqrt(1 / 3)} | {f"s{i}": math.sqrt(2 / 57) for i in range(19)},  # a third of the rows, and 19 alike
+    {"a": math.pi, "b": math.e, "c": 1e-3, "d": math.sqrt(2), "e": 1e-6},
+]
+
+
+@pytest.mark.parametrize("weights", WEIGHTS)
+def test_schedule_keeps_every_source_within_a_block_of_its_weight(spark, weights):
+    shares = dict(zip(weights, M.whole_weights(list(weights.values())), strict=True))
+    blocks = {s: 1 + int(5000 * w / sum(weights.values())) for s, w in weights.items()}
+    rows = [(s, shares[s], blocks[s]) for s in weights]
+    got = sorted(map(tuple, M.schedule(spark.createDataFrame(rows, "source string, share long, blocks long")).collect()), key=lambda r: r[4])
+    assert got == edf(shares, blocks)
+    total, done = sum(weights.values()), Counter()
+    taken = {slot: s for s, *_, slot in got}
+    for t in range(max(taken) + 1):
+        if t in taken:
+            done[taken[t]] += 1
+        assert all(done[x] == blocks[x] or abs(done[x] - w / total * (t + 1)) < 1 for x, w in weights.items())
+
+
+def test_a_source_that_outlasts_the_others_waits_for_its_slots(spark):
+    rows = [("a", 1, 20), ("b", 3, 6)]
+    got = sorted(r.slot for r in M.schedule(spark.createDataFrame(rows, "source string, share long, blocks long")).collect() if r.source == "a")
+    assert all(4 * k <= slot < 4 * k + 4 for k, slot in enumerate(got)) and len(got) == 20
+
+
+def test_whole_weights():
+    assert M.whole_weights([0.2, 0.5, 0.05, 3.0]) == [4, 10, 1, 60]
+    assert M.whole_weights([math.pi, 1e-30]) == [M.UNIT, 1]
 
 
 def frame(spark, rows):
@@ -44,7 +69,7 @@ def rows():
 @pytest.mark.parametrize("weights", [None, {"hot": 0.2, "a": 0.5, "b": 0.2, "c": 0.05}])
 def test_every_row_has_one_place(spark, weights):
     data = rows()
-    out = M.mix(frame(spark, data), weights=weights, default_weight=0.05, block_rows=8, quantum=100).collect()
+    out = M.mix(frame(spark, data), weights=weights, default_weight=0.05, block_rows=8).collect()
     assert Counter((r.doc_id, r.source) for r in out) == Counter((r[0], r[1]) for r in data)
     sizes = Counter(r[1] for r in data)
     blocks = {}
@@ -59,13 +84,31 @@ def test_every_row_has_one_place(spark, weights):
         assert slots.setdefault(own[0].slot, s) == s
     # until a source runs out it has its share of blocks, give or take less than one
     raw = {s: (weights or {}).get(s, 0.05) if weights else math.sqrt(n) for s, n in sizes.items()}
-    share = {s: max(1, math.floor(w / sum(raw.values()) * 100 + 0.5)) for s, w in raw.items()}
-    period, done, total = sum(share.values()), Counter(), {s: math.ceil(n / 8) for s, n in sizes.items()}
+    done, total = Counter(), {s: math.ceil(n / 8) for s, n in sizes.items()}
     for t in range(max(slots) + 1):
         if t in slots:
             done[slots[t]] += 1
         for s in sizes:
-            assert done[s] == total[s] or abs(done[s] - share[s] * (t + 1) / period) < 1
+            assert done[s] == total[s] or abs(done[s] - raw[s] / sum(raw.values()) * (t + 1)) < 1 - 1e-12
+
+
+def test_larger_tables_have_larger_blocks(spark):
+    out = M.mix(frame(spark, rows()), block_rows=8, max_blocks=50).collect()
+    assert max(r.place for r in out) == math.ceil(len(rows()) / 50) - 1 and len({r.slot for r in out}) <= 50 + 5
+
+
+def test_a_doc_id_that_many_rows_hold(spark, monkeypatch):
+    monkeypatch.setattr(M, "COPIES", 100)
+    data = rows() + [(5, "hot", "t", 1, "x", 2)] * 1234 + [(None, "hot", "t", 1, "x", 2)] * 321
+    out = M.mix(frame(spark, data), block_rows=8).collect()
+    assert Counter((r.doc_id, r.source) for r in out) == Counter((r[0], r[1]) for r in data)
+    assert len({(r.source, r.block, r.place) for r in out}) == len(data)
+
+
+def test_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "a", "x", 1, 2, 3), (2, None, "y", 4, 5, 6)], "doc_id long, source string, row string, at int, slot int, times int")
+    out = M.mixed(docs)
+    assert out.columns == docs.columns and sorted(map(tuple, out.collect())) == [(1, "a", "x", 1, 2, 3), (2, None, "y", 4, 5, 6)]
 
 
 def test_rows_come_in_order(spark):

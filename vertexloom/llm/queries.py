@@ -6,7 +6,7 @@ from vertexloom.llm.ann import op9_projection_forest
 from vertexloom.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from vertexloom.llm.line_dedup import OP7_SQL, op7_deletion_line_dedup
 from vertexloom.llm.lm_scoring import op4_log_bloom_scoring
-from vertexloom.llm.mixing import op6_pfair_mixing
+from vertexloom.llm.mixing import OP6_SQL, op6_pfair_mixing
 from vertexloom.llm.packing import op2_best_fit_packing
 from vertexloom.llm.pii import op3_offset_pii
 from vertexloom.llm.simhash import op10_simhash
@@ -28,6 +28,7 @@ QUERIES = {
 
 ORACLES = {
     "op1_warc_revisits": OP1_SQL,
+    "op6_pfair_mixing": OP6_SQL,
     "op7_deletion_line_dedup": OP7_SQL,
     "op8_exact_dedup": OP8_SQL,
 }
