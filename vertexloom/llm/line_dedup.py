@@ -2,8 +2,8 @@
 
 Lines are compared as sequences of words. A line goes if an earlier line (by doc_id, then text, then line
 number) is the same or one word edit away: a word inserted, deleted or replaced. Lines of fewer than
-min_words words are left alone. A chain counts link by link: a line next to an earlier one goes even if
-that one goes too.
+min_words words go only if they are the same: an edit would be more than a fifth of them. Blank lines stay. A chain
+counts link by link: a line next to an earlier one goes even if that one goes too.
 
 Plan. Lines become 128-bit hashes; equal lines meet in an aggregate that keeps the earliest place. Two
 different lines one edit apart agree in their first h or their last h words, where h follows from their
@@ -15,8 +15,10 @@ insertion away. Per variant only the earliest line is kept, by aggregates that c
 so a common line never meets all others; the edit distance is then verified on the words.
 
 Defined results: null counts as empty; words are what stands between white space, case and all else matter;
-rows that repeat doc_id and text get one decision, as one document; a null doc_id comes first;
+rows that repeat doc_id and text get one decision, as one document; a null doc_id comes first; a document may have any
+number of lines and a line any length (only the lines that share an end with another are taken out of their document);
 clashing column names do no harm, as only doc_id and text (and n_chars, which is kept true) are used.
+A line or a variant that more than one in HOT rows have meets its group by a broadcast of at most HOT groups.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ from pyspark.sql import window as W
 from vertexloom.plans.lineage import kept
 
 BUCKETS = 1 << 20  # bound of the broadcast that thins the second scan
+COMMON = 1000  # rows up to which no group is hot
+HOT = 10_000  # a group with more than one in so many rows is hot
 AT = ["doc_id", "th", "line"]
 
 
@@ -62,6 +66,18 @@ def _place(*columns: str) -> Column:
     return F.struct(*(F.col(c) for c in columns))
 
 
+def _met(rows: DataFrame, groups: DataFrame, on: list[str]) -> DataFrame:
+    """rows joined to their group; groups: (*on, times, ...), times the number of rows. Hot groups, HOT at most, are
+    broadcast, so that their rows stay where they are."""
+    bar = groups.agg((F.sum("times") / HOT).alias("bar"))
+    marked = groups.crossJoin(F.broadcast(bar)).withColumn("hot", F.col("times") > F.greatest("bar", F.lit(COMMON))).drop("bar")
+    own = [c for c in groups.columns if c not in on]
+    hot = marked.where("hot").select(*on, F.struct(*own).alias("of"))
+    spread = rows.join(F.broadcast(hot), on, "left")
+    apart = spread.where("of is not null").select(*rows.columns, "of.*")
+    return apart.unionByName(spread.where("of is null").select(rows.columns).join(marked.where("not hot").drop("hot"), on).select(*rows.columns, *own))
+
+
 def one_edit_apart(a: str, b: str) -> Column:
     """Whether two arrays of words differ by one word edit: their common ends cover all but one word."""
     ends = lambda x, y: F.expr(f"coalesce(nullif(array_position(zip_with({x}, {y}, (p, q) -> not (p <=> q)), true), 0) - 1, least(size({x}), size({y})))")
@@ -73,10 +89,12 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     split = docs.select("doc_id", F.xxhash64("text").alias("th"), F.posexplode(F.split("text", "\n", -1)).alias("line", "body"))
     # the generator keeps the line from being made once for every use
-    worded = split.select(*AT, F.explode(F.array(_clean(F.col("body")))).alias("clean")).withColumn("n", _count(F.col("clean"))).where(F.col("n") >= max(2, min_words))
-    lines = kept(worded.select(*AT, F.xxhash64("clean").alias("h1"), F.xxhash64(F.lit(7), "clean").alias("h2"), F.transform(_keys(F.col("n")), lambda k: k.key).alias("keys")))
+    worded = split.select(*AT, F.explode(F.array(_clean(F.col("body")))).alias("clean")).where("clean <> ''").withColumn("n", _count(F.col("clean")))
+    keys = F.when(F.col("n") >= max(2, min_words), F.transform(_keys(F.col("n")), lambda k: k.key)).otherwise(F.array().cast("array<long>"))
+    lines = kept(worded.select(*AT, F.xxhash64("clean").alias("h1"), F.xxhash64(F.lit(7), "clean").alias("h2"), keys.alias("keys")))
     owners = kept(lines.groupBy("h1", "h2").agg(F.min(_place(*AT)).alias("first"), F.count("*").alias("times")))
-    same = lines.join(owners.where("times > 1"), ["h1", "h2"]).where(_place(*AT) > F.col("first")).select(*AT, F.lit(False).alias("near"))
+    again = _met(lines.select(*AT, "h1", "h2"), owners.where("times > 1"), ["h1", "h2"])
+    same = again.where(_place(*AT) > F.col("first")).select(*AT, F.lit(False).alias("near"))
 
     ends = lines.select("h1", F.explode("keys").alias("key"))
     shared = ends.groupBy("key").agg(F.min("h1").alias("a"), F.max("h1").alias("b")).where("a <> b").select("key")
@@ -89,8 +107,10 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     thin = docs.withColumn("bucket", bucket("doc_id")).join(F.broadcast(wanted.select(bucket("doc_id").alias("bucket")).distinct()), "bucket", "left_semi")
     a, b = thin.select("doc_id", F.xxhash64("text").alias("th"), "text").alias("a"), wanted.alias("b")
     found = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.th") == F.col("b.th")))
-    bodies = found.select("a.doc_id", "a.th", F.explode(F.array(F.split("a.text", "\n", -1))).alias("bodies"), "b.places").select("doc_id", "th", "bodies", F.explode("places").alias("p"))
-    own = bodies.select(F.struct("doc_id", "th", "p.line").alias("first"), "p.h1", "p.h2", _clean(F.expr("bodies[p.line]")).alias("clean"))
+    bodies = found.select("a.doc_id", "a.th", F.explode(F.array(F.split("a.text", "\n", -1))).alias("bodies"), "b.places")
+    # the wanted lines are taken out before each becomes a row, which would carry the whole document along
+    taken = bodies.select("doc_id", "th", F.explode(F.expr("transform(places, p -> struct(p.line as line, p.h1 as h1, p.h2 as h2, bodies[p.line] as body))")).alias("p"))
+    own = taken.select(F.struct("doc_id", "th", "p.line").alias("first"), "p.h1", "p.h2", _clean(F.col("p.body")).alias("clean"))
     own = kept(own.withColumn("words", F.split("clean", " ", -1)).withColumn("n", F.size("words")).dropDuplicates(["h1", "h2"]))
 
     spread = own.select("h1", "h2", "n", F.posexplode("words").alias("p", "w")).select("h1", "h2", "n", "p", F.xxhash64("p", "w").alias("here"), F.xxhash64(F.col("p") - 1, "w").alias("moved"))
@@ -112,9 +132,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     close = kept(variants.join(met, "v", "left_semi").join(own.select("h1", "h2", "first"), ["h1", "h2"]).select("v", "kind", "first"))
 
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
-    earliest = close.groupBy("v").agg(least(0).alias("twin0"), least(2).alias("twin1"), least(1).alias("twin2"))
+    earliest = close.groupBy("v").agg(least(0).alias("twin0"), least(2).alias("twin1"), least(1).alias("twin2"), F.count("*").alias("times"))
     twin = F.when(F.col("kind") == 0, F.col("twin0")).when(F.col("kind") == 1, F.col("twin1")).otherwise(F.col("twin2"))
-    pairs = close.join(earliest, "v").select("first", twin.alias("twin")).where(F.col("twin") < F.col("first")).distinct()
+    pairs = _met(close, earliest, ["v"]).select("first", twin.alias("twin")).where(F.col("twin") < F.col("first")).distinct()
     words = own.select("first", "words")
     checked = pairs.join(words, "first").join(words.select(F.col("first").alias("twin"), F.col("words").alias("others")), "twin").where(one_edit_apart("words", "others"))
     near = checked.select("first.doc_id", "first.th", "first.line", F.lit(True).alias("near")).distinct()
@@ -137,15 +157,22 @@ def line_report(docs: DataFrame, min_words: int = 5) -> DataFrame:
 
 
 def dedup_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
-    """docs without the lines that go, in the same columns; documents left without a word by that go too."""
-    body = F.coalesce(F.col("a.text").cast("string"), F.lit(""))
-    a, b = docs.alias("a"), _decided(docs, min_words).alias("b")
-    both = a.join(b, F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64(body) == F.col("b.th")), "left").withColumn("__lines", F.split(body, "\n", -1))
-    kept = F.expr("array_join(transform(array_except(sequence(0, size(__lines) - 1), b.gone), i -> __lines[i]), '\\n')")
-    text = F.when(F.col("b.gone").isNull(), F.col("a.text").cast("string")).otherwise(kept)
-    fresh = {"text": text} | ({"n_chars": F.when(F.col("b.gone").isNull(), F.col("a.n_chars")).otherwise(F.length(text)).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
-    left = both.where(F.col("b.gone").isNull() | text.rlike("[^ \\t\\n\\x0B\\f\\r]"))
-    return left.select(*(fresh.get(c, F.col(f"a.{c}")).alias(c) for c in docs.columns))
+    """docs without the lines that go, in the same columns; documents left without a word by that go too.
+
+    Only the documents whose hash bucket (of BUCKETS) has lines that go are shuffled; all others stay as they are.
+    """
+    decided = kept(_decided(docs, min_words))
+    bucket = lambda c: F.pmod(F.xxhash64(c), F.lit(BUCKETS))
+    flags = F.broadcast(decided.select(bucket("doc_id").alias("bucket")).distinct().withColumn("met", F.lit(True)))
+    held = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), bucket(docs["doc_id"]).alias("bucket")).join(flags, "bucket", "left")
+    a, b = held.where("met").select("row", F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("body")).alias("a"), decided.alias("b")
+    both = a.join(b, F.col("a.row.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.xxhash64("a.body") == F.col("b.th")), "left").select("a.row", "b.gone", F.split("a.body", "\n", -1).alias("lines"))
+    body = F.expr("array_join(transform(array_except(sequence(0, size(lines) - 1), gone), i -> lines[i]), '\\n')")
+    text = F.when(F.col("gone").isNull(), F.col("row.text").cast("string")).otherwise(body)
+    both = both.select("row", "gone", text.alias("text")).where(F.col("gone").isNull() | F.col("text").rlike("[^ \\t\\n\\x0B\\f\\r]"))
+    fresh = {"text": F.col("text")} | ({"n_chars": F.when(F.col("gone").isNull(), F.col("row.n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {})
+    cut = both.select(*(fresh.get(c, F.col("row")[c]).alias(c) for c in docs.columns))
+    return held.where("met is null").select("row.*").unionByName(cut)
 
 
 def op7_deletion_line_dedup(spark, sf_dir: str) -> DataFrame:
@@ -163,7 +190,7 @@ lines AS (
 worded AS (
   SELECT doc_id, text, line, list_filter(regexp_split_to_array(body, '[ \t\x0B\f\r]+'), lambda w: w <> '') AS words FROM lines
 ),
-taken AS (SELECT *, len(words) AS n FROM worded WHERE len(words) >= 5),
+taken AS (SELECT *, len(words) AS n FROM worded WHERE len(words) > 0),
 firsts AS (
   SELECT words, any_value(n) AS n, arg_min({'d': doc_id, 'l': line}, (doc_id, line)) AS spot FROM taken GROUP BY words
 ),
@@ -171,7 +198,7 @@ keys AS (
   SELECT spot, words, n, unnest([
     hash(n, 0, words[1:n // 2]), hash(n, 1, words[n // 2 + 1:]),
     hash(n - 1, 0, words[1:(n - 1) // 2]), hash(n - 1, 1, words[n - ((n - 1) - (n - 1) // 2) + 1:])]) AS key
-  FROM firsts
+  FROM firsts WHERE n >= 5
 ),
 pairs AS (
   SELECT DISTINCT b.spot AS spot, b.words AS x, a.words AS y, b.n AS n, a.n AS m
