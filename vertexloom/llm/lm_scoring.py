@@ -17,7 +17,7 @@ What is broadcast is bounded, and what is larger has an exact way that gives the
 - a filter of at most max_bits (64 MB) goes to the workers, which probe it text by text;
 - a larger one stays in its segments: slices of texts send their pairs, with the texts they stand in, to the segments,
   and get back what these add to each text's score (texts are read where they lie and never shuffled);
-- a vocabulary beyond max_vocabulary words (25 bytes each: 100 MB) is neither broadcast nor coded: pairs are joined as
+- a vocabulary beyond max_vocabulary words (21 bytes each: 168 MB) is neither broadcast nor coded: pairs are joined as
   64-bit hashes of their words.
 
 Defined results: null counts as empty; a text without words is the end token alone; a null doc_id is in the
@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 from vertexloom.plans.lineage import kept
 
 SLICE = 256
-COUNTED = 2_000_000  # tokens whose pairs are summed before they leave a task
+COUNTED = 1_000_000  # tokens whose pairs are summed before they leave a task
 CACHED = 200_000  # words whose hashes a task remembers
 SALTS = np.uint64(7)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word has a space in it
@@ -540,7 +540,7 @@ def probed_by_joins(rows: DataFrame, words: DataFrame, tokens: int, known: int,
     return rows.select("row", "doc_id", "held_out").join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 4_000_000, segment_bytes: int = 1 << 24) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 24) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = rows.where("not held_out")
@@ -554,9 +554,12 @@ def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_
     table = words.toArrow()
     key, count = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
     order = np.argsort(key)
-    own = Words(key[order], np.append(count[order], 0), int(tokens), mu)
+    small = np.int32 if count.max(initial=0) < 1 << 31 else np.int64
+    own = Words(key[order], np.append(count[order], 0).astype(small), int(tokens), mu)
     del table, key, count, order
-    filter_ = build_filter(train, words, shared(own), shape)
+    first = shared(own)
+    filter_ = build_filter(train, words, first, shape)
+    first.destroy()  # workers hold one vocabulary, not two; the filter is written by now
     own = own.with_filter(*word_values(filter_, own.n), shape.means)
     own.means = shape.means
     whole = int(filter_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
