@@ -9,14 +9,14 @@ from tokenizers import Tokenizer
 
 from vertexloom.llm import packing as P
 
-FILE = f"{P.VOCABULARY}/byte_bpe_50k.json"
+FILE = P.vocabulary()
 
 
 @settings(max_examples=200, deadline=None)
 @given(st.text())
 def test_ids_are_those_of_the_file(text):
-    assert P.tokenizer(P.VOCABULARY)(text) == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids if len(text) > 40 else True
-    assert P.tokenizer(P.VOCABULARY)(text) == whole().encode(text, add_special_tokens=False).ids
+    assert P.tokenizer(FILE)(text) == Tokenizer.from_file(FILE).encode(text, add_special_tokens=False).ids if len(text) > 40 else True
+    assert P.tokenizer(FILE)(text) == whole().encode(text, add_special_tokens=False).ids
 
 
 def whole(held=[]):  # noqa: B006
@@ -27,7 +27,7 @@ def whole(held=[]):  # noqa: B006
 
 def test_special_token_in_a_text():
     for text in ("a<|endoftext|>b", "  <|endoftext|>", "x   \u0085 y​", "\r\n\r\n a", "١٢٣ ½ ²"):
-        assert list(P.tokenizer(P.VOCABULARY)(text)) == whole().encode(text, add_special_tokens=False).ids
+        assert list(P.tokenizer(FILE)(text)) == whole().encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("score", ["norm", "dot"])
