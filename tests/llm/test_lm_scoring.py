@@ -137,6 +137,7 @@ def test_filter_gives_levels_back():
 
 def test_packed_numbers():
     rng = np.random.default_rng(1)
+    assert all((M.unpacked(M.packed(np.array(x))) == x).all() for x in ([0, 0], [255, 0], [256], [2**62, 1]))
     x = np.sort(rng.integers(0, 2**50, 1000))
     assert (M.unpacked(M.packed(x, True), True) == x).all() and (M.unpacked(M.packed(x[::-1])) == x[::-1]).all()
     assert len(M.unpacked(M.packed(np.empty(0, np.int64)))) == 0

@@ -9,7 +9,7 @@ p(w | h) = (m(hw) + mu p(w)) / (T(h) + mu), T(h) the sum of m(hw) over all words
 the level means, made when the filter is. Before a text stands its end token. A pair with a word that training never
 saw isn't probed: it can't have been counted.
 
-The filter is made of segments, dealt by the pair's first word and three bits of its second, whose number follows the
+The filter is made of segments, dealt by the pair's first word and four bits of its second, whose number follows the
 training text (segment_bytes each), so that none outgrows a task; each has bits_per_key bits for each of its own keys,
 so the error rate is the same at every size. The tasks exchange pairs as sorted codes of known words, 3 to 5 bytes each.
 
@@ -44,7 +44,7 @@ from vertexloom.plans.lineage import kept
 SLICE = 256
 COUNTED = 1_000_000  # tokens whose pairs are summed before they leave a task
 CACHED = 200_000  # words whose hashes a task remembers
-SALTS = np.uint64(7)
+SALTS = np.uint64(15)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word has a space in it
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
 OUT = "held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
@@ -105,14 +105,18 @@ def _scaled(x: np.ndarray, number: int) -> np.ndarray:
 
 
 def packed(x: np.ndarray, ordered: bool = False) -> bytes:
-    """Whole numbers as bytes, plane by plane, so that leading zeros compress away; as differences if in order."""
+    """Whole numbers from 0 as bytes, plane by plane, with as many planes (the first byte) as the greatest one needs; as
+    differences if in order."""
     x = np.ascontiguousarray(np.diff(x, prepend=0) if ordered else x, dtype="<i8")
-    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T).tobytes()
+    planes = -(-int(x.max(initial=0)).bit_length() // 8)
+    return bytes([planes]) + np.ascontiguousarray(x.view(np.uint8).reshape(-1, 8).T[: max(1, planes)]).tobytes()
 
 
 def unpacked(b: bytes, ordered: bool = False) -> np.ndarray:
-    planes = np.frombuffer(b, np.uint8).reshape(8, -1)
-    x = np.ascontiguousarray(planes.T).view("<i8").reshape(-1)
+    planes = np.frombuffer(b, np.uint8, offset=1).reshape(max(1, b[0]), -1)
+    whole = np.zeros((planes.shape[1], 8), np.uint8)
+    whole[:, : len(planes)] = planes.T
+    x = whole.view("<i8").reshape(-1)
     return np.cumsum(x) if ordered else x
 
 
@@ -540,7 +544,7 @@ def probed_by_joins(rows: DataFrame, words: DataFrame, tokens: int, known: int,
     return rows.select("row", "doc_id", "held_out").join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 24) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = rows.where("not held_out")
