@@ -42,29 +42,38 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 #: Letters of other scripts that look like Latin ones (fixed values).
 _LOOK_ALIKES = dict(zip("аесорхуіјѕһԁԛԝАВЕКМНОРСТХІЈЅΑΒΕΖΗΙΚΜΝΟΡΤΥΧορνɑıℓ", "aecopxyijshdqwABEKMHOPCTXIJSABEZHIKMNOPTYXopvail", strict=True))
 _HIDDEN = "​‌‍⁠﻿­"
-_DIGITS = {"zero": "0", "oh": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9"}
-_SIGNS = {"plus": "+", "dot": ".", "point": ".", "dash": "-", "hyphen": "-"}
+#: Digits, signs and the words for "at" and "dot" in English, German, French and Spanish (fixed values).
+_SPOKEN = (
+    "zero null zéro cero oh", "one eins un uno", "two zwei deux dos", "three drei trois tres", "four vier quatre cuatro",
+    "five fünf cinq cinco", "six sechs seis", "seven sieben sept siete", "eight acht huit ocho", "nine neun neuf nueve",
+)
+_DIGITS = {word: str(digit) for digit, words in enumerate(_SPOKEN) for word in words.split()}
+_AT_WORDS = "at|arobase|arroba|klammeraffe"
+_DOT_WORDS = "dot|punkt|point|punto"
+_SIGNS = {"plus": "+", "más": "+", "dot": ".", "punkt": ".", "point": ".", "punto": ".", "dash": "-", "hyphen": "-", "strich": "-", "tiret": "-", "guion": "-"}
 _WORD = "|".join(_DIGITS)
-_SPELLED = re.compile(rf"(?<![^\W_])(?:plus[\s,-]+)?(?:{_WORD})(?:[\s,-]+(?:{_WORD}|dot|point|dash|hyphen))*[\s,-]+(?:{_WORD})(?![^\W_])", re.IGNORECASE)
-_TOKEN = re.compile(r"[A-Za-z]+")
-_AT = r"(?:\s*[\[({<]\s*(?:at|@)\s*[\])}>]\s*)"
-_DOT = r"(?:\s*[\[({<]\s*(?:dot|\.)\s*[\])}>]\s*)"
+_ITEM = rf"(?:{_WORD}|[0-9]++)"
+_SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[\s,-]+|\+[\s,-]*)?{_ITEM}(?![^\W_])(?:[\s,-]+(?:{_ITEM}|{'|'.join(_SIGNS)})(?![^\W_]))*", re.IGNORECASE)
+_TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\+")
+_AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*)"
+_DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*)"
+_SAID_DOT = rf"\s+(?:{_DOT_WORDS})\s+"
 #: A bracketed "at" takes any dot after it; a bare one needs a disguised dot too, as in "x at y dot z".
-_ADDRESS = re.compile(
-    rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:(?:{_DOT}|\s+dot\s+)[A-Za-z0-9_%+-]++){{0,4}}"
-    rf"(?:(?P<sure>{_AT}|@)|(?P<bare>\s+at\s+))"
-    rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT}|\s+dot\s+)[A-Za-z0-9-]++)+",
-    re.IGNORECASE,
-)
-_AT_PART = re.compile(rf"{_AT}|\s+at\s+", re.IGNORECASE)
-_DOT_PART = re.compile(rf"{_DOT}|\s+dot\s+", re.IGNORECASE)
-_BARE = re.compile(r"\sdot\s")
-_BRACKETED = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]")
+_ANCHOR = re.compile(rf"(?P<sure>{_AT}|@)|(?P<bare>\s+(?:{_AT_WORDS})\s+)", re.IGNORECASE)
+_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_SAID_DOT})[A-Za-z0-9-]++)+", re.IGNORECASE)
+#: The name before the "at", read from right to left: words that disguised dots join.
+_BACK_WORDS = "|".join(w[::-1] for w in _DOT_WORDS.split("|"))
+_BACK_DOT = rf"\s*[\])}}>]\s*(?:{_BACK_WORDS}|\.)\s*[\[({{<]\s*|\s+(?:{_BACK_WORDS})\s+"
+_NAME = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:{_BACK_DOT})[A-Za-z0-9._%+-]++)*+", re.IGNORECASE)
+_DOT_PART = re.compile(rf"{_DOT}|{_SAID_DOT}", re.IGNORECASE)
+_BARE = re.compile(rf"\s(?:{_DOT_WORDS})\s")
+_BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\s*[\])}}>]")
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 _DIGIT_WORDS = frozenset(w.encode() for w in _DIGITS)
+_SIGN_WORDS = frozenset(w.encode() for w in _SIGNS)
+_DOTS = tuple(_DOT_WORDS.split("|"))
 #: What isn't a Latin letter, common punctuation or a currency sign; hidden characters and look-alikes are among it.
 _ODD = re.compile("[^\\x00-\\xac\\xae-\\u0130\\u0132-\\u0250\\u1e00-\\u1eff\\u2010-\\u2027\\u2030-\\u205f\\u20a0-\\u20cf]")
-_HINT = re.compile(r"[\[({<]\s*(?:at|@|dot|\.)\s*[\])}>]|\sdot\s", re.IGNORECASE)
 _DOTTED = re.compile(rf"(?<![0-9.])[0-9]++(?:{_DOT}[0-9]++){{3}}", re.IGNORECASE)
 
 
@@ -156,34 +165,48 @@ def _see_through_glyphs(now: Rewritten) -> Rewritten:
 
 
 def _read_spelled_digits(now: Rewritten) -> Rewritten:
-    """Runs of three or more spelled digits; what separates their words goes."""
+    """Runs of digits of which some are spelled: three spelled ones, or one among four in all; what separates them goes."""
     edits: list[tuple[int, int, str]] = []
     for m in _SPELLED.finditer(now.text):
-        tokens = [(t.start() + m.start(), t.end() + m.start(), t[0].lower()) for t in _TOKEN.finditer(m[0])]
-        if sum(t in _DIGITS for *_, t in tokens) < 3:
+        items = [(t.start() + m.start(), t.end() + m.start(), t[0].lower()) for t in _TOKEN.finditer(m[0])]
+        while items and items[-1][2] in _SIGNS:  # a sign at the end joins nothing
+            items.pop()
+        spelled = sum(t in _DIGITS for *_, t in items)
+        if not spelled or spelled < 3 and spelled + sum(len(t) for *_, t in items if t[0].isdigit()) < 4:
             continue
-        for (a, b, t), after in zip(tokens, [*tokens[1:], None], strict=True):
-            edits.append((a, b, _DIGITS.get(t) or _SIGNS[t]))
+        for (a, b, t), after in zip(items, [*items[1:], None], strict=True):
+            if t in _DIGITS or t in _SIGNS:
+                edits.append((a, b, _DIGITS.get(t) or _SIGNS[t]))
             if after and after[0] > b:
                 edits.append((b, after[0], ""))
     return now.edit(edits) if edits else now
 
 
 def _undo_at_and_dot(now: Rewritten) -> Rewritten:
-    if not _HINT.search(now.text):
+    low = now.text.lower()
+    if not (_BARE.search(low) or _BRACKETED.search(low)):
         return now
     edits: dict[int, tuple[int, int, str]] = {}
-    for m in _ADDRESS.finditer(now.text):
-        at = m.span("sure") if m["sure"] else m.span("bare")
-        dots = [d.span() for d in _DOT_PART.finditer(now.text, m.start(), m.end())]
-        if m["bare"] and not any(a >= at[1] for a, _ in dots):
+    back, size = now.text[::-1], len(now.text)
+    for m in _ANCHOR.finditer(now.text):
+        host = _HOST.match(now.text, m.end())
+        name = _NAME.match(back, size - m.start()) if host else None
+        if not name:
+            continue
+        dots = [d.span() for part in ((size - name.end(), m.start()), host.span()) for d in _DOT_PART.finditer(now.text, *part)]
+        if m["bare"] and not any(a >= m.end() for a, _ in dots):
             continue
         if m["sure"] != "@":
-            edits[at[0]] = (*at, "@")
+            edits[m.start()] = (*m.span(), "@")
         edits.update({a: (a, b, ".") for a, b in dots})
     for m in _DOTTED.finditer(now.text):
         edits.update({d.start(): (*d.span(), ".") for d in _DOT_PART.finditer(now.text, *m.span())})
-    return now.edit([edits[a] for a in sorted(edits)]) if edits else now
+    kept, last = [], 0
+    for a, b, new in (edits[a] for a in sorted(edits)):
+        if a >= last:  # what overlaps an earlier one is left
+            kept.append((a, b, new))
+            last = b
+    return now.edit(kept) if kept else now
 
 
 def _may_hide(text: str) -> bool:
@@ -191,13 +214,16 @@ def _may_hide(text: str) -> bool:
     if not text.isascii() and _ODD.search(text):
         return True
     low = text.lower()
-    if "dot" in low and _BARE.search(low) or any(c in text for c in "[({<") and _BRACKETED.search(low):
+    if any(d in low for d in _DOTS) and _BARE.search(low) or any(c in text for c in "[({<") and _BRACKETED.search(low):
         return True
     if not any(w in low for w in _DIGITS):
         return False
+    # what is rewritten has four digits in a run, or three spelled ones
     words = low.encode().translate(_APART).split()
-    found = _DIGIT_WORDS.intersection(words)
-    return sum(map(words.count, found)) >= 3 and _SPELLED.search(text) is not None
+    if _DIGIT_WORDS.isdisjoint(words):
+        return False
+    spoken = [w in _DIGIT_WORDS or w in _SIGN_WORDS or w.isdigit() for w in words]
+    return any(a and b for a, b in zip(spoken, spoken[1:], strict=False))
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
