@@ -61,7 +61,7 @@ def test_disguises_map_back(text, kind, value):
     assert [(k, text[a:b]) for k, a, b in every if (k, a, b) not in base and k == kind] == [(kind, value)]
 
 
-@pytest.mark.parametrize("text", ["look at example.com", "at one dot two", "we met at noon. dot com at work", "one two", "(at) [dot]", "être à l'école", "meet me at home dot", "", "no one two seven eight nine here", "un point de vue", "der punkt ist null", "in 1999 one of five at work point out", "one 5 a 7 b 2024"])
+@pytest.mark.parametrize("text", ["look at example.com", "at one dot two", "we met at noon. dot com at work", "one two", "(at) [dot]", "être à l'école", "meet me at home dot", "", "no one two seven eight nine here", "un point de vue", "der punkt ist null", "in 1999 one of five at work point out", "one 5 a 7 b 2024", "see you at noon punto final", "elle est at home point final"])
 def test_clean_texts_stay_clean(text):
     assert P.identifiers(text) == ([], [])
 

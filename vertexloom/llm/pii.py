@@ -57,15 +57,25 @@ _SPELLED = re.compile(rf"(?<![^\W_])(?:(?:plus|más)[\s,-]+|\+[\s,-]*)?{_ITEM}(?
 _TOKEN = re.compile(r"[^\W\d_]+|[0-9]+|\+")
 _AT = rf"(?:\s*[\[({{<]\s*(?:{_AT_WORDS}|@)\s*[\])}}>]\s*)"
 _DOT = rf"(?:\s*[\[({{<]\s*(?:{_DOT_WORDS}|\.)\s*[\])}}>]\s*)"
-_SAID_DOT = rf"\s+(?:{_DOT_WORDS})\s+"
 #: A bracketed "at" takes any dot after it; a bare one needs a disguised dot too, as in "x at y dot z".
 _ANCHOR = re.compile(rf"(?P<sure>{_AT}|@)|(?P<bare>\s+(?:{_AT_WORDS})\s+)", re.IGNORECASE)
-_HOST = re.compile(rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{_SAID_DOT})[A-Za-z0-9-]++)+", re.IGNORECASE)
-#: The name before the "at", read from right to left: words that disguised dots join.
-_BACK_WORDS = "|".join(w[::-1] for w in _DOT_WORDS.split("|"))
-_BACK_DOT = rf"\s*[\])}}>]\s*(?:{_BACK_WORDS}|\.)\s*[\[({{<]\s*|\s+(?:{_BACK_WORDS})\s+"
-_NAME = re.compile(rf"[A-Za-z0-9._%+-]++(?:(?:{_BACK_DOT})[A-Za-z0-9._%+-]++)*+", re.IGNORECASE)
-_DOT_PART = re.compile(rf"{_DOT}|{_SAID_DOT}", re.IGNORECASE)
+#: Which words for "dot" go with which "at": in other languages they are words like any other.
+_DOTS_OF = {"at": "dot|punkt", "arobase": "point", "arroba": "punto", "klammeraffe": "punkt", "@": "dot|punkt|punto"}
+
+
+def _parts(words: str) -> tuple[re.Pattern, re.Pattern, re.Pattern]:
+    """What follows an "at", what precedes it (read from right to left), and the dots in both."""
+    said, back = rf"\s+(?:{words})\s+", "|".join(w[::-1] for w in words.split("|"))
+    back_any = "|".join(w[::-1] for w in _DOT_WORDS.split("|"))
+    back_dot = rf"\s*[\])}}>]\s*(?:{back_any}|\.)\s*[\[({{<]\s*|\s+(?:{back})\s+"
+    host = rf"[A-Za-z0-9-]++(?:(?:\.|{_DOT}|{said})[A-Za-z0-9-]++)+"
+    name = rf"[A-Za-z0-9._%+-]++(?:(?:{back_dot})[A-Za-z0-9._%+-]++)*+"
+    return tuple(re.compile(x, re.IGNORECASE) for x in (host, name, f"{_DOT}|{said}"))
+
+
+_BRACKETS = re.compile(r"[\s\[\](){}<>]+")
+_PARTS = {at: _parts(words) for at, words in _DOTS_OF.items()}
+_ANY_DOT = re.compile(_DOT, re.IGNORECASE)
 _BARE = re.compile(rf"\s(?:{_DOT_WORDS})\s")
 _BRACKETED = re.compile(rf"[\[({{<]\s*(?:{_AT_WORDS}|@|{_DOT_WORDS}|\.)\s*[\])}}>]")
 _APART = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
@@ -189,18 +199,19 @@ def _undo_at_and_dot(now: Rewritten) -> Rewritten:
     edits: dict[int, tuple[int, int, str]] = {}
     back, size = now.text[::-1], len(now.text)
     for m in _ANCHOR.finditer(now.text):
-        host = _HOST.match(now.text, m.end())
-        name = _NAME.match(back, size - m.start()) if host else None
+        of_host, of_name, of_dot = _PARTS[_BRACKETS.sub("", m[0].lower())]
+        host = of_host.match(now.text, m.end())
+        name = of_name.match(back, size - m.start()) if host else None
         if not name:
             continue
-        dots = [d.span() for part in ((size - name.end(), m.start()), host.span()) for d in _DOT_PART.finditer(now.text, *part)]
+        dots = [d.span() for part in ((size - name.end(), m.start()), host.span()) for d in of_dot.finditer(now.text, *part)]
         if m["bare"] and not any(a >= m.end() for a, _ in dots):
             continue
         if m["sure"] != "@":
             edits[m.start()] = (*m.span(), "@")
         edits.update({a: (a, b, ".") for a, b in dots})
     for m in _DOTTED.finditer(now.text):
-        edits.update({d.start(): (*d.span(), ".") for d in _DOT_PART.finditer(now.text, *m.span())})
+        edits.update({d.start(): (*d.span(), ".") for d in _ANY_DOT.finditer(now.text, *m.span())})
     kept, last = [], 0
     for a, b, new in (edits[a] for a in sorted(edits)):
         if a >= last:  # what overlaps an earlier one is left
