@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 from test_graphs import graph, scalar
 
-from vertexloom.operators import metrics, multilevel, orthogonal, traversal
+from vertexloom.operators import force, metrics, multilevel, orthogonal, planar, static_layouts, traversal
 from vertexloom.sources import graphs
 
 
@@ -89,3 +89,72 @@ def test_multilevel_runs(spark):
     g = graph(spark, [(i, (i + 1) % 14) for i in range(14)])
     out = multilevel.multilevel(g, (200.0, 200.0), iterations=5, smallest=8)
     assert out.count() == 14 and out.where("isnan(x) or isnan(y) or x is null").count() == 0
+
+
+def many(spark):
+    """A ring, a star with a fixed node and a loop, a pair of parts, and a single node."""
+    edges = [("a", i, (i + 1) % 7) for i in range(7)] + [("b", 0, i) for i in range(1, 6)] + [("b", 3, 3), ("c", 0, 1), ("c", 2, 3)]
+    nodes = [(g, i, int(g == "b" and i == 2)) for g, n in (("a", 7), ("b", 6), ("c", 4), ("d", 1)) for i in range(n)]
+    g = graphs.graph(spark.createDataFrame(nodes, "graph_id string, idx long, fixed int"), spark.createDataFrame(edges, "graph_id string, src long, dst long"))
+    return g.with_nodes(static_layouts.random_layout(g, (300.0, 200.0), seed=3)).settled()
+
+
+@pytest.mark.parametrize("layout", [force.fruchterman_reingold, force.spring, force.force_atlas2, force.yifan_hu, force.stress_majorization])
+def test_runs_in_tasks_equal_ticks_as_queries(spark, layout):
+    g = many(spark)
+    cells = {} if layout is force.stress_majorization else {"far_cells": 0}
+    inside, outside = ({(r.graph_id, r.idx): (r.x, r.y) for r in layout(g, (300.0, 200.0), iterations=7, centre=False, in_task=n, **cells).collect()} for n in (1000, 4))
+    assert inside.keys() == outside.keys() and len(inside) == 18
+    for k, (x, y) in inside.items():
+        assert outside[k] == (pytest.approx(x, abs=1e-6), pytest.approx(y, abs=1e-6)), k
+    still = g.nodes.where("fixed = 1").first()
+    assert inside["b", 2] == (still.x, still.y)
+
+
+def test_runs_lower_stress_and_energy(spark):
+    ring = graph(spark, [(i, (i + 1) % 20) for i in range(20)])
+    g = ring.with_nodes(static_layouts.random_layout(ring, seed=5)).settled()
+    start = scalar(metrics.quality_summary(g).select("stress"))
+    for layout in (force.stress_majorization, force.yifan_hu, force.fruchterman_reingold):
+        assert scalar(metrics.quality_summary(g.with_nodes(layout(g))).select("stress")) < start / 2
+
+
+def test_blocks_and_cut_vertices(spark):
+    # two triangles at node 2, a bridge to 5, a double edge 5-6, and a part of its own
+    g = graph(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 2), (4, 5), (5, 6), (6, 5), (7, 8), (8, 8)])
+    of = {r.eid: r.block for r in planar.blocks(g).collect()}
+    names = {(r.src, r.dst): r.eid for r in g.edges.collect()}
+    groups = sorted(sorted(e for e, b in of.items() if b == k) for k in set(of.values()))
+    want = [[(0, 1), (1, 2), (2, 0)], [(2, 3), (3, 4), (4, 2)], [(4, 5)], [(5, 6), (6, 5)], [(7, 8)]]
+    assert groups == sorted(sorted(names[e] for e in group) for group in want)
+    assert sorted(r.idx for r in planar.cut_vertices(g).collect()) == [2, 4, 5]
+
+
+def test_planar_map_meets_eulers_formula(spark):
+    g = graph(spark, [(0, 2), (1, 3), (0, 1), (1, 2), (2, 3), (3, 0)], xy=[(0, 0), (10, 0), (10, 10), (0, 10)])
+    flat = planar.planarized(g)
+    assert flat.nodes.count() == 5 and flat.edges.count() == 8
+    again = graphs.Graph(flat.nodes, graphs.numbered(flat.edges.drop("eid"), "eid", "src", "dst"))
+    assert planar.faces(again).select("face").distinct().count() == 8 - 5 + 2
+
+
+def test_cycle_and_hull_and_groups(spark):
+    g = graph(spark, [(5, 0), (0, 1), (1, 2), (2, 0), (2, 3), (4, 6), (6, 4), (6, 7)])
+    assert sorted((r.src, r.dst) for r in planar.find_cycle(g).collect()) == [(0, 1), (1, 2), (2, 0)]
+    assert planar.find_cycle(graph(spark, [(0, 1), (1, 2)])).count() == 0
+    spots = spark.createDataFrame([("g", 0, 0.0, 0.0), ("g", 1, 2.0, 0.0), ("g", 2, 4.0, 0.0), ("g", 3, 4.0, 4.0), ("g", 4, 1.0, 1.0), ("g", 5, 4.0, 4.0), ("h", 0, 1.0, 1.0), ("i", 0, None, 1.0)], "graph_id string, idx long, x double, y double")
+    assert [(r.graph_id, r.pos, r.idx) for r in planar.convex_hull(spots).orderBy("graph_id", "pos").collect()] == [("g", 0, 0), ("g", 1, 2), ("g", 2, 3), ("h", 0, 0)]
+    groups = spark.createDataFrame([("g", 0, [4], []), ("g", 1, [], [0]), ("g", 2, [], [])], "graph_id string, gid long, leaves array<long>, children array<long>")
+    sized = spots.withColumn("width", F.lit(2.0)).withColumn("height", F.lit(4.0))
+    assert sorted(map(tuple, planar.group_bounds(sized, groups, 1.0).collect())) == [("g", 0, -1.0, -2.0, 3.0, 4.0), ("g", 1, -2.0, -3.0, 4.0, 5.0)]
+    looped = spark.createDataFrame([("g", 0, [4], [0])], "graph_id string, gid long, leaves array<long>, children array<long>")
+    with pytest.raises(ValueError, match="nested"):
+        planar.group_bounds(sized, looped, 1.0, max_depth=3)
+
+
+def test_lanes_of_overlapping_routes(spark):
+    rows = [("g", e, 0, True, 0.0, a, b) for e, a, b in ((1, 0.0, 5.0), (2, 4.0, 6.0), (3, 5.5, 9.0), (4, 9.0, 12.0))]
+    out = planar.lanes(spark.createDataFrame(rows, "graph_id string, eid long, seg int, level boolean, line double, lo double, hi double"), 2.0)
+    assert {r.eid: r.offset for r in out.collect()} == {1: -2.0, 2: 0.0, 3: 2.0, 4: 0.0}
+    routed = orthogonal.routes(boxes(spark, graph(spark, [(0, 1), (0, 2)], xy=[(0, 0), (100, 40), (100, 80)])))
+    assert planar.lanes(planar.route_segments(routed)).count() > 0

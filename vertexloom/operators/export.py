@@ -35,12 +35,12 @@ def _name() -> Column:
     return F.coalesce("label", F.col("idx").cast("string"))
 
 
-def to_svg(g: Graph, padding: float = 40.0, radius: float = 20.0, node_color: str = "#4a90d9", node_stroke: str = "#2c5aa0", stroke_width: float = 2.0, edge_color: str = "#666666", edge_width: float = 1.5, labels: bool = True, label_color: str = "#000000", font_size: float = 12.0, font: str = "sans-serif", shape: str = "circle") -> DataFrame:
+def to_svg(g: Graph, padding: float = 40.0, radius: float = 20.0, node_color: str = "#3f7fbf", node_stroke: str = "#24527a", stroke_width: float = 2.0, edge_color: str = "#5a6470", edge_width: float = 1.5, labels: bool = True, label_color: str = "#000000", font_size: float = 12.0, font: str = "sans-serif", shape: str = "circle") -> DataFrame:
     """Edges as lines, nodes as circles (or rounded boxes of their size), labels in their centres."""
     half = lambda c: F.coalesce(F.col(c), F.lit(2 * radius)) / 2
     box = g.nodes.groupBy("graph_id").agg(*(f(F.col(c) + s * half(o)).alias(n) for f, c, s, o, n in ((F.min, "x", -1, "width", "x0"), (F.min, "y", -1, "height", "y0"), (F.max, "x", 1, "width", "x1"), (F.max, "y", 1, "height", "y1"))))
     shift = box.select("graph_id", (padding - F.col("x0")).alias("ox"), (padding - F.col("y0")).alias("oy"), (F.col("x1") - F.col("x0") + 2 * padding).alias("w"), (F.col("y1") - F.col("y0") + 2 * padding).alias("h"))
-    nodes = g.nodes.join(F.broadcast(shift), "graph_id")
+    nodes = g.nodes.join(shift, "graph_id")
     n = lambda c: _number(c, 2)
     head = _rows(shift, 0, None, F.format_string('<svg xmlns="http://www.w3.org/2000/svg" width="%s" height="%s" viewBox="0 0 %s %s">', n(F.col("w")), n(F.col("h")), n(F.col("w")), n(F.col("h"))))
     lines = with_ends(g.edges, nodes, "x", "y", "ox", "oy")

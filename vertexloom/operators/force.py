@@ -14,6 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.operators import small_graphs
 from vertexloom.operators.ingest import check_canvas, check_iterations, degrees, in_range, sizes, with_ends
 from vertexloom.operators.static_layouts import centred
 from vertexloom.operators.traversal import all_pairs
@@ -21,6 +22,10 @@ from vertexloom.plans.lineage import cut
 from vertexloom.sources.graphs import Graph
 
 
+IN_TASK = 1000  # nodes of a graph that a task takes whole
+FAR_CELLS = 16  # cells a side for the far forces of larger graphs; 0 for all pairs
+
+
 @dataclass
 class Progress:
     """What a listener gets: start, tick or end, the tick's number and its movement."""
@@ -53,7 +58,7 @@ def cell_forces(nodes: DataFrame, size: Callable[[Column], Column], cells: int =
     q = F.col(charge) if charge else F.lit(1.0)
     box = nodes.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
     at = lambda c, o: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(o)) / F.col("side") * cells)).cast("int")
-    placed = nodes.join(F.broadcast(box), "graph_id").select("graph_id", "idx", "x", "y", q.alias("q"), at("x", "x0").alias("cx"), at("y", "y0").alias("cy"))
+    placed = nodes.join(box, "graph_id").select("graph_id", "idx", "x", "y", q.alias("q"), at("x", "x0").alias("cx"), at("y", "y0").alias("cy"))
     mass = placed.groupBy("graph_id", "cx", "cy").agg((F.sum(F.col("q") * F.col("x")) / F.sum("q")).alias("mx"), (F.sum(F.col("q") * F.col("y")) / F.sum("q")).alias("my"), F.sum("q").alias("m"))
     a, b = placed.alias("a"), mass.alias("b")
     far = a.join(b, (F.col("a.graph_id") == F.col("b.graph_id")) & ((F.abs(F.col("a.cx") - F.col("b.cx")) > 1) | (F.abs(F.col("a.cy") - F.col("b.cy")) > 1)))
@@ -94,13 +99,13 @@ def _moved(nodes: DataFrame, dx: Column, dy: Column, **more: Column) -> DataFram
 def fruchterman_reingold_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), temperature: float = 100.0, distance: float | None = None, gravity: float = 0.1, far_cells: int = 0) -> DataFrame:
     """Repulsion k^2 / d, attraction d^2 / k, gravity to the centre; steps up to the temperature, inside the canvas."""
     w, h = check_canvas(size)
-    counted = nodes.join(F.broadcast(sizes(g).withColumnRenamed("n", "__n")), "graph_id")
+    counted = nodes.join(sizes(g).withColumnRenamed("n", "__n"), "graph_id")
     # k differs by graph: charges carry its root, so that their product is k^2
     k = F.lit(float(distance)) if distance else F.sqrt(F.lit(w * h) / F.col("__n"))
     scaled = counted.withColumn("k", k).drop("__n")
     away = cell_forces(scaled, lambda d: 1 / d, far_cells, "k") if far_cells else pair_forces(scaled, lambda d: 1 / d, "k")
     pull = edge_forces(g, nodes, lambda d: d * d)
-    pull = pull.join(F.broadcast(scaled.groupBy("graph_id").agg(F.first("k").alias("k"))), "graph_id").select("graph_id", "idx", (F.col("fx") / F.col("k")).alias("fx"), (F.col("fy") / F.col("k")).alias("fy"))
+    pull = pull.join(scaled.groupBy("graph_id").agg(F.first("k").alias("k")), "graph_id").select("graph_id", "idx", (F.col("fx") / F.col("k")).alias("fx"), (F.col("fy") / F.col("k")).alias("fy"))
     centre = nodes.select("graph_id", "idx", (gravity * (w / 2 - F.col("x"))).alias("fx"), (gravity * (h / 2 - F.col("y"))).alias("fy"))
     own = _summed(nodes, away, pull, centre)
     f = F.sqrt(F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))
@@ -110,12 +115,13 @@ def fruchterman_reingold_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0),
     return moved.withColumn("x", clamp("x", w)).withColumn("y", clamp("y", h))
 
 
-def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: float = 0.1, spring_length: float = 100.0, repulsion: float = 10_000.0, damping: float = 0.5, gravity: float = 0.0) -> DataFrame:
+def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: float = 0.1, spring_length: float = 100.0, repulsion: float = 10_000.0, damping: float = 0.5, gravity: float = 0.0, far_cells: int = 0) -> DataFrame:
     """Hooke's law on edges (their length, else spring_length), Coulomb's between all; velocities (vx, vy) are damped."""
     w, h = check_canvas(size)
     for v in ("vx", "vy"):
         nodes = nodes if v in nodes.columns else nodes.withColumn(v, F.lit(0.0))
-    away = pair_forces(nodes, lambda d: repulsion / (d * d))
+    push = lambda d: repulsion / (d * d)
+    away = cell_forces(nodes, push, far_cells) if far_cells else pair_forces(nodes, push)
     rest = F.coalesce(F.nullif("length", F.lit(0.0)), F.lit(spring_length))
     pull = edge_forces(Graph(g.nodes, g.edges), nodes, lambda d: stiffness * (d - rest))
     centre = nodes.select("graph_id", "idx", (gravity * (w / 2 - F.col("x"))).alias("fx"), (gravity * (h / 2 - F.col("y"))).alias("fy"))
@@ -125,6 +131,27 @@ def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: fl
     return _moved(own, vx, vy, vx=still(vx), vy=still(vy))
 
 
+def yifan_hu_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), distance: float | None = None, strength: float = 0.2, shrink: float = 0.9, far_cells: int = 0) -> DataFrame:
+    """Hu's forces: repulsion C K^2 / d, attraction d^2 / K; all nodes move one step. State beside x, y, alike in all of a
+    graph's nodes: the step, which shrinks when the energy rises and grows after five falls in a row; energy; falls."""
+    w, h = check_canvas(size)
+    counted = nodes.join(sizes(g).withColumnRenamed("n", "__n"), "graph_id")
+    scaled = counted.withColumn("k", F.lit(float(distance)) if distance else F.sqrt(F.lit(w * h) / F.col("__n"))).drop("__n")
+    for name, start in (("step", F.col("k") / 5), ("energy", F.lit(float("inf"))), ("falls", F.lit(0))):
+        scaled = scaled if name in nodes.columns else scaled.withColumn(name, start)
+    push = lambda d: strength / d
+    away = cell_forces(scaled, push, far_cells, "k") if far_cells else pair_forces(scaled, push, "k")
+    pull = edge_forces(g, nodes, lambda d: d * d).join(scaled.select("graph_id", "idx", "k"), ["graph_id", "idx"]).select("graph_id", "idx", (F.col("fx") / F.col("k")).alias("fx"), (F.col("fy") / F.col("k")).alias("fy"))
+    own = _summed(scaled, away, pull)
+    f = F.sqrt(F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))
+    own = own.withColumn("__s", F.when(f > 0, F.col("step") / f).otherwise(0.0))
+    total = own.groupBy("graph_id").agg(F.coalesce(F.sum(F.when(_free(), F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))), F.lit(0.0)).alias("__e"))
+    own = own.join(total, "graph_id")
+    falls = F.when(F.col("__e") < F.col("energy"), F.col("falls") + 1).otherwise(0)
+    step = F.when(falls >= 5, F.col("step") / shrink).when(F.col("__e") >= F.col("energy"), F.col("step") * shrink).otherwise(F.col("step"))
+    return _moved(own, F.col("__fx") * F.col("__s"), F.col("__fy") * F.col("__s"), step=step, energy=F.col("__e"), falls=F.when(falls >= 5, 0).otherwise(falls)).drop("k")
+
+
 def force_atlas2_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), scaling: float = 2.0, gravity: float = 1.0, strong: bool = False, linlog: bool = False, influence: float = 1.0, tolerance: float = 1.0, far_cells: int = 0) -> DataFrame:
     """Degree-weighted repulsion and attraction, gravity, and speeds that follow each node's swinging. State beside
     x, y: px, py (the last forces)."""
@@ -144,7 +171,7 @@ def force_atlas2_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), scaling
     drive = F.sqrt(F.pow(F.col("__fx") + F.col("px"), F.lit(2)) + F.pow(F.col("__fy") + F.col("py"), F.lit(2))) / 2
     own = own.withColumn("__swing", swing).withColumn("__drive", drive)
     speed = own.groupBy("graph_id").agg((F.lit(tolerance) * F.sum(F.col("mass") * F.col("__drive")) / F.greatest(F.sum(F.col("mass") * F.col("__swing")), F.lit(1e-9))).alias("__speed"))
-    own = own.join(F.broadcast(speed), "graph_id")
+    own = own.join(speed, "graph_id")
     f = F.sqrt(F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))
     step = F.col("__speed") / (1 + F.col("__speed") * F.sqrt("__swing"))
     step = F.when(f > 0, F.least(step, 10 / f)).otherwise(0.0)
@@ -157,7 +184,7 @@ def _ideal(g: Graph, edge_length: float, apart: float | None) -> DataFrame:
     hops = all_pairs(g).select("graph_id", F.col("source").alias("i"), F.col("idx").alias("j"), "dist")
     far = hops.groupBy("graph_id").agg(F.max("dist").alias("most")).join(sizes(g), "graph_id").select("graph_id", F.lit(apart).cast("double").alias("given"), F.greatest(F.col("most") * 1.5, F.col("n").cast("double")).alias("far"))
     a, b = g.nodes.select("graph_id", F.col("idx").alias("i")), g.nodes.select("graph_id", F.col("idx").alias("j"))
-    every = a.join(b, "graph_id").where("i <> j").join(hops, ["graph_id", "i", "j"], "left").join(F.broadcast(far), "graph_id")
+    every = a.join(b, "graph_id").where("i <> j").join(hops, ["graph_id", "i", "j"], "left").join(far, "graph_id")
     return every.select("graph_id", "i", "j", (F.coalesce("dist", "given", "far") * edge_length).alias("d"))
 
 
@@ -211,7 +238,7 @@ def kamada_kawai_tick(nodes: DataFrame, ideal: DataFrame) -> DataFrame:
         F.when(F.abs(det) > 1e-18, (F.col("hxy") * F.col("gy") - F.col("hyy") * F.col("gx")) / det).alias("__dx"),
         F.when(F.abs(det) > 1e-18, (F.col("hxy") * F.col("gx") - F.col("hxx") * F.col("gy")) / det).alias("__dy"),
     )
-    own = nodes.join(F.broadcast(step), ["graph_id", "idx"], "left")
+    own = nodes.join(step, ["graph_id", "idx"], "left")
     return _moved(own, F.coalesce("__dx", F.lit(0.0)), F.coalesce("__dy", F.lit(0.0)))
 
 
@@ -238,30 +265,61 @@ def run(tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iteration
     return state
 
 
-def fruchterman_reingold(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, cooling: float = 0.95, centre: bool = True, **options) -> DataFrame:
-    w, _ = check_canvas(size)
-    out = run(lambda nodes, t: fruchterman_reingold_tick(g, nodes, size, temperature=w / 10 * cooling**t, **options), g.nodes, iterations)
+def _by_size(g: Graph, size, centre: bool, in_task: int, tick: small_graphs.Tick, large: Callable[[Graph], DataFrame], iterations: int, enough: float = 1e-3) -> DataFrame:
+    """The nodes of a run: graphs of at most in_task nodes in one task each, others by ticks as queries."""
+    check_iterations(iterations)
+    check_canvas(size)
+    small, rest = small_graphs.by_size(g.settled(), in_task)
+    out = small_graphs.run_in_tasks(small, tick, iterations, enough=enough)
+    if rest is not None:
+        out = out.unionByName(large(rest.settled()).select(out.columns))
     return centred(out, size) if centre else out
 
 
-def spring(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, **options) -> DataFrame:
-    out = run(lambda nodes, _: spring_tick(g, nodes, size, **options), g.nodes, iterations).drop("vx", "vy")
-    return centred(out, size) if centre else out
+def fruchterman_reingold(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, cooling: float = 0.95, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
+    """options: distance, gravity and, for graphs of more than in_task nodes, far_cells."""
+    w, h = check_canvas(size)
+    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    tick = small_graphs.fruchterman_reingold_tick((w, h), lambda t: w / 10 * cooling**t, **options)
+    large = lambda rest: run(lambda nodes, t: fruchterman_reingold_tick(rest, nodes, size, temperature=w / 10 * cooling**t, **options, **cells), rest.nodes, iterations)
+    return _by_size(g, size, centre, in_task, tick, large, iterations)
 
 
-def force_atlas2(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, **options) -> DataFrame:
-    out = run(lambda nodes, _: force_atlas2_tick(g, nodes, size, **options), g.nodes, iterations, enough=0.01).drop("px", "py")
-    return centred(out, size) if centre else out
+def spring(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
+    """options: those of spring_tick; far_cells for graphs of more than in_task nodes."""
+    w, h = check_canvas(size)
+    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    large = lambda rest: run(lambda nodes, _: spring_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations).drop("vx", "vy")
+    return _by_size(g, size, centre, in_task, small_graphs.spring_tick((w, h), **options), large, iterations)
 
 
-def stress_majorization(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, edge_length: float = 100.0, apart: float | None = None, centre: bool = True) -> DataFrame:
-    ideal = cut(_ideal(g, edge_length, apart))
-    out = run(lambda nodes, _: stress_step(nodes, ideal), g.nodes, iterations)
-    return centred(out, size) if centre else out
+def force_atlas2(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
+    """options: those of force_atlas2_tick; far_cells for graphs of more than in_task nodes."""
+    w, h = check_canvas(size)
+    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    large = lambda rest: run(lambda nodes, _: force_atlas2_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations, enough=0.01).drop("px", "py")
+    return _by_size(g, size, centre, in_task, small_graphs.force_atlas2_tick((w, h), **options), large, iterations, 0.01)
+
+
+def yifan_hu(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
+    """options: those of yifan_hu_tick; far_cells for graphs of more than in_task nodes."""
+    w, h = check_canvas(size)
+    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    large = lambda rest: run(lambda nodes, _: yifan_hu_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations).drop("step", "energy", "falls")
+    return _by_size(g, size, centre, in_task, small_graphs.yifan_hu_tick((w, h), **options), large, iterations)
+
+
+def stress_majorization(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, edge_length: float = 100.0, apart: float | None = None, centre: bool = True, in_task: int = IN_TASK) -> DataFrame:
+    def large(rest: Graph) -> DataFrame:
+        ideal = cut(_ideal(rest, edge_length, apart))
+        return run(lambda nodes, _: stress_step(nodes, ideal), rest.nodes, iterations)
+
+    return _by_size(g, size, centre, in_task, small_graphs.stress_tick(edge_length, apart), large, iterations)
 
 
 def kamada_kawai(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, edge_length: float = 100.0, apart: float | None = None, centre: bool = True) -> DataFrame:
     """One node a tick; for graphs where that is too slow, stress_majorization moves all nodes at once."""
+    g = g.settled()
     ideal = cut(_ideal(g, edge_length, apart))
     out = run(lambda nodes, _: kamada_kawai_tick(nodes, ideal), g.nodes, iterations, every=10, enough=1e-5)
     return centred(out, size) if centre else out

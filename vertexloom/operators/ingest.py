@@ -53,7 +53,7 @@ def sizes(g: Graph) -> DataFrame:
 
 def invalid_links(g: Graph) -> DataFrame:
     """graph_id, eid, problem for each edge with an end that is null or not a node (outside 0 .. n - 1)."""
-    ends = g.edges.join(F.broadcast(sizes(g)), "graph_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    ends = g.edges.join(sizes(g), "graph_id", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     name = lambda c: F.when(F.col(c).isNull(), f"{c} is null").when((F.col(c) < 0) | (F.col(c) >= F.col("n")), f"{c} out of range")
     return ends.withColumn("problem", F.coalesce(name("src"), name("dst"))).where("problem is not null").select("graph_id", "eid", "problem")
 
@@ -77,7 +77,7 @@ def validate(g: Graph, groups: DataFrame | None = None) -> Graph:
 
 def in_range(g: Graph) -> DataFrame:
     """The edges whose ends are both nodes."""
-    return g.edges.join(F.broadcast(sizes(g)), "graph_id").where("src >= 0 and dst >= 0 and src < n and dst < n").drop("n")
+    return g.edges.join(sizes(g), "graph_id").where("src >= 0 and dst >= 0 and src < n and dst < n").drop("n")
 
 
 def canonical_edges(g: Graph) -> DataFrame:

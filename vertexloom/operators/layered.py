@@ -21,19 +21,25 @@ def positions(layers: DataFrame) -> DataFrame:
 def bilayer_crossings(pairs: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
     """keys, crossings of edges (top, bottom) between two rows: pairs with t1 < t2 and b1 > b2, repeated edges too.
 
-    Counted from sums over the (top, bottom) table, never from pairs of edges: how many edges end above and
-    right of each is a running sum over tops of a running sum over bottoms.
+    Two numbers differ first in one bit. So the crossings are, over all bits i of tops and j of bottoms and all values
+    of the bits above them, the edges with bit i clear and bit j set times those with bit i set and bit j clear: grouped
+    sums over the edges alone, as many for each as there are pairs of bits, and no order of any row is made. top and
+    bottom are whole numbers; nulls don't count.
     """
     k = list(keys)
-    counts = pairs.groupBy(*k, "top", "bottom").agg(F.count("*").alias("c"))
-    tops = counts.select(*k, "top").distinct()
-    bottoms = counts.select(*k, "bottom").distinct()
-    grid = (tops.join(bottoms, k) if k else tops.crossJoin(bottoms)).join(counts, [*k, "top", "bottom"], "left").withColumn("c", F.coalesce("c", F.lit(0)))
-    right = W.Window.partitionBy(*k, "top").orderBy(F.desc("bottom")).rowsBetween(W.Window.unboundedPreceding, -1)
-    above = W.Window.partitionBy(*k, "bottom").orderBy("top").rowsBetween(W.Window.unboundedPreceding, -1)
-    seen = grid.withColumn("r", F.coalesce(F.sum("c").over(right), F.lit(0))).withColumn("s", F.coalesce(F.sum("r").over(above), F.lit(0)))
-    total = F.coalesce(F.sum(F.col("c") * F.col("s")), F.lit(0)).cast("long").alias("crossings")
-    return seen.groupBy(*k).agg(total) if k else seen.agg(total)
+    counts = cut(pairs.where("top is not null and bottom is not null").groupBy(*k, "top", "bottom").agg(F.count("*").alias("c")))
+    lo_t, hi_t, lo_b, hi_b = counts.agg(F.min("top"), F.max("top"), F.min("bottom"), F.max("bottom")).first()
+    if lo_t is None:
+        none = F.lit(0).cast("long").alias("crossings")
+        return counts.groupBy(*k).agg(none) if k else counts.agg(none)
+    bits = lambda lo, hi: F.array(*(F.lit(i) for i in range(max(1, int(hi - lo).bit_length()))))
+    cells = counts.select(*k, (F.col("top") - lo_t).cast("long").alias("t"), (F.col("bottom") - lo_b).cast("long").alias("b"), "c")
+    cells = cells.withColumn("i", F.explode(bits(lo_t, hi_t))).withColumn("j", F.explode(bits(lo_b, hi_b)))
+    one = lambda c, at: F.expr(f"(shiftright({c}, {at}) & 1) = 1")
+    cells = cells.where(one("t", "i") != one("b", "j"))
+    sums = cells.groupBy(*k, "i", "j", F.expr("shiftright(t, i + 1)").alias("above_t"), F.expr("shiftright(b, j + 1)").alias("above_b")).agg(F.sum(F.when(one("b", "j"), F.col("c")).otherwise(0)).alias("left"), F.sum(F.when(one("t", "i"), F.col("c")).otherwise(0)).alias("right"))
+    total = F.coalesce(F.sum(F.col("left") * F.col("right")), F.lit(0)).cast("long").alias("crossings")
+    return (counts.select(*k).distinct().join(sums, k, "left").groupBy(*k) if k else sums).agg(total)
 
 
 def layered_crossings(g: Graph, places: DataFrame) -> DataFrame:
@@ -59,6 +65,7 @@ def order_layer(g: Graph, places: DataFrame, layer: int, toward: int) -> DataFra
 
 def minimize_crossings(g: Graph, places: DataFrame, iterations: int = 24) -> DataFrame:
     """Sweeps down and up in turn; lineage is cut after each layer."""
+    g = g.settled()
     depth = places.agg(F.max("layer")).first()[0] or 0
     for i in range(iterations):
         for layer in range(1, depth + 1) if i % 2 == 0 else range(depth - 1, -1, -1):
@@ -75,11 +82,12 @@ def dummy_nodes(g: Graph, layers: DataFrame) -> DataFrame:
     passed = own.where(hi - lo > 1).select("graph_id", "eid", F.explode(F.sequence(lo + 1, hi - 1)).alias("layer"))
     count = g.nodes.groupBy("graph_id").agg(F.count("*").alias("n"))
     order = W.Window.partitionBy("graph_id").orderBy("eid", "layer")
-    return passed.join(F.broadcast(count), "graph_id").select("graph_id", "eid", "layer", (F.col("n") + F.row_number().over(order) - 1).alias("dummy"))
+    return passed.join(count, "graph_id").select("graph_id", "eid", "layer", (F.col("n") + F.row_number().over(order) - 1).alias("dummy"))
 
 
 def layered(g: Graph, layer_separation: float = 100.0, node_separation: float = 50.0, iterations: int = 24) -> DataFrame:
     """Nodes of a DAG in rows of longest-path layers, ordered by sweeps over proper edges (with dummies), rows centred."""
+    g = g.settled()
     layers = cut(longest_path_layers(g))
     dummies = cut(dummy_nodes(g, layers))
     chain = in_range(g).select("graph_id", "eid", F.col("src").alias("v")).join(layers.select("graph_id", F.col("idx").alias("v"), "layer"), ["graph_id", "v"])

@@ -25,7 +25,7 @@ def _pairs(lines: DataFrame, cells: int) -> DataFrame:
     """
     box = lines.groupBy("graph_id").agg(F.min(F.least("a_x", "b_x")).alias("lo"), F.max(F.greatest("a_x", "b_x")).alias("hi"))
     strip = lambda x: F.least(F.lit(cells - 1), F.when(F.col("hi") > F.col("lo"), F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).otherwise(0)).cast("int")
-    spread = lines.join(F.broadcast(box), "graph_id").select("graph_id", "eid", "src", "dst", "a_x", "a_y", "b_x", "b_y", strip(F.least("a_x", "b_x")).alias("first"), strip(F.greatest("a_x", "b_x")).alias("last"))
+    spread = lines.join(box, "graph_id").select("graph_id", "eid", "src", "dst", "a_x", "a_y", "b_x", "b_y", strip(F.least("a_x", "b_x")).alias("first"), strip(F.greatest("a_x", "b_x")).alias("last"))
     celled = spread.withColumn("cell", F.explode(F.sequence("first", "last")))
     p, q = celled.alias("p"), celled.alias("q")
     apart = (F.col("p.src") != F.col("q.src")) & (F.col("p.src") != F.col("q.dst")) & (F.col("p.dst") != F.col("q.src")) & (F.col("p.dst") != F.col("q.dst"))

@@ -52,11 +52,12 @@ def coarsened(g: Graph, seed: int = 0) -> tuple[Graph, DataFrame]:
     return Graph(nodes, cut(numbered(fine, "eid", "src", "dst").withColumn("length", F.lit(None).cast("double")).withColumn("weight", F.lit(None).cast("double")))), mapped
 
 
-def multilevel(g: Graph, size=(1000.0, 1000.0), iterations: int = 60, smallest: int = 10, ratio: float = 0.75, seed: int = 0, far_cells: int = 0, max_levels: int = 20) -> DataFrame:
-    """Force layout from coarse to fine: levels by matching until a graph is small or shrinks by less than `ratio`; each
-    level starts from its parents' places with a small hashed offset and takes fewer, shorter steps."""
-    w, h = check_canvas(size)
-    levels, maps = [g], []
+def multilevel(g: Graph, size=(1000.0, 1000.0), iterations: int = 60, smallest: int = 10, ratio: float = 0.75, seed: int = 0, max_levels: int = 20, **options) -> DataFrame:
+    """Yifan Hu's layout from coarse to fine: levels by matching until a graph is small or shrinks by less than `ratio`;
+    each level starts from its parents' places with a small hashed offset and takes fewer ticks. options: those of
+    force.yifan_hu."""
+    check_canvas(size)
+    levels, maps = [g.settled()], []
     while len(levels) < max_levels:
         n = levels[-1].nodes.count()
         if n <= smallest:
@@ -69,9 +70,7 @@ def multilevel(g: Graph, size=(1000.0, 1000.0), iterations: int = 60, smallest:
     top = levels[-1]
     nodes = random_layout(top, size, seed=seed)
     for depth in range(len(levels) - 1, -1, -1):
-        level, ticks = levels[depth], max(5, iterations // (1 + depth))
-        heat = w / 10 if depth == len(levels) - 1 else w / 40
-        nodes = force.run(lambda s, t, level=level, heat=heat: force.fruchterman_reingold_tick(level, s, size, temperature=heat * 0.9**t, far_cells=far_cells), nodes, ticks)
+        nodes = cut(force.yifan_hu(levels[depth].with_nodes(nodes), size, max(5, iterations // (1 + depth)), centre=False, **options))
         if depth:
             parent = nodes.select("graph_id", F.col("idx").alias("coarse"), F.col("x").alias("__x"), F.col("y").alias("__y"))
             fine = levels[depth - 1].nodes.join(maps[depth - 1], ["graph_id", "idx"]).join(parent, ["graph_id", "coarse"])
@@ -96,11 +95,11 @@ def spectral(g: Graph, size=(1000.0, 1000.0), rounds: int = 60, seed: int = 1, p
         """v (graph_id, idx, root, x, y) with x and y orthogonal to root and to each other, of length 1."""
         s = lambda a, b: F.sum(F.col(a) * F.col(b))
         one = v.groupBy("graph_id").agg((s("x", "root") / F.greatest(s("root", "root"), F.lit(1e-300))).alias("a"), (s("y", "root") / F.greatest(s("root", "root"), F.lit(1e-300))).alias("b"))
-        v = cut(v.join(F.broadcast(one), "graph_id").withColumn("x", F.col("x") - F.col("a") * F.col("root")).withColumn("y", F.col("y") - F.col("b") * F.col("root")).drop("a", "b"))
+        v = cut(v.join(one, "graph_id").withColumn("x", F.col("x") - F.col("a") * F.col("root")).withColumn("y", F.col("y") - F.col("b") * F.col("root")).drop("a", "b"))
         two = v.groupBy("graph_id").agg(F.greatest(F.sqrt(s("x", "x")), F.lit(1e-300)).alias("n"), (s("x", "y") / F.greatest(s("x", "x"), F.lit(1e-300))).alias("c"))
-        v = v.join(F.broadcast(two), "graph_id").withColumn("y", F.col("y") - F.col("c") * F.col("x")).withColumn("x", F.col("x") / F.col("n")).drop("n", "c")
+        v = v.join(two, "graph_id").withColumn("y", F.col("y") - F.col("c") * F.col("x")).withColumn("x", F.col("x") / F.col("n")).drop("n", "c")
         three = v.groupBy("graph_id").agg(F.greatest(F.sqrt(s("y", "y")), F.lit(1e-300)).alias("n"))
-        return v.join(F.broadcast(three), "graph_id").withColumn("y", F.col("y") / F.col("n")).drop("n")
+        return v.join(three, "graph_id").withColumn("y", F.col("y") / F.col("n")).drop("n")
 
     state = cut(tidy(deg.withColumn("x", uniform(seed, 0, F.col("idx")) - 0.5).withColumn("y", uniform(seed, 1, F.col("idx")) - 0.5)))
     for _ in range(rounds):
@@ -110,7 +109,7 @@ def spectral(g: Graph, size=(1000.0, 1000.0), rounds: int = 60, seed: int = 1, p
     unit = state.select("graph_id", "idx", *(F.when(F.col("root") > 0, F.col(c) / F.col("root")).otherwise(0.0).alias(c) for c in ("x", "y")))
     box = unit.groupBy("graph_id").agg(*(f(c).alias(f"{n}{c}") for c in ("x", "y") for f, n in ((F.min, "lo"), (F.max, "hi"))))
     fit = lambda c, full: F.when(F.col(f"hi{c}") > F.col(f"lo{c}"), padding + (F.col(c) - F.col(f"lo{c}")) / (F.col(f"hi{c}") - F.col(f"lo{c}")) * (full - 2 * padding)).otherwise(full / 2)
-    placed = unit.join(F.broadcast(box), "graph_id").select("graph_id", "idx", fit("x", w).alias("x"), fit("y", h).alias("y"))
+    placed = unit.join(box, "graph_id").select("graph_id", "idx", fit("x", w).alias("x"), fit("y", h).alias("y"))
     return g.nodes.drop("x", "y").join(placed, ["graph_id", "idx"])
 
 
@@ -120,7 +119,8 @@ def barycentric(g: Graph, outer: DataFrame, size=(1000.0, 1000.0), rounds: int =
     w, h = check_canvas(size)
     n = outer.groupBy("graph_id").agg(F.count("*").alias("n"))
     angle = F.lit(2 * math.pi) * F.col("pos") / F.col("n")
-    rim = outer.join(F.broadcast(n), "graph_id").select("graph_id", "idx", (w / 2 + (w / 2 - 40) * F.cos(angle)).alias("rx"), (h / 2 + (h / 2 - 40) * F.sin(angle)).alias("ry"))
+    rim = outer.join(n, "graph_id").select("graph_id", "idx", (w / 2 + (w / 2 - 40) * F.cos(angle)).alias("rx"), (h / 2 + (h / 2 - 40) * F.sin(angle)).alias("ry"))
+    g = g.settled()
     start = g.nodes.drop("x", "y").join(rim, ["graph_id", "idx"], "left").withColumn("x", F.coalesce("rx", F.lit(w / 2))).withColumn("y", F.coalesce("ry", F.lit(h / 2)))
     sides = cut(both_ways(in_range(g).where("src <> dst").select("graph_id", "src", "dst")).distinct())
 

@@ -76,7 +76,7 @@ def neighbours_along(nodes: DataFrame, axis: str, gap: float = 0.0) -> DataFrame
     half = F.coalesce(across, F.lit(0.0)) / 2
     own = nodes.select("graph_id", "idx", F.col(axis).alias("p"), F.coalesce(size, F.lit(0.0)).alias("size"), (F.col(other) - half).alias("lo"), (F.col(other) + half).alias("hi"))
     strip = own.groupBy("graph_id").agg(F.greatest(F.avg(F.col("hi") - F.col("lo")), F.lit(1e-9)).alias("strip"))
-    celled = own.join(F.broadcast(strip), "graph_id").withColumn("first", F.floor(F.col("lo") / F.col("strip"))).withColumn("cell", F.explode(F.sequence(F.col("first"), F.floor(F.col("hi") / F.col("strip")))))
+    celled = own.join(strip, "graph_id").withColumn("first", F.floor(F.col("lo") / F.col("strip"))).withColumn("cell", F.explode(F.sequence(F.col("first"), F.floor(F.col("hi") / F.col("strip")))))
     a, b = celled.alias("a"), celled.alias("b")
     before = (F.col("a.p") < F.col("b.p")) | ((F.col("a.p") == F.col("b.p")) & (F.col("a.idx") < F.col("b.idx")))
     met = (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.cell") == F.col("b.cell")) & (F.col("a.cell") == F.greatest("a.first", "b.first")) & (F.col("a.lo") < F.col("b.hi")) & (F.col("b.lo") < F.col("a.hi")) & before
@@ -87,7 +87,7 @@ def separated(nodes: DataFrame, constraints: DataFrame, axis: str, compact: bool
     """nodes moved along the axis, as little forward as satisfies left + gap <= right for all constraints (graph_id, left,
     right, gap; without cycles): longest paths. compact: from the leftmost place instead of where nodes are."""
     least = nodes.groupBy("graph_id").agg(F.min(axis).alias("__least"))
-    start = nodes.join(F.broadcast(least), "graph_id").select("graph_id", "idx", (F.col("__least") if compact else F.col(axis)).alias("p"))
+    start = nodes.join(least, "graph_id").select("graph_id", "idx", (F.col("__least") if compact else F.col(axis)).alias("p"))
 
     def push(state: DataFrame) -> DataFrame:
         moved = constraints.join(state.withColumnsRenamed({"idx": "left", "p": "at"}), ["graph_id", "left"]).select("graph_id", F.col("right").alias("idx"), (F.col("at") + F.col("gap")).alias("p"))

@@ -16,7 +16,7 @@ def cell_pyramid(nodes: DataFrame, levels: int = 8, padding: float = 10.0, mass:
     box = nodes.groupBy("graph_id").agg(((F.min("x") + F.max("x")) / 2).alias("mx"), ((F.min("y") + F.max("y")) / 2).alias("my"), (F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y")) / 2 + padding).alias("half"))
     last = levels - 1
     at = lambda c, o: F.greatest(F.lit(0), F.least(F.lit(2**last - 1), F.floor((F.col(c) - F.col(o) + F.col("half")) / (2 * F.col("half")) * 2**last))).cast("int")
-    fine = nodes.join(F.broadcast(box), "graph_id").groupBy("graph_id", at("x", "mx").alias("cx"), at("y", "my").alias("cy")).agg(F.sum(m).alias("mass"), F.sum(m * F.col("x")).alias("sx"), F.sum(m * F.col("y")).alias("sy"))
+    fine = nodes.join(box, "graph_id").groupBy("graph_id", at("x", "mx").alias("cx"), at("y", "my").alias("cy")).agg(F.sum(m).alias("mass"), F.sum(m * F.col("x")).alias("sx"), F.sum(m * F.col("y")).alias("sy"))
     every = fine.select("graph_id", F.explode(F.sequence(F.lit(0), F.lit(last))).alias("level"), "cx", "cy", "mass", "sx", "sy")
     up = lambda c: F.expr(f"cast(shiftright({c}, {last} - level) as int)")
     summed = every.groupBy("graph_id", "level", up("cx").alias("cx"), up("cy").alias("cy")).agg(F.sum("mass").alias("mass"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))

@@ -26,7 +26,7 @@ def centred(nodes: DataFrame, size: tuple[float, float]) -> DataFrame:
     """Move each graph so that its box's centre is the canvas's; fixed nodes move too."""
     w, h = check_canvas(size)
     box = nodes.groupBy("graph_id").agg(((F.min("x") + F.max("x")) / 2).alias("__cx"), ((F.min("y") + F.max("y")) / 2).alias("__cy"))
-    return _placed(nodes.join(F.broadcast(box), "graph_id"), F.col("x") + (w / 2 - F.col("__cx")), F.col("y") + (h / 2 - F.col("__cy")), False)
+    return _placed(nodes.join(box, "graph_id"), F.col("x") + (w / 2 - F.col("__cx")), F.col("y") + (h / 2 - F.col("__cy")), False)
 
 
 def random_layout(g: Graph, size=(1000.0, 1000.0), margin: float = 0.0, seed: int = 0) -> DataFrame:
@@ -52,7 +52,7 @@ def circular(g: Graph, size=(1000.0, 1000.0), radius: float | None = None, start
     elif sort_by is not None:
         nodes = nodes.withColumn("__key", F.col(sort_by) if isinstance(sort_by, str) else sort_by)
     order = W.Window.partitionBy("graph_id").orderBy(*(["__key"] if sort_by is not None else []), "idx")
-    ranked = nodes.withColumn("__rank", F.row_number().over(order) - 1).join(F.broadcast(sizes(g).withColumnRenamed("n", "__n")), "graph_id")
+    ranked = nodes.withColumn("__rank", F.row_number().over(order) - 1).join(sizes(g).withColumnRenamed("n", "__n"), "graph_id")
     return _placed(ranked, *_on_circle(F.col("__rank"), F.col("__n"), float(r), start, w / 2, h / 2))
 
 
@@ -63,11 +63,11 @@ def shell(g: Graph, size=(1000.0, 1000.0), shells: DataFrame | None = None, auto
     w, h = check_canvas(size)
     if shells is not None:
         last = shells.groupBy("graph_id").agg(F.max("ring").alias("__last"))
-        ringed = g.nodes.join(shells.select("graph_id", "idx", F.col("ring").alias("__ring"), F.col("pos").alias("__pos")), ["graph_id", "idx"], "left").join(F.broadcast(last), "graph_id", "left")
+        ringed = g.nodes.join(shells.select("graph_id", "idx", F.col("ring").alias("__ring"), F.col("pos").alias("__pos")), ["graph_id", "idx"], "left").join(last, "graph_id", "left")
         ringed = ringed.withColumn("__pos", F.coalesce("__pos", "idx")).withColumn("__ring", F.coalesce("__ring", F.coalesce("__last", F.lit(-1)) + 1))
     else:
         rank = F.row_number().over(W.Window.partitionBy("graph_id").orderBy(F.desc("__degree"), "idx")) - 1
-        ringed = g.nodes.join(degrees(g, 2).withColumnRenamed("degree", "__degree"), ["graph_id", "idx"]).join(F.broadcast(sizes(g).withColumnRenamed("n", "__n")), "graph_id").withColumn("__pos", rank)
+        ringed = g.nodes.join(degrees(g, 2).withColumnRenamed("degree", "__degree"), ["graph_id", "idx"]).join(sizes(g).withColumnRenamed("n", "__n"), "graph_id").withColumn("__pos", rank)
         ringed = ringed.withColumn("__ring", F.expr(f"cast(__pos * {auto} div __n as int)") if auto > 1 else F.lit(0))
     ring = W.Window.partitionBy("graph_id", "__ring")
     whole = W.Window.partitionBy("graph_id")
@@ -81,7 +81,7 @@ def bipartite(g: Graph, size=(800.0, 600.0), orientation: str = "horizontal", la
     halved by idx. `sweeps` times the second side, then the first, is ordered by mean neighbour position."""
     w, h = check_canvas(size)
     if sides is None:
-        found = two_colouring(Graph(g.nodes, g.edges.where("src <> dst"))).join(F.broadcast(sizes(g)), "graph_id")
+        found = two_colouring(Graph(g.nodes, g.edges.where("src <> dst"))).join(sizes(g), "graph_id")
         sides = found.select("graph_id", "idx", F.when(F.col("bipartite"), F.col("side")).otherwise(F.when(F.col("idx") < F.expr("n div 2"), 0).otherwise(1)).alias("side"))
     order = F.row_number().over(W.Window.partitionBy("graph_id", "side").orderBy("idx")) - 1
     state = sides.withColumn("pos", order.cast("double"))

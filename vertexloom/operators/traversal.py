@@ -100,7 +100,7 @@ def longest_path_layers(g: Graph) -> DataFrame:
     entered = edges.select("graph_id", F.col("dst").alias("idx")).distinct()
     roots = g.nodes.select("graph_id", "idx").join(entered, ["graph_id", "idx"], "left_anti")
     none = sizes(g).join(roots, "graph_id", "left_anti").select("graph_id", F.lit(0).cast("long").alias("idx"))
-    count = F.broadcast(sizes(g))
+    count = sizes(g)
 
     def step(state: DataFrame) -> DataFrame:
         pushed = edges.join(state.withColumnRenamed("idx", "src"), ["graph_id", "src"]).join(count, "graph_id").select("graph_id", F.col("dst").alias("idx"), F.least(F.col("layer") + 1, F.col("n") - 1).alias("layer"))
@@ -113,18 +113,15 @@ def longest_path_layers(g: Graph) -> DataFrame:
 def peel(g: Graph) -> DataFrame:
     """graph_id, idx, level: when a node loses its last incoming edge from what is left; nodes on or behind cycles have null."""
     edges = cut(in_range(g).select("graph_id", "src", "dst").distinct())
-    left = cut(g.nodes.select("graph_id", "idx"))
-    levels, level = None, 0
+    state, level = cut(g.nodes.select("graph_id", "idx", F.lit(None).cast("long").alias("level"))), 0
     while True:
+        left = state.where("level is null").select("graph_id", "idx")
         entered = edges.join(left.withColumnRenamed("idx", "src"), ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("idx"))
-        free = cut(left.join(entered, ["graph_id", "idx"], "left_anti"))
+        free = cut(left.join(entered, ["graph_id", "idx"], "left_anti").withColumn("now", F.lit(level).cast("long")))
         if free.isEmpty():
-            break
-        own = free.withColumn("level", F.lit(level).cast("long"))
-        levels = own if levels is None else levels.unionByName(own)
-        left, level = cut(left.join(free, ["graph_id", "idx"], "left_anti")), level + 1
-    rest = left.withColumn("level", F.lit(None).cast("long"))
-    return rest if levels is None else levels.unionByName(rest)
+            return state
+        # one table of all nodes from round to round, so that the plan doesn't grow with their number
+        state, level = cut(state.join(free, ["graph_id", "idx"], "left").select("graph_id", "idx", F.coalesce("level", "now").alias("level"))), level + 1
 
 
 def has_cycle(g: Graph) -> DataFrame:
@@ -190,4 +187,4 @@ def two_colouring(g: Graph) -> DataFrame:
     out = g.nodes.select("graph_id", "idx").join(both, ["graph_id", "idx"], "left")
     bad = both.groupBy("graph_id").agg(F.max(F.col("c0") == F.col("c1")).alias("odd"))
     side = F.when(F.col("c0").isNull() | (F.col("c0") <= F.col("c1")), 0).otherwise(1)
-    return out.withColumn("side", side).join(F.broadcast(bad), "graph_id", "left").select("graph_id", "idx", "side", (~F.coalesce("odd", F.lit(False))).alias("bipartite"))
+    return out.withColumn("side", side).join(bad, "graph_id", "left").select("graph_id", "idx", "side", (~F.coalesce("odd", F.lit(False))).alias("bipartite"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vertexloom.functions.numbers import rounded
-from vertexloom.operators import export, force, ingest, layered, metrics, multilevel, orthogonal, similarity, spatial, static_layouts, traversal
+from vertexloom.operators import export, force, ingest, layered, metrics, multilevel, orthogonal, planar, similarity, spatial, static_layouts, traversal
 from vertexloom.sources import graphs
 from vertexloom.sources.graphs import Graph
 
@@ -261,9 +261,15 @@ def _(spark, sf_dir):
     return traversal.components(graphs.graph(customer.select(F.col("c_custkey").alias("idx")), chain.withColumn("eid", F.col("src")))).select("idx", "component")
 
 
-@query("is_connected", "SELECT true AS connected")
+@query(
+    "is_connected",
+    """
+    SELECT 'nation ' || c_nationkey AS graph_id, count(DISTINCT c_mktsegment) <= 1 AS connected FROM customer GROUP BY 1
+    UNION ALL SELECT 'region ' || r_regionkey, true FROM region
+    """,
+)
 def _(spark, sf_dir):
-    return traversal.is_connected(graphs.geo(spark, sf_dir)).select("connected")
+    return traversal.is_connected(graphs.customer_chains(spark, sf_dir))
 
 
 @query("bfs_layers", "SELECT 0::BIGINT AS layer, 1::BIGINT AS nodes UNION ALL SELECT 1, count(*) FROM region UNION ALL SELECT 2, count(*) FROM nation UNION ALL SELECT 3, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)")
@@ -330,12 +336,16 @@ def _(spark, sf_dir):
 # --- layers ----------------------------------------------------------------
 
 
-@query("bilayer_crossings", "WITH ps AS (SELECT DISTINCT l_partkey AS t, l_suppkey AS b FROM lineitem WHERE l_partkey < 120) SELECT count(*) AS crossings FROM ps x JOIN ps y ON x.t < y.t AND x.b > y.b")
-def _(spark, sf_dir):
-    return layered.bilayer_crossings(graphs.part_supp(spark, sf_dir).where("top < 120"))
-
-
-@query("bilayer_crossings_all")
+@query(
+    "bilayer_crossings",
+    """
+    WITH c AS (SELECT DISTINCT l_partkey AS t, l_suppkey AS b FROM lineitem),
+    grid AS (SELECT t.t, b.b, (c.t IS NOT NULL)::BIGINT AS c FROM (SELECT DISTINCT t FROM c) t CROSS JOIN (SELECT DISTINCT b FROM c) b LEFT JOIN c ON c.t = t.t AND c.b = b.b),
+    r AS (SELECT *, sum(c) OVER (PARTITION BY t ORDER BY b DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS beyond FROM grid),
+    s AS (SELECT c, sum(coalesce(beyond, 0)) OVER (PARTITION BY b ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS over FROM r)
+    SELECT coalesce(sum(c * coalesce(over, 0)), 0)::BIGINT AS crossings FROM s
+    """,
+)
 def _(spark, sf_dir):
     return layered.bilayer_crossings(graphs.part_supp(spark, sf_dir))
 
@@ -357,7 +367,7 @@ def _(spark, sf_dir):
 
 @query("layered_dag")
 def _(spark, sf_dir):
-    return layered.layered(graphs.dag(spark, sf_dir), iterations=4).select("idx", "x", "y")
+    return layered.layered(graphs.dag(spark, sf_dir)).select("idx", "x", "y")
 
 
 # --- forces ----------------------------------------------------------------
@@ -415,17 +425,29 @@ def _(spark, sf_dir):
 
 @query("fr_full")
 def _(spark, sf_dir):
-    return force.fruchterman_reingold(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
+    return force.fruchterman_reingold(_circle(spark, sf_dir), SIZE).select("idx", "x", "y")
 
 
 @query("fa2_full")
 def _(spark, sf_dir):
-    return force.force_atlas2(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
+    return force.force_atlas2(_circle(spark, sf_dir), SIZE).select("idx", "x", "y")
 
 
 @query("smacof_full")
 def _(spark, sf_dir):
-    return force.stress_majorization(_circle(spark, sf_dir), SIZE, iterations=10).select("idx", "x", "y")
+    return force.stress_majorization(_circle(spark, sf_dir), SIZE).select("idx", "x", "y")
+
+
+@query("yifan_hu_full")
+def _(spark, sf_dir):
+    return force.yifan_hu(_circle(spark, sf_dir), SIZE).select("idx", "x", "y")
+
+
+@query("fr_user_graphs")
+def _(spark, sf_dir):
+    """A drawing of every user's transitions between event types: as many graphs as users."""
+    g = graphs.user_transitions(spark, sf_dir)
+    return force.fruchterman_reingold(g.with_nodes(static_layouts.circular(g, SIZE)), SIZE).select("graph_id", "idx", "x", "y")
 
 
 # --- boxes and right angles ------------------------------------------------
@@ -494,7 +516,7 @@ def _(spark, sf_dir):
 
 @query("spectral_trade3")
 def _(spark, sf_dir):
-    return multilevel.spectral(graphs.trade3(spark, sf_dir), SIZE, rounds=12).select("idx", "x", "y")
+    return multilevel.spectral(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
 
 
 @query("layered_tree_geo")
@@ -504,13 +526,148 @@ def _(spark, sf_dir):
 
 @query("multilevel_trade3")
 def _(spark, sf_dir):
-    return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE, iterations=6).select("idx", "x", "y")
+    return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
+
+
+# --- planar maps -----------------------------------------------------------
+
+_SPOTS = "p AS (SELECT idx, (idx * 37 % 101)::DOUBLE AS x, (idx * 53 % 97)::DOUBLE AS y FROM nodes)"
+TRADE1 = TRADE3.replace("r <= 3", "r <= 1")
+
+
+def _spots(spark: SparkSession, sf_dir: str) -> Graph:
+    g = graphs.trade3(spark, sf_dir)
+    return g.with_nodes(g.nodes.withColumn("x", (F.col("idx") * 37 % 101).cast("double")).withColumn("y", (F.col("idx") * 53 % 97).cast("double")))
+
+
+@query(
+    "planarized_parts",
+    f"""
+    WITH {LINES}, {CROSS}, c AS (SELECT * FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0), m AS (SELECT e1 AS eid FROM c UNION ALL SELECT e2 FROM c)
+    SELECT e.eid, count(m.eid) + 1 AS parts, (SELECT count(*) FROM c) + (SELECT n FROM n) AS nodes FROM e LEFT JOIN m ON m.eid = e.eid GROUP BY e.eid
+    """,
+)
+def _(spark, sf_dir):
+    found = planar.planarized(_circle(spark, sf_dir))
+    total = found.nodes.agg(F.count("*").alias("nodes"))
+    return found.edges.groupBy("eid").agg(F.count("*").alias("parts")).crossJoin(total)
+
+
+@query(
+    "faces_of_rotation",
+    f"""
+    WITH RECURSIVE {TRADE3}, {_SPOTS},
+    d AS (SELECT eid * 2 AS dart, src AS node, atan2(b.y - a.y, b.x - a.x) AS angle FROM e JOIN p a ON a.idx = src JOIN p b ON b.idx = dst
+          UNION ALL SELECT eid * 2 + 1, dst, atan2(a.y - b.y, a.x - b.x) FROM e JOIN p a ON a.idx = src JOIN p b ON b.idx = dst),
+    t AS (SELECT xor(dart, 1) AS dart, coalesce(lead(dart) OVER (PARTITION BY node ORDER BY angle, dart), first_value(dart) OVER (PARTITION BY node ORDER BY angle, dart)) AS nxt FROM d),
+    r AS (SELECT dart, dart AS here FROM t UNION SELECT r.dart, t.nxt FROM r JOIN t ON t.dart = r.here)
+    SELECT dart // 2 AS eid, dart % 2 = 0 AS forward, min(here) AS face FROM r GROUP BY dart
+    """,
+)
+def _(spark, sf_dir):
+    return planar.faces(_spots(spark, sf_dir)).select("eid", "forward", "face")
+
+
+_BLOCKS = f"""
+    WITH RECURSIVE {TRADE1}, s AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e),
+    r AS (SELECT v.idx AS v, w.idx AS x, w.idx AS y FROM nodes v JOIN nodes w ON v.idx <> w.idx UNION SELECT r.v, r.x, s.b FROM r JOIN s ON s.a = r.y AND s.b <> r.v),
+    ends AS (SELECT eid, src AS v, dst AS o FROM e UNION ALL SELECT eid, dst, src FROM e),
+    near AS (SELECT DISTINCT p.eid AS a, q.eid AS b FROM ends p JOIN ends q ON p.v = q.v JOIN r ON r.v = p.v AND r.x = p.o AND r.y = q.o),
+    c AS (SELECT eid, eid AS here FROM e UNION SELECT c.eid, near.b FROM c JOIN near ON near.a = c.here),
+    blocks AS (SELECT eid, min(here) AS block FROM c GROUP BY eid)"""
+
+
+@query("blocks", f"{_BLOCKS} SELECT * FROM blocks")
+def _(spark, sf_dir):
+    return planar.blocks(graphs.trade1(spark, sf_dir)).select("eid", "block")
+
+
+@query("bridges", f"{_BLOCKS} SELECT min(eid) AS eid FROM blocks GROUP BY block HAVING count(*) = 1")
+def _(spark, sf_dir):
+    return planar.bridges(graphs.trade1(spark, sf_dir)).select("eid")
+
+
+@query("cut_vertices", f"{_BLOCKS} SELECT v AS idx FROM blocks JOIN ends USING (eid) GROUP BY v HAVING count(DISTINCT block) > 1")
+def _(spark, sf_dir):
+    return planar.cut_vertices(graphs.trade1(spark, sf_dir)).select("idx")
+
+
+@query(
+    "cycle_edges",
+    f"""
+    WITH RECURSIVE {TRADE1}, {REACH}, ring AS (SELECT a AS idx FROM reach WHERE a = b), least AS (SELECT min(idx) AS idx FROM ring)
+    SELECT src, dst FROM e, least WHERE src IN (SELECT idx FROM ring) AND (src = least.idx OR EXISTS (SELECT 1 FROM reach WHERE a = least.idx AND b = src))
+    """,
+)
+def _(spark, sf_dir):
+    return planar.find_cycle(graphs.trade1(spark, sf_dir)).select("src", "dst")
+
+
+@query("farthest_nodes", f"WITH RECURSIVE {TRADE3}, {HOPS} SELECT source, min(idx) AS idx, any_value(d)::DOUBLE AS dist FROM (SELECT *, max(d) OVER (PARTITION BY source) AS most FROM hops) WHERE d = most GROUP BY source")
+def _(spark, sf_dir):
+    g = graphs.trade3(spark, sf_dir)
+    return planar.farthest(g, g.nodes.select("graph_id", F.col("idx").alias("source"))).select("source", "idx", "dist")
+
+
+@query(
+    "convex_hull",
+    """
+    WITH p AS (SELECT 'region ' || n_regionkey AS g, s_suppkey AS idx, round(s_acctbal) AS x, (s_suppkey * 53 % 997)::DOUBLE AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+    u AS (SELECT g, min(idx) AS idx, x, y FROM p GROUP BY g, x, y),
+    c AS (SELECT a.g, a.idx, a.x, a.y, b.x AS bx, b.y AS by FROM u a JOIN u b ON a.g = b.g AND (a.x <> b.x OR a.y <> b.y)
+          WHERE a.y <= (SELECT min(y) + 0 FROM u z WHERE z.g = a.g AND z.x = a.x) OR a.y >= (SELECT max(y) + 0 FROM u z WHERE z.g = a.g AND z.x = a.x)),
+    bad AS (SELECT DISTINCT c.g, c.idx, c.bx, c.by FROM c JOIN u k ON k.g = c.g
+            WHERE (c.bx - c.x) * (k.y - c.y) - (c.by - c.y) * (k.x - c.x) < 0
+               OR (c.bx - c.x) * (k.y - c.y) - (c.by - c.y) * (k.x - c.x) = 0 AND (k.x - c.x) * (c.bx - c.x) + (k.y - c.y) * (c.by - c.y) > (c.bx - c.x) * (c.bx - c.x) + (c.by - c.y) * (c.by - c.y)
+               OR (c.bx - c.x) * (k.y - c.y) - (c.by - c.y) * (k.x - c.x) = 0 AND (k.x - c.x) * (c.bx - c.x) + (k.y - c.y) * (c.by - c.y) < 0)
+    SELECT DISTINCT c.g AS graph_id, c.idx FROM c LEFT JOIN bad ON bad.g = c.g AND bad.idx = c.idx AND bad.bx = c.bx AND bad.by = c.by WHERE bad.g IS NULL
+    """,
+)
+def _(spark, sf_dir):
+    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    own = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    y = (F.col("s_suppkey") * 53 % 997).cast("double").alias("y")
+    spots = own.select(F.concat(F.lit("region "), F.col("n_regionkey").cast("string")).alias("graph_id"), F.col("s_suppkey").alias("idx"), F.round("s_acctbal").cast("double").alias("x"), y)
+    return planar.convex_hull(spots).select("graph_id", "idx")
+
+
+@query(
+    "group_bounds",
+    f"""
+    WITH {TRADE3}, {_SPOTS}, one AS (SELECT n_regionkey::BIGINT AS gid, min(x) - 10 AS x0, min(y) - 10 AS y0, max(x) + 10 AS x1, max(y) + 10 AS y1 FROM p JOIN nation ON n_nationkey = idx GROUP BY 1)
+    SELECT * FROM one UNION ALL SELECT 100, min(x0) - 10, min(y0) - 10, max(x1) + 10, max(y1) + 10 FROM one
+    """,
+)
+def _(spark, sf_dir):
+    nation, region = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("nation", "region"))
+    none = F.array().cast("array<bigint>")
+    own = nation.groupBy(F.col("n_regionkey").cast("long").alias("gid")).agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("leaves")).withColumn("children", none)
+    top = region.agg(F.collect_list(F.col("r_regionkey").cast("long")).alias("children")).select(F.lit(100).cast("long").alias("gid"), none.alias("leaves"), "children")
+    g = _spots(spark, sf_dir)
+    groups = own.unionByName(top).crossJoin(F.broadcast(g.nodes.select("graph_id").distinct()))
+    return planar.group_bounds(g.nodes, groups).drop("graph_id")
+
+
+@query(
+    "lanes",
+    """
+    WITH s AS (SELECT c_nationkey AS line, o_orderkey AS eid, date_diff('day', DATE '1990-01-01', o_orderdate::DATE)::DOUBLE AS lo, o_orderkey % 3 + 1 AS more FROM orders JOIN customer ON o_custkey = c_custkey),
+    b AS (SELECT *, coalesce((lo >= max(lo + more) OVER (PARTITION BY line ORDER BY lo, lo + more, eid ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))::INT, 1) AS new FROM s),
+    r AS (SELECT *, sum(new) OVER (PARTITION BY line ORDER BY lo, lo + more, eid) AS run FROM b)
+    SELECT eid, (row_number() OVER (PARTITION BY line, run ORDER BY eid) - 1 - (count(*) OVER (PARTITION BY line, run) - 1) / 2) * 10.0::DOUBLE AS "offset" FROM r
+    """,
+)
+def _(spark, sf_dir):
+    orders, customer = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("orders", "customer"))
+    lo = F.datediff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")).cast("double")
+    own = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).select(F.lit("g").alias("graph_id"), F.col("o_orderkey").alias("eid"), F.lit(0).alias("seg"), F.lit(True).alias("level"), F.col("c_nationkey").cast("double").alias("line"), lo.alias("lo"), (lo + F.col("o_orderkey") % 3 + 1).alias("hi"))
+    return planar.lanes(own).select("eid", "offset")
 
 
 # --- export ----------------------------------------------------------------
 
 
-@query("svg_nodes", f"WITH {PLACED}, b AS (SELECT 40 - (min(x) - 20) AS ox, 40 - (min(y) - 20) AS oy FROM p) SELECT idx AS at, printf('<circle cx=\"%.2f\" cy=\"%.2f\" r=\"20.00\" fill=\"#4a90d9\" stroke=\"#2c5aa0\" stroke-width=\"2.0\"/>', {_r('x + ox', 2)}, {_r('y + oy', 2)}) AS line FROM p, b")
+@query("svg_nodes", f"WITH {PLACED}, b AS (SELECT 40 - (min(x) - 20) AS ox, 40 - (min(y) - 20) AS oy FROM p) SELECT idx AS at, printf('<circle cx=\"%.2f\" cy=\"%.2f\" r=\"20.00\" fill=\"#3f7fbf\" stroke=\"#24527a\" stroke-width=\"2.0\"/>', {_r('x + ox', 2)}, {_r('y + oy', 2)}) AS line FROM p, b")
 def _(spark, sf_dir):
     return export.to_svg(_circle(spark, sf_dir)).where("part = 2").select("at", "line")
 

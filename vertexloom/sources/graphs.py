@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from vertexloom.plans.lineage import cut
+
 NODE = "graph_id string, idx long, x double, y double, width double, height double, fixed int, label string"
 EDGE = "graph_id string, eid long, src long, dst long, length double, weight double"
 
@@ -25,6 +27,10 @@ class Graph:
     def with_nodes(self, nodes: DataFrame) -> Graph:
         return Graph(nodes, self.edges)
 
+    def settled(self) -> Graph:
+        """The same with lineage cut: what a loop reads in every round isn't made from its sources each time."""
+        return Graph(cut(self.nodes), cut(self.edges))
+
 
 def _blank(df: DataFrame, schema: str, defaults: dict[str, Column]) -> DataFrame:
     """df with all columns of the schema, in its types; further columns stay behind them."""
@@ -124,6 +130,13 @@ def trade3(spark: SparkSession, sf_dir: str) -> Graph:
     return graph(nation, top)
 
 
+def trade1(spark: SparkSession, sf_dir: str) -> Graph:
+    """Per nation its heaviest partner: one edge from each node."""
+    g = trade3(spark, sf_dir)
+    first = W.Window.partitionBy("src").orderBy(F.desc("weight"), "dst")
+    return graph(g.nodes, g.edges.withColumn("r", F.row_number().over(first)).where("r = 1").drop("r", "eid"))
+
+
 def dag(spark: SparkSession, sf_dir: str) -> Graph:
     """trade3's edges from smaller to larger nations."""
     g = trade3(spark, sf_dir)
@@ -152,6 +165,28 @@ def transitions(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph(g.nodes.drop("id"), g.edges)
 
 
+def user_transitions(spark: SparkSession, sf_dir: str) -> Graph:
+    """One graph for each user: the event types they had, in order of name, and which followed which."""
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").where("user_id is not null").withColumn("graph_id", F.col("user_id").cast("string"))
+    after = events.select("graph_id", F.col("event_type").alias("src"), F.lead("event_type").over(W.Window.partitionBy("graph_id").orderBy("ts", "event_id")).alias("dst")).where("dst is not null")
+    names = events.select("graph_id", F.col("event_type").alias("id")).distinct().withColumn("label", F.col("id"))
+    g = densify(names, after.groupBy("graph_id", "src", "dst").agg(F.count("*").cast("double").alias("weight")))
+    return Graph(g.nodes.drop("id"), g.edges)
+
+
+def customer_chains(spark: SparkSession, sf_dir: str) -> Graph:
+    """One graph for each nation, a chain of its customers in every market segment; and one for each region, a star."""
+    customer, nation, region = _tables(spark, sf_dir, "customer", "nation", "region")
+    own = customer.select(F.concat(F.lit("nation "), F.col("c_nationkey").cast("string")).alias("graph_id"), "c_mktsegment", F.col("c_custkey").alias("id"))
+    link = F.lead("id").over(W.Window.partitionBy("graph_id", "c_mktsegment").orderBy("id"))
+    chains = own.select("graph_id", F.col("id").alias("src"), link.alias("dst")).where("dst is not null")
+    name = F.concat(F.lit("region "), F.col("r_regionkey").cast("string")).alias("graph_id")
+    rim = nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")).select(name, F.lit(-1).cast("long").alias("src"), F.col("n_nationkey").cast("long").alias("dst"))
+    nodes = own.select("graph_id", "id").unionByName(rim.select("graph_id", F.col("dst").alias("id"))).unionByName(region.select(name, F.lit(-1).cast("long").alias("id")))
+    g = densify(nodes, chains.unionByName(rim))
+    return Graph(g.nodes.drop("id"), g.edges)
+
+
 def geo(spark: SparkSession, sf_dir: str) -> Graph:
     """A tree: root 0, regions, nations, then customers and suppliers."""
     region, nation, customer, supplier = _tables(spark, sf_dir, "region", "nation", "customer", "supplier")
