@@ -11,7 +11,8 @@ precision. For maximum inner product, vectors get one more coordinate that makes
 Plan: equal vectors are one class, searched once, with its k + 1 smallest ids (more can never be in a result),
 so a vector that a third of all rows hold is one candidate and one query. Classes are dealt to shards of
 whole leaves (a leaf that is larger than a shard is split over several); a query goes once to each shard
-that holds leaves it visits, and each shard returns its k + 1 best. What the driver holds is the sample, the
+that holds leaves it visits, and each shard returns its k + 1 best. Queries are dealt in blocks of ask_rows, so a task
+holds a shard and a block, however many queries there are. What the driver holds is the sample, the
 forest and the sizes of its leaves, all bounded by sample_rows, trees and max_depth.
 
 Recall depends on the data: on vectors without any structure (the test tables' background) it takes four fifths of
@@ -64,18 +65,21 @@ class Forest:
             out[:, t] = node - (self.leaves - 1)
         return out
 
-    def visits(self, q: np.ndarray, number: int) -> list[list[int]]:
-        """For each query the first `number` leaves (tree * leaves + leaf) that the shared queue opens."""
+    def visits(self, q: np.ndarray, number: int, held: np.ndarray, least: int) -> list[list[int]]:
+        """For each query the first `number` leaves (tree * leaves + leaf) that the shared queue opens, and more until they
+        hold `least` vectors; held: the vectors of each leaf."""
         x = np.hstack([q, np.zeros((len(q), 1))])
         margins = np.stack([x @ self.planes[t].T - self.cuts[t] for t in range(len(self.planes))], axis=1)
         inner, out = self.leaves - 1, []
         for margin in margins:
             queue = [(0.0, t, 0) for t in range(len(margin))]
             found: list[int] = []
-            while queue and len(found) < number:
+            rows = 0
+            while queue and (len(found) < number or rows < least):
                 cost, t, node = heapq.heappop(queue)
                 if node >= inner:
                     found.append(t * self.leaves + node - inner)
+                    rows += int(held[found[-1]])
                     continue
                 m = float(margin[t, node])
                 near = 2 * node + (2 if m > 0 else 1)
@@ -116,7 +120,7 @@ def usable(vectors: DataFrame) -> DataFrame:
     return own.where(F.size("v") == (length.n if length else -1)).dropDuplicates(["vec_id", "v"])
 
 
-def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, share: float = 0.35, leaf_rows: int = 100, sample_rows: int = 20_000, shard_rows: int = 32_768, max_depth: int = 11, seed: int = 42) -> DataFrame:
+def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, share: float = 0.35, leaf_rows: int = 100, sample_rows: int = 20_000, shard_rows: int = 16_384, ask_rows: int = 8192, max_depth: int = 11, seed: int = 42) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row of vectors (vec_id, embedding, ...) whose
     vec_id is divisible by `every`."""
     spark = vectors.sparkSession
@@ -153,6 +157,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, sha
             held[-1] += sizes[leaf]
             shards[leaf] = [len(held) - 1]
     where = context.broadcast(shards)
+    held_by = np.zeros(trees * forest.leaves, np.int64)
+    held_by[list(sizes)] = list(sizes.values())
+    weights = context.broadcast(held_by)
+    asks = classes.where("asked").count()
+    blocks = max(1, -(-asks // ask_rows))
     number = max(1, round(share * trees * forest.leaves))
 
     def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,7 +169,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, sha
             if not batch.num_rows:
                 continue
             out: list[tuple[int, int, list[int]]] = []
-            for i, visited in enumerate(shared.value.visits(_matrix(batch.column(1)), number)):
+            for i, visited in enumerate(shared.value.visits(_matrix(batch.column(1)), number, weights.value, 10 * trees * (k + 1))):
                 by: dict[int, list[int]] = {}
                 for leaf in visited:
                     for s in where.value.get(leaf, ()):
@@ -170,13 +179,15 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, trees: int = 4, sha
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array([s for _, s, _ in out], pa.int32()), pa.array([x for *_, x in out], pa.list_(pa.int32()))], ["asks", "q", "shard", "leaves"])
 
     asked = classes.where("asked").select("rep", "v").mapInArrow(routed, "asks long, q array<double>, shard int, leaves array<int>")
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("asks"), F.lit(blocks)).cast("int"))
     own = spark.createDataFrame(list(shards.items()), "leaf int, parts array<int>")
     dealt = placed.join(F.broadcast(own), "leaf").withColumn("shard", F.expr("parts[cast(pmod(xxhash64(rep), size(parts)) as int)]"))
 
     def ranked(left: pa.Table, right: pa.Table) -> pa.Table:
         return _best(left, right, k + 1, trees)
 
-    near = asked.groupBy("shard").cogroup(dealt.select("shard", "leaf", "rep", "v").groupBy("shard")).applyInArrow(ranked, "asks long, rep long, score double")
+    dealt = dealt.select("shard", "leaf", "rep", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
+    near = asked.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block")).applyInArrow(ranked, "asks long, rep long, score double")
     return _expanded(near, rows, k, query)
 
 
