@@ -74,7 +74,13 @@ def _xy(df: DataFrame, *columns: str) -> DataFrame:
 # --- edges, degrees, validation --------------------------------------------
 
 
-@query("edges_canonical", f"WITH {TRANS} SELECT arg_min(src, eid) AS src, arg_min(dst, eid) AS dst FROM e WHERE src <> dst GROUP BY least(src, dst), greatest(src, dst)")
+@query(
+    "edges_canonical",
+    f"""
+    WITH {TRANS} SELECT arg_min(src, eid) AS src, arg_min(dst, eid) AS dst FROM e WHERE src <> dst GROUP BY
+    least(src, dst), greatest(src, dst)
+    """,
+)
 def _(spark, sf_dir):
     return ingest.canonical_edges(graphs.transitions(spark, sf_dir)).select("src", "dst")
 
@@ -86,12 +92,27 @@ for _loop in (1, 2):
         return ingest.degrees(graphs.transitions(spark, sf_dir), loop).select("idx", "degree")
 
 
-@query("adjacency", f"WITH {TRADE3}, bth AS (SELECT eid, src, dst FROM e UNION ALL SELECT eid, dst, src FROM e) SELECT idx, coalesce(list(dst ORDER BY eid, dst) FILTER (dst IS NOT NULL), []) AS neighbours FROM nodes LEFT JOIN bth ON src = idx GROUP BY idx")
+@query(
+    "adjacency",
+    f"""
+    WITH {TRADE3}, bth AS (SELECT eid, src, dst FROM e UNION ALL SELECT eid, dst, src FROM e)
+    SELECT idx, coalesce(list(dst ORDER BY eid, dst) FILTER (dst IS NOT NULL), []) AS neighbours FROM nodes LEFT
+    JOIN bth ON src = idx GROUP BY idx
+    """,
+)
 def _(spark, sf_dir):
     return ingest.adjacency(graphs.trade3(spark, sf_dir)).select("idx", "neighbours")
 
 
-@query("invalid_links", f"WITH {TRADE3}, bad AS (SELECT eid, CASE WHEN eid % 10 = 0 THEN NULL WHEN eid % 10 = 1 THEN -1 ELSE src END AS src, CASE WHEN eid % 10 = 2 THEN 25 ELSE dst END AS dst FROM e) SELECT eid, CASE WHEN src IS NULL THEN 'src is null' WHEN src < 0 OR src >= n THEN 'src out of range' ELSE 'dst out of range' END AS problem FROM bad, n WHERE src IS NULL OR src < 0 OR src >= n OR dst < 0 OR dst >= n")
+@query(
+    "invalid_links",
+    f"""
+    WITH {TRADE3}, bad AS (SELECT eid, CASE WHEN eid % 10 = 0 THEN NULL WHEN eid % 10 = 1 THEN -1 ELSE src END AS
+    src, CASE WHEN eid % 10 = 2 THEN 25 ELSE dst END AS dst FROM e) SELECT eid, CASE WHEN src IS NULL THEN
+    'src is null' WHEN src < 0 OR src >= n THEN 'src out of range' ELSE 'dst out of range' END AS problem FROM bad,
+    n WHERE src IS NULL OR src < 0 OR src >= n OR dst < 0 OR dst >= n
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.trade3(spark, sf_dir)
     src = F.when(F.col("eid") % 10 == 0, F.lit(None)).when(F.col("eid") % 10 == 1, -1).otherwise(F.col("src"))
@@ -99,7 +120,14 @@ def _(spark, sf_dir):
     return ingest.invalid_links(Graph(g.nodes, bad)).select("eid", "problem")
 
 
-@query("group_members_invalid", "SELECT r_regionkey::BIGINT AS gid, 100 + r_regionkey::BIGINT AS member, 'leaf' AS kind FROM region UNION ALL SELECT r_regionkey, r_regionkey + 1, 'group' FROM region WHERE r_regionkey + 1 NOT IN (SELECT r_regionkey FROM region)")
+@query(
+    "group_members_invalid",
+    """
+    SELECT r_regionkey::BIGINT AS gid, 100 + r_regionkey::BIGINT AS member, 'leaf' AS kind FROM region UNION ALL
+    SELECT r_regionkey, r_regionkey + 1, 'group' FROM region WHERE r_regionkey + 1 NOT IN (SELECT r_regionkey FROM
+    region)
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.trade3(spark, sf_dir)
     region, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("region", "nation"))
@@ -119,17 +147,41 @@ def _(spark, sf_dir):
 _DEGREE = "d AS (SELECT idx, (SELECT count(*) FROM e WHERE src = idx) + (SELECT count(*) FROM e WHERE dst = idx) AS degree FROM nodes)"
 
 
-@query("circular_by_degree", f"WITH {TRADE3}, {_DEGREE}, k AS (SELECT idx, row_number() OVER (ORDER BY degree DESC, idx) - 1 AS k FROM d) SELECT idx, {_r('500 + 450 * cos(2 * pi() * k / n)')} AS x, {_r('500 + 450 * sin(2 * pi() * k / n)')} AS y FROM k, n")
+@query(
+    "circular_by_degree",
+    f"""
+    WITH {TRADE3}, {_DEGREE}, k AS (SELECT idx, row_number() OVER (ORDER BY degree DESC, idx) - 1 AS k FROM d)
+    SELECT idx, {_r('500 + 450 * cos(2 * pi() * k / n)')} AS x, {_r('500 + 450 * sin(2 * pi() * k / n)')} AS y FROM
+    k, n
+    """,
+)
 def _(spark, sf_dir):
     return _xy(static_layouts.circular(graphs.trade3(spark, sf_dir), SIZE, sort_by="degree"))
 
 
-@query("shell_auto3", f"WITH {TRADE3}, {_DEGREE}, k AS (SELECT idx, row_number() OVER (ORDER BY degree DESC, idx) - 1 AS k FROM d), r AS (SELECT idx, k, k * 3 // n AS ring FROM k, n), c AS (SELECT idx, ring, row_number() OVER (PARTITION BY ring ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY ring) AS c FROM r) SELECT idx, {_r('500 + (ring + 1) * 100.0 * cos(2 * pi() * i / c)')} AS x, {_r('500 + (ring + 1) * 100.0 * sin(2 * pi() * i / c)')} AS y FROM c")
+@query(
+    "shell_auto3",
+    f"""
+    WITH {TRADE3}, {_DEGREE}, k AS (SELECT idx, row_number() OVER (ORDER BY degree DESC, idx) - 1 AS k FROM d), r AS
+    (SELECT idx, k, k * 3 // n AS ring FROM k, n), c AS (SELECT idx, ring, row_number() OVER (PARTITION BY ring
+    ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY ring) AS c FROM r) SELECT idx,
+    {_r('500 + (ring + 1) * 100.0 * cos(2 * pi() * i / c)')} AS x,
+    {_r('500 + (ring + 1) * 100.0 * sin(2 * pi() * i / c)')} AS y FROM c
+    """,
+)
 def _(spark, sf_dir):
     return _xy(static_layouts.shell(graphs.trade3(spark, sf_dir), SIZE, auto=3))
 
 
-@query("shell_explicit", f"WITH {TRADE3}, r AS (SELECT idx, CASE WHEN idx = 7 THEN 0 WHEN idx % 2 = 0 THEN 1 ELSE 2 END AS ring FROM nodes), c AS (SELECT idx, ring, row_number() OVER (PARTITION BY ring ORDER BY idx) - 1 AS i, count(*) OVER (PARTITION BY ring) AS c FROM r) SELECT idx, {_r('500 + ring * 100.0 * cos(2 * pi() * i / c)')} AS x, {_r('500 + ring * 100.0 * sin(2 * pi() * i / c)')} AS y FROM c")
+@query(
+    "shell_explicit",
+    f"""
+    WITH {TRADE3}, r AS (SELECT idx, CASE WHEN idx = 7 THEN 0 WHEN idx % 2 = 0 THEN 1 ELSE 2 END AS ring FROM
+    nodes), c AS (SELECT idx, ring, row_number() OVER (PARTITION BY ring ORDER BY idx) - 1 AS i, count(*) OVER
+    (PARTITION BY ring) AS c FROM r) SELECT idx, {_r('500 + ring * 100.0 * cos(2 * pi() * i / c)')} AS x,
+    {_r('500 + ring * 100.0 * sin(2 * pi() * i / c)')} AS y FROM c
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.trade3(spark, sf_dir)
     rings = g.nodes.where("idx = 7 or idx % 2 = 0").select("graph_id", "idx", F.when(F.col("idx") == 7, 0).otherwise(1).alias("ring"), F.col("idx").alias("pos"))
@@ -139,12 +191,25 @@ def _(spark, sf_dir):
 _LCG = "((((((idx * 1103515245 + {s}) % 2147483648) * 1103515245 + 12345) % 2147483648) * 214013 + 2531011) % 2147483648) / 2147483648.0::DOUBLE"
 
 
-@query("random_layout", f"WITH {TRADE3} SELECT idx, {_r('50 + ' + _LCG.format(s=7 * 12345) + ' * 900')} AS x, {_r('50 + ' + _LCG.format(s=7 * 12345 + 2654435) + ' * 900')} AS y FROM nodes")
+@query(
+    "random_layout",
+    f"""
+    WITH {TRADE3} SELECT idx, {_r('50 + ' + _LCG.format(s=7 * 12345) + ' * 900')} AS x, {_r('50 + ' +
+    _LCG.format(s=7 * 12345 + 2654435) + ' * 900')} AS y FROM nodes
+    """,
+)
 def _(spark, sf_dir):
     return _xy(static_layouts.random_layout(graphs.trade3(spark, sf_dir), SIZE, margin=50.0, seed=7))
 
 
-@query("center_graph", f"WITH {PLACED}, h AS (SELECT idx, x * 0.5 AS x, y + idx AS y FROM p), b AS (SELECT (min(x) + max(x)) / 2 AS cx, (min(y) + max(y)) / 2 AS cy FROM h) SELECT idx, {_r('x + (500 - cx)')} AS x, {_r('y + (500 - cy)')} AS y FROM h, b")
+@query(
+    "center_graph",
+    f"""
+    WITH {PLACED}, h AS (SELECT idx, x * 0.5 AS x, y + idx AS y FROM p), b AS (SELECT (min(x) + max(x)) / 2 AS cx,
+    (min(y) + max(y)) / 2 AS cy FROM h) SELECT idx, {_r('x + (500 - cx)')} AS x, {_r('y + (500 - cy)')} AS y FROM h,
+    b
+    """,
+)
 def _(spark, sf_dir):
     moved = _circle(spark, sf_dir).nodes.withColumn("x", F.col("x") * 0.5).withColumn("y", F.col("y") + F.col("idx"))
     return _xy(static_layouts.centred(moved, SIZE))
@@ -170,7 +235,14 @@ for _o, _x, _y in (("rows", "400 - (c - 1) * 50.0 / 2 + i * 50.0", "200 + side *
         return _xy(static_layouts.bipartite(_user_events(spark, sf_dir), orientation="horizontal" if o == "rows" else "vertical", sweeps=0))
 
 
-@query("barycenter_sweep1", "WITH ps AS (SELECT DISTINCT l_partkey AS t, l_suppkey AS b FROM lineitem), p AS (SELECT t, row_number() OVER (ORDER BY t) - 1 AS pos FROM (SELECT DISTINCT t FROM ps)), m AS (SELECT b, avg(pos) AS mean FROM ps JOIN p USING (t) GROUP BY b) SELECT b AS supplier, row_number() OVER (ORDER BY mean, b) - 1 AS pos FROM m")
+@query(
+    "barycenter_sweep1",
+    """
+    WITH ps AS (SELECT DISTINCT l_partkey AS t, l_suppkey AS b FROM lineitem), p AS (SELECT t, row_number() OVER
+    (ORDER BY t) - 1 AS pos FROM (SELECT DISTINCT t FROM ps)), m AS (SELECT b, avg(pos) AS mean FROM ps JOIN p USING
+    (t) GROUP BY b) SELECT b AS supplier, row_number() OVER (ORDER BY mean, b) - 1 AS pos FROM m
+    """,
+)
 def _(spark, sf_dir):
     pairs = graphs.part_supp(spark, sf_dir)
     parts = pairs.agg((F.max("top") + 1).alias("m")).first().m
@@ -209,7 +281,14 @@ def _(spark, sf_dir):
     return metrics.crossing_points(_circle(spark, sf_dir)).agg(F.count("*").alias("crossings"))
 
 
-@query("crossing_points", f"WITH {LINES}, {CROSS}, t AS (SELECT *, ((cx-ax)*(dy-cy)-(cy-ay)*(dx-cx)) / ((ex-ax)*(dy-cy)-(ey-ay)*(dx-cx)) AS t FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0) SELECT e1, e2, {_r('ax + t * (ex - ax)', 4)} AS x, {_r('ay + t * (ey - ay)', 4)} AS y FROM t")
+@query(
+    "crossing_points",
+    f"""
+    WITH {LINES}, {CROSS}, t AS (SELECT *, ((cx-ax)*(dy-cy)-(cy-ay)*(dx-cx)) / ((ex-ax)*(dy-cy)-(ey-ay)*(dx-cx)) AS
+    t FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0) SELECT e1, e2, {_r('ax + t * (ex - ax)', 4)} AS x,
+    {_r('ay + t * (ey - ay)', 4)} AS y FROM t
+    """,
+)
 def _(spark, sf_dir):
     return metrics.crossing_points(_circle(spark, sf_dir)).select("e1", "e2", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
@@ -233,19 +312,42 @@ def _(spark, sf_dir):
     return metrics.angular_resolution(_circle(spark, sf_dir)).select(rounded(F.col("angle")).alias("angle"))
 
 
-@query("quality_trade3", f"WITH {LINES}, {CROSS}, {_LEN}, {_ANGLE}, m AS (SELECT var_pop(l) AS v, 1 - stddev_pop(l) / avg(l) AS u FROM l) SELECT (SELECT count(*) FROM o WHERE t1 <> t2 AND t3 <> t4) AS crossings, {_r('v', 4)} AS variance, {_r('greatest(0, least(1, u))')} AS uniformity, {_r('angle')} AS angle FROM m, ang")
+@query(
+    "quality_trade3",
+    f"""
+    WITH {LINES}, {CROSS}, {_LEN}, {_ANGLE}, m AS (SELECT var_pop(l) AS v, 1 - stddev_pop(l) / avg(l) AS u FROM l)
+    SELECT (SELECT count(*) FROM o WHERE t1 <> t2 AND t3 <> t4) AS crossings, {_r('v', 4)} AS variance,
+    {_r('greatest(0, least(1, u))')} AS uniformity, {_r('angle')} AS angle FROM m, ang
+    """,
+)
 def quality_trade3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: a circular drawing of trade between nations, and its quality in one row."""
     q = metrics.quality_summary(_circle(spark, sf_dir), with_stress=False)
     return q.select("crossings", rounded(F.col("variance"), 4).alias("variance"), rounded(F.col("uniformity")).alias("uniformity"), rounded(F.col("angle")).alias("angle"))
 
 
-@query("stress_hop", f"WITH RECURSIVE {PLACED}, {HOPS}, w AS (SELECT h.d * 100.0 AS d, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS l FROM hops h JOIN p a ON a.idx = h.source JOIN p b ON b.idx = h.idx WHERE h.source < h.idx AND h.d > 0) SELECT {_r('sum((l - d) * (l - d) / (d * d)) / count(*)')} AS stress FROM w")
+@query(
+    "stress_hop",
+    f"""
+    WITH RECURSIVE {PLACED}, {HOPS}, w AS (SELECT h.d * 100.0 AS d, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y))
+    AS l FROM hops h JOIN p a ON a.idx = h.source JOIN p b ON b.idx = h.idx WHERE h.source < h.idx AND h.d > 0)
+    SELECT {_r('sum((l - d) * (l - d) / (d * d)) / count(*)')} AS stress FROM w
+    """,
+)
 def _(spark, sf_dir):
     return metrics.stress(_circle(spark, sf_dir), hops=True).select(rounded(F.col("stress")).alias("stress"))
 
 
-@query("quadtree_masses", f"WITH {PLACED}, b AS (SELECT (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my, greatest(max(x)-min(x), max(y)-min(y))/2 + 10 AS h FROM p), c AS (SELECT x, y, least(7, floor((x-mx+h)/(2*h)*8))::INT AS cx, least(7, floor((y-my+h)/(2*h)*8))::INT AS cy FROM p, b), l AS (SELECT unnest([0, 1, 2, 3]) AS level) SELECT level, cx >> (3 - level) AS cx, cy >> (3 - level) AS cy, count(*)::DOUBLE AS mass, {_r('avg(x)', 4)} AS x, {_r('avg(y)', 4)} AS y FROM c, l GROUP BY 1, 2, 3")
+@query(
+    "quadtree_masses",
+    f"""
+    WITH {PLACED}, b AS (SELECT (min(x)+max(x))/2 AS mx, (min(y)+max(y))/2 AS my, greatest(max(x)-min(x),
+    max(y)-min(y))/2 + 10 AS h FROM p), c AS (SELECT x, y, least(7, floor((x-mx+h)/(2*h)*8))::INT AS cx, least(7,
+    floor((y-my+h)/(2*h)*8))::INT AS cy FROM p, b), l AS (SELECT unnest([0, 1, 2, 3]) AS level)
+    SELECT level, cx >> (3 - level) AS cx, cy >> (3 - level) AS cy, count(*)::DOUBLE AS mass, {_r('avg(x)', 4)} AS
+    x, {_r('avg(y)', 4)} AS y FROM c, l GROUP BY 1, 2, 3
+    """,
+)
 def _(spark, sf_dir):
     out = spatial.cell_pyramid(_circle(spark, sf_dir).nodes, levels=4)
     return out.select("level", "cx", "cy", "mass", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
@@ -272,7 +374,14 @@ def _(spark, sf_dir):
     return traversal.is_connected(graphs.customer_chains(spark, sf_dir))
 
 
-@query("bfs_layers", "SELECT 0::BIGINT AS layer, 1::BIGINT AS nodes UNION ALL SELECT 1, count(*) FROM region UNION ALL SELECT 2, count(*) FROM nation UNION ALL SELECT 3, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier)")
+@query(
+    "bfs_layers",
+    """
+    SELECT 0::BIGINT AS layer, 1::BIGINT AS nodes UNION ALL SELECT 1, count(*) FROM region UNION ALL
+    SELECT 2, count(*) FROM nation UNION ALL SELECT 3, (SELECT count(*) FROM customer) + (SELECT count(*) FROM
+    supplier)
+    """,
+)
 def _(spark, sf_dir):
     return traversal.bfs_layers(graphs.geo(spark, sf_dir)).groupBy("layer").agg(F.count("*").alias("nodes"))
 
@@ -282,19 +391,40 @@ def _(spark, sf_dir):
     return traversal.all_pairs(graphs.trade3(spark, sf_dir)).select("source", "idx", "dist")
 
 
-@query("sssp_weighted", f"WITH RECURSIVE {TRADE3}, c AS (SELECT src, dst, 1 + eid % 5 AS w FROM e UNION ALL SELECT dst, src, 1 + eid % 5 FROM e), walk AS (SELECT 0::BIGINT AS idx, 0 AS d UNION SELECT dst, d + w FROM walk JOIN c ON src = idx WHERE d + w <= 40) SELECT idx, min(d)::DOUBLE AS dist FROM walk GROUP BY idx")
+@query(
+    "sssp_weighted",
+    f"""
+    WITH RECURSIVE {TRADE3}, c AS (SELECT src, dst, 1 + eid % 5 AS w FROM e UNION ALL
+    SELECT dst, src, 1 + eid % 5 FROM e), walk AS (SELECT 0::BIGINT AS idx, 0 AS d UNION
+    SELECT dst, d + w FROM walk JOIN c ON src = idx WHERE d + w <= 40) SELECT idx, min(d)::DOUBLE AS dist FROM walk
+    GROUP BY idx
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.trade3(spark, sf_dir)
     weighed = Graph(g.nodes, g.edges.withColumn("length", (1 + F.col("eid") % 5).cast("double")))
     return traversal.distances(weighed, spark.createDataFrame([("g", 0)], "graph_id string, source long"), "length").select("idx", "dist")
 
 
-@query("longest_path_layers", f"WITH RECURSIVE {DAG}, walk AS (SELECT idx, 0::BIGINT AS d FROM nodes WHERE idx NOT IN (SELECT dst FROM e) UNION SELECT dst, d + 1 FROM walk JOIN e ON src = idx) SELECT idx, max(d) AS layer FROM walk GROUP BY idx")
+@query(
+    "longest_path_layers",
+    f"""
+    WITH RECURSIVE {DAG}, walk AS (SELECT idx, 0::BIGINT AS d FROM nodes WHERE idx NOT IN (SELECT dst FROM e) UNION
+    SELECT dst, d + 1 FROM walk JOIN e ON src = idx) SELECT idx, max(d) AS layer FROM walk GROUP BY idx
+    """,
+)
 def _(spark, sf_dir):
     return traversal.longest_path_layers(graphs.dag(spark, sf_dir)).select("idx", "layer")
 
 
-@query("topo_levels", f"WITH RECURSIVE {DAG}, walk AS (SELECT idx, 0::BIGINT AS d FROM nodes UNION SELECT dst, d + 1 FROM walk JOIN e ON src = idx), l AS (SELECT idx, max(d) AS level FROM walk GROUP BY idx) SELECT idx, level, row_number() OVER (ORDER BY level, idx) - 1 AS pos FROM l")
+@query(
+    "topo_levels",
+    f"""
+    WITH RECURSIVE {DAG}, walk AS (SELECT idx, 0::BIGINT AS d FROM nodes UNION
+    SELECT dst, d + 1 FROM walk JOIN e ON src = idx), l AS (SELECT idx, max(d) AS level FROM walk GROUP BY idx)
+    SELECT idx, level, row_number() OVER (ORDER BY level, idx) - 1 AS pos FROM l
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.dag(spark, sf_dir)
     return traversal.peel(g).join(traversal.topological_order(g), ["graph_id", "idx"]).select("idx", "level", "pos")
@@ -305,7 +435,13 @@ def _(spark, sf_dir):
     return traversal.has_cycle(graphs.trade3(spark, sf_dir)).select("has_cycle")
 
 
-@query("scc", f"WITH RECURSIVE {TRADE3}, {REACH} SELECT idx, least(idx, coalesce((SELECT min(r.b) FROM reach r JOIN reach q ON q.a = r.b AND q.b = r.a WHERE r.a = idx), idx)) AS component FROM nodes")
+@query(
+    "scc",
+    f"""
+    WITH RECURSIVE {TRADE3}, {REACH} SELECT idx, least(idx, coalesce((SELECT min(r.b) FROM reach r JOIN reach q ON
+    q.a = r.b AND q.b = r.a WHERE r.a = idx), idx)) AS component FROM nodes
+    """,
+)
 def _(spark, sf_dir):
     return traversal.strong_components(graphs.trade3(spark, sf_dir)).select("idx", "component")
 
@@ -315,10 +451,19 @@ def _(spark, sf_dir):
     return traversal.two_colouring(_user_events(spark, sf_dir)).select("idx", "side", "bipartite")
 
 
-_NBR = "bth AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nb AS (SELECT src AS v, list(DISTINCT dst) AS l FROM bth GROUP BY src), c AS (SELECT eid, len(a.l) AS nu, len(b.l) AS nv, len(list_intersect(a.l, b.l)) AS s FROM e JOIN nb a ON a.v = src JOIN nb b ON b.v = dst)"
+_NBR = """
+bth AS (SELECT src, dst FROM e UNION SELECT dst, src FROM e), nb AS (SELECT src AS v, list(DISTINCT dst) AS l
+FROM bth GROUP BY src), c AS (SELECT eid, len(a.l) AS nu, len(b.l) AS nv, len(list_intersect(a.l, b.l)) AS s
+FROM e JOIN nb a ON a.v = src JOIN nb b ON b.v = dst)"""
 
 
-@query("sim_lengths_jaccard", f"WITH {TRADE3}, {_NBR} SELECT eid, {_r('1 + CASE WHEN least(nu, nv) < 1.1 THEN 0 ELSE s / (nu + nv - s) END')} AS length FROM c")
+@query(
+    "sim_lengths_jaccard",
+    f"""
+    WITH {TRADE3}, {_NBR} SELECT eid, {_r('1 + CASE WHEN least(nu, nv) < 1.1 THEN 0 ELSE s / (nu + nv - s) END')} AS
+    length FROM c
+    """,
+)
 def _(spark, sf_dir):
     return similarity.jaccard_lengths(graphs.trade3(spark, sf_dir)).select("eid", rounded(F.col("length")).alias("length"))
 
@@ -328,7 +473,13 @@ def _(spark, sf_dir):
     return similarity.symmetric_difference_lengths(graphs.trade3(spark, sf_dir)).select("eid", rounded(F.col("length")).alias("length"))
 
 
-@query("sep_constraints", f"WITH RECURSIVE {TRADE3}, {REACH} SELECT 'y' AS axis, src AS \"left\", dst AS \"right\", 30.0::DOUBLE AS gap FROM e WHERE NOT EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src)")
+@query(
+    "sep_constraints",
+    f"""
+    WITH RECURSIVE {TRADE3}, {REACH} SELECT 'y' AS axis, src AS "left", dst AS "right", 30.0::DOUBLE AS gap FROM e
+    WHERE NOT EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src)
+    """,
+)
 def _(spark, sf_dir):
     return similarity.separation_constraints(graphs.trade3(spark, sf_dir), gap=30.0).select("axis", "left", "right", "gap")
 
@@ -350,16 +501,33 @@ def _(spark, sf_dir):
     return layered.bilayer_crossings(graphs.part_supp(spark, sf_dir))
 
 
-_LAYER = "walk AS (SELECT idx, 0::BIGINT AS d FROM nodes UNION SELECT dst, d + 1 FROM walk JOIN e ON src = idx), ly AS (SELECT idx, max(d) AS layer FROM walk GROUP BY idx)"
+_LAYER = """
+walk AS (SELECT idx, 0::BIGINT AS d FROM nodes UNION SELECT dst, d + 1 FROM walk JOIN e ON src = idx), ly AS
+(SELECT idx, max(d) AS layer FROM walk GROUP BY idx)"""
 
 
-@query("dummy_nodes", f"WITH RECURSIVE {DAG}, {_LAYER}, x AS (SELECT eid, unnest(range(a.layer + 1, b.layer)) AS layer FROM e JOIN ly a ON a.idx = src JOIN ly b ON b.idx = dst) SELECT eid, layer, n + row_number() OVER (ORDER BY eid, layer) - 1 AS dummy FROM x, n")
+@query(
+    "dummy_nodes",
+    f"""
+    WITH RECURSIVE {DAG}, {_LAYER}, x AS (SELECT eid, unnest(range(a.layer + 1, b.layer)) AS layer FROM e JOIN ly a
+    ON a.idx = src JOIN ly b ON b.idx = dst) SELECT eid, layer, n + row_number() OVER (ORDER BY eid, layer) - 1 AS
+    dummy FROM x, n
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.dag(spark, sf_dir)
     return layered.dummy_nodes(g, traversal.longest_path_layers(g)).select("eid", "layer", "dummy")
 
 
-@query("layered_crossings", f"WITH RECURSIVE {DAG}, {_LAYER}, p AS (SELECT idx, layer::DOUBLE AS y, (row_number() OVER (PARTITION BY layer ORDER BY idx) - 1)::DOUBLE AS x FROM ly), s AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM e JOIN p a ON a.idx = src JOIN p b ON b.idx = dst), {CROSS} SELECT count(*) AS crossings FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0")
+@query(
+    "layered_crossings",
+    f"""
+    WITH RECURSIVE {DAG}, {_LAYER}, p AS (SELECT idx, layer::DOUBLE AS y, (row_number() OVER (PARTITION BY layer
+    ORDER BY idx) - 1)::DOUBLE AS x FROM ly), s AS (SELECT e.*, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM e
+    JOIN p a ON a.idx = src JOIN p b ON b.idx = dst), {CROSS} SELECT count(*) AS crossings FROM o WHERE t1 * t2 < 0
+    AND t3 * t4 < 0
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.dag(spark, sf_dir)
     return layered.layered_crossings(g, layered.positions(traversal.longest_path_layers(g))).select("crossings")
@@ -372,36 +540,77 @@ def _(spark, sf_dir):
 
 # --- forces ----------------------------------------------------------------
 
-_PAIR = "pr AS (SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS d, b.idx AS j FROM p a JOIN p b ON a.idx <> b.idx)"
-_PULL = "pl AS (SELECT eid, src, dst, weight, ex - ax AS dx, ey - ay AS dy, sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)) AS d FROM s), bth AS (SELECT src AS idx, dx, dy, d, weight FROM pl UNION ALL SELECT dst, -dx, -dy, d, weight FROM pl)"
+_PAIR = """
+pr AS (SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS d,
+b.idx AS j FROM p a JOIN p b ON a.idx <> b.idx)"""
+_PULL = """
+pl AS (SELECT eid, src, dst, weight, ex - ax AS dx, ey - ay AS dy, sqrt((ax-ex)*(ax-ex) + (ay-ey)*(ay-ey)) AS d
+FROM s), bth AS (SELECT src AS idx, dx, dy, d, weight FROM pl UNION ALL
+SELECT dst, -dx, -dy, d, weight FROM pl)"""
 
 
 def _sum_forces(pair: str, pull: str, gx: str, gy: str) -> str:
     return f"f AS (SELECT p.idx, p.x, p.y, (SELECT sum(dx / d * ({pair})) FROM pr WHERE pr.idx = p.idx) + coalesce((SELECT sum(dx / d * ({pull})) FROM bth b WHERE b.idx = p.idx), 0) + ({gx}) AS fx, (SELECT sum(dy / d * ({pair})) FROM pr WHERE pr.idx = p.idx) + coalesce((SELECT sum(dy / d * ({pull})) FROM bth b WHERE b.idx = p.idx), 0) + ({gy}) AS fy FROM p)"
 
 
-@query("fr_tick1", f"WITH {LINES}, {_PAIR}, {_PULL}, {_sum_forces('40000.0 / d', 'd * d / 200.0', '0.1 * (500 - p.x)', '0.1 * (500 - p.y)')}, m AS (SELECT *, sqrt(fx*fx + fy*fy) AS f FROM f) SELECT idx, {_r('greatest(0, least(1000, x + fx * least(f, 100) / f))', 4)} AS x, {_r('greatest(0, least(1000, y + fy * least(f, 100) / f))', 4)} AS y FROM m")
+@query(
+    "fr_tick1",
+    f"""
+    WITH {LINES}, {_PAIR}, {_PULL}, {_sum_forces('40000.0 / d', 'd * d / 200.0', '0.1 * (500 - p.x)',
+    '0.1 * (500 - p.y)')}, m AS (SELECT *, sqrt(fx*fx + fy*fy) AS f FROM f)
+    SELECT idx, {_r('greatest(0, least(1000, x + fx * least(f, 100) / f))', 4)} AS x,
+    {_r('greatest(0, least(1000, y + fy * least(f, 100) / f))', 4)} AS y FROM m
+    """,
+)
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
     return force.fruchterman_reingold_tick(g, g.nodes, SIZE).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
 
-@query("spring_tick1", f"WITH {LINES}, {_PAIR}, {_PULL}, {_sum_forces('10000.0 / (d * d)', '0.1 * (d - 100.0)', '0', '0')} SELECT idx, {_r('x + fx * 0.5', 4)} AS x, {_r('y + fy * 0.5', 4)} AS y FROM f")
+@query(
+    "spring_tick1",
+    f"""
+    WITH {LINES}, {_PAIR}, {_PULL}, {_sum_forces('10000.0 / (d * d)', '0.1 * (d - 100.0)', '0', '0')}
+    SELECT idx, {_r('x + fx * 0.5', 4)} AS x, {_r('y + fy * 0.5', 4)} AS y FROM f
+    """,
+)
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
     return force.spring_tick(g, g.nodes, SIZE).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
 
-@query("fa2_tick1", f"WITH {LINES}, {_DEGREE}, {_PAIR.replace('b.idx AS j FROM', '2.0 * (da.degree + 1) * (db.degree + 1) AS q FROM').replace('a.idx <> b.idx', 'a.idx <> b.idx JOIN d da ON da.idx = a.idx JOIN d db ON db.idx = b.idx')}, {_PULL}, c AS (SELECT p.idx, degree + 1.0 AS m, sqrt((500-x)*(500-x) + (500-y)*(500-y)) AS r FROM p JOIN d USING (idx)), {_sum_forces('q / d', 'weight * d', '(500 - p.x) * (SELECT m / r FROM c WHERE c.idx = p.idx)', '(500 - p.y) * (SELECT m / r FROM c WHERE c.idx = p.idx)')}, g AS (SELECT f.*, m, sqrt(fx*fx + fy*fy) AS z FROM f JOIN c USING (idx)), v AS (SELECT sum(m * z / 2) / greatest(sum(m * z), 1e-9) AS v FROM g) SELECT idx, {_r('x + fx * least(v / (1 + v * sqrt(z)), 10 / z)', 4)} AS x, {_r('y + fy * least(v / (1 + v * sqrt(z)), 10 / z)', 4)} AS y FROM g, v")
+@query(
+    "fa2_tick1",
+    f"""
+    WITH {LINES}, {_DEGREE}, {_PAIR.replace('b.idx AS j FROM',
+    '2.0 * (da.degree + 1) * (db.degree + 1) AS q FROM').replace('a.idx <> b.idx',
+    'a.idx <> b.idx JOIN d da ON da.idx = a.idx JOIN d db ON db.idx = b.idx')}, {_PULL}, c AS (SELECT p.idx, degree
+    + 1.0 AS m, sqrt((500-x)*(500-x) + (500-y)*(500-y)) AS r FROM p JOIN d USING (idx)), {_sum_forces('q / d',
+    'weight * d', '(500 - p.x) * (SELECT m / r FROM c WHERE c.idx = p.idx)',
+    '(500 - p.y) * (SELECT m / r FROM c WHERE c.idx = p.idx)')}, g AS (SELECT f.*, m, sqrt(fx*fx + fy*fy) AS z FROM
+    f JOIN c USING (idx)), v AS (SELECT sum(m * z / 2) / greatest(sum(m * z), 1e-9) AS v FROM g)
+    SELECT idx, {_r('x + fx * least(v / (1 + v * sqrt(z)), 10 / z)', 4)} AS x,
+    {_r('y + fy * least(v / (1 + v * sqrt(z)), 10 / z)', 4)} AS y FROM g, v
+    """,
+)
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
     return force.force_atlas2_tick(g, g.nodes, SIZE).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
 
-_IDEAL = "w AS (SELECT h.source AS i, h.idx AS j, h.d * 100.0 AS d, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS l FROM hops h JOIN p a ON a.idx = h.source JOIN p b ON b.idx = h.idx WHERE h.source <> h.idx)"
+_IDEAL = """
+w AS (SELECT h.source AS i, h.idx AS j, h.d * 100.0 AS d, a.x AS xi, a.y AS yi, b.x AS xj, b.y AS yj,
+sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS l FROM hops h JOIN p a ON a.idx = h.source JOIN p b ON b.idx
+= h.idx WHERE h.source <> h.idx)"""
 
 
-@query("kk_gradient", f"WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL} SELECT i AS idx, {_r('sum((xi - xj) * (1 - d / l) / (d * d))', 8)} AS gx, {_r('sum((yi - yj) * (1 - d / l) / (d * d))', 8)} AS gy FROM w GROUP BY i")
+@query(
+    "kk_gradient",
+    f"""
+    WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL} SELECT i AS idx, {_r('sum((xi - xj) * (1 - d / l) / (d * d))', 8)} AS
+    gx, {_r('sum((yi - yj) * (1 - d / l) / (d * d))', 8)} AS gy FROM w GROUP BY i
+    """,
+)
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
     return force.spring_gradient(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("gx"), 8).alias("gx"), rounded(F.col("gy"), 8).alias("gy"))
@@ -417,7 +626,14 @@ def _(spark, sf_dir):
     return force.kamada_kawai_tick(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
 
-@query("smacof_step1", f"WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL} SELECT i AS idx, {_r('sum((xj + d / l * (xi - xj)) / (d * d)) / sum(1 / (d * d))', 4)} AS x, {_r('sum((yj + d / l * (yi - yj)) / (d * d)) / sum(1 / (d * d))', 4)} AS y FROM w GROUP BY i")
+@query(
+    "smacof_step1",
+    f"""
+    WITH RECURSIVE {PLACED}, {HOPS}, {_IDEAL} SELECT i AS idx,
+    {_r('sum((xj + d / l * (xi - xj)) / (d * d)) / sum(1 / (d * d))', 4)} AS x,
+    {_r('sum((yj + d / l * (yi - yj)) / (d * d)) / sum(1 / (d * d))', 4)} AS y FROM w GROUP BY i
+    """,
+)
 def _(spark, sf_dir):
     g = _circle(spark, sf_dir)
     return force.stress_step(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
@@ -456,7 +672,10 @@ _GRID = TRADE3 + ", p AS (SELECT idx, (idx % 5) * 100.0 AS x, (idx // 5) * 80.0
 _PORTS = """ends AS (SELECT eid, 'src' AS "end", src AS idx, ex - ax AS dx, ey - ay AS dy, ex AS ox, ey AS oy FROM s UNION ALL SELECT eid, 'dst', dst, ax - ex, ay - ey, ax, ay FROM s),
 sides AS (SELECT *, CASE WHEN abs(dx) >= abs(dy) THEN CASE WHEN dx >= 0 THEN 'e' ELSE 'w' END ELSE CASE WHEN dy >= 0 THEN 's' ELSE 'n' END END AS side FROM ends),
 ports AS (SELECT eid, "end", idx, side, row_number() OVER (PARTITION BY idx, side ORDER BY CASE WHEN side IN ('n', 's') THEN ox ELSE oy END, eid, "end") / (count(*) OVER (PARTITION BY idx, side) + 1) AS position FROM sides)"""
-_SCATTER = "p AS (SELECT idx, (idx * 37 % 300)::DOUBLE AS x, (idx * 53 % 200)::DOUBLE AS y, 60.0::DOUBLE AS w, 40.0::DOUBLE AS h FROM nodes), c AS (SELECT a.idx AS l, b.idx AS r, (a.w + b.w) / 2 + 5.0 AS gap FROM p a JOIN p b ON (a.x < b.x OR (a.x = b.x AND a.idx < b.idx)) AND a.y - a.h / 2 < b.y + b.h / 2 AND b.y - b.h / 2 < a.y + a.h / 2)"
+_SCATTER = """
+p AS (SELECT idx, (idx * 37 % 300)::DOUBLE AS x, (idx * 53 % 200)::DOUBLE AS y, 60.0::DOUBLE AS w, 40.0::DOUBLE
+AS h FROM nodes), c AS (SELECT a.idx AS l, b.idx AS r, (a.w + b.w) / 2 + 5.0 AS gap FROM p a JOIN p b ON (a.x <
+b.x OR (a.x = b.x AND a.idx < b.idx)) AND a.y - a.h / 2 < b.y + b.h / 2 AND b.y - b.h / 2 < a.y + a.h / 2)"""
 
 
 def _boxed(spark: SparkSession, sf_dir: str, x, y) -> Graph:
@@ -493,18 +712,37 @@ def _(spark, sf_dir):
     return orthogonal.neighbours_along(_scattered(spark, sf_dir).nodes, "x", 5.0).select("left", "right", "gap")
 
 
-@query("compaction_longest_path", f"WITH RECURSIVE {TRADE3}, {_SCATTER}, walk AS (SELECT idx, (SELECT min(x) FROM p) AS x FROM p UNION SELECT r, x + gap FROM walk JOIN c ON l = idx) SELECT idx, max(x) AS x FROM walk GROUP BY idx")
+@query(
+    "compaction_longest_path",
+    f"""
+    WITH RECURSIVE {TRADE3}, {_SCATTER}, walk AS (SELECT idx, (SELECT min(x) FROM p) AS x FROM p UNION
+    SELECT r, x + gap FROM walk JOIN c ON l = idx) SELECT idx, max(x) AS x FROM walk GROUP BY idx
+    """,
+)
 def _(spark, sf_dir):
     nodes = _scattered(spark, sf_dir).nodes
     return orthogonal.separated(nodes, orthogonal.neighbours_along(nodes, "x", 5.0), "x", compact=True).select("idx", "x")
 
 
-@query("acyclic_edges", f"WITH RECURSIVE {TRADE3}, {REACH}, t AS (SELECT e.*, src > dst AND EXISTS (SELECT 1 FROM reach WHERE a = dst AND b = src) AS r FROM e) SELECT eid, CASE WHEN r THEN dst ELSE src END AS src, CASE WHEN r THEN src ELSE dst END AS dst, r AS reversed FROM t")
+@query(
+    "acyclic_edges",
+    f"""
+    WITH RECURSIVE {TRADE3}, {REACH}, t AS (SELECT e.*, src > dst AND EXISTS (SELECT 1 FROM reach WHERE a = dst AND
+    b = src) AS r FROM e) SELECT eid, CASE WHEN r THEN dst ELSE src END AS src, CASE WHEN r THEN src ELSE dst END AS
+    dst, r AS reversed FROM t
+    """,
+)
 def _(spark, sf_dir):
     return multilevel.acyclic_edges(graphs.trade3(spark, sf_dir)).select("eid", "src", "dst", "reversed")
 
 
-@query("planar_bound", f"WITH {TRADE3} SELECT (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) <= 3 * n - 6 AS possible FROM n")
+@query(
+    "planar_bound",
+    f"""
+    WITH {TRADE3} SELECT (SELECT count(*) FROM (SELECT DISTINCT least(src, dst), greatest(src, dst) FROM e)) <= 3 *
+    n - 6 AS possible FROM n
+    """,
+)
 def _(spark, sf_dir):
     return multilevel.is_planar_possible(graphs.trade3(spark, sf_dir)).select("possible")
 
@@ -603,7 +841,13 @@ def _(spark, sf_dir):
     return planar.find_cycle(graphs.trade1(spark, sf_dir)).select("src", "dst")
 
 
-@query("farthest_nodes", f"WITH RECURSIVE {TRADE3}, {HOPS} SELECT source, min(idx) AS idx, any_value(d)::DOUBLE AS dist FROM (SELECT *, max(d) OVER (PARTITION BY source) AS most FROM hops) WHERE d = most GROUP BY source")
+@query(
+    "farthest_nodes",
+    f"""
+    WITH RECURSIVE {TRADE3}, {HOPS} SELECT source, min(idx) AS idx, any_value(d)::DOUBLE AS dist FROM (SELECT *,
+    max(d) OVER (PARTITION BY source) AS most FROM hops) WHERE d = most GROUP BY source
+    """,
+)
 def _(spark, sf_dir):
     g = graphs.trade3(spark, sf_dir)
     return planar.farthest(g, g.nodes.select("graph_id", F.col("idx").alias("source"))).select("source", "idx", "dist")
@@ -667,7 +911,15 @@ def _(spark, sf_dir):
 # --- export ----------------------------------------------------------------
 
 
-@query("svg_nodes", f"WITH {PLACED}, b AS (SELECT 40 - (min(x) - 20) AS ox, 40 - (min(y) - 20) AS oy FROM p) SELECT idx AS at, printf('<circle cx=\"%.2f\" cy=\"%.2f\" r=\"20.00\" fill=\"#3f7fbf\" stroke=\"#24527a\" stroke-width=\"2.0\"/>', {_r('x + ox', 2)}, {_r('y + oy', 2)}) AS line FROM p, b")
+@query(
+    "svg_nodes",
+    f"""
+    WITH {PLACED}, b AS (SELECT 40 - (min(x) - 20) AS ox, 40 - (min(y) - 20) AS oy FROM p)
+    SELECT idx AS at,
+    printf('<circle cx="%.2f" cy="%.2f" r="20.00" fill="#3f7fbf" stroke="#24527a" stroke-width="2.0"/>',
+    {_r('x + ox', 2)}, {_r('y + oy', 2)}) AS line FROM p, b
+    """,
+)
 def _(spark, sf_dir):
     return export.to_svg(_circle(spark, sf_dir)).where("part = 2").select("at", "line")
 
@@ -677,6 +929,13 @@ def _(spark, sf_dir):
     return export.to_dot(_circle(spark, sf_dir)).where("part = 2").select("at", "line")
 
 
-@query("graphml_nodes", f"WITH {PLACED} SELECT idx AS at, printf('<node id=\"n%d\"><data key=\"x\">%.6f</data><data key=\"y\">%.6f</data><data key=\"label\">%s</data></node>', idx, {_r('x')}, {_r('y')}, label) AS line FROM p")
+@query(
+    "graphml_nodes",
+    f"""
+    WITH {PLACED} SELECT idx AS at,
+    printf('<node id="n%d"><data key="x">%.6f</data><data key="y">%.6f</data><data key="label">%s</data></node>',
+    idx, {_r('x')}, {_r('y')}, label) AS line FROM p
+    """,
+)
 def _(spark, sf_dir):
     return export.to_graphml(_circle(spark, sf_dir)).where("part = 1").select("at", "line")
