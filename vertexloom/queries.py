@@ -702,7 +702,18 @@ def _(spark, sf_dir):
     return orthogonal.port_points(g, orthogonal.ports(g)).select("eid", "end", rounded(F.col("x")).alias("x"), rounded(F.col("y")).alias("y"))
 
 
-@query("route_measures")
+@query(
+    "route_measures",
+    f"""
+    WITH {_GRID}, {_PORTS},
+    pp AS (SELECT eid, "end", side, CASE side WHEN 'e' THEN x + w / 2 WHEN 'w' THEN x - w / 2 ELSE x + (position - 0.5) * w END AS x,
+           CASE side WHEN 's' THEN y + h / 2 WHEN 'n' THEN y - h / 2 ELSE y + (position - 0.5) * h END AS y FROM ports JOIN p USING (idx)),
+    r AS (SELECT a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, a.side IN ('e', 'w') AS level
+          FROM pp a JOIN pp b ON a.eid = b.eid AND a."end" = 'src' AND b."end" = 'dst')
+    SELECT sum(CASE WHEN level AND y1 = y2 OR NOT level AND x1 = x2 THEN 0 ELSE 2 END)::BIGINT AS bends,
+           {_r('sum(abs(x1 - x2) + abs(y1 - y2))', 3)} AS length FROM r
+    """,
+)
 def _(spark, sf_dir):
     return orthogonal.route_measures(orthogonal.routes(_grid(spark, sf_dir))).select("bends", rounded(F.col("length"), 3).alias("length"))
 
