@@ -14,7 +14,7 @@ training text (segment_bytes each), so that none outgrows a task; each has bits_
 so the error rate is the same at every size. The tasks exchange pairs as sorted codes of known words, 3 to 5 bytes each.
 
 What is broadcast is bounded, and what is larger has an exact way that gives the same scores:
-- a filter of at most max_bits (64 MB) goes to the workers, which probe it text by text;
+- a filter of at most max_bits (8 MB; every worker process holds it) goes to the workers, which probe it text by text;
 - a larger one stays in its segments: slices of texts send their pairs, with the texts they stand in, to the segments,
   and get back what these add to each text's score (texts are read where they lie and never shuffled);
 - a vocabulary beyond max_vocabulary words (21 bytes each: 168 MB) is neither broadcast nor coded: pairs are joined as
@@ -544,7 +544,7 @@ def probed_by_joins(rows: DataFrame, words: DataFrame, tokens: int, known: int,
     return rows.select("row", "doc_id", "held_out").join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
-def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 29, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 23) -> DataFrame:
+def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 26, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = rows.where("not held_out")
