@@ -1,8 +1,6 @@
 import random
 import zlib
 
-import pytest
-
 from vertexloom.llm import toxicity as T
 
 

@@ -16,7 +16,6 @@ an empty span list; rows repeat as they come, a null doc_id as it is; further co
 
 from __future__ import annotations
 
-import hashlib
 import re
 import unicodedata
 from bisect import bisect_left, bisect_right
