@@ -876,6 +876,7 @@ def _(spark, sf_dir):
                OR (c.bx - c.x) * (k.y - c.y) - (c.by - c.y) * (k.x - c.x) = 0 AND (k.x - c.x) * (c.bx - c.x) + (k.y - c.y) * (c.by - c.y) > (c.bx - c.x) * (c.bx - c.x) + (c.by - c.y) * (c.by - c.y)
                OR (c.bx - c.x) * (k.y - c.y) - (c.by - c.y) * (k.x - c.x) = 0 AND (k.x - c.x) * (c.bx - c.x) + (k.y - c.y) * (c.by - c.y) < 0)
     SELECT DISTINCT c.g AS graph_id, c.idx FROM c LEFT JOIN bad ON bad.g = c.g AND bad.idx = c.idx AND bad.bx = c.bx AND bad.by = c.by WHERE bad.g IS NULL
+    UNION ALL SELECT g, min(idx) FROM u GROUP BY g HAVING count(*) = 1
     """,
 )
 def _(spark, sf_dir):
