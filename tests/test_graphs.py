@@ -142,15 +142,6 @@ def test_many_graphs_at_once(spark):
     assert {r.graph_id: r.crossings for r in metrics.edge_crossings(both.with_nodes(placed)).collect()} == {"g": 0, "h": 0}
 
 
-def test_cells_come_close_to_all_pairs(spark):
-    rng = random.Random(5)
-    g = graph(spark, [], 150, [(rng.uniform(0, 1000), rng.uniform(0, 1000)) for _ in range(150)])
-    size = lambda d: 100 / d
-    a = {r.idx: (r.fx, r.fy) for r in force.pair_forces(g.nodes, size).collect()}
-    b = {r.idx: (r.fx, r.fy) for r in force.cell_forces(g.nodes, size, 12).collect()}
-    assert sum(math.dist(a[i], b[i]) for i in a) < 0.05 * sum(math.hypot(*a[i]) for i in a)
-
-
 def test_energy_falls(spark):
     g = graph(spark, [(i, (i + 1) % 8) for i in range(8)])
     start = static_layouts.random_layout(g, (500.0, 500.0), seed=3)

@@ -102,7 +102,7 @@ def many(spark):
 @pytest.mark.parametrize("layout", [force.fruchterman_reingold, force.spring, force.force_atlas2, force.yifan_hu, force.stress_majorization])
 def test_runs_in_tasks_equal_ticks_as_queries(spark, layout):
     g = many(spark)
-    cells = {} if layout is force.stress_majorization else {"far_cells": 0}
+    cells = {} if layout is force.stress_majorization else {"leaf": 0}
     inside, outside = ({(r.graph_id, r.idx): (r.x, r.y) for r in layout(g, (300.0, 200.0), iterations=7, centre=False, in_task=n, **cells).collect()} for n in (1000, 4))
     assert inside.keys() == outside.keys() and len(inside) == 18
     for k, (x, y) in inside.items():

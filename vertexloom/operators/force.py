@@ -1,7 +1,7 @@
 """Force and stress layouts: one tick is a query over the node table, a run is a loop of ticks.
 
-All-pairs forces are sums over a self-join of a graph's nodes; `far_cells` replaces what lies far off by grid
-cells' masses, so that a tick on a large graph costs n * cells instead of n * n. A run cuts lineage after each
+All-pairs forces are sums over a self-join of a graph's nodes; `leaf` replaces what lies far off by cells of a pyramid
+(`spatial.interaction_forces`), so that a tick on a large graph costs nodes times levels instead of n * n. A run cuts lineage after each
 tick through the shared folder (a tick reads its state several times) and every `every` ticks takes a one-row
 aggregate that may stop it.
 """
@@ -16,14 +16,14 @@ from pyspark.sql import functions as F
 
 from vertexloom.operators import small_graphs
 from vertexloom.operators.ingest import check_canvas, check_iterations, degrees, in_range, sizes, with_ends
+from vertexloom.operators.spatial import LEAF, interaction_forces
 from vertexloom.operators.static_layouts import centred
 from vertexloom.operators.traversal import all_pairs
-from vertexloom.plans.lineage import cut
+from vertexloom.plans.lineage import Rounds, cut
 from vertexloom.sources.graphs import Graph
 
 
 IN_TASK = 1000  # nodes of a graph that a task takes whole
-FAR_CELLS = 16  # cells a side for the far forces of larger graphs; 0 for all pairs
 
 
 @dataclass
@@ -52,23 +52,11 @@ def pair_forces(nodes: DataFrame, size: Callable[[Column], Column], charge: str
     return one.groupBy("graph_id", "idx").agg(F.sum(F.col("dx") * f).alias("fx"), F.sum(F.col("dy") * f).alias("fy"))
 
 
-def cell_forces(nodes: DataFrame, size: Callable[[Column], Column], cells: int = 16, charge: str | None = None, skip: float = 0.0) -> DataFrame:
-    """The same with nodes outside the 3 x 3 cells around one taken together as their cells' masses: at most
-    cells * cells partners and those near by, for every node."""
-    q = F.col(charge) if charge else F.lit(1.0)
-    box = nodes.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
-    at = lambda c, o: F.least(F.lit(cells - 1), F.floor((F.col(c) - F.col(o)) / F.col("side") * cells)).cast("int")
-    placed = nodes.join(box, "graph_id").select("graph_id", "idx", "x", "y", q.alias("q"), at("x", "x0").alias("cx"), at("y", "y0").alias("cy"))
-    mass = placed.groupBy("graph_id", "cx", "cy").agg((F.sum(F.col("q") * F.col("x")) / F.sum("q")).alias("mx"), (F.sum(F.col("q") * F.col("y")) / F.sum("q")).alias("my"), F.sum("q").alias("m"))
-    a, b = placed.alias("a"), mass.alias("b")
-    far = a.join(b, (F.col("a.graph_id") == F.col("b.graph_id")) & ((F.abs(F.col("a.cx") - F.col("b.cx")) > 1) | (F.abs(F.col("a.cy") - F.col("b.cy")) > 1)))
-    far = far.select("a.graph_id", "a.idx", (F.col("a.x") - F.col("b.mx")).alias("dx"), (F.col("a.y") - F.col("b.my")).alias("dy"), (F.col("a.q") * F.col("b.m")).alias("q"))
-    around = placed.withColumn("ox", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).withColumn("oy", F.explode(F.array(*map(F.lit, (-1, 0, 1))))).select("graph_id", "idx", "x", "y", "q", (F.col("cx") + F.col("ox")).alias("cx"), (F.col("cy") + F.col("oy")).alias("cy")).alias("a")
-    near = around.join(placed.alias("b"), (F.col("a.graph_id") == F.col("b.graph_id")) & (F.col("a.cx") == F.col("b.cx")) & (F.col("a.cy") == F.col("b.cy")) & (F.col("a.idx") != F.col("b.idx")))
-    near = near.select("a.graph_id", "a.idx", (F.col("a.x") - F.col("b.x")).alias("dx"), (F.col("a.y") - F.col("b.y")).alias("dy"), (F.col("a.q") * F.col("b.q")).alias("q"))
-    one = far.unionByName(near).withColumn("d", F.sqrt(F.col("dx") * F.col("dx") + F.col("dy") * F.col("dy"))).where(F.col("d") > skip)
-    f = F.col("q") * size(F.col("d")) / F.col("d")
-    return one.groupBy("graph_id", "idx").agg(F.sum(F.col("dx") * f).alias("fx"), F.sum(F.col("dy") * f).alias("fy"))
+def all_forces(nodes: DataFrame, power: float, strength: float, charge: str | None = None, skip: float = 0.0, leaf: int = 0) -> DataFrame:
+    """pair_forces of strength / distance^power, by interaction lists of cells with `leaf` bodies where leaf isn't 0."""
+    if leaf:
+        return interaction_forces(nodes, power, strength, charge, leaf, skip)
+    return pair_forces(nodes, lambda d: strength / F.pow(d, F.lit(power)) if power != 1 else strength / d, charge, skip)
 
 
 def edge_forces(g: Graph, nodes: DataFrame, size: Callable[[Column], Column], skip: float = 0.0) -> DataFrame:
@@ -96,14 +84,14 @@ def _moved(nodes: DataFrame, dx: Column, dy: Column, **more: Column) -> DataFram
     return nodes.select(*rest, step("x", dx), step("y", dy), *(v.alias(k) for k, v in more.items()))
 
 
-def fruchterman_reingold_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), temperature: float = 100.0, distance: float | None = None, gravity: float = 0.1, far_cells: int = 0) -> DataFrame:
+def fruchterman_reingold_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), temperature: float = 100.0, distance: float | None = None, gravity: float = 0.1, leaf: int = 0) -> DataFrame:
     """Repulsion k^2 / d, attraction d^2 / k, gravity to the centre; steps up to the temperature, inside the canvas."""
     w, h = check_canvas(size)
     counted = nodes.join(sizes(g).withColumnRenamed("n", "__n"), "graph_id")
     # k differs by graph: charges carry its root, so that their product is k^2
     k = F.lit(float(distance)) if distance else F.sqrt(F.lit(w * h) / F.col("__n"))
     scaled = counted.withColumn("k", k).drop("__n")
-    away = cell_forces(scaled, lambda d: 1 / d, far_cells, "k") if far_cells else pair_forces(scaled, lambda d: 1 / d, "k")
+    away = all_forces(scaled, 1, 1.0, "k", leaf=leaf)
     pull = edge_forces(g, nodes, lambda d: d * d)
     pull = pull.join(scaled.groupBy("graph_id").agg(F.first("k").alias("k")), "graph_id").select("graph_id", "idx", (F.col("fx") / F.col("k")).alias("fx"), (F.col("fy") / F.col("k")).alias("fy"))
     centre = nodes.select("graph_id", "idx", (gravity * (w / 2 - F.col("x"))).alias("fx"), (gravity * (h / 2 - F.col("y"))).alias("fy"))
@@ -115,13 +103,12 @@ def fruchterman_reingold_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0),
     return moved.withColumn("x", clamp("x", w)).withColumn("y", clamp("y", h))
 
 
-def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: float = 0.1, spring_length: float = 100.0, repulsion: float = 10_000.0, damping: float = 0.5, gravity: float = 0.0, far_cells: int = 0) -> DataFrame:
+def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: float = 0.1, spring_length: float = 100.0, repulsion: float = 10_000.0, damping: float = 0.5, gravity: float = 0.0, leaf: int = 0) -> DataFrame:
     """Hooke's law on edges (their length, else spring_length), Coulomb's between all; velocities (vx, vy) are damped."""
     w, h = check_canvas(size)
     for v in ("vx", "vy"):
         nodes = nodes if v in nodes.columns else nodes.withColumn(v, F.lit(0.0))
-    push = lambda d: repulsion / (d * d)
-    away = cell_forces(nodes, push, far_cells) if far_cells else pair_forces(nodes, push)
+    away = all_forces(nodes, 2, repulsion, leaf=leaf)
     rest = F.coalesce(F.nullif("length", F.lit(0.0)), F.lit(spring_length))
     pull = edge_forces(Graph(g.nodes, g.edges), nodes, lambda d: stiffness * (d - rest))
     centre = nodes.select("graph_id", "idx", (gravity * (w / 2 - F.col("x"))).alias("fx"), (gravity * (h / 2 - F.col("y"))).alias("fy"))
@@ -131,35 +118,39 @@ def spring_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), stiffness: fl
     return _moved(own, vx, vy, vx=still(vx), vy=still(vy))
 
 
-def yifan_hu_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), distance: float | None = None, strength: float = 0.2, shrink: float = 0.9, far_cells: int = 0) -> DataFrame:
-    """Hu's forces: repulsion C K^2 / d, attraction d^2 / K; all nodes move one step. State beside x, y, alike in all of a
-    graph's nodes: the step, which shrinks when the energy rises and grows after five falls in a row; energy; falls."""
+def yifan_hu_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), distance: float | None = None, strength: float = 0.2, shrink: float = 0.9, leaf: int = 0, cooling: bool = False) -> DataFrame:
+    """Hu's forces: repulsion C K^2 / d, attraction d^2 / K; a node moves by its force, one step at most. State beside x, y,
+    alike in all of a graph's nodes: the step, which before the move shrinks if the energy rose and grows after five falls in a
+    row, or with `cooling` shrinks each tick; energy; falls."""
     w, h = check_canvas(size)
     counted = nodes.join(sizes(g).withColumnRenamed("n", "__n"), "graph_id")
     scaled = counted.withColumn("k", F.lit(float(distance)) if distance else F.sqrt(F.lit(w * h) / F.col("__n"))).drop("__n")
-    for name, start in (("step", F.col("k") / 5), ("energy", F.lit(float("inf"))), ("falls", F.lit(0))):
+    for name, start in (("step", F.col("k") / 10), ("energy", F.lit(float("inf"))), ("falls", F.lit(0))):
         scaled = scaled if name in nodes.columns else scaled.withColumn(name, start)
-    push = lambda d: strength / d
-    away = cell_forces(scaled, push, far_cells, "k") if far_cells else pair_forces(scaled, push, "k")
+    away = all_forces(scaled, 1, strength, "k", leaf=leaf)
     pull = edge_forces(g, nodes, lambda d: d * d).join(scaled.select("graph_id", "idx", "k"), ["graph_id", "idx"]).select("graph_id", "idx", (F.col("fx") / F.col("k")).alias("fx"), (F.col("fy") / F.col("k")).alias("fy"))
     own = _summed(scaled, away, pull)
     f = F.sqrt(F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))
-    own = own.withColumn("__s", F.when(f > 0, F.col("step") / f).otherwise(0.0))
-    total = own.groupBy("graph_id").agg(F.coalesce(F.sum(F.when(_free(), F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))), F.lit(0.0)).alias("__e"))
+    own = own.withColumn("__f", f)
+    total = own.groupBy("graph_id").agg(F.sum(F.col("__f") * F.col("__f")).alias("__e"))
     own = own.join(total, "graph_id")
     falls = F.when(F.col("__e") < F.col("energy"), F.col("falls") + 1).otherwise(0)
     step = F.when(falls >= 5, F.col("step") / shrink).when(F.col("__e") >= F.col("energy"), F.col("step") * shrink).otherwise(F.col("step"))
-    return _moved(own, F.col("__fx") * F.col("__s"), F.col("__fy") * F.col("__s"), step=step, energy=F.col("__e"), falls=F.when(falls >= 5, 0).otherwise(falls)).drop("k")
+    own = own.withColumn("__step", F.col("step") * shrink if cooling else step)
+    own = own.withColumn("__s", F.when(F.col("__f") > 0, F.least("__f", "__step") / F.col("__f")).otherwise(0.0))
+    return _moved(own, F.col("__fx") * F.col("__s"), F.col("__fy") * F.col("__s"), step=F.col("__step"), energy=F.col("__e"), falls=F.when(falls >= 5, 0).otherwise(falls)).drop("k")
 
 
-def force_atlas2_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), scaling: float = 2.0, gravity: float = 1.0, strong: bool = False, linlog: bool = False, influence: float = 1.0, tolerance: float = 1.0, far_cells: int = 0) -> DataFrame:
+def force_atlas2_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), scaling: float = 2.0, gravity: float = 1.0, strong: bool = False, linlog: bool = False, influence: float = 1.0, tolerance: float = 1.0, leaf: int = 0) -> DataFrame:
     """Degree-weighted repulsion and attraction, gravity, and speeds that follow each node's swinging. State beside
-    x, y: px, py (the last forces)."""
+    x, y: px, py (the last forces) and speed, the graph's own, which rises by at most half of itself a tick. Forces below 0.01
+    move nothing."""
     w, h = check_canvas(size)
     for v in ("px", "py"):
         nodes = nodes if v in nodes.columns else nodes.withColumn(v, F.lit(0.0))
+    nodes = nodes if "speed" in nodes.columns else nodes.withColumn("speed", F.lit(1.0))
     heavy = nodes.drop("mass").join(degrees(g, 2).select("graph_id", "idx", (F.col("degree") + 1.0).alias("mass")), ["graph_id", "idx"])
-    away = cell_forces(heavy, lambda d: scaling / d, far_cells, "mass", 0.01) if far_cells else pair_forces(heavy, lambda d: scaling / d, "mass", 0.01)
+    away = all_forces(heavy, 1, scaling, "mass", 0.01, leaf)
     weight = F.pow(F.coalesce("weight", F.lit(1.0)), F.lit(influence))
     pull = edge_forces(g, nodes, lambda d: weight * (F.log1p(d) if linlog else d), 0.01)
     dx, dy = w / 2 - F.col("x"), h / 2 - F.col("y")
@@ -170,12 +161,13 @@ def force_atlas2_tick(g: Graph, nodes: DataFrame, size=(1000.0, 1000.0), scaling
     swing = F.sqrt(F.pow(F.col("__fx") - F.col("px"), F.lit(2)) + F.pow(F.col("__fy") - F.col("py"), F.lit(2)))
     drive = F.sqrt(F.pow(F.col("__fx") + F.col("px"), F.lit(2)) + F.pow(F.col("__fy") + F.col("py"), F.lit(2))) / 2
     own = own.withColumn("__swing", swing).withColumn("__drive", drive)
-    speed = own.groupBy("graph_id").agg((F.lit(tolerance) * F.sum(F.col("mass") * F.col("__drive")) / F.greatest(F.sum(F.col("mass") * F.col("__swing")), F.lit(1e-9))).alias("__speed"))
-    own = own.join(speed, "graph_id")
+    swung, driven = F.sum(F.col("mass") * F.col("__swing")), F.sum(F.col("mass") * F.col("__drive"))
+    goal = own.groupBy("graph_id").agg(F.when(swung > 0, F.lit(tolerance) * driven / swung).otherwise(1.0).alias("__goal"))
+    own = own.join(goal, "graph_id").withColumn("__speed", F.least("__goal", 1.5 * F.col("speed")))
     f = F.sqrt(F.col("__fx") * F.col("__fx") + F.col("__fy") * F.col("__fy"))
     step = F.col("__speed") / (1 + F.col("__speed") * F.sqrt("__swing"))
-    step = F.when(f > 0, F.least(step, 10 / f)).otherwise(0.0)
-    return _moved(own, F.col("__fx") * step, F.col("__fy") * step, px=F.col("__fx"), py=F.col("__fy")).drop("mass")
+    step = F.when(f >= 0.01, F.least(step, 10 / f)).otherwise(0.0)
+    return _moved(own, F.col("__fx") * step, F.col("__fy") * step, px=F.col("__fx"), py=F.col("__fy"), speed=F.col("__speed")).drop("mass")
 
 
 def _ideal(g: Graph, edge_length: float, apart: float | None) -> DataFrame:
@@ -246,14 +238,15 @@ def run(tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iteration
     """Ticks until `iterations` or until nodes move less than `enough` a tick on average between two looks, `every` ticks
     apart."""
     check_iterations(iterations)
-    state = cut(nodes)
+    keep = Rounds(nodes.sparkSession, every + 2)
+    state = keep(nodes)
     tell = listen or (lambda p: None)
     tell(Progress("start", 0, float("inf")))
     moved, t = float("inf"), 0
     while t < iterations:
         new = state
         for _ in range(min(every, iterations - t)):
-            new = cut(tick(new, t))
+            new = keep(tick(new, t))
             t += 1
         a, b = state.select("graph_id", "idx", F.col("x").alias("ox"), F.col("y").alias("oy")), new
         moved = b.join(a, ["graph_id", "idx"]).agg(F.avg(F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))))).first()[0] or 0.0
@@ -277,34 +270,34 @@ def _by_size(g: Graph, size, centre: bool, in_task: int, tick: small_graphs.Tick
 
 
 def fruchterman_reingold(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, cooling: float = 0.95, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
-    """options: distance, gravity and, for graphs of more than in_task nodes, far_cells."""
+    """options: distance, gravity and, for graphs of more than in_task nodes, leaf (0 for all pairs)."""
     w, h = check_canvas(size)
-    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    cells = {"leaf": options.pop("leaf", LEAF)}
     tick = small_graphs.fruchterman_reingold_tick((w, h), lambda t: w / 10 * cooling**t, **options)
     large = lambda rest: run(lambda nodes, t: fruchterman_reingold_tick(rest, nodes, size, temperature=w / 10 * cooling**t, **options, **cells), rest.nodes, iterations)
     return _by_size(g, size, centre, in_task, tick, large, iterations)
 
 
 def spring(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
-    """options: those of spring_tick; far_cells for graphs of more than in_task nodes."""
+    """options: those of spring_tick; leaf for graphs of more than in_task nodes."""
     w, h = check_canvas(size)
-    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    cells = {"leaf": options.pop("leaf", LEAF)}
     large = lambda rest: run(lambda nodes, _: spring_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations).drop("vx", "vy")
     return _by_size(g, size, centre, in_task, small_graphs.spring_tick((w, h), **options), large, iterations)
 
 
 def force_atlas2(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
-    """options: those of force_atlas2_tick; far_cells for graphs of more than in_task nodes."""
+    """options: those of force_atlas2_tick; leaf for graphs of more than in_task nodes."""
     w, h = check_canvas(size)
-    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
-    large = lambda rest: run(lambda nodes, _: force_atlas2_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations, enough=0.01).drop("px", "py")
+    cells = {"leaf": options.pop("leaf", LEAF)}
+    large = lambda rest: run(lambda nodes, _: force_atlas2_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations, enough=0.01).drop("px", "py", "speed")
     return _by_size(g, size, centre, in_task, small_graphs.force_atlas2_tick((w, h), **options), large, iterations, 0.01)
 
 
 def yifan_hu(g: Graph, size=(1000.0, 1000.0), iterations: int = 300, centre: bool = True, in_task: int = IN_TASK, **options) -> DataFrame:
-    """options: those of yifan_hu_tick; far_cells for graphs of more than in_task nodes."""
+    """options: those of yifan_hu_tick; leaf for graphs of more than in_task nodes."""
     w, h = check_canvas(size)
-    cells = {"far_cells": options.pop("far_cells", FAR_CELLS)}
+    cells = {"leaf": options.pop("leaf", LEAF)}
     large = lambda rest: run(lambda nodes, _: yifan_hu_tick(rest, nodes, size, **options, **cells), rest.nodes, iterations).drop("step", "energy", "falls")
     return _by_size(g, size, centre, in_task, small_graphs.yifan_hu_tick((w, h), **options), large, iterations)
 

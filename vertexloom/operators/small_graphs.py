@@ -129,18 +129,19 @@ def force_atlas2_tick(size, scaling: float = 2.0, gravity: float = 1.0, strong:
         fx, fy = ax + px + dx * pull, ay + py + dy * pull
         lx, ly = g.state.get("f", (0.0, 0.0))
         swing, drive = np.hypot(fx - lx, fy - ly), np.hypot(fx + lx, fy + ly) / 2
-        speed = tolerance * (mass * drive).sum() / max((mass * swing).sum(), 1e-9)
+        goal = tolerance * (mass * drive).sum() / (mass * swing).sum() if swing.any() else 1.0
+        speed = min(goal, 1.5 * g.state.get("speed", 1.0))
         f = np.hypot(fx, fy)
-        step = np.where(f > 0, np.minimum(speed / (1 + speed * np.sqrt(swing)), 10 / np.where(f > 0, f, 1.0)), 0.0)
-        g.state["f"] = fx, fy
+        step = np.where(f >= 0.01, np.minimum(speed / (1 + speed * np.sqrt(swing)), 10 / np.where(f > 0, f, 1.0)), 0.0)
+        g.state["f"], g.state["speed"] = (fx, fy), speed
         return g.x + fx * step, g.y + fy * step
 
     return tick
 
 
 def yifan_hu_tick(size, distance: float | None = None, strength: float = 0.2, shrink: float = 0.9) -> Tick:
-    """Repulsion C K^2 / d, attraction d^2 / K; all nodes move one step, which shrinks when the energy rises and grows
-    after five falls in a row."""
+    """Repulsion C K^2 / d, attraction d^2 / K; nodes move by their force, one step at most, which first shrinks if the
+    energy rose and grows after five falls in a row."""
     w, h = size
 
     def tick(g: Small, t: int):
@@ -148,12 +149,12 @@ def yifan_hu_tick(size, distance: float | None = None, strength: float = 0.2, sh
         (ax, ay), (px, py) = away(g, lambda d: strength * k * k / d), along(g, lambda d, _: d * d / k)
         fx, fy = ax + px, ay + py
         f = np.hypot(fx, fy)
-        step, energy, falls = g.state.get("s", (k / 5, np.inf, 0))
-        now = float((f[g.free] ** 2).sum())
-        s = np.where(f > 0, step / np.where(f > 0, f, 1.0), 0.0)
+        step, energy, falls = g.state.get("s", (k / 10, np.inf, 0))
+        now = float((f**2).sum())
         falls = falls + 1 if now < energy else 0
         step = step / shrink if falls >= 5 else step * shrink if now >= energy else step
         g.state["s"] = step, now, 0 if falls >= 5 else falls
+        s = np.where(f > 0, np.minimum(f, step) / np.where(f > 0, f, 1.0), 0.0)
         return g.x + fx * s, g.y + fy * s
 
     return tick

@@ -1,10 +1,12 @@
-"""Masses of a pyramid of square cells (a region quadtree's levels)."""
+"""A pyramid of square cells (a region quadtree's levels): their masses, and far forces by interaction lists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from vertexloom.plans.lineage import cut
+
 
 def cell_pyramid(nodes: DataFrame, levels: int = 8, padding: float = 10.0, mass: str | None = None) -> DataFrame:
     """graph_id, level, cx, cy, mass, x, y: each cell's mass and centre of mass, for levels 0 .. levels - 1.
@@ -21,3 +23,109 @@ def cell_pyramid(nodes: DataFrame, levels: int = 8, padding: float = 10.0, mass:
     up = lambda c: F.expr(f"cast(shiftright({c}, {last} - level) as int)")
     summed = every.groupBy("graph_id", "level", up("cx").alias("cx"), up("cy").alias("cy")).agg(F.sum("mass").alias("mass"), F.sum("sx").alias("sx"), F.sum("sy").alias("sy"))
     return summed.select("graph_id", "level", "cx", "cy", "mass", (F.col("sx") / F.col("mass")).alias("x"), (F.col("sy") / F.col("mass")).alias("y"))
+
+
+LEAF = 16  # bodies in a finest cell
+DEEPEST = 14  # levels of cells at most; what lies closer than 2^-14 of the drawing meets in pairs
+
+
+def _bodies(nodes: DataFrame, charge: str | None) -> tuple[DataFrame, DataFrame]:
+    """(placed, bodies): nodes with the charge q, and the distinct places x, y with the charge of all nodes there and their
+    cell cx, cy of the deepest level."""
+    q = F.col(charge).cast("double") if charge else F.lit(1.0)
+    placed = nodes.where("x is not null and y is not null").select("graph_id", "idx", "x", "y", q.alias("q"))
+    box = placed.groupBy("graph_id").agg(F.min("x").alias("x0"), F.min("y").alias("y0"), F.greatest(F.max("x") - F.min("x"), F.max("y") - F.min("y"), F.lit(1e-9)).alias("side"))
+    at = lambda c, o: F.least(F.lit(2**DEEPEST - 1), F.floor((F.col(c) - F.col(o)) / F.col("side") * 2**DEEPEST)).cast("int")
+    bodies = placed.groupBy("graph_id", "x", "y").agg(F.sum("q").alias("q")).join(box, "graph_id")
+    return placed, bodies.select("graph_id", "x", "y", "q", at("x", "x0").alias("cx"), at("y", "y0").alias("cy"), F.col("x0"), F.col("y0"))
+
+
+def _depths(bodies: DataFrame, leaf: int) -> DataFrame:
+    """graph_id, depth: the first level whose fullest cell holds at most `leaf` bodies."""
+    fine = bodies.groupBy("graph_id", "cx", "cy").agg(F.count("*").alias("n"))
+    level = F.explode(F.sequence(F.lit(0), F.lit(DEEPEST))).alias("level")
+    up = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - level)")
+    counted = fine.select("*", level).groupBy("graph_id", "level", up("cx").alias("cx"), up("cy").alias("cy")).agg(F.sum("n").alias("n"))
+    fullest = counted.groupBy("graph_id", "level").agg(F.max("n").alias("n"))
+    return fullest.groupBy("graph_id").agg(F.coalesce(F.min(F.when(F.col("n") <= leaf, F.col("level"))), F.lit(DEEPEST)).alias("depth"))
+
+
+def interaction_lists(cells: DataFrame) -> DataFrame:
+    """Pairs of cells (graph_id, level, cx, cy) as those with sx, sy beside: the children of a cell's parent's neighbours that
+    aren't its own neighbours. Every two cells of a level that aren't neighbours are such a pair once on some level above or
+    at it, so the forces of all levels' pairs and of neighbours on the finest add up to all."""
+    steps = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in range(6) for b in range(6)))
+    parent = lambda c: F.shiftleft(F.shiftright(c, 1) - 1, 1)
+    around = cells.select("graph_id", "level", "cx", "cy", F.explode(steps).alias("s"))
+    around = around.select("graph_id", "level", "cx", "cy", (parent("cx") + F.col("s.a")).alias("sx"), (parent("cy") + F.col("s.b")).alias("sy"))
+    away = around.where("abs(sx - cx) > 1 or abs(sy - cy) > 1")
+    held = cells.select("graph_id", "level", F.col("cx").alias("sx"), F.col("cy").alias("sy"))
+    return away.join(held, ["graph_id", "level", "sx", "sy"])
+
+
+def _moments(bodies: DataFrame) -> DataFrame:
+    """graph_id, level, cx, cy and the cell's mass m, its centre of mass mx, my, and second moments about it."""
+    x, y, q = F.col("x") - F.col("x0"), F.col("y") - F.col("y0"), F.col("q")
+    sums = {"m": q, "sx": q * x, "sy": q * y, "sxx": q * x * x, "sxy": q * x * y, "syy": q * y * y}
+    fine = bodies.groupBy("graph_id", "depth", "cx", "cy").agg(*(F.sum(v).alias(k) for k, v in sums.items()), F.first("x0").alias("x0"), F.first("y0").alias("y0"))
+    every = fine.withColumn("level", F.explode(F.sequence(F.lit(2), F.col("depth"))))
+    up = lambda c: F.expr(f"shiftright({c}, depth - level)")
+    summed = every.groupBy("graph_id", "level", up("cx").alias("cx"), up("cy").alias("cy")).agg(*(F.sum(k).alias(k) for k in sums), F.first("x0").alias("x0"), F.first("y0").alias("y0"))
+    mx, my = F.col("sx") / F.col("m"), F.col("sy") / F.col("m")
+    return summed.where("m <> 0").select(
+        "graph_id", "level", "cx", "cy", "m", (F.col("x0") + mx).alias("mx"), (F.col("y0") + my).alias("my"),
+        (F.col("sxx") - F.col("m") * mx * mx).alias("mxx"), (F.col("sxy") - F.col("m") * mx * my).alias("mxy"), (F.col("syy") - F.col("m") * my * my).alias("myy"),
+    )
+
+
+def _far(x: Column, y: Column, power: float) -> tuple[Column, Column]:
+    """The field at (x, y) of a cell s with its second moments: sum of q D / |D|^(power + 1), D from the bodies to (x, y), to the
+    third order in the cell's size over the distance (the first order is 0 about the centre of mass)."""
+    k = power + 1
+    dx, dy = x - F.col("s.mx"), y - F.col("s.my")
+    r2 = dx * dx + dy * dy
+    near = F.pow(r2, F.lit(-k / 2))
+    xx, xy, yy = F.col("s.mxx"), F.col("s.mxy"), F.col("s.myy")
+    along = (xx * dx * dx + 2 * xy * dx * dy + yy * dy * dy) / r2
+    common = F.col("s.m") + (k * (k + 2) * along - k * (xx + yy)) / (2 * r2)
+    turn = lambda a, b: k * a / r2 if b is None else k * (a + b) / r2
+    return near * (dx * common - turn(xx * dx, xy * dy)), near * (dy * common - turn(xy * dx, yy * dy))
+
+
+def interaction_forces(nodes: DataFrame, power: float = 1.0, strength: float = 1.0, charge: str | None = None, leaf: int = LEAF, skip: float = 0.0) -> DataFrame:
+    """graph_id, idx, fx, fy: the sum over all others of strength * charge_i * charge_j / distance^power along the line from them.
+
+    A cell acts on another as one body with second moments if the two aren't neighbours but their parents are; neighbours on
+    the finest level act body by body, where closer than `skip` not at all. Cells are split until each holds at most `leaf`
+    bodies, so the work is that of nodes times levels, at most 27 cells on each level and 9 * leaf bodies a node. Nodes at the
+    same place are one body. The joins' keys are cells: a list of at most 27 cells, or of `leaf` bodies. Nodes without a
+    place have no row.
+    """
+    placed, bodies = _bodies(nodes, charge)
+    bodies = bodies.join(_depths(bodies, leaf), "graph_id")
+    down = lambda c: F.expr(f"shiftright({c}, {DEEPEST} - depth)")
+    bodies = cut(bodies.withColumn("cx", down("cx")).withColumn("cy", down("cy")))
+    cells = cut(_moments(bodies))
+    pairs = interaction_lists(cells.select("graph_id", "level", "cx", "cy"))
+    source = cells.select("graph_id", "level", F.col("cx").alias("sx"), F.col("cy").alias("sy"), F.struct("m", "mx", "my", "mxx", "mxy", "myy").alias("s"))
+    lists = pairs.join(source, ["graph_id", "level", "sx", "sy"]).groupBy("graph_id", "level", "cx", "cy").agg(F.collect_list("s").alias("list"))
+    up = lambda c: F.expr(f"shiftright({c}, depth - level)").alias(c)
+    levelled = bodies.select("graph_id", "x", "y", "depth", "cx", "cy", F.explode(F.sequence(F.lit(2), F.col("depth"))).alias("level")).select("graph_id", "x", "y", "level", up("cx"), up("cy"))
+    met = levelled.join(lists, ["graph_id", "level", "cx", "cy"]).select("graph_id", "x", "y", F.explode("list").alias("s"))
+    fx, fy = _far(F.col("x"), F.col("y"), power)
+    far = met.select("graph_id", "x", "y", fx.alias("fx"), fy.alias("fy"))
+
+    held = bodies.groupBy("graph_id", "cx", "cy").agg(F.collect_list(F.struct("x", "y", "q")).alias("list"))
+    offsets = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")) for a in (-1, 0, 1) for b in (-1, 0, 1)))
+    around = bodies.groupBy("graph_id", "cx", "cy").agg(F.lit(1).alias("one")).select("graph_id", "cx", "cy", F.explode(offsets).alias("o"))
+    around = around.select("graph_id", F.col("cx").alias("tx"), F.col("cy").alias("ty"), (F.col("cx") + F.col("o.a")).alias("cx"), (F.col("cy") + F.col("o.b")).alias("cy"))
+    met = around.join(held, ["graph_id", "cx", "cy"]).select("graph_id", F.col("tx").alias("cx"), F.col("ty").alias("cy"), "list")
+    near = bodies.select("graph_id", "x", "y", "cx", "cy").join(met, ["graph_id", "cx", "cy"]).select("graph_id", "x", "y", F.explode("list").alias("s"))
+    dx, dy = F.col("x") - F.col("s.x"), F.col("y") - F.col("s.y")
+    r2 = dx * dx + dy * dy
+    f = F.col("s.q") * F.pow(r2, F.lit(-(power + 1) / 2))
+    near = near.where((r2 > skip * skip) & (r2 > 0)).select("graph_id", "x", "y", (dx * f).alias("fx"), (dy * f).alias("fy"))
+
+    field = far.unionByName(near).groupBy("graph_id", "x", "y").agg(F.sum("fx").alias("fx"), F.sum("fy").alias("fy"))
+    own = placed.join(field, ["graph_id", "x", "y"])
+    return own.select("graph_id", "idx", (strength * F.col("q") * F.col("fx")).alias("fx"), (strength * F.col("q") * F.col("fy")).alias("fy"))

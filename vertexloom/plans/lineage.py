@@ -32,3 +32,22 @@ def kept(df: DataFrame) -> DataFrame:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+class Rounds:
+    """A cut for loops whose state is joined with sums over itself.
+
+    A checkpoint carries its plan's estimated size, which squares with such a join: after some twenty rounds the number alone
+    has millions of digits. Here a round is a Parquet table in the shared folder, so its size is that of its files. Rounds
+    take turns on `keep` tables; a frame must not be read after `keep` more rounds.
+    """
+
+    def __init__(self, spark: SparkSession, keep: int = 2):
+        use_checkpoint_dir(spark)
+        self.spark, self.keep, self.n = spark, keep, 0
+        self.folder = f"{spark.sparkContext.getCheckpointDir()}/rounds-{uuid.uuid4().hex}"
+
+    def __call__(self, df: DataFrame) -> DataFrame:
+        path, self.n = f"{self.folder}/{self.n % self.keep}", self.n + 1
+        df.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)

@@ -9,7 +9,23 @@ from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from vertexloom.functions.numbers import rounded
-from vertexloom.operators import export, force, ingest, layered, metrics, multilevel, orthogonal, planar, similarity, spatial, static_layouts, traversal
+from vertexloom.operators import (
+    descent,
+    export,
+    force,
+    ingest,
+    layered,
+    metrics,
+    multilevel,
+    orthogonal,
+    planar,
+    projection,
+    similarity,
+    spatial,
+    static_layouts,
+    traversal,
+)
+from vertexloom.plans.lineage import cut
 from vertexloom.sources import graphs
 from vertexloom.sources.graphs import Graph
 
@@ -639,6 +655,180 @@ def _(spark, sf_dir):
     return force.stress_step(g.nodes, force._ideal(g, 100.0, None)).select("idx", rounded(F.col("x"), 4).alias("x"), rounded(F.col("y"), 4).alias("y"))
 
 
+def _ticks_sql(start: str, more: str, repulsion: str, attraction: str, centre: tuple[str, str], rule: str, ticks: int) -> str:
+    """Ticks as a chain of tables p0, p1 ...; `rule` gives what a tick's forces make of a node (g: forces fx, fy, z; k: the tick)."""
+    out = [f"p0 AS MATERIALIZED ({start})"]
+    for k in range(ticks):
+        out.append(f"""
+    away{k} AS MATERIALIZED (SELECT idx, sum(dx / d * ({repulsion})) AS fx, sum(dy / d * ({repulsion})) AS fy FROM (
+      SELECT a.idx, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS d, a.m * b.m AS q FROM p{k} a JOIN p{k} b ON a.idx <> b.idx)
+      WHERE d > 0.01 GROUP BY idx),
+    pull{k} AS MATERIALIZED (SELECT idx, sum(dx / d * ({attraction})) AS fx, sum(dy / d * ({attraction})) AS fy FROM (
+      SELECT a.idx, b.x - a.x AS dx, b.y - a.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS d, weight
+      FROM (SELECT src, dst, weight FROM e UNION ALL SELECT dst, src, weight FROM e) JOIN p{k} a ON a.idx = src JOIN p{k} b ON b.idx = dst) WHERE d > 0.01 GROUP BY idx),
+    f{k} AS MATERIALIZED (SELECT p.*, coalesce(a.fx, 0) + coalesce(b.fx, 0) + ({centre[0]}) AS fx, coalesce(a.fy, 0) + coalesce(b.fy, 0) + ({centre[1]}) AS fy
+      FROM p{k} p LEFT JOIN away{k} a USING (idx) LEFT JOIN pull{k} b USING (idx)),
+    g{k} AS MATERIALIZED (SELECT *, sqrt(fx*fx + fy*fy) AS z{more} FROM f{k}), {rule.format(k=k, n=k + 1)}""")
+    return ", ".join(out)
+
+
+_FA2 = _ticks_sql(
+    "SELECT p.idx, x, y, degree + 1.0 AS m, 0.0::DOUBLE AS px, 0.0::DOUBLE AS py, 1.0::DOUBLE AS speed FROM p JOIN d USING (idx)",
+    ", sqrt((fx-px)*(fx-px) + (fy-py)*(fy-py)) AS sw, sqrt((fx+px)*(fx+px) + (fy+py)*(fy+py)) / 2 AS dr",
+    "2.0 * q / d", "weight * d",
+    ("(500 - p.x) * m / sqrt((500-p.x)*(500-p.x) + (500-p.y)*(500-p.y))", "(500 - p.y) * m / sqrt((500-p.x)*(500-p.x) + (500-p.y)*(500-p.y))"),
+    """v{k} AS MATERIALIZED (SELECT least(sum(m * dr) / sum(m * sw), 1.5 * max(speed)) AS v FROM g{k}),
+    h{k} AS MATERIALIZED (SELECT *, CASE WHEN z >= 0.01 THEN least(v / (1 + v * sqrt(sw)), 10 / z) ELSE 0 END AS s FROM g{k}, v{k}),
+    p{n} AS MATERIALIZED (SELECT idx, x + fx * s AS x, y + fy * s AS y, m, fx AS px, fy AS py, v AS speed FROM h{k})""", 3,
+)
+_HU = lambda ticks: _ticks_sql(
+    "SELECT idx, x, y, 1.0::DOUBLE AS m, 20.0::DOUBLE AS step, 'inf'::DOUBLE AS energy, 0 AS falls FROM p", "", "8000.0 / d", "d * d / 200.0", ("0", "0"),
+    """e{k} AS MATERIALIZED (SELECT sum(z * z) AS now FROM g{k}),
+    c{k} AS MATERIALIZED (SELECT *, CASE WHEN now < energy THEN falls + 1 ELSE 0 END AS fell FROM g{k}, e{k}),
+    s{k} AS MATERIALIZED (SELECT *, CASE WHEN fell >= 5 THEN step / 0.9 WHEN now >= energy THEN step * 0.9 ELSE step END AS new FROM c{k}),
+    p{n} AS MATERIALIZED (SELECT idx, x + fx * least(z, new) / z AS x, y + fy * least(z, new) / z AS y, m, new AS step, now AS energy, CASE WHEN fell >= 5 THEN 0 ELSE fell END AS falls FROM s{k})""", ticks,
+)
+
+
+@query("fa2_tick3", f"WITH {LINES}, {_DEGREE}, {_FA2} SELECT idx, {_r('x', 4)} AS x, {_r('y', 4)} AS y, {_r('speed', 8)} AS speed FROM p3")
+def _(spark, sf_dir):
+    g = _circle(spark, sf_dir).settled()
+    state = g.nodes
+    for _ in range(3):
+        state = cut(force.force_atlas2_tick(g, state, SIZE))
+    return _xy(state, "idx", rounded(F.col("speed"), 8).alias("speed")).select("idx", *_near(), "speed")
+
+
+def _near() -> list:
+    return [rounded(F.col(c), 4).alias(c) for c in ("x", "y")]
+
+
+for _n in (1, 8):
+
+    @query(f"yifan_hu_tick{_n}", f"WITH {LINES}, {_HU(_n)} SELECT idx, {_r('x', 4)} AS x, {_r('y', 4)} AS y, {_r('step')} AS step FROM p{_n}")
+    def _(spark, sf_dir, n=_n):
+        g = _circle(spark, sf_dir).settled()
+        state = g.nodes
+        for _ in range(n):
+            state = cut(force.yifan_hu_tick(g, state, SIZE))
+        return state.select("idx", *_near(), rounded(F.col("step")).alias("step"))
+
+
+@query("far_forces_orders")
+def _(spark, sf_dir):
+    """Repulsion between all of some 10^5 nodes (at sf0.1) by interaction lists."""
+    g = graphs.order_tree(spark, sf_dir)
+    return spatial.interaction_forces(g.nodes, 1.0, 1.0).select("idx", "fx", "fy")
+
+
+@query("yifan_hu_orders")
+def _(spark, sf_dir):
+    """The energy and step of four ticks on the tree of nations, customers and orders, by interaction lists."""
+    g = graphs.order_tree(spark, sf_dir).settled()
+    state, seen = g.nodes, None
+    for t in range(4):
+        state = cut(force.yifan_hu_tick(g, state, SIZE, leaf=spatial.LEAF))
+        one = state.groupBy("graph_id").agg(F.lit(t + 1).alias("tick"), F.max("energy").alias("energy"), F.max("step").alias("step"), F.count("*").alias("nodes"))
+        seen = one if seen is None else seen.unionByName(one)
+    return seen.drop("graph_id")
+
+
+# --- descent and constraints -----------------------------------------------
+
+_GOALS = """ideal AS MATERIALIZED (SELECT h.source AS i, h.idx AS j, h.d * 100.0 AS d,
+  CASE WHEN EXISTS (SELECT 1 FROM e WHERE src = h.source AND dst = h.idx OR src = h.idx AND dst = h.source) THEN 1 ELSE 2 END AS goal FROM hops h WHERE h.source <> h.idx)"""
+
+
+def _stage_sql(p: str, out: str) -> str:
+    """The table `out`: table p one step of descent on."""
+    return f"""
+    t_{out} AS MATERIALIZED (SELECT i, j, dx, dy, 2 * (l - d) / (d * d * l) AS pull, -2 / (d*d*l*l*l) * (2*l*l*l + d * (dx*dx - l*l)) AS hx, -2 / (d*d*l*l*l) * (2*l*l*l + d * (dy*dy - l*l)) AS hy
+      FROM (SELECT i, j, d, goal, a.x - b.x AS dx, a.y - b.y AS dy, sqrt((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y)) AS l FROM ideal JOIN {p} a ON a.idx = i JOIN {p} b ON b.idx = j)
+      WHERE l > 0 AND NOT (goal > 1 AND l > d)),
+    g_{out} AS MATERIALIZED (SELECT idx, coalesce(sum(dx * pull), 0) AS gx, coalesce(sum(dy * pull), 0) AS gy FROM {p} LEFT JOIN t_{out} ON i = idx GROUP BY idx),
+    s_{out} AS MATERIALIZED (SELECT (SELECT sum(gx*gx + gy*gy) FROM g_{out}) / (SELECT sum(-0.5 * (hx * (a.gx-b.gx)*(a.gx-b.gx) + hy * (a.gy-b.gy)*(a.gy-b.gy)))
+      FROM t_{out} JOIN g_{out} a ON a.idx = i JOIN g_{out} b ON b.idx = j) AS step),
+    {out} AS MATERIALIZED (SELECT idx, x - step * gx AS x, y - step * gy AS y FROM {p} JOIN g_{out} USING (idx), s_{out})"""
+
+
+def _halfway_sql(p: str, q: str, out: str) -> str:
+    return f"{out} AS MATERIALIZED (SELECT idx, (a.x + b.x) / 2 AS x, (a.y + b.y) / 2 AS y FROM {p} a JOIN {q} b USING (idx))"
+
+
+_STAGES = ", ".join((_stage_sql("p", "ka"), _halfway_sql("p", "ka", "ha"), _stage_sql("ha", "kb"), _halfway_sql("p", "kb", "hb"), _stage_sql("hb", "kc"), _stage_sql("kc", "kd")))
+
+
+def _unweighted(spark: SparkSession, sf_dir: str) -> Graph:
+    g = _circle(spark, sf_dir)
+    return Graph(g.nodes, g.edges.withColumn("weight", F.lit(None).cast("double"))).settled()
+
+
+@query("descent_step1", f"WITH RECURSIVE {PLACED}, {HOPS}, {_GOALS}, {_stage_sql('p', 'q')} SELECT idx, {_r('x', 4)} AS x, {_r('y', 4)} AS y FROM q")
+def _(spark, sf_dir):
+    g = _unweighted(spark, sf_dir)
+    return descent.next_position(g.nodes, cut(descent.ideal_distances(g))).select("idx", *_near())
+
+
+@query(
+    "descent_runge_kutta1",
+    f"""
+    WITH RECURSIVE {PLACED}, {HOPS}, {_GOALS}, {_STAGES}
+    SELECT idx, {_r('(ka.x + 2 * kb.x + 2 * kc.x + kd.x) / 6', 4)} AS x, {_r('(ka.y + 2 * kb.y + 2 * kc.y + kd.y) / 6', 4)} AS y
+    FROM ka JOIN kb USING (idx) JOIN kc USING (idx) JOIN kd USING (idx)
+    """,
+)
+def _(spark, sf_dir):
+    g = _unweighted(spark, sf_dir)
+    return descent.runge_kutta(g.nodes, cut(descent.ideal_distances(g))).select("idx", *_near())
+
+
+@query("projected_dag", f"WITH {DAG} SELECT src AS \"left\", dst AS \"right\", 30.0::DOUBLE AS gap, true AS met FROM e")
+def _(spark, sf_dir):
+    """The nations' ranks (y), moved to let every edge go down by 30: 20 rounds of prices, and longest paths for the rest."""
+    g = graphs.dag(spark, sf_dir).settled()
+    nodes = g.nodes.withColumn("y", (F.col("idx") * 37 % 101).cast("double"))
+    rules = g.edges.select("graph_id", F.col("src").alias("left"), F.col("dst").alias("right"), F.lit(30.0).alias("gap"))
+    placed = projection.project(nodes, rules, "y", rounds=20, nearest=False).select("graph_id", "idx", F.col("y").alias("p"))
+    return projection._ends(rules, placed).select("left", "right", "gap", (F.col("pr") - F.col("pl") >= F.col("gap") - 1e-6).alias("met"))
+
+
+@query(
+    "projected_stars",
+    f"""
+    WITH c AS (SELECT s_nationkey AS n, s_suppkey AS idx, round(s_acctbal / 100) AS y, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS hub FROM supplier),
+    z AS (SELECT n, idx, y - 9.0 AS z, row_number() OVER (PARTITION BY n ORDER BY y, idx) AS k FROM c WHERE idx <> hub),
+    s AS (SELECT n, k, sum(z) OVER (PARTITION BY n ORDER BY k) AS sum FROM z),
+    h AS (SELECT c.n, c.idx, least(c.y, coalesce(min((c.y + s.sum) / (s.k + 1)), c.y)) AS x FROM c LEFT JOIN s ON s.n = c.n WHERE c.idx = hub GROUP BY c.n, c.idx, c.y)
+    SELECT 'nation ' || n AS graph_id, idx, {_r('x', 3)} AS x FROM h UNION ALL
+    SELECT 'nation ' || z.n, z.idx, {_r('greatest(z.z, h.x) + 9.0', 3)} FROM z JOIN h ON h.n = z.n
+    """,
+)
+def _(spark, sf_dir):
+    """Each nation's suppliers at least 9 to the right of its first one, as near to their balances (in hundreds) as can be."""
+    own = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.concat(F.lit("nation "), F.col("s_nationkey").cast("string")).alias("graph_id"), F.col("s_suppkey").alias("idx"), F.round(F.col("s_acctbal") / 100).alias("x"))
+    hub = own.groupBy("graph_id").agg(F.min("idx").alias("left"))
+    rules = own.join(hub, "graph_id").where("idx <> left").select("graph_id", "left", F.col("idx").alias("right"), F.lit(9.0).alias("gap"))
+    return projection.project(own, rules, "x", tolerance=2e-5).select("graph_id", "idx", rounded(F.col("x"), 3).alias("x"))
+
+
+@query(
+    "aligned_regions",
+    f"""
+    WITH p AS (SELECT n_nationkey::BIGINT AS idx, n_regionkey AS r, (n_nationkey * 37 % 101)::DOUBLE AS x, n_nationkey * 2.0::DOUBLE AS o FROM nation)
+    SELECT idx, {_r('avg(x - o) OVER (PARTITION BY r) + o')} AS x FROM p
+    """,
+)
+def _(spark, sf_dir):
+    """The nations of a region on one line, each with its own offset to it."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    own = nation.select(F.lit("g").alias("graph_id"), F.col("n_nationkey").cast("long").alias("idx"), F.col("n_regionkey").alias("aid"), (F.col("n_nationkey") * 37 % 101).cast("double").alias("x"))
+    lines = projection.alignments(own.select("graph_id", "aid", "idx", (F.col("idx") * 2.0).alias("offset")))
+    return projection.project(own.drop("aid"), lines, "x").select("idx", rounded(F.col("x")).alias("x"))
+
+
+# --- whole runs ------------------------------------------------------------
+
+
 @query("fr_full")
 def _(spark, sf_dir):
     return force.fruchterman_reingold(_circle(spark, sf_dir), SIZE).select("idx", "x", "y")

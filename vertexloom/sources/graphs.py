@@ -201,3 +201,15 @@ def geo(spark: SparkSession, sf_dir: str) -> Graph:
     nodes = edges.select(F.col("dst").alias("idx")).unionByName(spark.range(1).select(F.col("id").alias("idx")))
     return graph(nodes, edges.withColumn("eid", F.col("dst") - 1))
 
+
+def order_tree(spark: SparkSession, sf_dir: str, size: tuple[float, float] = (1000.0, 1000.0)) -> Graph:
+    """A tree over the nations: their customers, and these customers' orders; nodes stand on a spiral in order of idx."""
+    nation, customer, orders = _tables(spark, sf_dir, "nation", "customer", "orders")
+    ends = [t.agg((F.max(c) + 1).cast("long")).first()[0] or 0 for t, c in ((nation, "n_nationkey"), (customer, "c_custkey"), (orders, "o_orderkey"))]
+    first, total = (0, ends[0], ends[0] + ends[1]), sum(ends)
+    edges = customer.select(F.col("c_nationkey").cast("long").alias("src"), (first[1] + F.col("c_custkey")).alias("dst"))
+    edges = edges.unionByName(orders.select((first[1] + F.col("o_custkey")).alias("src"), (first[2] + F.col("o_orderkey")).alias("dst"))).withColumn("eid", F.col("dst"))
+    turn, far = F.col("idx") * 2.399963, F.sqrt((F.col("idx") + 0.5) / total)
+    nodes = spark.range(total).select(F.col("id").alias("idx"))
+    placed = nodes.withColumn("x", size[0] * (0.5 + 0.45 * far * F.cos(turn))).withColumn("y", size[1] * (0.5 + 0.45 * far * F.sin(turn)))
+    return graph(placed, edges)
