@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SLICE = 128
-MEMO = 1 << 18
+MEMO = 1 << 17
 LONG = 64
 
 
@@ -61,13 +61,16 @@ def read_ranks(path: str) -> dict[bytes, int]:
 
 
 def _differences(name: str) -> tuple[str, str]:
-    """Characters that tiktoken has in the class and `regex` hasn't, and the other way round, for \\p{L}, \\p{N} or \\s."""
+    """Characters that tiktoken has in the class and `regex` hasn't, and the other way round, for \\p{L} or \\p{N}."""
     import tiktoken
 
-    every = "".join(map(chr, chain(range(0xD800), range(0xE000, sys.maxunicode + 1))))
     single = tiktoken.Encoding("class", pat_str=name, mergeable_ranks={bytes([b]): b for b in range(256)}, special_tokens={})
-    theirs, ours = set(bytes(single.encode_ordinary(every)).decode()), set(regex.findall(name, every))
-    return "".join(sorted(theirs - ours)), "".join(sorted(ours - theirs))
+    own, more, less = regex.compile(name), "", ""
+    for start in range(0, sys.maxunicode + 1, 4096):
+        block = "".join(map(chr, (c for c in range(start, start + 4096) if not 0xD800 <= c < 0xE000)))
+        theirs, ours = set(bytes(single.encode_ordinary(block)).decode()), set(own.findall(block))
+        more, less = more + "".join(sorted(theirs - ours)), less + "".join(sorted(ours - theirs))
+    return more, less
 
 
 def _listed(characters: str) -> str:
@@ -86,7 +89,7 @@ class Splitter:
         self.odd = np.zeros(sys.maxunicode + 1, dtype=bool)
         for name in (r"\p{L}", r"\p{N}"):
             more, less = _differences(name)
-            self.odd[[*map(ord, more + less)]] = True
+            self.odd[np.array([*map(ord, more + less)], dtype=np.int64)] = True
             own = f"[{name}--[{_listed(less)}]]" if less else name
             careful = careful.replace(name, f"[{own}||[{_listed(more)}]]" if more else own)
         self.careful = regex.compile(careful)
