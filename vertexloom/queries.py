@@ -20,6 +20,7 @@ from vertexloom.operators import (
     orthogonal,
     planar,
     projection,
+    routing,
     similarity,
     spatial,
     static_layouts,
@@ -968,6 +969,127 @@ def _(spark, sf_dir):
     return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
 
 
+# --- routes round boxes ----------------------------------------------------
+
+_ROUTES = f"""{_GRID}, {_PORTS},
+pp AS (SELECT eid, "end", side, CASE side WHEN 'e' THEN x + w / 2 WHEN 'w' THEN x - w / 2 ELSE x + (position - 0.5) * w END AS x,
+       CASE side WHEN 's' THEN y + h / 2 WHEN 'n' THEN y - h / 2 ELSE y + (position - 0.5) * h END AS y FROM ports JOIN p USING (idx)),
+r AS (SELECT a.eid, a.x AS x1, a.y AS y1, b.x AS x2, b.y AS y2, a.side AS side1, b.side AS side2, a.side IN ('e', 'w') AS level FROM pp a JOIN pp b ON a.eid = b.eid AND a."end" = 'src' AND b."end" = 'dst'),
+rt AS (SELECT eid, side1, side2, CASE WHEN level AND y1 = y2 OR NOT level AND x1 = x2 THEN [{{'x': x1, 'y': y1}}, {{'x': x2, 'y': y2}}]
+  WHEN level THEN [{{'x': x1, 'y': y1}}, {{'x': (x1 + x2) / 2, 'y': y1}}, {{'x': (x1 + x2) / 2, 'y': y2}}, {{'x': x2, 'y': y2}}]
+  ELSE [{{'x': x1, 'y': y1}}, {{'x': x1, 'y': (y1 + y2) / 2}}, {{'x': x2, 'y': (y1 + y2) / 2}}, {{'x': x2, 'y': y2}}] END AS points FROM r)"""
+
+
+@query(
+    "route_hits",
+    f"""
+    WITH {_ROUTES}, k AS (SELECT eid, points, unnest(range(len(points) - 1)) AS seg FROM rt),
+    sg AS (SELECT eid, seg, points[seg + 1].x AS ux, points[seg + 1].y AS uy, points[seg + 2].x AS vx, points[seg + 2].y AS vy FROM k)
+    SELECT sg.eid, sg.seg::INT AS seg, p.idx FROM sg JOIN e ON e.eid = sg.eid JOIN p ON p.idx NOT IN (e.src, e.dst)
+    WHERE (ux <> vx OR uy <> vy) AND least(ux, vx) < x + w / 2 AND greatest(ux, vx) > x - w / 2 AND least(uy, vy) < y + h / 2 AND greatest(uy, vy) > y - h / 2
+    """,
+)
+def _(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return routing.route_hits(orthogonal.routes(g), g).select("eid", "seg", "idx")
+
+
+def _costs_sql(turns: int) -> str:
+    """The least costs of states (a point and the axis it was reached along) after 0, 1 ... turns, each one table."""
+    run = lambda level: ("y", "h", "x") if level else ("x", "v", "y")
+
+    def moves(s: str, turn: bool) -> str:
+        parts = []
+        for level in (True, False):
+            same, lane, along = run(level)
+            parts.append(f"""SELECT s.eid, t.x, t.y, {level} AS level, cost + abs(t.{along} - s.{along}) + {50.0 if turn else 0.0} AS cost FROM {s} s JOIN gr f ON f.eid = s.eid AND f.x = s.x AND f.y = s.y
+              JOIN gr t ON t.eid = f.eid AND t.{same} = f.{same} AND t.{lane} = f.{lane} AND t.{along} <> f.{along} WHERE s.level = {level != turn}""")
+        return " UNION ALL ".join(parts)
+
+    out = [f"s0 AS MATERIALIZED (SELECT eid, ax AS x, ay AS y, alevel AS level, 0.0::DOUBLE AS cost FROM st), c0 AS MATERIALIZED (SELECT * FROM s0 UNION ALL {moves('s0', False)})"]
+    out += [f"c{k + 1} AS MATERIALIZED (SELECT eid, x, y, level, min(cost) AS cost FROM (SELECT * FROM c{k} UNION ALL {moves(f'c{k}', True)}) GROUP BY ALL)" for k in range(turns)]
+    return ", ".join(out)
+
+
+@query(
+    "grid_route_costs",
+    f"""
+    WITH {_ROUTES}, bx AS (SELECT x - w / 2 - 10 AS x0, x + w / 2 + 10 AS x1, y - h / 2 - 10 AS y0, y + h / 2 + 10 AS y1 FROM p),
+    sb AS (SELECT eid, "end", side IN ('e', 'w') AS level, x + CASE side WHEN 'e' THEN 10 WHEN 'w' THEN -10 ELSE 0 END AS x, y + CASE side WHEN 's' THEN 10 WHEN 'n' THEN -10 ELSE 0 END AS y FROM pp),
+    st AS (SELECT a.eid, a.x AS ax, a.y AS ay, a.level AS alevel, b.x AS tx, b.y AS ty, b.level AS blevel FROM sb a JOIN sb b ON a.eid = b.eid AND a."end" = 'src' AND b."end" = 'dst'),
+    xs AS (SELECT DISTINCT eid, x FROM (SELECT eid, unnest([x0, x1]) AS x FROM st, bx UNION ALL SELECT eid, x FROM sb)), ys AS (SELECT DISTINCT eid, y FROM (SELECT eid, unnest([y0, y1]) AS y FROM st, bx UNION ALL SELECT eid, y FROM sb)),
+    fr AS MATERIALIZED (SELECT eid, x, y, lag(x) OVER (PARTITION BY eid, y ORDER BY x) AS px, lag(y) OVER (PARTITION BY eid, x ORDER BY y) AS py FROM xs JOIN ys USING (eid)
+      WHERE NOT EXISTS (SELECT 1 FROM bx WHERE x > x0 AND x < x1 AND y > y0 AND y < y1)),
+    br AS (SELECT *, EXISTS (SELECT 1 FROM bx WHERE y > y0 AND y < y1 AND x0 < x AND x1 > px)::INT AS bh, EXISTS (SELECT 1 FROM bx WHERE x > x0 AND x < x1 AND y0 < y AND y1 > py)::INT AS bv FROM fr),
+    gr AS MATERIALIZED (SELECT eid, x, y, sum(bh) OVER (PARTITION BY eid, y ORDER BY x) AS h, sum(bv) OVER (PARTITION BY eid, x ORDER BY y) AS v FROM br),
+    {_costs_sql(7)}
+    SELECT eid, {_r('min(cost + CASE WHEN level = blevel THEN 0 ELSE 50 END) + 20', 3)} AS cost FROM c7 JOIN st USING (eid) WHERE x = tx AND y = ty GROUP BY eid
+    """,
+)
+def _(spark, sf_dir):
+    """The least of length and 50 a bend for every edge between 25 boxes."""
+    return routing.grid_routes(_grid(spark, sf_dir).settled()).select("eid", rounded(F.col("cost"), 3).alias("cost"))
+
+
+_F2 = lambda sql: f"printf('%.2f', {_r(sql, 2)})"
+
+
+@query(
+    "svg_orthogonal",
+    f"""
+    WITH {_ROUTES}, every AS (SELECT x - w / 2 AS x, y - h / 2 AS y FROM p UNION ALL SELECT x + w / 2, y + h / 2 FROM p UNION ALL SELECT q.x, q.y FROM (SELECT unnest(points[2:-2]) AS q FROM rt)),
+    b AS (SELECT 40 - min(x) AS ox, 40 - min(y) AS oy, {_F2('max(x) - min(x) + 80')} AS bw, {_F2('max(y) - min(y) + 80')} AS bh FROM every)
+    SELECT 0 AS part, 0::BIGINT AS at, printf('<svg xmlns="http://www.w3.org/2000/svg" width="%s" height="%s" viewBox="0 0 %s %s">', bw, bh, bw, bh) AS line FROM b UNION ALL
+    SELECT 1, eid, '<polyline points="' || array_to_string(list_transform(points, lambda q: {_F2('q.x + ox')} || ',' || {_F2('q.y + oy')}), ' ') || '" fill="none" stroke="#5a6470" stroke-width="1.5"/>' FROM rt, b UNION ALL
+    SELECT 2, idx, '<rect x="' || {_F2('x + ox - w / 2')} || '" y="' || {_F2('y + oy - h / 2')} || '" width="60.00" height="40.00" fill="#3f7fbf" stroke="#24527a" stroke-width="2.0"/>' FROM p, b UNION ALL
+    SELECT 3, idx, '<text x="' || {_F2('x + ox')} || '" y="' || {_F2('y + oy')} || '" text-anchor="middle" dominant-baseline="central" font-family="sans-serif" font-size="12.0" fill="#000000">' || label || '</text>' FROM p JOIN nodes USING (idx), b
+    UNION ALL SELECT 4, 0, '</svg>'
+    """,
+)
+def _(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return export.to_svg_orthogonal(g, orthogonal.routes(g)).drop("graph_id")
+
+
+@query(
+    "dot_orthogonal",
+    f"""
+    WITH {_ROUTES}
+    SELECT 0 AS part, 0::BIGINT AS at, 'graph G {{' || chr(10) || '  graph [splines=ortho];' || chr(10) || '  node [shape=box, fixedsize=true];' AS line UNION ALL
+    SELECT 1, idx, '  ' || idx || ' [label="' || label || '", pos="' || {_F2('x')} || ',' || {_F2('-y')} || '!", width="0.83", height="0.56"];' FROM p JOIN nodes USING (idx) UNION ALL
+    SELECT 2, eid, '  ' || src || ' -- ' || dst || CASE WHEN len(points) > 2 THEN ' [comment="bends: ' || (len(points) - 2) || '"]' ELSE '' END || ';' FROM e JOIN rt USING (eid) UNION ALL SELECT 3, 0, '}}'
+    """,
+)
+def _(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return export.to_dot_orthogonal(g, orthogonal.routes(g)).drop("graph_id")
+
+
+_KEYS = "".join(f'<key id="{k}" for="{o}" attr.name="{k}" attr.type="{t}"/>\n' for k, o, t in (
+    ("x", "node", "double"), ("y", "node", "double"), ("width", "node", "double"), ("height", "node", "double"), ("label", "node", "string"),
+    ("bends", "edge", "string"), ("source_side", "edge", "string"), ("target_side", "edge", "string"),
+))
+_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + _KEYS + '<graph id="G" edgedefault="undirected">'
+
+
+@query(
+    "graphml_orthogonal",
+    f"""
+    WITH {_ROUTES}
+    SELECT 0 AS part, 0::BIGINT AS at, '{_HEAD}' AS line UNION ALL
+    SELECT 1, idx, printf('<node id="%d"><data key="x">%.6f</data><data key="y">%.6f</data><data key="width">60.000000</data><data key="height">40.000000</data><data key="label">%s</data></node>', idx, x, y, label)
+    FROM p JOIN nodes USING (idx) UNION ALL
+    SELECT 2, eid, printf('<edge id="e%d" source="%d" target="%d">', eid, src, dst) || CASE WHEN len(points) > 2 THEN '<data key="bends">' ||
+      array_to_string(list_transform(points[2:-2], lambda q: {_F2('q.x')} || ',' || {_F2('q.y')}), ';') || '</data>' ELSE '' END ||
+      '<data key="source_side">' || side1 || '</data><data key="target_side">' || side2 || '</data></edge>' FROM e JOIN rt USING (eid) UNION ALL
+    SELECT 3, 0, '</graph>' || chr(10) || '</graphml>'
+    """,
+)
+def _(spark, sf_dir):
+    g = _grid(spark, sf_dir)
+    return export.to_graphml_orthogonal(g, orthogonal.routes(g), orthogonal.ports(g)).drop("graph_id")
+
+
 # --- planar maps -----------------------------------------------------------
 
 _SPOTS = "p AS (SELECT idx, (idx * 37 % 101)::DOUBLE AS x, (idx * 53 % 97)::DOUBLE AS y FROM nodes)"
