@@ -10,7 +10,8 @@ keys no link is lost. Every link that is used is verified on the two whole texts
    verified joins texts to components.
 2. Below the keys that have more, all pairs of texts in different components are compared by their fingerprints
    (`budget`), sizes and places of the key, and then by wide fingerprints of 512 bits (`wide`), which only these texts
-   get; what is left is verified. A large group of near copies is one component by then, so it costs its size, not its
+   get; what is left is verified. A pair comes from the least of the keys that hold more and that both texts have, once.
+   A large group of near copies is one component by then, so it costs its size, not its
    square; for a group of texts that are alike but not so much, pairs of fingerprints are compared inside its task, and
    only those at a similarity of about 0.6 or more leave it.
 
@@ -192,10 +193,11 @@ MEMBER_NAMES = [x.split()[0] for x in MEMBER.split(", ")]
 
 
 def _second_walk(budget: int, wide: int):
-    """Over (key, th, n, i, fp, top, wide print): all candidates (a, b) in different components."""
+    """Over (key, th, n, i, fp, top, wide print, open keys): all candidates (a, b) in different components, each below the least
+    open key that both texts have."""
 
     def walk(columns: list[np.ndarray], sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        key, th, n, i, fp, top, prints = columns
+        key, th, n, i, fp, top, prints, opened = columns
         broad = np.frombuffer(b"".join(prints.tolist()), np.uint64).reshape(-1, WIDE // 64)
         starts = np.cumsum(sizes) - sizes
         ends = np.repeat(starts + sizes, sizes)
@@ -205,6 +207,8 @@ def _second_walk(budget: int, wide: int):
         for a, b in _candidates(key, n, i, fp, ends, rows, budget, top):
             near = (np.bitwise_count(broad[a] ^ broad[b]).sum(axis=1) <= wide) | (np.minimum(n[a], n[b]) < LEAST)
             a, b = a[near], b[near]
+            once = np.array([np.intersect1d(opened[x], opened[y], assume_unique=True)[0] == key[x] for x, y in zip(a.tolist(), b.tolist(), strict=True)], dtype=bool)
+            a, b = a[once], b[once]
             if len(a):
                 held.append(np.stack([np.minimum(th[a], th[b]), np.maximum(th[a], th[b])], axis=1))
                 size += len(a)
@@ -284,7 +288,9 @@ def similar_links(docs: DataFrame, rows: DataFrame, shingle: int, sure: int, bud
     members = walked.where("other is null").join(top, "th", "left").select("key", "th", "n", "i", "fp", F.coalesce("top", "th").alias("top"))
     open_ = members.groupBy("key").agg(F.min("top").alias("p"), F.max("top").alias("q")).where("p <> q").select("key")
     members = kept(members.join(open_, "key", "left_semi"))
-    members = members.join(_broad(docs, members.select("th").distinct(), shingle), "th").select(*members.columns, "wide")
+    # a text's open keys, as many as its first shingles at most, tell below which key a pair comes first
+    opened = members.groupBy("th").agg(F.sort_array(F.collect_set("key")).alias("opened"))
+    members = members.join(_broad(docs, members.select("th").distinct(), shingle), "th").join(opened, "th").select(*members.columns, "wide", "opened")
     rest = kept(dealt(members).mapInArrow(_second_walk(budget, wide), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti"))
     return links.unionByName(_verified(_texts(docs, ends(rest)), rest, shingle))
 
