@@ -151,3 +151,20 @@ def test_layout_meets_constraints_and_keeps_boxes_apart(spark):
         for b in at.values():
             if a.idx < b.idx:
                 assert abs(a.x - b.x) >= 70 - 1e-3 or abs(a.y - b.y) >= 50 - 1e-3
+
+
+def test_groups_hold_their_members_and_keep_apart(spark):
+    from vertexloom.operators import grouping
+
+    rng = random.Random(5)
+    rows = [("g", i, rng.uniform(0, 160), rng.uniform(0, 160), 20.0, 14.0, 0) for i in range(9)]
+    nodes = spark.createDataFrame(rows, "graph_id string, idx long, x double, y double, width double, height double, fixed int")
+    groups = spark.createDataFrame([("g", 0, [0, 1, 2], []), ("g", 1, [3, 4], []), ("g", 2, [5], [1])], "graph_id string, gid long, leaves array<long>, children array<long>")
+    out = grouping.with_groups_apart(nodes, groups, padding=4.0, gap=2.0)
+    at = {r.idx: (r.x - 10, r.y - 7, r.x + 10, r.y + 7) for r in out.collect()}
+    box = lambda parts: (min(p[0] for p in parts) - 4, min(p[1] for p in parts) - 4, max(p[2] for p in parts) + 4, max(p[3] for p in parts) + 4)
+    inner = box([at[3], at[4]])
+    tops = [box([at[0], at[1], at[2]]), box([at[5], inner]), *(at[i] for i in (6, 7, 8))]
+    apart = lambda a, b: a[2] + 2 <= b[0] + 1e-6 or b[2] + 2 <= a[0] + 1e-6 or a[3] + 2 <= b[1] + 1e-6 or b[3] + 2 <= a[1] + 1e-6
+    assert all(apart(a, b) for i, a in enumerate(tops) for b in tops[i + 1 :])
+    assert apart(at[5], inner) and all(apart(at[a], at[b]) for a, b in ((0, 1), (0, 2), (1, 2), (3, 4)))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vertexloom.operators import small_graphs
@@ -234,30 +234,45 @@ def kamada_kawai_tick(nodes: DataFrame, ideal: DataFrame) -> DataFrame:
     return _moved(own, F.coalesce("__dx", F.lit(0.0)), F.coalesce("__dy", F.lit(0.0)))
 
 
-def run(tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iterations: int = 300, every: int = 5, enough: float = 1e-3, listen: Callable[[Progress], None] | None = None) -> DataFrame:
+def run(
+    tick: Callable[[DataFrame, int], DataFrame], nodes: DataFrame, iterations: int = 300, every: int = 5, enough: float = 1e-3, listen: Callable[[Progress], bool | None] | None = None, first: int = 0, save: str | None = None,
+) -> DataFrame:
     """Ticks until `iterations` or until nodes move less than `enough` a tick on average between two looks, `every` ticks
-    apart."""
+    apart. A listener that returns True stops the run. With `save`, a folder that all executors share, the state and the
+    number of ticks are kept there at the end, from which `resume` goes on; ticks count from `first`."""
     check_iterations(iterations)
     keep = Rounds(nodes.sparkSession, every + 2)
     state = keep(nodes)
     tell = listen or (lambda p: None)
-    tell(Progress("start", 0, float("inf")))
-    moved, t = float("inf"), 0
-    while t < iterations:
+    stopped = tell(Progress("start", first, float("inf")))
+    moved, t = float("inf"), first
+    while t < first + iterations and not stopped:
         new = state
-        for _ in range(min(every, iterations - t)):
+        for _ in range(min(every, first + iterations - t)):
             new = keep(tick(new, t))
             t += 1
         a, b = state.select("graph_id", "idx", F.col("x").alias("ox"), F.col("y").alias("oy")), new
         moved = b.join(a, ["graph_id", "idx"]).agg(F.avg(F.sqrt(F.pow(F.col("x") - F.col("ox"), F.lit(2)) + F.pow(F.col("y") - F.col("oy"), F.lit(2))))).first()[0] or 0.0
         state = new
-        tell(Progress("tick", t, moved))
+        stopped = tell(Progress("tick", t, moved))
         if moved < enough * every:
             break
+    if save is not None:
+        state.withColumn("__ticks", F.lit(t)).write.mode("overwrite").parquet(save)
     tell(Progress("end", t, moved))
     return state
 
 
+def resume(spark: SparkSession, tick: Callable[[DataFrame, int], DataFrame], saved: str, iterations: int = 300, **options) -> DataFrame:
+    """A run that goes on from the folder `saved`, with what its ticks keep beside places; options are those of `run`. A state
+    without nodes is returned as it is."""
+    state = spark.read.parquet(saved)
+    done = state.agg(F.max("__ticks")).first()[0]
+    if done is None:
+        return state.drop("__ticks")
+    return run(tick, state.drop("__ticks"), iterations, first=done, **options)
+
+
 def _by_size(g: Graph, size, centre: bool, in_task: int, tick: small_graphs.Tick, large: Callable[[Graph], DataFrame], iterations: int, enough: float = 1e-3) -> DataFrame:
     """The nodes of a run: graphs of at most in_task nodes in one task each, others by ticks as queries."""
     check_iterations(iterations)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -17,41 +19,63 @@ def segments(g: Graph) -> DataFrame:
     return with_ends(in_range(g), g.nodes, "x", "y")
 
 
-def _pairs(lines: DataFrame, cells: int) -> DataFrame:
-    """Pairs of edges (p, q) without a common node that meet in a cell of a grid over the drawing.
+def _cells(lines: DataFrame, most: int) -> DataFrame:
+    """lines with cx, cy, one row for each cell of a square grid that a line passes or touches.
 
-    An edge goes to the cells that its box covers, in its longer direction's strips only, so that it has `cells`
-    at most; the pair is kept in the cell where both boxes first overlap, so it comes once.
+    A graph of m edges has about sqrt(m) cells a side, fewer where edges are long, so that an edge has some 8 cells on average;
+    `most` at most. Along x a line goes through columns; in each it covers the rows between its heights at the column's sides,
+    grown a little so that rounding loses no cell.
     """
-    box = lines.groupBy("graph_id").agg(F.min(F.least("a_x", "b_x")).alias("lo"), F.max(F.greatest("a_x", "b_x")).alias("hi"))
-    strip = lambda x: F.least(F.lit(cells - 1), F.when(F.col("hi") > F.col("lo"), F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * cells)).otherwise(0)).cast("int")
-    spread = lines.join(box, "graph_id").select("graph_id", "eid", "src", "dst", "a_x", "a_y", "b_x", "b_y", strip(F.least("a_x", "b_x")).alias("first"), strip(F.greatest("a_x", "b_x")).alias("last"))
-    celled = spread.withColumn("cell", F.explode(F.sequence("first", "last")))
+    own = lines.withColumn("wx", F.abs(F.col("a_x") - F.col("b_x"))).withColumn("wy", F.abs(F.col("a_y") - F.col("b_y")))
+    box = own.groupBy("graph_id").agg(
+        F.min(F.least("a_x", "b_x")).alias("x0"), F.min(F.least("a_y", "b_y")).alias("y0"), F.count("*").alias("m"), F.avg(F.greatest("wx", "wy")).alias("long"),
+        F.greatest(F.max(F.greatest("a_x", "b_x")) - F.min(F.least("a_x", "b_x")), F.max(F.greatest("a_y", "b_y")) - F.min(F.least("a_y", "b_y")), F.lit(1e-9)).alias("side"),
+    )
+    many = F.least(F.sqrt("m"), 4 * F.col("side") / F.greatest("long", F.lit(1e-12)), F.lit(float(most)))
+    sized = box.select("graph_id", "x0", "y0", (F.col("side") / F.greatest(F.lit(1.0), F.floor(many))).alias("cell"), (F.col("side") * 1e-9).alias("eps"))
+    own = own.join(sized, "graph_id")
+    right = F.col("b_x") >= F.col("a_x")
+    own = own.select("*", *(F.when(right, F.col(a)).otherwise(F.col(b)).alias(n) for n, a, b in (("lx", "a_x", "b_x"), ("ly", "a_y", "b_y"), ("rx", "b_x", "a_x"), ("ry", "b_y", "a_y"))))
+    column = lambda v: F.floor((v - F.col("x0")) / F.col("cell"))
+    row = lambda v: F.floor((v - F.col("y0")) / F.col("cell"))
+    own = own.withColumn("cx", F.explode(F.sequence(column(F.col("lx") - F.col("eps")), column(F.col("rx") + F.col("eps")))))
+    share = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(1.0), (v - F.col("lx")) / F.nullif("wx", F.lit(0.0))))
+    border = F.col("x0") + F.col("cx") * F.col("cell")
+    steep = F.col("wx") <= F.col("eps")
+    at = lambda v, flat: F.when(steep, flat).otherwise(F.col("ly") + share(v) * (F.col("ry") - F.col("ly")))
+    one, two = at(border - F.col("eps"), F.col("ly")), at(border + F.col("cell") + F.col("eps"), F.col("ry"))
+    grown = F.col("eps") * (1 + F.when(steep, 0.0).otherwise(F.col("wy") / F.nullif("wx", F.lit(0.0))))
+    rows = F.sequence(row(F.least(one, two) - grown), row(F.greatest(one, two) + grown))
+    return own.withColumn("cy", F.explode(rows)).select("graph_id", "cx", "cy", "eid", "src", "dst", "a_x", "a_y", "b_x", "b_y")
+
+
+def _pairs(lines: DataFrame, cells: int, meet: Callable[..., Column]) -> DataFrame:
+    """Pairs of edges (p, q) without a common node that `meet`, each once: they share a cell of the grid."""
+    celled = _cells(lines, cells)
     p, q = celled.alias("p"), celled.alias("q")
     apart = (F.col("p.src") != F.col("q.src")) & (F.col("p.src") != F.col("q.dst")) & (F.col("p.dst") != F.col("q.src")) & (F.col("p.dst") != F.col("q.dst"))
-    once = F.col("p.cell") == F.greatest("p.first", "q.first")
-    overlap = (F.greatest("p.a_y", "p.b_y") >= F.least("q.a_y", "q.b_y")) & (F.greatest("q.a_y", "q.b_y") >= F.least("p.a_y", "p.b_y")) & (F.greatest("p.a_x", "p.b_x") >= F.least("q.a_x", "q.b_x")) & (F.greatest("q.a_x", "q.b_x") >= F.least("p.a_x", "p.b_x"))
-    return p.join(q, (F.col("p.graph_id") == F.col("q.graph_id")) & (F.col("p.cell") == F.col("q.cell")) & (F.col("p.eid") < F.col("q.eid")) & apart & once & overlap)
+    same = (F.col("p.graph_id") == F.col("q.graph_id")) & (F.col("p.cx") == F.col("q.cx")) & (F.col("p.cy") == F.col("q.cy"))
+    both = p.join(q, same & (F.col("p.eid") < F.col("q.eid")) & apart).where(meet(*_ends("p", "q")))
+    values = ("eid", "a_x", "a_y", "b_x", "b_y")
+    return both.select(F.col("p.graph_id").alias("graph_id"), *(F.col(f"{e}.{c}").alias(f"{e}_{c}") for e in ("p", "q") for c in values)).distinct()
 
 
 def _ends(p: str, q: str) -> list[Column]:
     return [F.col(f"{e}.{c}") for e in (p, q) for c in ("a_x", "a_y", "b_x", "b_y")]
 
 
-def edge_crossings(g: Graph, cells: int = 64) -> DataFrame:
+def edge_crossings(g: Graph, cells: int = 4096) -> DataFrame:
     """graph_id, crossings: pairs of edges without a common node that have a point in common (touching counts)."""
-    lines = segments(g)
-    found = _pairs(lines, cells).where(segments_meet(*_ends("p", "q"))).groupBy(F.col("p.graph_id").alias("graph_id")).agg(F.count("*").alias("crossings"))
+    found = _pairs(segments(g), cells, segments_meet).groupBy("graph_id").agg(F.count("*").alias("crossings"))
     return g.nodes.select("graph_id").distinct().join(found, "graph_id", "left").withColumn("crossings", F.coalesce("crossings", F.lit(0)).cast("long"))
 
 
-def crossing_points(g: Graph, cells: int = 64) -> DataFrame:
+def crossing_points(g: Graph, cells: int = 4096) -> DataFrame:
     """graph_id, e1, e2, x, y of edges that cross inside both."""
-    ends = _ends("p", "q")
-    at = crossing_share(*ends)
-    hit = _pairs(segments(g), cells).where(segments_cross(*ends)).withColumn("t", at)
-    x, y = F.col("p.a_x") + F.col("t") * (F.col("p.b_x") - F.col("p.a_x")), F.col("p.a_y") + F.col("t") * (F.col("p.b_y") - F.col("p.a_y"))
-    return hit.select(F.col("p.graph_id").alias("graph_id"), F.col("p.eid").alias("e1"), F.col("q.eid").alias("e2"), x.alias("x"), y.alias("y"))
+    ends = [F.col(f"{e}_{c}") for e in ("p", "q") for c in ("a_x", "a_y", "b_x", "b_y")]
+    hit = _pairs(segments(g), cells, segments_cross).withColumn("t", crossing_share(*ends))
+    x, y = F.col("p_a_x") + F.col("t") * (F.col("p_b_x") - F.col("p_a_x")), F.col("p_a_y") + F.col("t") * (F.col("p_b_y") - F.col("p_a_y"))
+    return hit.select("graph_id", F.col("p_eid").alias("e1"), F.col("q_eid").alias("e2"), x.alias("x"), y.alias("y"))
 
 
 def edge_lengths(g: Graph) -> DataFrame:

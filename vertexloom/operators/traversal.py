@@ -6,12 +6,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vertexloom.operators.components import component_labels
 from vertexloom.operators.ingest import both_ways, in_range, sizes
-from vertexloom.plans.lineage import cut
+from vertexloom.plans.lineage import Rounds, cut
 from vertexloom.sources.graphs import Graph
 
 
@@ -72,16 +72,52 @@ def all_pairs(g: Graph, weight: str | None = None, default: float = 1.0) -> Data
 
 
 def shortest_path(g: Graph, graph_id: str, source: int, target: int, weight: str | None = None) -> list[int]:
-    """Nodes from source to target; empty without a path. The driver walks back over the path's own rows."""
+    """Nodes from source to target; empty without a path. The way back is marked by pointers that double their reach each
+    round, so rounds are the logarithm of the path's length; the driver gets the path's own rows."""
     spark = g.nodes.sparkSession
     start = spark.createDataFrame([(graph_id, source)], "graph_id string, source long")
-    tree = cut(distances(g, start, weight).select("idx", "prev"))
-    if tree.where(F.col("idx") == target).isEmpty():
-        return []
-    path = [target]
-    while path[-1] != source:
-        path.append(tree.where(F.col("idx") == path[-1]).first().prev)
-    return path[::-1]
+    back = cut(distances(g, start, weight).select("idx", "prev"))
+    marked, size, reach = cut(back.where(F.col("idx") == target).select("idx", F.lit(0).cast("long").alias("k"))), 0, 1
+    pointers = back.where("prev is not null")
+    while (now := marked.count()) > size:
+        size = now
+        further = marked.join(pointers, "idx").select(F.col("prev").alias("idx"), (F.col("k") + reach).alias("k"))
+        marked = cut(marked.unionByName(further).distinct())
+        pointers = cut(pointers.join(pointers.select(F.col("idx").alias("prev"), F.col("prev").alias("next")), "prev").select("idx", F.col("next").alias("prev")))
+        reach *= 2
+    return [r.idx for r in marked.orderBy(F.desc("k")).collect()]
+
+
+def paths_with_turns(g: Graph, asked: DataFrame, turn: Callable[[Column, Column, Column], Column], weight: str | None = None, default: float = 1.0, max_rounds: int = 10_000) -> DataFrame:
+    """graph_id, source, target, dist, path of the asked pairs (graph_id, source, target) where each step also costs
+    turn(node before, node, node after), 0 at the least; pairs without a path have no row, ties go to the least path.
+
+    A state is the edge last walked, so a round joins edges with those that follow; only improvements of the round before go
+    on. A hub of degree k stands for k * k pairs of edges, by the problem's nature.
+    """
+    edges = in_range(g).where("src <> dst")
+    cost = F.lit(1.0) if weight is None else F.coalesce(F.col(weight), F.lit(default))
+    darts = cut(both_ways(edges.select("graph_id", "src", "dst", cost.alias("cost"))).groupBy("graph_id", "src", "dst").agg(F.min("cost").alias("cost")))
+    sources = asked.select("graph_id", F.col("source").cast("long").alias("source")).distinct()
+    keep = Rounds(g.nodes.sparkSession)
+    first = sources.join(darts.withColumnRenamed("src", "source"), ["graph_id", "source"])
+    state = keep(first.select("graph_id", "source", F.col("source").alias("a"), F.col("dst").alias("b"), F.col("cost").alias("dist"), F.array("source", "dst").alias("path"), F.lit(True).alias("fresh")))
+    for _ in range(max_rounds):
+        on = state.where("fresh").join(darts.withColumnsRenamed({"src": "b", "dst": "c"}), ["graph_id", "b"])
+        dist = F.col("dist") + F.col("cost") + turn(F.col("a"), F.col("b"), F.col("c"))
+        new = on.select("graph_id", "source", F.col("b").alias("a"), F.col("c").alias("b"), dist.alias("dist"), F.concat("path", F.array("c")).alias("path"), F.lit(1).alias("new"))
+        both = state.drop("fresh").withColumn("new", F.lit(0)).unionByName(new)
+        best = both.groupBy("graph_id", "source", "a", "b").agg(F.min(F.struct("dist", "path", "new")).alias("m"))
+        state = keep(best.select("graph_id", "source", "a", "b", "m.dist", "m.path", (F.col("m.new") == 1).alias("fresh")))
+        if state.where("fresh").isEmpty():
+            break
+    else:
+        raise RuntimeError(f"paths did not settle in {max_rounds} rounds")
+    ended = state.groupBy("graph_id", "source", F.col("b").alias("target")).agg(F.min(F.struct("dist", "path")).alias("m")).select("graph_id", "source", "target", "m.dist", "m.path")
+    pairs = asked.select("graph_id", F.col("source").cast("long").alias("source"), F.col("target").cast("long").alias("target")).distinct()
+    here = pairs.where("source = target").join(g.nodes.select("graph_id", F.col("idx").alias("source")), ["graph_id", "source"], "left_semi")
+    here = here.select("graph_id", "source", "target", F.lit(0.0).alias("dist"), F.array("source").alias("path"))
+    return pairs.where("source <> target").join(ended, ["graph_id", "source", "target"]).unionByName(here)
 
 
 def bfs_layers(g: Graph, root: int = 0) -> DataFrame:

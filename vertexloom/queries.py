@@ -19,6 +19,7 @@ from vertexloom.operators import (
     multilevel,
     orthogonal,
     planar,
+    polygons,
     projection,
     routing,
     similarity,
@@ -293,6 +294,33 @@ def _(spark, sf_dir):
     return metrics.edge_crossings(_circle(spark, sf_dir)).select("crossings")
 
 
+@query(
+    "crossings_orders",
+    """
+    WITH c AS (SELECT c_custkey AS k, (c_custkey % 40 * 20)::DOUBLE AS x, (c_custkey // 40 * 20)::DOUBLE AS y FROM customer),
+    s AS (SELECT o_orderkey AS eid, k, x AS ax, y AS ay, x + o_orderkey * 37 % 61 - 30 AS ex, y + o_orderkey * 53 % 59 - 29 AS ey FROM orders JOIN c ON o_custkey = k),
+    q AS (SELECT a.ax, a.ay, a.ex, a.ey, b.ax AS cx, b.ay AS cy, b.ex AS dx, b.ey AS dy FROM s a JOIN s b ON a.eid < b.eid AND a.k <> b.k
+      AND greatest(a.ax, a.ex) >= least(b.ax, b.ex) AND greatest(b.ax, b.ex) >= least(a.ax, a.ex) AND greatest(a.ay, a.ey) >= least(b.ay, b.ey) AND greatest(b.ay, b.ey) >= least(a.ay, a.ey)),
+    o AS (SELECT sign((ex-ax)*(cy-ay)-(ey-ay)*(cx-ax)) AS t1, sign((ex-ax)*(dy-ay)-(ey-ay)*(dx-ax)) AS t2, sign((dx-cx)*(ay-cy)-(dy-cy)*(ax-cx)) AS t3, sign((dx-cx)*(ey-cy)-(dy-cy)*(ex-cx)) AS t4 FROM q)
+    SELECT count(*) AS crossings FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0
+    """,
+)
+def _(spark, sf_dir):
+    """Crossings inside both of edges from customers, who stand in rows of 40, to their orders, some way off."""
+    tree = graphs.order_tree(spark, sf_dir)
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet").agg((F.max("c_custkey") + 1).alias("n")).first().n or 0
+    first = spark.read.parquet(f"{sf_dir}/nation.parquet").agg((F.max("n_nationkey") + 1).alias("n")).first().n or 0
+    k, o = F.col("idx") - first, F.col("idx") - first - customers
+    owned = tree.edges.where(F.col("src") >= first)
+    of = owned.select("graph_id", F.col("dst").alias("idx"), (F.col("src") - first).alias("k"))
+    nodes = tree.nodes.join(of, ["graph_id", "idx"], "left").withColumn("k", F.coalesce("k", k))
+    order = F.col("idx") >= first + customers
+    x = F.col("k") % 40 * 20 + F.when(order, o * 37 % 61 - 30).otherwise(0)
+    y = F.floor(F.col("k") / 40) * 20 + F.when(order, o * 53 % 59 - 29).otherwise(0)
+    g = Graph(nodes.withColumn("x", x.cast("double")).withColumn("y", y.cast("double")).drop("k"), owned)
+    return metrics.crossing_points(g).agg(F.count("*").alias("crossings"))
+
+
 @query("crossings_strict", f"WITH {LINES}, {CROSS} SELECT count(*) AS crossings FROM o WHERE t1 * t2 < 0 AND t3 * t4 < 0")
 def _(spark, sf_dir):
     return metrics.crossing_points(_circle(spark, sf_dir)).agg(F.count("*").alias("crossings"))
@@ -423,6 +451,22 @@ def _(spark, sf_dir):
     return traversal.distances(weighed, spark.createDataFrame([("g", 0)], "graph_id string, source long"), "length").select("idx", "dist")
 
 
+@query(
+    "turn_paths",
+    f"""
+    WITH RECURSIVE {TRADE3}, c AS (SELECT src, dst, min(w) AS w FROM (SELECT src, dst, 1 + eid % 5 AS w FROM e UNION ALL SELECT dst, src, 1 + eid % 5 FROM e) GROUP BY 1, 2),
+    walk AS (SELECT src AS a, dst AS b, w AS d FROM c WHERE src = 0 UNION SELECT b, dst, d + w + (a + 2 * b + 3 * dst) % 4 FROM walk JOIN c ON src = b WHERE d + w + (a + 2 * b + 3 * dst) % 4 <= 40)
+    SELECT b AS target, min(d)::DOUBLE AS dist FROM walk WHERE b <> 0 GROUP BY b UNION ALL SELECT 0, 0.0
+    """,
+)
+def _(spark, sf_dir):
+    """Least costs from nation 0 where each turn costs 0 to 3 besides the edges."""
+    g = graphs.trade3(spark, sf_dir)
+    weighed = Graph(g.nodes, g.edges.withColumn("length", (1 + F.col("eid") % 5).cast("double"))).settled()
+    asked = weighed.nodes.select("graph_id", F.lit(0).alias("source"), F.col("idx").alias("target"))
+    return traversal.paths_with_turns(weighed, asked, lambda a, b, c: (a + 2 * b + 3 * c) % 4, "length").select("target", "dist")
+
+
 @query(
     "longest_path_layers",
     f"""
@@ -1199,6 +1243,43 @@ def _(spark, sf_dir):
     return planar.convex_hull(spots).select("graph_id", "idx")
 
 
+def _region_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The regions' suppliers by balance and key, each region 12,000 to the right of the one before, as convex polygons."""
+    supplier, nation = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "nation"))
+    own = supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey"))
+    x = F.round("s_acctbal").cast("double") + 12000.0 * F.col("n_regionkey")
+    spots = own.select(F.col("n_regionkey").cast("string").alias("graph_id"), F.col("s_suppkey").alias("idx"), x.alias("x"), (F.col("s_suppkey") * 53 % 997).cast("double").alias("y"))
+    return planar.convex_hull(spots).withColumn("polygon", F.col("graph_id").cast("int")).withColumn("graph_id", F.lit("g"))
+
+
+_TANGENTS = """
+u AS (SELECT DISTINCT n_regionkey AS g, round(s_acctbal) + 12000.0::DOUBLE * n_regionkey AS x, (s_suppkey * 53 % 997)::DOUBLE AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+c AS (SELECT a.g AS a, b.g AS b, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM u a JOIN u b ON a.g < b.g),
+k AS (SELECT c.*, u.g = c.a AS own, sign((ex - ax) * (y - ay) - (ey - ay) * (x - ax)) AS s FROM c JOIN u ON u.g IN (c.a, c.b) AND NOT (x = ax AND y = ay) AND NOT (x = ex AND y = ey)),
+t AS (SELECT a, b, ax, ay, ex, ey, max(s) FILTER (own) AS sa, max(s) FILTER (NOT own) AS sb FROM k GROUP BY ALL
+  HAVING max(s) FILTER (own) = min(s) FILTER (own) AND max(s) FILTER (NOT own) = min(s) FILTER (NOT own) AND max(s) FILTER (own) <> 0 AND max(s) FILTER (NOT own) <> 0),
+bt AS (SELECT a, b, ax, ay, ex AS bx, ey AS "by", CASE WHEN sa > 0 THEN 'l' ELSE 'r' END || CASE WHEN sb > 0 THEN 'l' ELSE 'r' END AS kind FROM t)"""
+
+
+@query("hull_tangents", f"WITH {_TANGENTS} SELECT * FROM bt")
+def _(spark, sf_dir):
+    return polygons.tangents(_region_hulls(spark, sf_dir)).select("a", "b", "ax", "ay", "bx", "by", "kind")
+
+
+@query(
+    "visible_tangents",
+    f"""
+    WITH {_TANGENTS}, w AS (SELECT bt.*, u.g AS g, max(sign((bx - ax) * (u.y - ay) - (bt."by" - ay) * (u.x - ax))) AS hi, min(sign((bx - ax) * (u.y - ay) - (bt."by" - ay) * (u.x - ax))) AS lo
+      FROM bt JOIN u ON u.g > bt.a AND u.g < bt.b GROUP BY ALL)
+    SELECT * FROM bt WHERE NOT EXISTS (SELECT 1 FROM w WHERE w.a = bt.a AND w.b = bt.b AND w.kind = bt.kind AND w.ax = bt.ax AND w.ay = bt.ay AND w.bx = bt.bx AND w."by" = bt."by" AND NOT (w.lo = w.hi AND w.hi <> 0))
+    """,
+)
+def _(spark, sf_dir):
+    """Tangents of regions that no region between them is in the way of."""
+    hulls = _region_hulls(spark, sf_dir)
+    return polygons.visible(polygons.tangents(hulls), hulls).select("a", "b", "ax", "ay", "bx", "by", "kind")
+
+
 @query(
     "group_bounds",
     f"""
