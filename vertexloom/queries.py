@@ -13,6 +13,7 @@ from vertexloom.operators import (
     descent,
     export,
     force,
+    grouping,
     ingest,
     layered,
     metrics,
@@ -970,6 +971,26 @@ def _(spark, sf_dir):
     return orthogonal.separated(nodes, orthogonal.neighbours_along(nodes, "x", 5.0), "x", compact=True).select("idx", "x")
 
 
+@query(
+    "packed_regions",
+    f"""
+    WITH p AS (SELECT n_nationkey::BIGINT AS idx, n_regionkey AS c, (n_nationkey * 37 % 101)::DOUBLE AS x, (n_nationkey * 53 % 97)::DOUBLE AS y FROM nation),
+    b AS (SELECT c, min(x) - 4 AS x0, min(y) - 3 AS y0, max(x) - min(x) + 28 AS w, max(y) - min(y) + 26 AS h FROM p GROUP BY c),
+    k AS (SELECT *, floor(coalesce(sum(w) OVER (ORDER BY h DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) / greatest(max(w) OVER (), sqrt(sum(w * h) OVER ()))) AS shelf FROM b),
+    a AS (SELECT *, coalesce(sum(w) OVER (PARTITION BY shelf ORDER BY h DESC, c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS px FROM k),
+    t AS (SELECT shelf, coalesce(sum(max(h)) OVER (ORDER BY shelf ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS py FROM k GROUP BY shelf)
+    SELECT idx, {_r('x + px - x0')} AS x, {_r('y + py - y0')} AS y FROM p JOIN a USING (c) JOIN t USING (shelf)
+    """,
+)
+def _(spark, sf_dir):
+    """The regions' boxes side by side in shelves."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    key = (F.lit("g").alias("graph_id"), F.col("n_nationkey").cast("long").alias("idx"))
+    x, y = (F.col("n_nationkey") * 37 % 101).cast("double"), (F.col("n_nationkey") * 53 % 97).cast("double")
+    nodes = nation.select(*key, x.alias("x"), y.alias("y"), F.lit(8.0).alias("width"), F.lit(6.0).alias("height"))
+    return _xy(orthogonal.pack_components(nodes, nation.select(*key, F.col("n_regionkey").alias("component"))))
+
+
 @query(
     "acyclic_edges",
     f"""
@@ -1297,6 +1318,22 @@ def _(spark, sf_dir):
     return planar.group_bounds(g.nodes, groups).drop("graph_id")
 
 
+@query("groups_apart", "SELECT n_nationkey::BIGINT AS idx, n_regionkey::BIGINT AS gid, true AS inside, true AS apart FROM nation")
+def _(spark, sf_dir):
+    """The nations moved so that regions' boxes are apart: each nation within its region's box, and in no other's."""
+    nation = spark.read.parquet(f"{sf_dir}/nation.parquet")
+    own = nation.groupBy(F.col("n_regionkey").cast("long").alias("gid")).agg(F.collect_list(F.col("n_nationkey").cast("long")).alias("leaves")).withColumn("children", F.array().cast("array<bigint>"))
+    nodes = nation.select(F.lit("g").alias("graph_id"), F.col("n_nationkey").cast("long").alias("idx"), (F.col("n_nationkey") * 37 % 101).cast("double").alias("x"), (F.col("n_nationkey") * 53 % 97).cast("double").alias("y"), F.lit(8.0).alias("width"), F.lit(6.0).alias("height"))
+    groups = own.withColumn("graph_id", F.lit("g"))
+    out = cut(grouping.with_groups_apart(nodes, groups, padding=2.0, gap=1.0))
+    bounds = planar.group_bounds(out, groups, 2.0)
+    home = groups.select("gid", F.explode("leaves").alias("idx"))
+    within = (F.col("x") - 4 >= F.col("x0")) & (F.col("x") + 4 <= F.col("x1")) & (F.col("y") - 3 >= F.col("y0")) & (F.col("y") + 3 <= F.col("y1"))
+    clear = (F.col("x") - 4 >= F.col("x1")) | (F.col("x") + 4 <= F.col("x0")) | (F.col("y") - 3 >= F.col("y1")) | (F.col("y") + 3 <= F.col("y0"))
+    both = out.join(bounds.withColumnRenamed("gid", "other"), "graph_id").join(home, "idx")
+    return both.groupBy("idx", "gid").agg(F.bool_and(F.when(F.col("gid") == F.col("other"), within).otherwise(True)).alias("inside"), F.bool_and(F.when(F.col("gid") != F.col("other"), clear).otherwise(True)).alias("apart"))
+
+
 @query(
     "lanes",
     """
@@ -1344,3 +1381,49 @@ def _(spark, sf_dir):
 )
 def _(spark, sf_dir):
     return export.to_graphml(_circle(spark, sf_dir)).where("part = 1").select("at", "line")
+
+
+@query(
+    "svg_document",
+    f"""
+    WITH {LINES}, b AS (SELECT 60 - min(x) AS ox, 60 - min(y) AS oy, {_F2('max(x) - min(x) + 120')} AS bw, {_F2('max(y) - min(y) + 120')} AS bh FROM p)
+    SELECT 0 AS part, 0::BIGINT AS at, printf('<svg xmlns="http://www.w3.org/2000/svg" width="%s" height="%s" viewBox="0 0 %s %s">', bw, bh, bw, bh) AS line FROM b UNION ALL
+    SELECT 1, eid, '<line x1="' || {_F2('ax + ox')} || '" y1="' || {_F2('ay + oy')} || '" x2="' || {_F2('ex + ox')} || '" y2="' || {_F2('ey + oy')} || '" stroke="#5a6470" stroke-width="1.5"/>' FROM s, b UNION ALL
+    SELECT 2, idx, '<circle cx="' || {_F2('x + ox')} || '" cy="' || {_F2('y + oy')} || '" r="20.00" fill="#3f7fbf" stroke="#24527a" stroke-width="2.0"/>' FROM p, b UNION ALL
+    SELECT 3, idx, '<text x="' || {_F2('x + ox')} || '" y="' || {_F2('y + oy')} || '" text-anchor="middle" dominant-baseline="central" font-family="sans-serif" font-size="12.0" fill="#000000">' || label || '</text>' FROM p, b
+    UNION ALL SELECT 4, 0, '</svg>'
+    """,
+)
+def _(spark, sf_dir):
+    return export.to_svg(_circle(spark, sf_dir)).drop("graph_id")
+
+
+@query(
+    "dot_document",
+    f"""
+    WITH {PLACED} SELECT 0 AS part, 0::BIGINT AS at, 'graph G {{' || chr(10) || '  node [shape=ellipse];' AS line UNION ALL
+    SELECT 1, idx, '  ' || idx || ' [label="' || label || '", pos="' || printf('%.4f', {_r('x / 72', 4)}) || ',' || printf('%.4f', {_r('-y / 72', 4)}) || '!"];' FROM p UNION ALL
+    SELECT 2, eid, printf('  %d -- %d [weight=%.2f];', src, dst, weight) FROM e UNION ALL SELECT 3, 0, '}}'
+    """,
+)
+def _(spark, sf_dir):
+    return export.to_dot(_circle(spark, sf_dir)).drop("graph_id")
+
+
+_PLAIN_KEYS = "".join(f'<key id="{k}" for="{o}" attr.name="{k}" attr.type="{t}"/>\n' for k, o, t in (
+    ("x", "node", "double"), ("y", "node", "double"), ("width", "node", "double"), ("height", "node", "double"), ("label", "node", "string"), ("weight", "edge", "double"), ("length", "edge", "double"),
+))
+_PLAIN_HEAD = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + _PLAIN_KEYS + '<graph id="G" edgedefault="undirected">'
+
+
+@query(
+    "graphml_document",
+    f"""
+    WITH {PLACED} SELECT 0 AS part, 0::BIGINT AS at, '{_PLAIN_HEAD}' AS line UNION ALL
+    SELECT 1, idx, printf('<node id="n%d"><data key="x">%.6f</data><data key="y">%.6f</data><data key="label">%s</data></node>', idx, {_r('x')}, {_r('y')}, label) FROM p UNION ALL
+    SELECT 2, eid, printf('<edge id="e%d" source="n%d" target="n%d"><data key="weight">%.6f</data></edge>', eid, src, dst, weight) FROM e UNION ALL
+    SELECT 3, 0, '</graph>' || chr(10) || '</graphml>'
+    """,
+)
+def _(spark, sf_dir):
+    return export.to_graphml(_circle(spark, sf_dir)).drop("graph_id")
