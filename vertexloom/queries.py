@@ -1274,7 +1274,8 @@ def _region_hulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _TANGENTS = """
-u AS (SELECT DISTINCT n_regionkey AS g, round(s_acctbal) + 12000.0::DOUBLE * n_regionkey AS x, (s_suppkey * 53 % 997)::DOUBLE AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+every AS (SELECT DISTINCT n_regionkey AS g, round(s_acctbal) + 12000.0::DOUBLE * n_regionkey AS x, (s_suppkey * 53 % 997)::DOUBLE AS y FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+u AS (SELECT * FROM every WHERE g IN (SELECT g FROM every GROUP BY g HAVING count(*) > 2)),
 c AS (SELECT a.g AS a, b.g AS b, a.x AS ax, a.y AS ay, b.x AS ex, b.y AS ey FROM u a JOIN u b ON a.g < b.g),
 k AS (SELECT c.*, u.g = c.a AS own, sign((ex - ax) * (y - ay) - (ey - ay) * (x - ax)) AS s FROM c JOIN u ON u.g IN (c.a, c.b) AND NOT (x = ax AND y = ay) AND NOT (x = ex AND y = ey)),
 t AS (SELECT a, b, ax, ay, ex, ey, max(s) FILTER (own) AS sa, max(s) FILTER (NOT own) AS sb FROM k GROUP BY ALL
