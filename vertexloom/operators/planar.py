@@ -14,6 +14,7 @@ from vertexloom.operators.components import component_labels
 from vertexloom.operators.ingest import in_range, sizes, with_ends
 from vertexloom.operators.metrics import crossing_points
 from vertexloom.operators.traversal import components, distances, peel
+from vertexloom.operators.trees import below, spanning_forest, tours
 from vertexloom.plans.lineage import cut, kept
 from vertexloom.sources.graphs import Graph
 
@@ -56,30 +57,32 @@ def faces(g: Graph) -> DataFrame:
 def blocks(g: Graph) -> DataFrame:
     """graph_id, eid, block of each edge but loops: edges on a common cycle are in one block, named by its least eid.
 
-    Over a tree of shortest hops from each component's least node, an edge outside the tree closes a cycle with the tree
-    edges between its ends and their lowest common ancestor: these are one block, and blocks that share an edge are one.
-    The rows of a step are the edges outside the tree times the depth of their ends.
+    Each edge outside a spanning forest closes a cycle with tree edges. Ends that aren't above each other put the tree
+    edges above both into one block; a tree edge is in one with that of its parent if an edge outside the forest leads
+    from below it to beyond the parent, which the least and greatest places below it tell. So the links are no more than the
+    edges, and rounds grow with the logarithm of the nodes, on long paths too (`trees`).
     """
-    g = g.settled()
-    edges = cut(in_range(g).where("src <> dst").select("graph_id", "eid", "src", "dst"))
-    roots = components(g).where("idx = component").select("graph_id", F.col("idx").alias("source"))
-    tree = cut(distances(g, roots).where("prev is not null").select("graph_id", "idx", "prev"))
-    between = lambda e: (F.col("e.graph_id") == F.col("t.graph_id")) & (F.least("e.src", "e.dst") == F.least("t.idx", "t.prev")) & (F.greatest("e.src", "e.dst") == F.greatest("t.idx", "t.prev"))
-    own = tree.alias("t").join(edges.alias("e"), between("e")).groupBy("t.graph_id", F.col("t.idx").alias("idx"), F.col("t.prev").alias("prev")).agg(F.min("e.eid").alias("eid"))
-    own = cut(own)  # a tree edge for each node but the roots
-    # all ancestors of a node, itself among them: up, the tree edge above the ancestor
-    every = front = kept(own.select("graph_id", "idx", F.col("idx").alias("up"), "prev", "eid"))
-    while not front.isEmpty():
-        f, o = front.alias("f"), own.alias("o")
-        above = f.join(o, (F.col("f.graph_id") == F.col("o.graph_id")) & (F.col("f.prev") == F.col("o.idx")))
-        front = kept(above.select(F.col("f.graph_id").alias("graph_id"), F.col("f.idx").alias("idx"), F.col("o.idx").alias("up"), F.col("o.prev").alias("prev"), F.col("o.eid").alias("eid")))
-        every = kept(every.unionByName(front))
-    rest = edges.join(own.select("graph_id", "eid"), ["graph_id", "eid"], "left_anti")
-    side = lambda end: rest.select("graph_id", F.col("eid").alias("by"), F.col(end).alias("idx")).join(every.select("graph_id", "idx", F.col("eid").alias("over")), ["graph_id", "idx"]).select("graph_id", "by", "over")
-    # what is above both ends is above their lowest common ancestor
-    path = side("src").unionByName(side("dst")).groupBy("graph_id", "by", "over").agg(F.count("*").alias("times")).where("times = 1")
-    labels = component_labels(path.select("graph_id", F.col("by").alias("src"), F.col("over").alias("dst")), keys=("graph_id",))
-    return edges.select("graph_id", "eid").join(labels.select("graph_id", F.col("node").alias("eid"), "component"), ["graph_id", "eid"], "left").select("graph_id", "eid", F.coalesce("component", "eid").alias("block"))
+    edges = kept(in_range(g).where("src <> dst").select("graph_id", "eid", "src", "dst"))
+    tree, labels = spanning_forest(edges)
+    tour = tours(edges.join(tree, ["graph_id", "eid"]), labels)
+    # a root has no edge above, and is above all
+    roots = labels.where("node = root").select("graph_id", "node", F.lit(None).cast("long").alias("up"), F.lit(-1).cast("long").alias("first"), F.lit((1 << 63) - 1).alias("last"))
+    nodes = kept(tour.select("graph_id", "node", F.col("eid").alias("up"), "first", "last").unionByName(roots))
+    end = lambda name, own: nodes.select("graph_id", F.col("node").alias(name), F.struct("first", "last", "up", "node").alias(own))
+    rest = edges.join(tree, ["graph_id", "eid"], "left_anti").join(end("src", "s"), ["graph_id", "src"]).join(end("dst", "d"), ["graph_id", "dst"])
+    rest = kept(rest.select("graph_id", "eid", F.least("s", "d").alias("a"), F.greatest("s", "d").alias("b")))  # a comes first
+    met = rest.select("graph_id", F.col("a.node").alias("node"), F.col("b.first").alias("place"))
+    met = met.unionByName(rest.select("graph_id", F.col("b.node").alias("node"), F.col("a.first").alias("place"))).unionByName(nodes.select("graph_id", "node", F.col("first").alias("place")))
+    reach = below(tour, met.groupBy("graph_id", "node").agg(F.min("place").alias("low"), F.max("place").alias("high")))
+    over = nodes.select("graph_id", F.col("node").alias("parent"), F.col("up").alias("above"), F.col("first").alias("f"), F.col("last").alias("l")).where("up is not null")
+    beyond = tour.join(reach, ["graph_id", "root", "node"]).join(over, ["graph_id", "parent"]).where("low < f or high > l")
+    links = beyond.select("graph_id", F.col("eid").alias("src"), F.col("above").alias("dst"))
+    links = links.unionByName(rest.where("a.last < b.first").select("graph_id", F.col("a.up").alias("src"), F.col("b.up").alias("dst")))
+    joined = component_labels(links, keys=("graph_id",)).select("graph_id", F.col("node").alias("up"), "component")
+    every = tree.select("graph_id", "eid", F.col("eid").alias("up")).unionByName(rest.select("graph_id", "eid", F.col("b.up").alias("up")))
+    every = kept(every.join(joined, ["graph_id", "up"], "left").select("graph_id", "eid", F.coalesce("component", "up").alias("of")))
+    names = every.groupBy("graph_id", "of").agg(F.min("eid").alias("block"))
+    return every.join(names, ["graph_id", "of"]).select("graph_id", "eid", "block")
 
 
 def bridges(g: Graph) -> DataFrame:
