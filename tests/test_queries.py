@@ -4,8 +4,10 @@ import math
 
 import duckdb
 import pytest
+from test_trees import brute_blocks
 
 from vertexloom.queries import ORACLES, QUERIES
+from vertexloom.sources import graphs
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events".split()
@@ -48,6 +50,9 @@ def test_others_give_sound_rows(spark, name):
         # what acts on one acts back on the other
         total = sum(math.hypot(r.fx, r.fy) for r in rows)
         assert abs(sum(r.fx for r in rows)) < 1e-3 * total and abs(sum(r.fy for r in rows)) < 1e-3 * total
+    elif name == "part_order_blocks":
+        edges = graphs.part_orders(spark, DIR).edges.select("eid", "src", "dst").collect()
+        assert len(rows) == len(edges) and {r.eid: r.block for r in rows} == brute_blocks(map(tuple, edges))
     elif "x" in rows[0]:
         keys = [(r["graph_id"] if "graph_id" in r else "", r.idx) for r in rows]
         assert len(keys) == len(set(keys)) and all(math.isfinite(r.x) and math.isfinite(r.y) for r in rows)

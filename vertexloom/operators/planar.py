@@ -106,21 +106,15 @@ def cut_vertices(g: Graph) -> DataFrame:
 def find_cycle(g: Graph) -> DataFrame:
     """graph_id, src, dst: the edges of one directed cycle of each graph that has one.
 
-    What is left after peeling sources and sinks has a way on from every node; the least one leads, by doubling steps, onto
-    cycles, of which the one with the least node is given.
+    What is left after peeling from the sources has a way back from every node; the least node before each leads, by doubling
+    steps, onto cycles, of which the one with the least node is given.
     """
     g = g.settled()
     edges = cut(in_range(g).select("graph_id", "src", "dst"))
     left = cut(peel(Graph(g.nodes, edges)).where("level is null").select("graph_id", "idx"))
     inner = edges.join(left.withColumnRenamed("idx", "src"), ["graph_id", "src"], "left_semi").join(left.withColumnRenamed("idx", "dst"), ["graph_id", "dst"], "left_semi")
-    # peeling from the sources leaves nodes behind cycles too: those without a way on go until none is left
-    while True:
-        inner = cut(inner)
-        some = cut(inner.join(inner.select("graph_id", F.col("src").alias("dst")).distinct(), ["graph_id", "dst"], "left_semi"))
-        if some.count() == inner.count():
-            break
-        inner = some
-    step = cut(inner.groupBy("graph_id", "src").agg(F.min("dst").alias("dst")))
+    # steps go against the edges: src is where a step starts
+    step = cut(inner.groupBy("graph_id", F.col("dst").alias("src")).agg(F.min("src").alias("dst")))
     jump, most = step, step.groupBy("graph_id").count().agg(F.max("count")).first()[0] or 0
     for _ in range(int(most).bit_length()):
         far = jump.select("graph_id", F.col("src").alias("dst"), F.col("dst").alias("to"))
@@ -130,7 +124,7 @@ def find_cycle(g: Graph) -> DataFrame:
     labels = component_labels(rings, keys=("graph_id",))
     first = labels.groupBy("graph_id").agg(F.min("component").alias("component"))
     wanted = labels.join(first, ["graph_id", "component"]).select("graph_id", F.col("node").alias("src"))
-    return rings.join(wanted, ["graph_id", "src"], "left_semi").select("graph_id", "src", "dst")
+    return rings.join(wanted, ["graph_id", "src"], "left_semi").select("graph_id", F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
 def farthest(g: Graph, sources: DataFrame) -> DataFrame:

@@ -1208,6 +1208,12 @@ def _(spark, sf_dir):
     return planar.blocks(graphs.trade1(spark, sf_dir)).select("eid", "block")
 
 
+@query("part_order_blocks")
+def _(spark, sf_dir):
+    """The graph of all orders and the parts in them: the block of each distinct pair."""
+    return planar.blocks(graphs.part_orders(spark, sf_dir)).select("eid", "block")
+
+
 @query("bridges", f"{_BLOCKS} SELECT min(eid) AS eid FROM blocks GROUP BY block HAVING count(*) = 1")
 def _(spark, sf_dir):
     return planar.bridges(graphs.trade1(spark, sf_dir)).select("eid")

@@ -149,6 +149,15 @@ def part_supp(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line.select(F.col("l_partkey").alias("top"), F.col("l_suppkey").alias("bottom")).distinct()
 
 
+def part_orders(spark: SparkSession, sf_dir: str) -> Graph:
+    """Orders and, after them, parts; an edge for each distinct pair of line items, its eid made of both."""
+    line, part, orders = _tables(spark, sf_dir, "lineitem", "part", "orders")
+    first, parts = (t.agg((F.max(c) + 1).cast("long")).first()[0] or 0 for t, c in ((orders, "o_orderkey"), (part, "p_partkey")))
+    pairs = line.select(F.col("l_orderkey").cast("long").alias("src"), F.col("l_partkey").cast("long").alias("p")).distinct()
+    edges = pairs.select("src", (F.col("p") + first).alias("dst"), (F.col("src") * parts + F.col("p")).alias("eid"))
+    return graph(spark.range(first + parts).select(F.col("id").alias("idx")), edges)
+
+
 def spark_nodes(pairs: DataFrame, parts: int) -> DataFrame:
     """graph_id, idx for all parts (0 .. parts - 1) and, from there on, suppliers."""
     most = pairs.agg((F.max("bottom") + 1).alias("m"))
