@@ -7,6 +7,8 @@ are taken from blocks of 4,096 edge numbers.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
@@ -27,11 +29,11 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     state = rounds(edges.where("src <> dst").select("graph_id", "eid", F.col("src").alias("a"), F.col("dst").alias("b")))
     ends = edges.where("src <> dst").select("graph_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
     labels = kept(ends.withColumn("root", F.col("node")))
-    tree = state.select("graph_id", "eid").limit(0)
+    tree = []
     while not state.isEmpty():
         both = state.unionByName(state.select("graph_id", "eid", F.col("b").alias("a"), F.col("a").alias("b")))
         taken = kept(both.groupBy("graph_id", "a").agg(F.min(F.struct(F.xxhash64("eid"), "eid", "b")).alias("t")).select("graph_id", "a", "t.eid", "t.b"))
-        tree = kept(tree.unionByName(taken.select("graph_id", "eid").distinct()))
+        tree.append(taken.select("graph_id", "eid"))
         # trees point along their edges; of two that point at each other the lesser one is the root
         back = taken.select("graph_id", F.col("a").alias("b"), F.col("b").alias("back"))
         up = taken.join(back, ["graph_id", "b"]).select("graph_id", "a", F.when((F.col("back") == F.col("a")) & (F.col("a") < F.col("b")), F.col("a")).otherwise(F.col("b")).alias("b"))
@@ -42,7 +44,8 @@ def spanning_forest(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
         joined = state.join(up.withColumnRenamed("b", "u"), ["graph_id", "a"]).join(other, ["graph_id", "b"]).where("u <> v")
         least = joined.groupBy("graph_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("eid").alias("eid"))
         state = rounds(least.select("graph_id", "eid", "a", "b"))
-    return tree, labels
+    none = edges.select("graph_id", "eid").limit(0)
+    return kept(reduce(DataFrame.unionByName, tree, none).distinct()), labels
 
 
 def _pointed(up: DataFrame) -> DataFrame:
@@ -51,7 +54,9 @@ def _pointed(up: DataFrame) -> DataFrame:
     up = rounds(up.withColumn("moved", F.lit(True)))
     while not up.where("moved").isEmpty():
         on = up.select("graph_id", F.col("a").alias("b"), F.col("b").alias("to"))
-        up = rounds(up.join(on, ["graph_id", "b"]).select("graph_id", "a", F.col("to").alias("b"), (F.col("to") != F.col("b")).alias("moved")))
+        for _ in range(2):
+            up = up.join(on, ["graph_id", "b"]).select("graph_id", "a", F.col("to").alias("b"), (F.col("to") != F.col("b")).alias("moved"))
+        up = rounds(up)
     return kept(up.drop("moved"))
 
 
