@@ -1024,11 +1024,39 @@ def _(spark, sf_dir):
     return multilevel.spectral(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
 
 
-@query("layered_tree_geo")
+@query(
+    "layered_tree_geo",
+    """
+    WITH reg AS (SELECT (1 + r_regionkey)::BIGINT AS reg FROM region), nat AS (SELECT (6 + n_nationkey)::BIGINT AS nat, (1 + n_regionkey)::BIGINT AS reg FROM nation),
+    leaf AS (SELECT 6 + c_nationkey AS nat, (31 + c_custkey)::BIGINT AS idx FROM customer
+      UNION ALL SELECT 6 + s_nationkey, (31 + (SELECT max(c_custkey) + 1 FROM customer) + s_suppkey)::BIGINT FROM supplier),
+    ends AS (SELECT reg, nat, idx, 50.0 * (row_number() OVER (ORDER BY reg, nat, idx) - 1) AS x FROM reg LEFT JOIN nat USING (reg) LEFT JOIN leaf USING (nat)),
+    nats AS (SELECT nat, any_value(reg) AS reg, (min(x) + max(x))::DOUBLE / 2 AS x FROM ends WHERE nat IS NOT NULL GROUP BY nat),
+    regs AS (SELECT reg, (min(x) + max(x))::DOUBLE / 2 AS x FROM (SELECT reg, x FROM nats UNION ALL SELECT reg, x FROM ends WHERE nat IS NULL) GROUP BY reg)
+    SELECT idx, x::DOUBLE AS x, 300::DOUBLE AS y FROM ends WHERE idx IS NOT NULL UNION ALL SELECT nat, x, 200 FROM nats
+    UNION ALL SELECT reg, x, 100 FROM regs UNION ALL SELECT 0, (min(x) + max(x)) / 2, 0 FROM regs
+    """,
+)
 def _(spark, sf_dir):
     return multilevel.layered_tree(graphs.geo(spark, sf_dir)).select("idx", "x", "y")
 
 
+@query(
+    "width_bounded_layers",
+    f"""
+    WITH RECURSIVE {DAG}, walk AS (SELECT idx, 0::BIGINT AS d FROM nodes WHERE idx NOT IN (SELECT dst FROM e) UNION
+    SELECT dst, d + 1 FROM walk JOIN e ON src = idx), l AS (SELECT idx, max(d) AS layer FROM walk GROUP BY idx),
+    c AS (SELECT layer, count(*) AS c, row_number() OVER (ORDER BY layer) AS k FROM l GROUP BY layer),
+    m AS (SELECT k, layer, 0::BIGINT AS to_, c AS w FROM c WHERE k = 1 UNION ALL
+      SELECT c.k, c.layer, CASE WHEN w + c > 6 THEN to_ + 1 ELSE to_ END, CASE WHEN w + c > 6 THEN c ELSE w + c END FROM m JOIN c ON c.k = m.k + 1)
+    SELECT idx, to_ AS layer FROM l JOIN m USING (layer)
+    """,
+)
+def _(spark, sf_dir):
+    layers = traversal.longest_path_layers(graphs.dag(spark, sf_dir))
+    return multilevel.width_bounded_layers(layers, 6).select("idx", "layer")
+
+
 @query("multilevel_trade3")
 def _(spark, sf_dir):
     return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
