@@ -1057,6 +1057,28 @@ def _(spark, sf_dir):
     return multilevel.width_bounded_layers(layers, 6).select("idx", "layer")
 
 
+def _averaged(k: int) -> str:
+    mean = f"SELECT src AS idx, avg(q.x) AS x, avg(q.y) AS y FROM bth JOIN t{k - 1} q ON q.idx = dst GROUP BY src"
+    return f"t{k} AS (SELECT p.idx, coalesce(p.rx, m.x, p.x) AS x, coalesce(p.ry, m.y, p.y) AS y, p.rx, p.ry FROM t{k - 1} p LEFT JOIN ({mean}) m ON m.idx = p.idx)"
+
+
+@query(
+    "tutte_round3",
+    f"""
+    WITH {TRADE3}, bth AS (SELECT src, dst FROM e WHERE src <> dst UNION SELECT dst, src FROM e WHERE src <> dst),
+    t0 AS (SELECT idx, CASE WHEN idx < 8 THEN 500 + 460 * cos(2 * pi() * idx / 8) ELSE 500 END AS x, CASE WHEN idx < 8 THEN 500 + 460 * sin(2 * pi() * idx / 8) ELSE 500 END AS y,
+      CASE WHEN idx < 8 THEN 500 + 460 * cos(2 * pi() * idx / 8) END AS rx, CASE WHEN idx < 8 THEN 500 + 460 * sin(2 * pi() * idx / 8) END AS ry FROM nodes),
+    {_averaged(1)}, {_averaged(2)}, {_averaged(3)}
+    SELECT idx, {_r("x")} AS x, {_r("y")} AS y FROM t3
+    """,
+)
+def _(spark, sf_dir):
+    """Three rounds of Tutte's placement, with the first eight nations round the others."""
+    g = graphs.trade3(spark, sf_dir)
+    rim = g.nodes.where("idx < 8").select("graph_id", "idx", F.col("idx").alias("pos"))
+    return _xy(multilevel.barycentric(g, rim, SIZE, rounds=3), "idx")
+
+
 @query("multilevel_trade3")
 def _(spark, sf_dir):
     return multilevel.multilevel(graphs.trade3(spark, sf_dir), SIZE).select("idx", "x", "y")
