@@ -19,7 +19,7 @@ from vertexloom.sources.graphs import Graph, numbered
 
 def matching(g: Graph, seed: int = 0, max_rounds: int = 50) -> DataFrame:
     """graph_id, a, b (a < b): a maximal matching. Every free node asks its free neighbour over the edge of least hash;
-    who ask each other are matched; the rest go on."""
+    who ask each other are matched; the rest go on. Raises after max_rounds."""
     edges = in_range(g).where("src <> dst").select("graph_id", F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
     edges = cut(edges.withColumn("h", F.xxhash64(F.lit(seed), "src", "dst")))
     done = None
@@ -33,6 +33,9 @@ def matching(g: Graph, seed: int = 0, max_rounds: int = 50) -> DataFrame:
         for end in ("src", "dst"):
             edges = edges.join(taken.withColumnRenamed("v", end), ["graph_id", end], "left_anti")
         edges = cut(edges.select("graph_id", "src", "dst", "h"))
+    else:
+        if not edges.isEmpty():
+            raise RuntimeError(f"matching did not settle in {max_rounds} rounds")
     return done if done is not None else g.nodes.sparkSession.createDataFrame([], "graph_id string, a long, b long")
 
 
