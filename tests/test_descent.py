@@ -51,6 +51,21 @@ def test_places_are_the_nearest_that_meet_all_gaps(spark):
     assert all(got[i] == pytest.approx(want[i], abs=1e-2) for i in range(n))
 
 
+def test_stars_of_many_leaves_settle_in_few_rounds(spark):
+    """Two hubs with 300 leaves to the right of one and to the left of the other: five rounds are enough."""
+    rng = random.Random(4)
+    places = [50.0, 60.0] + [float(rng.randrange(100)) for _ in range(600)]
+    rules = [(0, i, 9.0, False) for i in range(2, 302)] + [(i, 1, 9.0, False) for i in range(302, 602)]
+    frame = spark.createDataFrame([("g", *r) for r in rules], "graph_id string, left long, right long, gap double, equal boolean")
+    got = {r.idx: r.x for r in projection.project(line(spark, places), frame, "x", tolerance=1e-6, rounds=5, every=5).collect()}
+    for hub, sign, leaves in ((0, 1, range(2, 302)), (1, -1, range(302, 602))):
+        near = np.array(sorted(sign * places[i] - 9.0 for i in leaves))
+        sums = (sign * places[hub] + np.concatenate([[0.0], np.cumsum(near)])) / np.arange(1, 302)
+        at = sums.min()
+        assert got[hub] == pytest.approx(sign * at, abs=1e-4)
+        assert all(got[i] == pytest.approx(sign * max(sign * places[i], at + 9.0), abs=1e-4) for i in leaves)
+
+
 def test_nothing_moves_where_all_gaps_are_met(spark):
     places = [0.0, 10.0, 25.0, -3.5]
     assert projected(spark, places, [(0, 1, 10.0, False), (1, 2, 3.0, False), (3, 0, 0.0, None)]) == dict(enumerate(places))
