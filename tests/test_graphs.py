@@ -112,6 +112,18 @@ def test_bilayer_crossings(spark):
     assert scalar(layered.bilayer_crossings(spark.createDataFrame([], "top long, bottom long"))) == 0
 
 
+def test_bilayer_crossings_between_blocks(spark):
+    """Repeated edges, a node with edges in many blocks, and graphs side by side, in blocks of a few edges."""
+    rng = random.Random(3)
+    pairs = [(rng.choice("ab"), rng.choice((3, 3, 3, rng.randrange(20))), rng.randrange(-9, 9)) for _ in range(400)] + [("c", 1, 1), (None, 1, 2), (None, 2, 1), ("a", None, 1)]
+    want = {k: sum(x == y == k and t < u and b > c for x, t, b in pairs for y, u, c in pairs if None not in (t, u)) for k in ("a", "b", "c", None)}
+    frame = spark.createDataFrame(pairs, "graph_id string, top long, bottom long")
+    for block in (7, 10_000):
+        assert {r.graph_id: r.crossings for r in layered.bilayer_crossings(frame, ("graph_id",), block).collect()} == want
+        assert scalar(layered.bilayer_crossings(frame.where("graph_id = 'a'").drop("graph_id"), block=block)) == want["a"]
+
+
+
 def test_validation(spark):
     g = graph(spark, [(0, 1), (1, 5)], 3)
     with pytest.raises(ingest.InvalidLinkError):
