@@ -100,3 +100,18 @@ def test_ticks_with_lists_are_near_ticks_with_pairs(spark, tick):
     b = {r.idx: (r.x, r.y) for r in tick(g, g.nodes, leaf=6).collect()}
     start = {r.idx: (r.x, r.y) for r in g.nodes.collect()}
     assert sum(math.dist(a[i], b[i]) for i in a) < 0.02 * sum(math.dist(a[i], start[i]) for i in a)
+
+
+def test_tiles_don_t_change_forces(spark, monkeypatch):
+    """Tiles of 2 by 2 finest cells, so that most cells and bodies that act on a tile come from beside it, and one for all."""
+    rng = random.Random(8)
+    rows = [(g, i, rng.gauss(0, 30), rng.uniform(0, 50), float(rng.randrange(1, 4))) for g in "ab" for i in range(400)]
+    nodes = spark.createDataFrame(rows, "graph_id string, idx long, x double, y double, q double")
+
+    def forces(tile):
+        monkeypatch.setattr(spatial, "TILE", tile)
+        return {(r.graph_id, r.idx): (r.fx, r.fy) for r in spatial.interaction_forces(nodes, charge="q", leaf=3).collect()}
+
+    small, large = forces(1), forces(14)
+    assert len(small) == 800 and small.keys() == large.keys()
+    assert all(small[k] == pytest.approx(large[k], rel=1e-9, abs=1e-9) for k in small)
