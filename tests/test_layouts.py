@@ -1,8 +1,9 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from test_graphs import graph, scalar
 
-from vertexloom.operators import force, metrics, multilevel, orthogonal, planar, static_layouts, traversal
+from vertexloom.operators import force, metrics, multilevel, orthogonal, planar, small_graphs, static_layouts, traversal
 from vertexloom.sources import graphs
 
 
@@ -158,3 +159,31 @@ def test_lanes_of_overlapping_routes(spark):
     assert {r.eid: r.offset for r in out.collect()} == {1: -2.0, 2: 0.0, 3: 2.0, 4: 0.0}
     routed = orthogonal.routes(boxes(spark, graph(spark, [(0, 1), (0, 2)], xy=[(0, 0), (100, 40), (100, 80)])))
     assert planar.lanes(planar.route_segments(routed)).count() > 0
+
+
+SIDE = (200.0, 200.0)
+TICKS = {
+    "fr": lambda: small_graphs.fruchterman_reingold_tick(SIDE, lambda t: 20 * 0.95**t),
+    "spring": lambda: small_graphs.spring_tick(SIDE),
+    "fa2": lambda: small_graphs.force_atlas2_tick(SIDE),
+    "yifan_hu": lambda: small_graphs.yifan_hu_tick(SIDE),
+    "stress": lambda: small_graphs.stress_tick(),
+}
+
+
+@pytest.mark.parametrize("name", TICKS)
+@pytest.mark.parametrize("n", [1, 2, 9])
+def test_graphs_of_one_size_run_side_by_side_as_each_alone(name, n):
+    rng = np.random.default_rng(n)
+    alone = []
+    for i in range(7):
+        m = 0 if i == 3 else int(rng.integers(1, 3 * n))
+        alone.append((rng.uniform(0, 200, n), rng.uniform(0, 200, n), rng.random(n) < (0.0 if i == 4 else 0.9), rng.integers(0, n, m), rng.integers(0, n, m), rng.uniform(10, 50, m), rng.uniform(1, 3, m)))
+    joined = [np.stack(c) for c in list(zip(*alone, strict=True))[:3]]
+    ends = [np.concatenate([g[e] + i * n for i, g in enumerate(alone)]) for e in (3, 4)]
+    rest = [np.concatenate([g[e] for g in alone]) for e in (5, 6)]
+    x, y = small_graphs.settled(small_graphs.Small(*joined, *ends, *rest), TICKS[name](), 60, 5, 0.2)
+    for i, g in enumerate(alone):
+        one = small_graphs.Small(*(c[None] for c in g[:3]), *g[3:])
+        a, b = small_graphs.settled(one, TICKS[name](), 60, 5, 0.2)
+        assert np.array_equal(a[0], x[i]) and np.array_equal(b[0], y[i])
