@@ -127,3 +127,9 @@ def test_limits(spark):
         M.mix(docs, weights={"a": 0})
     with pytest.raises(Exception, match="more than 2 sources"):
         M.mix(docs, max_sources=2).collect()
+
+
+def test_the_run_is_planned_once(spark):
+    docs = frame(spark, [(i, "ab"[i % 2], "", 0, "", 0) for i in range(40)])
+    plan = M.mix(docs)._jdf.queryExecution().optimizedPlan().toString()
+    assert "aggregate(" not in plan and "collect_list" not in plan

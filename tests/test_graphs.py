@@ -207,3 +207,14 @@ def test_long_chain_of_components(spark):
     out = component_labels(edges).groupBy("component").count().collect()
     assert [tuple(r) for r in out] == [(0, n)]
     assert component_labels(spark.createDataFrame([], "src long, dst long")).count() == 0
+
+
+def test_rounds_of_components_are_tables(spark):
+    links = spark.range(300).selectExpr("id as src", "id + 1 as dst")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = component_labels(links)
+        state = [x for x in found.inputFiles() if "/rounds-" in x]
+        assert state and found.agg({"component": "max"}).first()[0] == 0 and found.count() == 301
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")

@@ -120,7 +120,9 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     total = F.bit_xor("moved").over(W.Window.partitionBy("h1", "h2"))
     gaps = spread.select("h1", "h2", "n", "p", before.bitwiseXOR(through).bitwiseXOR(total).alias("rest"))
     # a shared end takes the variants with the gap outside it
-    known = own.select("h1", "h2", F.explode(_keys(F.col("n"))).alias("k")).select("h1", "h2", "k.key", "k.end", "k.h").join(shared, ["h1", "key"], "left_semi")
+    # a table, as the plan of the variants has it four times and is planned again after each of its stages
+    known = own.select("h1", "h2", F.explode(_keys(F.col("n"))).alias("k")).select("h1", "h2", "k.key", "k.end", "k.h")
+    known = kept(known.join(shared, ["h1", "key"], "left_semi"))
     ranges = known.groupBy("h1", "h2").agg(F.collect_list(F.struct("key", "end", "h")).alias("ends"))
     outside = F.filter("ends", lambda e: F.when(e.end == 0, F.col("p") >= e.h).otherwise(F.col("p") < F.col("n") - e.h))
     opened = gaps.join(ranges, ["h1", "h2"]).select("h1", "h2", "n", "p", "rest", F.explode(outside).alias("e"))
@@ -134,7 +136,7 @@ def dropped_lines(docs: DataFrame, min_words: int = 5) -> DataFrame:
     least = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("first")))
     earliest = close.groupBy("v").agg(least(0).alias("twin0"), least(2).alias("twin1"), least(1).alias("twin2"), F.count("*").alias("times"))
     twin = F.when(F.col("kind") == 0, F.col("twin0")).when(F.col("kind") == 1, F.col("twin1")).otherwise(F.col("twin2"))
-    pairs = _met(close, earliest, ["v"]).select("first", twin.alias("twin")).where(F.col("twin") < F.col("first")).distinct()
+    pairs = kept(_met(close, earliest, ["v"]).select("first", twin.alias("twin")).where(F.col("twin") < F.col("first")).distinct())
     words = own.select("first", "words")
     checked = pairs.join(words, "first").join(words.select(F.col("first").alias("twin"), F.col("words").alias("others")), "twin").where(one_edit_apart("words", "others"))
     near = checked.select("first.doc_id", "first.th", "first.line", F.lit(True).alias("near")).distinct()

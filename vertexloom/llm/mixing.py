@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from vertexloom.plans.lineage import kept
+
 BUCKETS = 4096  # of all sources together, besides one for each
 UNIT = 1 << 30  # parts of the largest weight
 CHUNK = 256  # steps of the fold whose picks are one array
@@ -126,7 +128,10 @@ def mix(
     total = docs.agg(F.count("*").alias("total"), F.greatest(F.lit(block_rows), F.ceil(F.count("*") / max_blocks)).cast("long").alias("size"))
     sizes = docs.groupBy("source").agg(F.count("*").alias("rows")).crossJoin(F.broadcast(total))
     sizes = sizes.withColumn("blocks", F.expr("(rows + size - 1) div size")).withColumn("cells", F.ceil(F.col("rows") * BUCKETS / F.col("total")).cast("long"))
-    picks = schedule(shares_of(sizes, weights, default_weight, exponent), max_sources)
+    # sizes, the run and the offsets are bounded, and the plans below hold their tables instead of how they are made,
+    # which would be planned again after every stage in the driver's memory
+    sizes = kept(sizes)
+    picks = kept(schedule(shares_of(sizes, weights, default_weight, exponent), max_sources))
     # the random order's upper 32 bits choose the bucket: buckets are even and in order
     of = sizes.select(F.col("source").alias("s"), "cells", "size")
     dealt = rows.join(F.broadcast(of), _same(F.col("source"), F.col("s"))).withColumn("bucket", F.shiftrightunsigned(F.col("upper") * F.col("cells"), 32)).drop("s", "cells")
@@ -134,7 +139,7 @@ def mix(
     within = dealt.withColumn("n", F.coalesce(F.sum("times").over(here), F.lit(0)))
     counts = dealt.groupBy("source", "bucket").agg(F.sum("times").alias("rows"))
     before = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    offsets = counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset"))
+    offsets = kept(counts.select(F.col("source").alias("s"), F.col("bucket").alias("b"), F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("offset")))
     numbered = within.join(F.broadcast(offsets), _same(F.col("source"), F.col("s")) & (F.col("bucket") == F.col("b"))).withColumn("n", F.col("n") + F.col("offset")).drop("s")
     # repeated rows take the places from n on
     numbered = numbered.withColumn("part", F.explode(F.expr(f"sequence(0L, (times - 1) div {COPIES})")))
