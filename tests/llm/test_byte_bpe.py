@@ -103,3 +103,13 @@ def test_query_and_columns(spark, tmp_path):
     assert B.encode(docs.limit(0)).count() == 0
     halves = spark.sql("select cast(null as array<int>) ids").unionAll(spark.createDataFrame([(THEIRS.encode_ordinary("😀")[:1],)], "ids array<int>"))
     assert [r[0] for r in halves.select(B.decoded_text("ids")).collect()] == [None, "�"]
+
+
+def test_query_has_one_python_worker_a_task(spark, tmp_path):
+    texts = [None, "", "naïve 😀", "z" * 5000, *(f"text {i}" for i in range(300))]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = B.op12_byte_bpe(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "ArrowEvalPython" not in plan
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    both = B.encode(docs, back=True).select("doc_id", "bytes", B.decoded("ids").alias("again")).collect()
+    assert {r.doc_id: bytes(r.bytes) for r in both} == {r.doc_id: bytes(r.again) for r in both} == {i: (t or "").encode() for i, t in enumerate(texts)}

@@ -163,9 +163,14 @@ def codec(path: str | None = None, pattern: str | None = None) -> Codec:
     return Codec(path or vocabulary(), pattern or public_tokenizers.PATTERN)
 
 
-def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None) -> DataFrame:
-    """doc_id, ids, and starts and ends of the tokens in code points, of docs (doc_id, text, ...)."""
+def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None, back: bool = False) -> DataFrame:
+    """doc_id, ids, and starts and ends of the tokens in code points, of docs (doc_id, text, ...).
+
+    With back, also bytes: what the ids decode to, by the same worker, so that a task needs one worker and one table of
+    tokens, and no more than SLICE texts are decoded at a time.
+    """
     kind = docs.schema["doc_id"].dataType.simpleString()
+    names = ["doc_id", "ids", "starts", "ends", *(["bytes"] if back else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(path, pattern)
@@ -175,10 +180,12 @@ def encode(docs: DataFrame, path: str | None = None, pattern: str | None = None)
                 ids, starts, ends = zip(*(own.encode(t or "") for t in some.column(1).to_pylist()), strict=True)
                 borders = pa.array(np.cumsum([0, *map(len, ids)]), pa.int32())
                 lists = [pa.ListArray.from_arrays(borders, pa.array(np.concatenate(x))) for x in (ids, starts, ends)]
-                yield pa.RecordBatch.from_arrays([some.column(0), *lists], ["doc_id", "ids", "starts", "ends"])
+                if back:
+                    lists.append(pa.array([own.decode(x.tolist()) for x in ids], pa.binary()))
+                yield pa.RecordBatch.from_arrays([some.column(0), *lists], names)
 
     slim = docs.select("doc_id", F.col("text").cast("string"))
-    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>")
+    return slim.mapInArrow(run, f"doc_id {kind}, ids array<int>, starts array<int>, ends array<int>{', bytes binary' if back else ''}")
 
 
 def decoded(ids: Column | str, path: str | None = None, pattern: str | None = None) -> Column:
@@ -210,7 +217,7 @@ def texts_of_tokens(ids: Column | str, path: str | None = None, pattern: str | N
 
 def op12_byte_bpe(spark, sf_dir: str) -> DataFrame:
     """Every document's number of tokens, and digests of its ids and of the bytes that they decode to."""
-    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "ids", decoded("ids").alias("bytes"))
+    encoded = encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), back=True)
     return encoded.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
