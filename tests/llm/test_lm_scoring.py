@@ -164,3 +164,16 @@ def test_empty_tables(spark):
     held = next(i for i in range(99) if zlib.crc32(str(i).encode()) % 7 == 2)
     row = M.score_documents(frame(spark, [(held, "a b")])).first()
     assert (row.train_tokens, row.n_known, row.base_score, row.score) == (0, 0, 0.0, 0.0)
+
+
+def test_many_words_are_neither_gathered_nor_joined_with_texts(spark, monkeypatch):
+    """Each pair and word of a slice leaves it once; nothing has a row for each pair of a text."""
+    monkeypatch.setattr(M, "COUNTED", 20_000)
+    rng = random.Random(8)
+    rows = [(i, " ".join(f"v{rng.randrange(10**6)}" if rng.random() < 0.5 else f"w{rng.randrange(30)}" for _ in range(200))) for i in range(600)]
+    sizes, whole = [], M.kept
+    monkeypatch.setattr(M, "kept", lambda df: sizes.append((whole(df), df.columns)) or sizes[-1][0])
+    got = {r.doc_id: r for r in M.score_documents(frame(spark, rows), bits_per_key=40, segment_bytes=100_000, max_vocabulary=0, max_bits=0).collect()}
+    want = dict(zip([i for i, _ in rows], slow_scores(rows), strict=True))
+    assert len(got) == 600 and all(abs(got[i].score - s) < 1e-6 * abs(s) for i, s in want.items())
+    assert max(df.count() for df, _ in sizes) < 2000  # 120,600 tokens; some 60,000 words

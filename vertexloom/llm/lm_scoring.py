@@ -11,14 +11,14 @@ saw isn't probed: it can't have been counted.
 
 The filter is made of segments, dealt by the pair's first word and four bits of its second, whose number follows the
 training text (segment_bytes each), so that none outgrows a task; each has bits_per_key bits for each of its own keys,
-so the error rate is the same at every size. The tasks exchange pairs as sorted codes of known words, 3 to 5 bytes each.
+so the error rate is the same at every size.
 
 What is broadcast is bounded, and what is larger has an exact way that gives the same scores:
-- a filter of at most max_bits (8 MB; every worker process holds it) goes to the workers, which probe it text by text;
-- a larger one stays in its segments: slices of texts send their pairs, with the texts they stand in, to the segments,
-  and get back what these add to each text's score (texts are read where they lie and never shuffled);
-- a vocabulary beyond max_vocabulary words (21 bytes each: 168 MB) is neither broadcast nor coded: pairs are joined as
-  64-bit hashes of their words.
+- the filter of a training text of a few megabytes (at most max_bits for two bytes a token; every worker process holds it)
+  and its vocabulary (at most max_vocabulary words) go to the workers, which probe text by text;
+- else texts are read once and kept as places in their slice's words; slices of texts send the 64-bit keys of their
+  distinct pairs and words to the segments once, for counts and questions together, and get levels and exact counts back.
+  No vocabulary leaves the segments, so this is one plan whatever the number of words.
 
 Defined results: null counts as empty; a text without words is the end token alone; a null doc_id is in the
 training fold; repeated rows count as often as they come; with no training rows N = V = 0; further columns
@@ -354,25 +354,17 @@ def word_values(filter_: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def score_texts(texts: list, hashes: _Hashes, own: Words, ask) -> tuple[np.ndarray, ...]:
-    """n_tokens, n_known, base_score, score of each text; ask(h, w) gives the levels of pairs of codes of known words.
-    Where ask is None, the score lacks these pairs, and they follow: (h, w, text's number)."""
+    """n_tokens, n_known, base_score, score of each text; ask(h, w) gives the levels of pairs of codes of known words."""
     tokens, starts = tokens_of(texts, hashes)
     codes = own.codes(tokens)
     h = before(codes, starts, own.codes(np.array([END]))[0])
     means = own.means
     open_ = (h < own.n) & (codes < own.n)
     level = np.zeros(len(codes), np.int64)
-    if ask is not None:
-        pair, back = np.unique(h[open_] * (own.n + 1) + codes[open_], return_inverse=True)
-        level[open_] = ask(pair // (own.n + 1), pair % (own.n + 1))[back]
+    pair, back = np.unique(h[open_] * (own.n + 1) + codes[open_], return_inverse=True)
+    level[open_] = ask(pair // (own.n + 1), pair % (own.n + 1))[back]
     each = lambda x: np.add.reduceat(x, starts[:-1]) if len(codes) else np.empty(0)
-    score = own.joint(h, codes, level, means)
-    if ask is None:
-        score = np.where(open_, 0.0, score)
-    found = np.diff(starts), each((codes < own.n).astype(np.int64)), each(own.base(codes)), each(score)
-    if ask is not None:
-        return found
-    return *found, (h[open_], codes[open_], np.repeat(np.arange(len(texts)), np.diff(starts))[open_])
+    return np.diff(starts), each((codes < own.n).astype(np.int64)), each(own.base(codes)), each(own.joint(h, codes, level, means))
 
 
 def _columns(n, known, base, score, own: Words) -> list[pa.Array]:
@@ -405,171 +397,201 @@ def probed_by_workers(rows: DataFrame, filter_: DataFrame, shared: Broadcast, sh
     return rows.mapInArrow(run, schema)
 
 
-def probed_in_segments(rows: DataFrame, filter_: DataFrame, shared: Broadcast, shape: Shape, schema: str) -> DataFrame:
-    """Scores with each segment in one task: slices of texts send their pairs there, and sums come back.
-
-    A row of what is sent: the slice; pairs in order, how often each stands in the slice, and the numbers of the texts;
-    or, once for each slice, the texts' own columns (rest). rows must come in the same order whenever they are read, as
-    from files.
-    """
+def coded(rows: DataFrame) -> DataFrame:
+    """Slices of about COUNTED tokens of rows (doc_id, held_out, text): the texts' columns, how many tokens they have, the
+    words' hashes, most frequent first, and the tokens as places there."""
     kind = rows.schema["doc_id"].dataType.simpleString()
-    names = ["segment", "slice", "pairs", "times", "at", "rest"]
-    rest_type = f"array<struct<doc_id:{kind},held_out:boolean,n_tokens:bigint,n_known:bigint,base_score:double,score:double>>"
+    names = ["slice", "doc_id", "held_out", "sizes", "words", "codes"]
 
-    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, hashes, number = shared.value, _Hashes(), 0
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, number, size = _Hashes(), 0, 0
         held: list[tuple] = []
-        size = texts = 0
-
-        def give(id_type: pa.DataType) -> Iterator[pa.RecordBatch]:
-            ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
-            flags = pa.chunked_array([x[1] for x in held]).combine_chunks()
-            n, known, base, score, h, w, at = (np.concatenate(x) for x in list(zip(*held, strict=True))[2:])
-            slice_ = (TaskContext.get().partitionId() << 32) + number
-            fields = [pa.field("doc_id", id_type), pa.field("held_out", pa.bool_()), pa.field("n_tokens", pa.int64()), pa.field("n_known", pa.int64()), pa.field("base_score", pa.float64()), pa.field("score", pa.float64())]
-            rest = pa.StructArray.from_arrays([ids, flags, pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score)], fields=fields)
-            a, b = own.known[h], own.known[w]
-            segment, pair = pair_segment(a, b, shape.number), h * (own.n + 1) + w
-            order = np.lexsort((at, pair, segment))
-            segment, pair, at = segment[order], pair[order], at[order]
-            out = []
-            for s, here in _by_segment(segment):
-                unique, times = np.unique(pair[here], return_counts=True)
-                out.append((s, packed(unique, True), packed(times), packed(at[here])))
-            lists = pa.ListArray.from_arrays(pa.array([0] * (len(out) + 1) + [len(rest)], pa.int32()), rest)
-            binary = lambda i: pa.array([x[i] for x in out] + [b""], pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out] + [number % shape.number], pa.int32()), pa.array([slice_] * (len(out) + 1), pa.int64()), binary(1), binary(2), binary(3), lists], names)
+
+        def give() -> pa.RecordBatch:
+            ids, flags, tokens, sizes = zip(*held, strict=True)
+            unique, back, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
+            order = np.argsort(-times, kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.chunked_array(x).combine_chunks()) for x in (ids, flags)]
+            blobs = [packed(np.concatenate(sizes)), unique[order].tobytes(), packed(place[back])]
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([(TaskContext.get().partitionId() << 32) + number]), *lists, *(pa.array([x], pa.binary()) for x in blobs)], names)
 
         for batch in batches:
             for start in range(0, batch.num_rows, SLICE):
                 some = batch.slice(start, SLICE)
-                *found, (h, w, at) = score_texts(some.column(2).to_pylist(), hashes, own, None)
-                held.append((some.column(0), some.column(1), *found, h, w, at + texts))
-                size, texts = size + len(h), texts + some.num_rows
+                tokens, starts = tokens_of(some.column(2).to_pylist(), hashes)
+                held.append((some.column(0), some.column(1), tokens, np.diff(starts)))
+                size += len(tokens)
                 if size >= COUNTED:
-                    yield from give(batch.schema.field(0).type)
-                    held.clear()
-                    size, texts, number = 0, 0, number + 1
-            id_type = batch.schema.field(0).type
+                    yield give()
+                    size, number = 0, number + 1
         if held:
-            yield from give(id_type)
-
-    def answered(left: pa.Table, right: pa.Table) -> pa.Table:
-        own, out = shared.value, []
-        bloom = LogBloom.of(shape, right["size"].to_pylist(), right["bits"].to_pylist())
-        for slice_, pairs, times, at in zip(*(left[c].to_pylist() for c in names[1:5]), strict=True):
-            if not pairs:
-                continue
-            pair, where = unpacked(pairs, True), unpacked(at)
-            h, w = pair // (own.n + 1), pair % (own.n + 1)
-            level = bloom.highest(pair_key(own.known[h], own.known[w]), np.zeros(len(h), np.int64)) if right.num_rows else np.zeros(len(h), np.int64)
-            each = np.repeat(own.joint(h, w, level, own.means), unpacked(times))
-            text, back = np.unique(where, return_inverse=True)
-            out.append((slice_, packed(text, True), np.bincount(back, each).astype("<f8").tobytes()))
-        of = left.filter(pc.equal(pc.binary_length(left["pairs"]), 0))
-        rest = pa.chunked_array([pa.nulls(len(out), left.schema.field("rest").type), *of["rest"].chunks])
-        blobs = lambda i: pa.array([x[i] for x in out] + [b""] * of.num_rows, pa.binary())
-        return pa.table([pa.array([x[0] for x in out] + of["slice"].to_pylist(), pa.int64()), blobs(1), blobs(2), rest], ["slice", "text", "sums", "rest"])
-
-    def summed(table: pa.Table) -> pa.Table:
-        own = shared.value
-        rest = table["rest"].drop_null().combine_chunks().flatten()
-        score = rest.field("score").to_numpy(zero_copy_only=False).copy()
-        # in one order, whatever order the rows come in
-        for text, sums in sorted(zip(table["text"].to_pylist(), table["sums"].to_pylist(), strict=True)):
-            if text:
-                score[unpacked(text, True)] += np.frombuffer(sums, "<f8")
-        found = (rest.field(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "n_known", "base_score"))
-        return pa.table([rest.field("doc_id"), rest.field("held_out"), *_columns(*found, score, own)], NAMES)
+            yield give()
 
-    asked = rows.mapInArrow(sent, f"segment int, slice long, pairs binary, times binary, at binary, rest {rest_type}")
-    answers = asked.groupBy("segment").cogroup(filter_.select("segment", "size", "bits").groupBy("segment")).applyInArrow(answered, f"slice long, text binary, sums binary, rest {rest_type}")
-    return answers.groupBy("slice").applyInArrow(summed, schema)
+    return kept(rows.mapInArrow(run, f"slice long, doc_id array<{kind}>, held_out array<boolean>, sizes binary, words binary, codes binary"))
 
 
-def probed_by_joins(rows: DataFrame, words: DataFrame, tokens: int, known: int, mu: float, shape: Shape) -> DataFrame:
-    """Scores where the vocabulary is too large to broadcast: pairs and words are joined as hashes."""
-    rows = kept(rows.withColumn("row", F.monotonically_increasing_id()))
+@dataclass
+class Slice:
+    """The tokens of a slice, its pairs in the order of their segments, and its words in that of theirs."""
 
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE):
-                some = batch.slice(start, SLICE)
-                own, starts = tokens_of(some.column(1).to_pylist(), hashes)
-                row = np.repeat(some.column(0).to_numpy(), np.diff(starts))
-                each, n = np.unique(np.stack([row, before(own, starts, END).view(np.int64), own.view(np.int64)], axis=1), axis=0, return_counts=True)
-                yield pa.RecordBatch.from_arrays([*(pa.array(np.ascontiguousarray(each[:, i])) for i in range(3)), pa.array(n)], ["row", "h", "w", "n"])
+    sizes: np.ndarray
+    words: np.ndarray
+    codes: np.ndarray
+    h: np.ndarray  # of each pair, the place of its first word
+    w: np.ndarray
+    pair: np.ndarray  # of each token, the pair that it ends
+    pair_segment: np.ndarray
+    order: np.ndarray  # of words
+    word_segment: np.ndarray  # in that order
+
+    @classmethod
+    def of(cls, sizes: bytes, words: bytes, codes: bytes, number: int) -> Slice:
+        size, word, code = unpacked(sizes), np.frombuffer(words, np.uint64), unpacked(codes)
+        starts = np.concatenate([[0], np.cumsum(size)])
+        unique, back = np.unique(before(code, starts, code[-1]) * len(word) + code, return_inverse=True)  # the last token is an end
+        h, w = unique // len(word), unique % len(word)
+        segment, of = pair_segment(word[h], word[w], number), word_segment(word, number)
+        order, words_order = np.argsort(segment, kind="stable"), np.argsort(of, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return cls(size, word, code, h[order], w[order], place[back], segment[order], words_order, of[words_order])
+
+
+def probed_in_segments(rows: DataFrame, shape: Shape, mu: float, schema: str) -> DataFrame:
+    """Scores with each segment in one task and no vocabulary outside them: each slice sends the keys of its pairs and its
+    words once, with their counts in its training texts, to the segments; these add up, make their filter, and send back
+    the level of every pair and the exact count and level of every word.
+
+    T(h) is the count of h less what the level means of its pairs lack of their counts. That is nothing for counts up to
+    3, so only other pairs are told: by the segment to one slice that has the pair, by word from there, and back.
+    """
+    number, means = shape.number, shape.means
+    slices = coded(rows)
 
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, held, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                own = Slice.of(*blobs, number)
+                train = np.repeat(~np.array(held, bool), own.sizes).astype(np.float64)
+                count = np.bincount(own.pair, train, len(own.h)).astype(np.int64)
+                times = np.bincount(own.codes, train, len(own.words)).astype(np.int64)[own.order]
+                key, word = pair_key(own.words[own.h], own.words[own.w]), own.words[own.order]
+                out = {s: (packed(own.h[at], True), key[at].tobytes(), packed(count[at]), b"", b"") for s, at in _by_segment(own.pair_segment)}
+                for s, at in _by_segment(own.word_segment):
+                    out[s] = (*out.get(s, (b"",) * 5)[:3], word[at].tobytes(), packed(times[at]))
+                columns = [pa.array([x[i] for x in out.values()], pa.binary()) for i in range(5)]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([slice_] * len(out), pa.int64()), *columns], asked_names)
+
+    asked_names = ["segment", "slice", "heads", "keys", "counts", "words", "times"]
+
+    def added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, ...]:
+        """All keys, their sums, of each sent key its place, of each key one that was sent; and where rows begin."""
+        key, first, back = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_index=True, return_inverse=True)
+        count = np.concatenate([unpacked(c) for c in counts if c] or [np.empty(0, np.int64)])
+        return key, np.bincount(back, count, len(key)).astype(np.int64), back, first, np.cumsum([0, *(len(k) // 8 for k in keys)])
+
+    def answered(table: pa.Table) -> pa.Table:
+        heads, keys, counts, words, times = (table[c].to_pylist() for c in asked_names[2:])
+        key, count, back, first, starts = added(keys, counts)
+        word, n, word_back, _, word_starts = added(words, times)
+        taught, known = count > 0, n > 0
+        lone, true = word_key(word), np.zeros(len(key), np.int64)
+        true[taught] = shape.levels(count[taught])
+        size, bits = shape.filled(np.concatenate([key[taught], lone[known]]), np.concatenate([true[taught], shape.levels(n[known])]))
+        bloom = LogBloom.of(shape, [size], [bits.tobytes()])
+        level = bloom.highest(key, np.zeros(len(key), np.int64))
+        seen = np.zeros(len(word), np.int64)
+        seen[known] = bloom.highest(lone[known], np.zeros(int(known.sum()), np.int64))
+        lack = count - means[true]
+        told = np.zeros(len(back))
+        told[first] = lack
+        out = []
+        for i, head in enumerate(heads):
+            at, own = slice(starts[i], starts[i + 1]), slice(word_starts[i], word_starts[i + 1])
+            some = np.flatnonzero(told[at])
+            head = unpacked(head, True)[some] if len(some) else np.empty(0, np.int64)
+            out.append((packed(level[back[at]]), packed(n[word_back[own]]), packed(seen[word_back[own]]), packed(head, True), told[at][some].tobytes()))
+        once = lambda x, kind: pa.array([x] + [0] * (len(out) - 1), kind)
+        columns = [table["slice"].combine_chunks(), table["segment"].combine_chunks(), *(pa.array([x[i] for x in out], pa.binary()) for i in range(5))]
+        return pa.table([*columns, once(int(n.sum()), pa.int64()), once(int(known.sum()), pa.int64()), once(float(means[seen].sum()), pa.float64())], [x.split()[0] for x in answer.split(", ")])
+
+    answer = "slice long, segment int, levels binary, times binary, seen binary, heads binary, lacks binary, tokens long, known long, mass double"
+    asked = slices.select("slice", "held_out", "sizes", "words", "codes").mapInArrow(sent, "segment int, slice long, heads binary, keys binary, counts binary, words binary, times binary")
+    answers = kept(asked.groupBy("segment").applyInArrow(answered, answer))
+    tokens, known, mass = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "mass"))).first()
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            h, w = (batch.column(i).to_numpy().view(np.uint64) for i in (0, 1))
-            lone = batch.column(2).to_numpy(zero_copy_only=False)
-            segment = np.where(lone, word_segment(w, shape.number), pair_segment(h, w, shape.number))
-            key = np.where(lone, word_key(w), pair_key(h, w)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(segment.astype(np.int32)), pa.array(key)], [*batch.schema.names, "segment", "key"])
+            for slice_, heads, lacks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                code = unpacked(heads, True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), slice_)), pa.array(code), pa.array(np.frombuffer(lacks, np.float64))], ["slice", "code", "lack"])
 
-    def filled(table: pa.Table) -> pa.Table:
-        keys = table["key"].to_numpy().view(np.uint64)
-        size, bits = shape.filled(keys, table["level"].to_numpy())
-        return pa.table([table["segment"][:1], pa.array([size], pa.int64()), pa.array([bits.tobytes()], pa.binary())], ["segment", "size", "bits"])
-
-    def asked(left: pa.Table, right: pa.Table) -> pa.Table:
-        level = np.zeros(left.num_rows, np.int64)
-        if right.num_rows:
-            bloom = LogBloom.of(shape, right["size"].to_pylist(), right["bits"].to_pylist())
-            level = bloom.highest(left["key"].to_numpy().view(np.uint64), np.zeros(left.num_rows, np.int64))
-        return left.select(["h", "w", "lone"]).append_column("seen", pa.array(level))
-
-    texts = kept(rows.select("row", "text").mapInArrow(pairs, "row long, h long, w long, n long").join(rows.select("row", "held_out"), "row"))
-    means = F.lit(shape.means.tolist())
-    level = (1 + F.floor(F.log("count") / float(np.log(shape.base)) + 1e-9)).cast("long")
-    counts = texts.where("not held_out").groupBy("h", "w").agg(F.sum("n").alias("count")).withColumn("lone", F.lit(False))
-    counts = kept(counts.unionByName(words.select(F.lit(0).cast("long").alias("h"), F.col("key").alias("w"), "count", F.lit(True).alias("lone"))).withColumn("level", level))
-    put = lambda df, extra="": df.mapInArrow(placed, f"h long, w long, lone boolean{extra}, segment int, key long")
-    filter_ = kept(put(counts.select("h", "w", "lone", "level"), ", level long").groupBy("segment").applyInArrow(filled, "segment int, size long, bits binary"))
-    every = texts.select("h", "w", F.lit(False).alias("lone")).distinct().unionByName(words.select(F.lit(0).cast("long").alias("h"), F.col("key").alias("w"), F.lit(True).alias("lone")))
-    levels = kept(put(every).groupBy("segment").cogroup(filter_.groupBy("segment")).applyInArrow(asked, "h long, w long, lone boolean, seen long"))
-    mean = lambda c: F.element_at(means, F.col(c).cast("int") + 1)
-    sums = counts.where("not lone").groupBy("h").agg(F.sum(mean("level")).alias("total"))
-    single = kept(words.join(levels.where("lone").select(F.col("w").alias("key"), mean("seen").alias("m")), "key").select(F.col("key").alias("w"), "count", "m"))
-    mass = float(single.agg(F.coalesce(F.sum("m"), F.lit(0.0))).first()[0])
-    p = (F.coalesce("m", F.lit(0.0)) + 1) / (mass + known + 1)
-    own = F.when(F.col("count").isNotNull() & F.col("heard"), mean("seen")).otherwise(0.0)
-    heads = words.select(F.col("key").alias("h"), F.lit(True).alias("heard"))
-    full = texts.join(levels.where("not lone").drop("lone"), ["h", "w"]).join(single, "w", "left").join(sums, "h", "left").join(heads, "h", "left").withColumn("heard", F.coalesce("heard", F.lit(False)))
-    score = F.sum(F.col("n") * F.log10((own + mu * p) / (F.coalesce("total", F.lit(0.0)) + mu)))
-    base = F.sum(F.col("n") * F.log10((F.coalesce("count", F.lit(0)) + 1) / (tokens + known + 1)))
-    scored = full.groupBy("row").agg(F.sum("n").alias("n_tokens"), F.sum(F.when(F.col("count") > 0, F.col("n")).otherwise(0)).alias("n_known"), base.alias("base_score"), score.alias("score"))
-    return rows.select("row", "doc_id", "held_out").join(scored, "row").select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for slice_, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                word = np.frombuffer(words, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), slice_)), pa.array(np.arange(len(word))), pa.array(word)], ["slice", "code", "word"])
+
+    places = slices.select("slice", "words").mapInArrow(listed, "slice long, code long, word long")
+    lacks = answers.where(F.length("lacks") > 0).select("slice", "heads", "lacks").mapInArrow(lacking, "slice long, code long, lack double")
+    of_slice = lacks.groupBy("slice", "code").agg(F.sum("lack").alias("lack"))
+    of_word = kept(of_slice.join(places, ["slice", "code"]).groupBy("word").agg(F.sum("lack").alias("lack")))
+    told = places.join(of_word, "word").groupBy("slice").agg(F.collect_list("code").alias("code"), F.collect_list("lack").alias("lack"))
+    own_answers = answers.select("slice", "segment", "levels", "times", "seen", F.expr("cast(null as array<bigint>)").alias("code"), F.expr("cast(null as array<double>)").alias("lack"))
+    nothing = F.lit(None).cast("binary")
+    every = own_answers.unionByName(told.select("slice", F.lit(-1).alias("segment"), nothing.alias("levels"), nothing.alias("times"), nothing.alias("seen"), "code", "lack"))
+
+    def scored(left: pa.Table, right: pa.Table) -> pa.Table:
+        own = Slice.of(*(left[c][0].as_py() for c in ("sizes", "words", "codes")), number)
+        right = right.sort_by("segment")
+        from_segments = right.filter(pc.greater_equal(right["segment"], 0))
+        level, n, seen = (np.concatenate([unpacked(x) for x in from_segments[c].to_pylist()]) for c in ("levels", "times", "seen"))
+        count, word_level, total = (np.zeros(len(own.words), np.int64) for _ in range(3))
+        count[own.order], word_level[own.order] = n, seen
+        total = count.astype(np.float64)
+        for code, lack in zip(*(right.filter(pc.less(right["segment"], 0))[c].to_pylist() for c in ("code", "lack")), strict=True):
+            total[code] -= lack
+        level = np.where((count[own.h] > 0) & (count[own.w] > 0), level, 0)
+        single = (means[word_level] + 1) / (mass + known + 1)
+        joint = np.log10((means[level] + mu * single[own.w]) / (total[own.h] + mu))
+        base = np.log10((count + 1) / (tokens + known + 1))
+        starts = np.cumsum(own.sizes) - own.sizes
+        each = lambda x: np.add.reduceat(x, starts)
+        found = [own.sizes, each((count > 0).astype(np.int64)[own.codes]), np.full(len(starts), tokens), each(base[own.codes]), each(joint[own.pair])]
+        ids, flags = (left[c].combine_chunks().flatten() for c in ("doc_id", "held_out"))
+        return pa.table([ids, flags, *map(pa.array, found)], NAMES)
+
+    return slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(scored, schema)
 
 
 def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 26, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 23) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text, ...)."""
     rows = docs.select("doc_id", held_out().alias("held_out"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     train = rows.where("not held_out")
+    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}"
+    size = int(train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0])
+    shape = Shape(base, bits_per_key, max(1, -(-size // segment_bytes)))
+    if size * bits_per_key > max_bits:  # a token takes two bytes at least, and adds a word's and a pair's level at most
+        return probed_in_segments(rows, shape, mu, schema)
     words = kept(count_words(train))
     tokens, known = words.agg(F.coalesce(F.sum("count"), F.lit(0)), F.count("*")).first()
-    size = train.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    shape = Shape(base, bits_per_key, max(1, -(-int(size) // segment_bytes)))
     if known > max_vocabulary:
-        return probed_by_joins(rows, words, int(tokens), int(known), mu, shape)
+        return probed_in_segments(rows, shape, mu, schema)
     shared = rows.sparkSession.sparkContext.broadcast
     table = words.toArrow()
     key, count = table["key"].to_numpy().view(np.uint64), table["count"].to_numpy()
     order = np.argsort(key)
     small = np.int32 if count.max(initial=0) < 1 << 31 else np.int64
     own = Words(key[order], np.append(count[order], 0).astype(small), int(tokens), mu)
-    del table, key, count, order
     first = shared(own)
     filter_ = build_filter(train, words, first, shape)
     first.destroy()  # workers hold one vocabulary, not two; the filter is written by now
     own = own.with_filter(*word_values(filter_, own.n), shape.means)
     own.means = shape.means
-    whole = int(filter_.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
-    schema = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {OUT}"
-    probed = probed_by_workers if whole <= max_bits else probed_in_segments
-    return probed(rows, filter_, shared(own), shape, schema)
+    return probed_by_workers(rows, filter_, shared(own), shape, schema)
 
 
 def op4_log_bloom_scoring(spark, sf_dir: str) -> DataFrame:
