@@ -97,3 +97,43 @@ def test_forests_tours_and_values_below(spark):
 def test_no_edges(spark):
     assert planar.blocks(many(spark, [[(2, 2)]])).count() == 0
     assert planar.bridges(many(spark, [[(2, 2), (3, 3)]])).count() == 0
+
+
+def counted(monkeypatch):
+    """How many rows the tables of loops get from now on."""
+    rows = []
+
+    class Counting(trees.Rounds):
+        def __call__(self, df):
+            out = super().__call__(df)
+            rows.append(out.count())
+            return out
+
+    monkeypatch.setattr(trees, "Rounds", Counting)
+    return rows
+
+
+def test_values_below_on_long_tours_take_no_round_of_all_places(spark, monkeypatch):
+    rng = random.Random(5)
+    n = 9000
+    tour = [("path", 0, i, i - 1, i, i - 1, 2 * n - i) for i in range(1, n + 1)]  # below i is all that follows
+    tour += [("star", 7, i, 7, 10 + i, 2 * i, 2 * i + 1) for i in range(3000)]
+    value = {(t[0], t[4]): sorted(rng.sample(range(10**6), 2)) for t in tour}
+    frame = spark.createDataFrame(tour, "graph_id string, root long, eid long, parent long, node long, first long, last long")
+    values = spark.createDataFrame([(*k, *v) for k, v in value.items()], "graph_id string, node long, low long, high long")
+    rows = counted(monkeypatch)
+    got = {(r.graph_id, r.node): [r.low, r.high] for r in trees.below(frame, values).collect()}
+    low, high = 10**9, -1
+    for i in range(n, 0, -1):
+        low, high = min(low, value["path", i][0]), max(high, value["path", i][1])
+        value["path", i] = [low, high]
+    assert got == value and sum(rows) < 2 * n
+
+
+def test_ranks_take_few_rounds_of_all_darts(spark, monkeypatch):
+    order = random.Random(6).sample(range(10**6), 5000)
+    darts = [("a", d, after, int(after is not None)) for d, after in zip(order, [*order[1:], None], strict=True)]
+    rows = counted(monkeypatch)
+    got = trees._ranked(spark.createDataFrame(darts, "graph_id string, dart long, next long, left long")).collect()
+    assert {r.dart: r.left for r in got} == {d: len(order) - 1 - i for i, d in enumerate(order)}
+    assert sum(rows) < 7.5 * len(order)  # doubling all of them takes 9 tables of all
