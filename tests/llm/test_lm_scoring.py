@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -177,3 +178,30 @@ def test_many_words_are_neither_gathered_nor_joined_with_texts(spark, monkeypatc
     want = dict(zip([i for i, _ in rows], slow_scores(rows), strict=True))
     assert len(got) == 600 and all(abs(got[i].score - s) < 1e-6 * abs(s) for i, s in want.items())
     assert max(df.count() for df, _ in sizes) < 2000  # 120,600 tokens; some 60,000 words
+
+
+def test_distinct_numbers():
+    rng = np.random.default_rng(2)
+    for x in (np.empty(0, np.uint64), rng.integers(0, 500, 3000).astype(np.uint64), np.full(9, 7)):
+        unique, back, first = M.distinct(x)
+        assert unique.tolist() == np.unique(x).tolist() and (unique[back] == x).all() and (x[first] == unique).all()
+
+
+def test_a_slice_takes_some_bytes_a_token():
+    """A slice has a million tokens and two tasks share an executor. Here it took 59 bytes a token, of which it kept 23."""
+    rng = np.random.default_rng(4)
+    tokens = np.sort(np.minimum(rng.zipf(1.3, 300_000), 60_000))[rng.permutation(300_000)]
+    words, codes = np.unique(tokens, return_inverse=True)
+    blobs = M.packed(np.full(600, 500)), words.astype(np.uint64).tobytes(), M.packed(codes)
+    tracemalloc.start()
+    own = M.Slice.of(*blobs, 88)
+    kept_, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert (own.h[own.pair] == M.before(codes, np.arange(0, 300_001, 500), codes[-1])).all() and (own.w[own.pair] == codes).all()
+    assert peak < 45 * len(codes) and kept_ < 16 * len(codes), (peak / len(codes), kept_ / len(codes))
+
+
+def test_lacks_travel_as_arrays_not_as_joined_rows(spark):
+    """What the words lack was joined with a row for each word of each slice, twice; that filled the executors' heaps."""
+    plan = M.score_documents(frame(spark, corpus()), max_bits=0)._jdf.queryExecution().toString()
+    assert "FlatMapCoGroupsInArrow" in plan and "Join" not in plan and "collect_list" not in plan

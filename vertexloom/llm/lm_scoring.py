@@ -28,6 +28,7 @@ are ignored, whatever their names; an empty table gives no rows; texts may have
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -43,7 +44,8 @@ from vertexloom.plans.lineage import kept
 
 SLICE = 256
 COUNTED = 1_000_000  # tokens whose pairs are summed before they leave a task
-CACHED = 200_000  # words whose hashes a task remembers
+STRETCH = 1 << 17  # keys that are probed at a time
+CACHED = 50_000  # words whose hashes a task remembers
 SALTS = np.uint64(15)
 END = np.uint64(xxhash.xxh64_intdigest(b" "))  # no word has a space in it
 C1, C2, C3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F)
@@ -78,7 +80,7 @@ def tokens_of(texts: list[str | None], hashes: _Hashes) -> tuple[np.ndarray, np.
 
 def before(tokens: np.ndarray, starts: np.ndarray, end) -> np.ndarray:
     """The token before each token; the end token before a text's first one."""
-    out = tokens[np.arange(len(tokens)) - 1]
+    out = np.roll(tokens, 1)
     out[starts[:-1]] = end
     return out
 
@@ -146,12 +148,18 @@ class Shape:
         size = max(64, -(-int(level.sum()) * self.bits_per_key // 64) * 64)
         flags = np.zeros(size, bool)
         for q in range(1, int(level.max(initial=0)) + 1):
-            start, step = stride(keys[level >= q], q)
-            for i in range(self.probes):
-                flags[((start + np.uint64(i) * step) % np.uint64(size)).view(np.int64)] = True
+            for some in stretches(keys[level >= q]):
+                start, step = stride(some, q)
+                for i in range(self.probes):
+                    flags[((start + np.uint64(i) * step) % np.uint64(size)).view(np.int64)] = True
         return size, np.packbits(flags, bitorder="little")
 
 
+def stretches(x: np.ndarray) -> Iterator[np.ndarray]:
+    """x in parts whose intermediate results stay small."""
+    return (x[i : i + STRETCH] for i in range(0, len(x), STRETCH))
+
+
 def stride(keys: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
     """Bit i of a key with a level is at start + i * step, modulo the segment's size."""
     h = mixed(keys + np.array([level], np.uint64) * C2)
@@ -241,6 +249,46 @@ def _summed(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     return keys[first], np.add.reduceat(counts, first) if len(keys) else counts
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct numbers in order, of each number its place there, and of each distinct one a place where it stands; in
+    half of the memory that np.unique takes."""
+    order = np.argsort(x)
+    ordered = x[order]
+    new = np.append(True, ordered[1:] != ordered[:-1])[: len(x)]
+    unique, first = ordered[new], order[new]
+    del ordered
+    back = np.empty(len(x), np.int32 if len(x) < 1 << 31 else np.int64)
+    back[order] = np.cumsum(new, dtype=back.dtype) - 1
+    return unique, back, first
+
+
+def narrow(x: np.ndarray, below: int) -> np.ndarray:
+    """x, all less than below, in four bytes where that is enough."""
+    return x.astype(np.int32 if below < 1 << 31 else np.int64)
+
+
+def buffers(column: pa.Array | pa.ChunkedArray) -> Iterator[pa.Buffer]:
+    """The values of a binary column, where they are."""
+    return (x.as_buffer() for x in column)
+
+
+def release() -> None:
+    """Give back what this worker has freed: it lives on beside the next stages, where the C library would keep it."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc has it
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    yield from batches
+    release()
+
+
+def released_group(table: pa.Table) -> pa.Table:
+    release()
+    return table
+
+
 def count_words(docs: DataFrame) -> DataFrame:
     """(key, count) over all texts of docs."""
 
@@ -265,6 +313,12 @@ def count_words(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "key long, count long").groupBy("key").agg(F.sum("count").alias("count"))
 
 
+def sparse(x: np.ndarray) -> tuple[bytes, bytes]:
+    """The places of x that aren't zero, and what stands there."""
+    at = np.flatnonzero(x)
+    return packed(at, True), x[at].astype("<f8").tobytes()
+
+
 def _by_segment(segment: np.ndarray) -> Iterator[tuple[int, slice]]:
     """Runs of equal segments in a sorted array."""
     first = np.flatnonzero(np.append(True, segment[1:] != segment[:-1])) if len(segment) else np.empty(0, np.int64)
@@ -409,8 +463,8 @@ def coded(rows: DataFrame) -> DataFrame:
 
         def give() -> pa.RecordBatch:
             ids, flags, tokens, sizes = zip(*held, strict=True)
-            unique, back, times = np.unique(np.concatenate(tokens), return_inverse=True, return_counts=True)
-            order = np.argsort(-times, kind="stable")
+            unique, back, _ = distinct(np.concatenate(tokens))
+            order = np.argsort(-np.bincount(back, minlength=len(unique)), kind="stable")
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             lists = [pa.ListArray.from_arrays(pa.array([0, sum(map(len, x))], pa.int32()), pa.chunked_array(x).combine_chunks()) for x in (ids, flags)]
@@ -430,7 +484,7 @@ def coded(rows: DataFrame) -> DataFrame:
         if held:
             yield give()
 
-    return kept(rows.mapInArrow(run, f"slice long, doc_id array<{kind}>, held_out array<boolean>, sizes binary, words binary, codes binary"))
+    return kept(rows.mapInArrow(lambda batches: released(run(batches)), f"slice long, doc_id array<{kind}>, held_out array<boolean>, sizes binary, words binary, codes binary"))
 
 
 @dataclass
@@ -448,15 +502,17 @@ class Slice:
     word_segment: np.ndarray  # in that order
 
     @classmethod
-    def of(cls, sizes: bytes, words: bytes, codes: bytes, number: int) -> Slice:
-        size, word, code = unpacked(sizes), np.frombuffer(words, np.uint64), unpacked(codes)
+    def of(cls, sizes: bytes | pa.Buffer, words: bytes | pa.Buffer, codes: bytes | pa.Buffer, number: int) -> Slice:
+        size, word = unpacked(sizes), np.frombuffer(words, np.uint64)
+        code = narrow(unpacked(codes), len(word))
         starts = np.concatenate([[0], np.cumsum(size)])
-        unique, back = np.unique(before(code, starts, code[-1]) * len(word) + code, return_inverse=True)  # the last token is an end
-        h, w = unique // len(word), unique % len(word)
-        segment, of = pair_segment(word[h], word[w], number), word_segment(word, number)
+        unique, back, _ = distinct(before(code, starts, code[-1]).astype(np.int64) * len(word) + code)  # the last token is an end
+        h, w = narrow(unique // len(word), len(word)), narrow(unique % len(word), len(word))
+        del unique
+        segment, of = narrow(pair_segment(word[h], word[w], number), number), narrow(word_segment(word, number), number)
         order, words_order = np.argsort(segment, kind="stable"), np.argsort(of, kind="stable")
-        place = np.empty(len(order), np.int64)
-        place[order] = np.arange(len(order))
+        place = np.empty(len(order), back.dtype)
+        place[order] = np.arange(len(order), dtype=back.dtype)
         return cls(size, word, code, h[order], w[order], place[back], segment[order], words_order, of[words_order])
 
 
@@ -466,50 +522,55 @@ def probed_in_segments(rows: DataFrame, shape: Shape, mu: float, schema: str) ->
     the level of every pair and the exact count and level of every word.
 
     T(h) is the count of h less what the level means of its pairs lack of their counts. That is nothing for counts up to
-    3, so only other pairs are told: by the segment to one slice that has the pair, by word from there, and back.
+    3, so only other pairs are told: by the segment to one slice that has the pair, from there to the word's segment, and
+    back to all slices that have the word. All rows on the way are arrays of a slice and a segment.
     """
     number, means = shape.number, shape.means
     slices = coded(rows)
 
+    def asked_by(slice_: int, held: pa.ListScalar, own: Slice) -> pa.RecordBatch:
+        train = np.repeat(~held.values.to_numpy(zero_copy_only=False), own.sizes)
+        count, times = np.bincount(own.pair[train], minlength=len(own.h)), np.bincount(own.codes[train], minlength=len(own.words))[own.order]
+        key, word = pair_key(own.words[own.h], own.words[own.w]), own.words[own.order]
+        out = {s: (packed(own.h[at], True), key[at].tobytes(), packed(count[at]), b"", b"") for s, at in _by_segment(own.pair_segment)}
+        for s, at in _by_segment(own.word_segment):
+            out[s] = (*out.get(s, (b"",) * 5)[:3], word[at].tobytes(), packed(times[at]))
+        columns = [pa.array([x[i] for x in out.values()], pa.binary()) for i in range(5)]
+        return pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([slice_] * len(out), pa.int64()), *columns], asked_names)
+
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for slice_, held, *blobs in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                own = Slice.of(*blobs, number)
-                train = np.repeat(~np.array(held, bool), own.sizes).astype(np.float64)
-                count = np.bincount(own.pair, train, len(own.h)).astype(np.int64)
-                times = np.bincount(own.codes, train, len(own.words)).astype(np.int64)[own.order]
-                key, word = pair_key(own.words[own.h], own.words[own.w]), own.words[own.order]
-                out = {s: (packed(own.h[at], True), key[at].tobytes(), packed(count[at]), b"", b"") for s, at in _by_segment(own.pair_segment)}
-                for s, at in _by_segment(own.word_segment):
-                    out[s] = (*out.get(s, (b"",) * 5)[:3], word[at].tobytes(), packed(times[at]))
-                columns = [pa.array([x[i] for x in out.values()], pa.binary()) for i in range(5)]
-                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int32()), pa.array([slice_] * len(out), pa.int64()), *columns], asked_names)
+            for slice_, held, *blobs in zip(*batch.columns[:2], *map(buffers, batch.columns[2:]), strict=True):
+                yield asked_by(slice_.as_py(), held, Slice.of(*blobs, number))  # one slice at a time is in memory
 
     asked_names = ["segment", "slice", "heads", "keys", "counts", "words", "times"]
 
-    def added(keys: list[bytes], counts: list[bytes]) -> tuple[np.ndarray, ...]:
+    def added(keys: pa.ChunkedArray, counts: pa.ChunkedArray) -> tuple[np.ndarray, ...]:
         """All keys, their sums, of each sent key its place, of each key one that was sent; and where rows begin."""
-        key, first, back = np.unique(np.frombuffer(b"".join(keys), np.uint64), return_index=True, return_inverse=True)
-        count = np.concatenate([unpacked(c) for c in counts if c] or [np.empty(0, np.int64)])
-        return key, np.bincount(back, count, len(key)).astype(np.int64), back, first, np.cumsum([0, *(len(k) // 8 for k in keys)])
+        starts = np.cumsum([0, *(k.size // 8 for k in buffers(keys))])
+        key, back, first = distinct(np.frombuffer(b"".join(buffers(keys)), np.uint64))
+        count = np.zeros(len(key), np.int64)
+        for c, a, b in zip(buffers(counts), starts, starts[1:], strict=False):
+            if b > a:
+                np.add.at(count, back[a:b], unpacked(c))
+        return key, count, back, first, starts
 
     def answered(table: pa.Table) -> pa.Table:
-        heads, keys, counts, words, times = (table[c].to_pylist() for c in asked_names[2:])
-        key, count, back, first, starts = added(keys, counts)
-        word, n, word_back, _, word_starts = added(words, times)
+        key, count, back, first, starts = added(table["keys"], table["counts"])
+        word, n, word_back, _, word_starts = added(table["words"], table["times"])
         taught, known = count > 0, n > 0
         lone, true = word_key(word), np.zeros(len(key), np.int64)
         true[taught] = shape.levels(count[taught])
         size, bits = shape.filled(np.concatenate([key[taught], lone[known]]), np.concatenate([true[taught], shape.levels(n[known])]))
         bloom = LogBloom.of(shape, [size], [bits.tobytes()])
-        level = bloom.highest(key, np.zeros(len(key), np.int64))
+        level = np.concatenate([np.empty(0, np.int64), *(bloom.highest(some, np.zeros(len(some), np.int64)) for some in stretches(key))])
         seen = np.zeros(len(word), np.int64)
         seen[known] = bloom.highest(lone[known], np.zeros(int(known.sum()), np.int64))
         lack = count - means[true]
         told = np.zeros(len(back))
         told[first] = lack
         out = []
-        for i, head in enumerate(heads):
+        for i, head in enumerate(buffers(table["heads"])):
             at, own = slice(starts[i], starts[i + 1]), slice(word_starts[i], word_starts[i + 1])
             some = np.flatnonzero(told[at])
             head = unpacked(head, True)[some] if len(some) else np.empty(0, np.int64)
@@ -519,41 +580,51 @@ def probed_in_segments(rows: DataFrame, shape: Shape, mu: float, schema: str) ->
         return pa.table([*columns, once(int(n.sum()), pa.int64()), once(int(known.sum()), pa.int64()), once(float(means[seen].sum()), pa.float64())], [x.split()[0] for x in answer.split(", ")])
 
     answer = "slice long, segment int, levels binary, times binary, seen binary, heads binary, lacks binary, tokens long, known long, mass double"
-    asked = slices.select("slice", "held_out", "sizes", "words", "codes").mapInArrow(sent, "segment int, slice long, heads binary, keys binary, counts binary, words binary, times binary")
-    answers = kept(asked.groupBy("segment").applyInArrow(answered, answer))
+    asked = slices.select("slice", "held_out", "sizes", "words", "codes").mapInArrow(lambda batches: released(sent(batches)), "segment int, slice long, heads binary, keys binary, counts binary, words binary, times binary")
+    answers = kept(asked.groupBy("segment").applyInArrow(lambda table: released_group(answered(table)), answer))
     tokens, known, mass = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "mass"))).first()
 
-    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slice_, heads, lacks in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                code = unpacked(heads, True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), slice_)), pa.array(code), pa.array(np.frombuffer(lacks, np.float64))], ["slice", "code", "lack"])
-
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for slice_, words in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                word = np.frombuffer(words, np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(word), slice_)), pa.array(np.arange(len(word))), pa.array(word)], ["slice", "code", "word"])
-
-    places = slices.select("slice", "words").mapInArrow(listed, "slice long, code long, word long")
-    lacks = answers.where(F.length("lacks") > 0).select("slice", "heads", "lacks").mapInArrow(lacking, "slice long, code long, lack double")
-    of_slice = lacks.groupBy("slice", "code").agg(F.sum("lack").alias("lack"))
-    of_word = kept(of_slice.join(places, ["slice", "code"]).groupBy("word").agg(F.sum("lack").alias("lack")))
-    told = places.join(of_word, "word").groupBy("slice").agg(F.collect_list("code").alias("code"), F.collect_list("lack").alias("lack"))
-    own_answers = answers.select("slice", "segment", "levels", "times", "seen", F.expr("cast(null as array<bigint>)").alias("code"), F.expr("cast(null as array<double>)").alias("lack"))
-    nothing = F.lit(None).cast("binary")
-    every = own_answers.unionByName(told.select("slice", F.lit(-1).alias("segment"), nothing.alias("levels"), nothing.alias("times"), nothing.alias("seen"), "code", "lack"))
+    def placed(left: pa.Table, right: pa.Table) -> pa.Table:
+        """What a slice was told that its words lack; all its words by segment."""
+        word = np.frombuffer(left["words"][0].as_buffer(), np.uint64)
+        lack = np.zeros(len(word))
+        for heads, lacks in zip(buffers(right["heads"]), buffers(right["lacks"]), strict=True):
+            np.add.at(lack, unpacked(heads, True), np.frombuffer(lacks, np.float64))
+        of = word_segment(word, number)
+        order = np.argsort(of, kind="stable")
+        word, lack = word[order], lack[order]
+        out = [(s, word[at].tobytes(), *sparse(lack[at])) for s, at in _by_segment(of[order])]
+        columns = [pa.array([x[i] for x in out], pa.int32() if not i else pa.binary()) for i in range(4)]
+        return pa.table([columns[0], pa.array([left["slice"][0].as_py()] * len(out), pa.int64()), *columns[1:]], ["segment", "slice", "words", "places", "lacks"])
+
+    def told(table: pa.Table) -> pa.Table:
+        """What each word of a segment lacks in all, for every slice that has it."""
+        starts = np.cumsum([0, *(x.size // 8 for x in buffers(table["words"]))])
+        word, back, _ = distinct(np.frombuffer(b"".join(buffers(table["words"])), np.uint64))
+        lack = np.zeros(len(word))
+        for start, places, lacks in zip(starts, buffers(table["places"]), buffers(table["lacks"]), strict=False):
+            np.add.at(lack, back[start + unpacked(places, True)], np.frombuffer(lacks, np.float64))
+        out = [sparse(lack[back[a:b]]) for a, b in zip(starts, starts[1:], strict=False)]
+        return pa.table([table["slice"], table["segment"], *(pa.array([x[i] for x in out], pa.binary()) for i in range(2))], ["slice", "segment", "places", "lacks"])
+
+    by_slice = slices.select("slice", "words").groupBy("slice")
+    lacks = answers.where(F.length("lacks") > 0).select("slice", "heads", "lacks").groupBy("slice")
+    of_slices = by_slice.cogroup(lacks).applyInArrow(lambda left, right: released_group(placed(left, right)), "segment int, slice long, words binary, places binary, lacks binary")
+    of_words = of_slices.groupBy("segment").applyInArrow(lambda table: released_group(told(table)), "slice long, segment int, places binary, lacks binary")
+    own_answers = answers.select("slice", "segment", "levels", "times", "seen")
+    every = own_answers.unionByName(of_words, allowMissingColumns=True)
 
     def scored(left: pa.Table, right: pa.Table) -> pa.Table:
-        own = Slice.of(*(left[c][0].as_py() for c in ("sizes", "words", "codes")), number)
+        own = Slice.of(*(left[c][0].as_buffer() for c in ("sizes", "words", "codes")), number)
         right = right.sort_by("segment")
-        from_segments = right.filter(pc.greater_equal(right["segment"], 0))
-        level, n, seen = (np.concatenate([unpacked(x) for x in from_segments[c].to_pylist()]) for c in ("levels", "times", "seen"))
+        from_segments, of_words = right.filter(pc.is_valid(right["levels"])), right.filter(pc.is_valid(right["lacks"]))
+        level, n, seen = (np.concatenate([unpacked(x) for x in buffers(from_segments[c])]) for c in ("levels", "times", "seen"))
         count, word_level, total = (np.zeros(len(own.words), np.int64) for _ in range(3))
         count[own.order], word_level[own.order] = n, seen
         total = count.astype(np.float64)
-        for code, lack in zip(*(right.filter(pc.less(right["segment"], 0))[c].to_pylist() for c in ("code", "lack")), strict=True):
-            total[code] -= lack
+        first = np.searchsorted(own.word_segment, of_words["segment"].to_numpy())
+        for start, places, lacks in zip(first, buffers(of_words["places"]), buffers(of_words["lacks"]), strict=True):
+            total[own.order[start + unpacked(places, True)]] -= np.frombuffer(lacks, np.float64)
         level = np.where((count[own.h] > 0) & (count[own.w] > 0), level, 0)
         single = (means[word_level] + 1) / (mass + known + 1)
         joint = np.log10((means[level] + mu * single[own.w]) / (total[own.h] + mu))
@@ -564,7 +635,7 @@ def probed_in_segments(rows: DataFrame, shape: Shape, mu: float, schema: str) ->
         ids, flags = (left[c].combine_chunks().flatten() for c in ("doc_id", "held_out"))
         return pa.table([ids, flags, *map(pa.array, found)], NAMES)
 
-    return slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(scored, schema)
+    return slices.groupBy("slice").cogroup(every.groupBy("slice")).applyInArrow(lambda left, right: released_group(scored(left, right)), schema)
 
 
 def score_documents(docs: DataFrame, mu: float = 100.0, base: float = 1.5, bits_per_key: int = 12, max_bits: int = 1 << 26, max_vocabulary: int = 8_000_000, segment_bytes: int = 1 << 23) -> DataFrame:
