@@ -29,6 +29,7 @@ are ignored, whatever their names; an empty table gives no rows; texts may have
 from __future__ import annotations
 
 import ctypes
+import gc
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -582,6 +583,9 @@ def probed_in_segments(rows: DataFrame, shape: Shape, mu: float, schema: str) ->
     answer = "slice long, segment int, levels binary, times binary, seen binary, heads binary, lacks binary, tokens long, known long, mass double"
     asked = slices.select("slice", "held_out", "sizes", "words", "codes").mapInArrow(lambda batches: released(sent(batches)), "segment int, slice long, heads binary, keys binary, counts binary, words binary, times binary")
     answers = kept(asked.groupBy("segment").applyInArrow(lambda table: released_group(answered(table)), answer))
+    del asked
+    gc.collect()
+    rows.sparkSession.sparkContext._jvm.System.gc()  # Spark drops the keys' shuffle files, larger than the input, as their plan is collected
     tokens, known, mass = answers.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("tokens", "known", "mass"))).first()
 
     def placed(left: pa.Table, right: pa.Table) -> pa.Table:
